@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from threadloom.llm import sharding
+from threadloom.llm import quality, sharding, warc_zip
 
 QUERIES = {
+    "op1_suffix_repetition": quality.op1_suffix_repetition,
     "op2_sampled_splitters": sharding.op2_sampled_splitters,
+    "op5_zip_packages": warc_zip.op5_zip_packages,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_suffix_repetition": quality.ORACLE,
+    "op5_zip_packages": warc_zip.ORACLE,
+}

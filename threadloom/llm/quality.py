@@ -28,7 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Words of the shortest repeat that counts: a power of two, as ranks double.
 MIN_REPEAT = 8
 #: Share of words in such repeats, in percent, and words of the longest repeat.
-MAX_COVERED, MAX_REPEAT = 30, 100
+MAX_COVERED, MAX_REPEAT = 50, 100
 MIN_WORDS = 50
 MAX_REPEAT_WORDS = 50
 

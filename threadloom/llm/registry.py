@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from threadloom.llm import quality, sharding, warc_zip
+from threadloom.llm import bpe, packing, quality, sharding, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
     "op2_sampled_splitters": sharding.op2_sampled_splitters,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_zip_packages": warc_zip.op5_zip_packages,
+    "op9_best_fit": packing.op9_best_fit,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, packing, quality, sharding, warc_zip
+from threadloom.llm import bpe, embeddings, packing, quality, sharding, simhash, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
     "op2_sampled_splitters": sharding.op2_sampled_splitters,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_zip_packages": warc_zip.op5_zip_packages,
+    "op7_sorted_projections": embeddings.op7_sorted_projections,
+    "op8_gray_index": simhash.op8_gray_index,
     "op9_best_fit": packing.op9_best_fit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_repetition": quality.ORACLE,
     "op5_zip_packages": warc_zip.ORACLE,
+    "op7_sorted_projections": embeddings.ORACLE,
 }

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, embeddings, packing, quality, sharding, simhash, warc_zip
+from threadloom.llm import bpe, embeddings, language, packing, pii, quality, sharding, simhash, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
     "op2_sampled_splitters": sharding.op2_sampled_splitters,
+    "op3_nearest_centroid": language.op3_nearest_centroid,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_zip_packages": warc_zip.op5_zip_packages,
     "op7_sorted_projections": embeddings.op7_sorted_projections,
     "op8_gray_index": simhash.op8_gray_index,
     "op9_best_fit": packing.op9_best_fit,
+    "op10_bilstm_crf": pii.op10_bilstm_crf,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, embeddings, language, packing, pii, quality, sharding, simhash, warc_zip
+from threadloom.llm import bpe, embeddings, language, mainext, packing, pii, quality, sharding, simhash, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_nearest_centroid": language.op3_nearest_centroid,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_zip_packages": warc_zip.op5_zip_packages,
+    "op6_line_blocks": mainext.op6_line_blocks,
     "op7_sorted_projections": embeddings.op7_sorted_projections,
     "op8_gray_index": simhash.op8_gray_index,
     "op9_best_fit": packing.op9_best_fit,

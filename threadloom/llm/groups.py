@@ -9,19 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import cut
 
-def deal(rows: DataFrame, key: list[str], tie: str, block: int) -> DataFrame:
+
+def deal(rows: DataFrame, key: list[str], tie: str, block: int, few: int = 10_000) -> DataFrame:
     """``rows`` with ``__i`` and ``__j``: every pair of a group's rows meets in some (key, i, j).
 
     A group of n rows is cut into ceil(n / block) blocks by the hash of ``tie``;
     a row goes to every pair of blocks that holds its own (``__own`` tells it).
-    Groups of one row are left out.
+    Only groups of more than ``block`` rows are looked up; their table is sent to
+    all tasks when it has at most ``few`` rows, and joined otherwise.
     """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    dealt = rows.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    sizes = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block), "large-groups")
+    large = sizes.limit(few + 1).count()
+    if not large:
+        return rows.withColumns({c: F.lit(0) for c in ("__own", "__i", "__j")})
+    dealt = rows.join(F.broadcast(sizes) if large <= few else sizes, key, "left")
+    dealt = dealt.withColumn("__blocks", F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(tie), F.col("__blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    dealt = dealt.withColumn("__other", other)
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return dealt.withColumns(
         {"__i": F.least("__own", "__other"), "__j": F.greatest("__own", "__other")}
     ).drop("__n", "__blocks", "__other")

@@ -195,6 +195,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(passed, run, f"{schema}, lang_pred string, score double, rejected boolean")
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, columns unchanged."""
+    bound_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            rejected = np.array(held.value.predict(batch.column("text").to_pylist())["rejected"], bool)
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text."""
     docs = table(spark, sf_dir, "documents")

@@ -180,6 +180,18 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(passed, run, f"{schema}, {FIELDS}, base_failed boolean, kept boolean")
 
 
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is kept, columns unchanged."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            _, kept = judge(measure(batch.column(text).to_pylist()))
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every whole text."""
     scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -46,10 +46,16 @@ MEAN_GROUP = 64
 FANOUT = 8
 #: (query, node) entries held at once by a search.
 FRONTIER = 1 << 21
+#: Similar texts (``similar``): words of a shingle, words of 64 bits in a wide fingerprint,
+#: differing bits allowed in its first word and in all of it.  Two texts that share 0.8 of
+#: their distinct shingles differ in 15 % of the bits on average.
+SIMILAR_WORDS, WIDE, NARROW_BITS, WIDE_BITS = 5, 4, 14, 42
+#: Share of pairs at ``TYPICAL_BITS`` differing bits that the sampled bit choices bring together.
+RECALL, TYPICAL_BITS = 0.97, 10
 
 
-def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of whole texts."""
+def shingle_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of the texts in order, and shingles of each text."""
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -57,20 +63,25 @@ def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not found:
             continue
+        line = b" ".join(found)
         if len(found) <= words:
-            hashes.append(digest(b" ".join(found), SEED))
+            hashes.append(digest(line, SEED))
             counts[i] = 1
             continue
-        line = b" ".join(found)
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
         starts = np.append(0, ends[:-words]).tolist()
         stops = (ends[words - 1 :] - 1).tolist()
         hashes.extend([digest(line[a:b], SEED) for a, b in zip(starts, stops)])
         counts[i] = len(starts)
-    out = np.zeros(len(texts), np.uint64)
+    return np.array(hashes, "<u8"), counts
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits set in more than half of each text's hashes, as unsigned 64-bit numbers; zero without hashes."""
+    out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
         at = np.cumsum(counts[some]) - counts[some]
         ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
         most = ones * 2 > counts[some][:, None]
@@ -78,6 +89,23 @@ def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of whole texts."""
+    return majority(*shingle_hashes(texts, words))
+
+
+def wide_fingerprints(texts: list[str | None], words: int = SIMILAR_WORDS, wide: int = WIDE) -> list[np.ndarray]:
+    """Fingerprints of 64 * wide bits; the words after the first are of remixed hashes."""
+    hashes, counts = shingle_hashes(texts, words)
+    out = [majority(hashes, counts)]
+    for _ in range(1, wide):
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = hashes ^ (hashes >> np.uint64(32))
+        out.append(majority(hashes, counts))
+    return out
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Position of each 64-bit code in the reflected Gray sequence."""
     rank = codes.copy()
@@ -101,10 +129,26 @@ def blocks_for(distinct: int, limit: int = MAX_BITS) -> int:
     return blocks
 
 
+def sampled_masks(distinct: int, recall: float = RECALL, bits: int = TYPICAL_BITS) -> list[int]:
+    """Masks of random bit choices: groups stay near MEAN_GROUP, and a pair that differs in
+    ``bits`` bits shares some group with probability ``recall``.  Both numbers of bits and
+    choices grow with the logarithm of ``distinct``."""
+    size = max(8, int(np.ceil(np.log2(max(1, distinct) / MEAN_GROUP))) + 1)
+    together = np.prod([(64 - bits - i) / (64 - i) for i in range(size)])
+    choices = int(np.ceil(np.log(1 - recall) / np.log1p(-together)))
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(64, size, replace=False)) for _ in range(choices)]
+
+
 class GrayIndex:
-    """Trees of shared bit patterns over groups of codes, each group in Gray order."""
+    """Trees of shared bit patterns over groups of codes, each group in Gray order.
+
+    ``more`` (n x words) holds further bits of each code; with it, codes are
+    linked only if those differ in at most ``most`` bits together with the first.
+    """
 
-    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, more: np.ndarray | None = None, most: int = 0):
+        self.more, self.most = more, most
         n = len(codes)
         ends = np.append(starts[1:], n)
         full = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -131,9 +175,8 @@ class GrayIndex:
         n = len(self.codes)
         sets = UnionFind(n)
         near = (np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= limit) & (self.roots[1:] == self.roots[:-1])
-        at = np.flatnonzero(near)
-        sets.add(at, at + 1)
-        for _, mask, _, _, leaf_lo, leaf_hi in self.levels[1:]:
+        self._add(np.flatnonzero(near), np.flatnonzero(near) + 1, sets)
+        for _, mask, _, _, leaf_lo, leaf_hi in self.levels[1:] if self.more is None else ():
             tight = np.flatnonzero(np.bitwise_count(~mask) <= limit)
             many = leaf_hi[tight] - leaf_lo[tight]
             head = np.repeat(leaf_lo[tight], many)
@@ -143,6 +186,13 @@ class GrayIndex:
             self._search(np.arange(begin, min(n, begin + step)), limit, sets)
         return sets
 
+    def _add(self, a: np.ndarray, b: np.ndarray, sets: UnionFind) -> None:
+        if self.more is not None:
+            far = np.bitwise_count(self.codes[a] ^ self.codes[b]).astype(np.int16)
+            near = far + np.bitwise_count(self.more[a] ^ self.more[b]).sum(axis=1, dtype=np.int16) <= self.most
+            a, b = a[near], b[near]
+        sets.add(a, b)
+
     def _search(self, query: np.ndarray, limit: int, sets: UnionFind) -> None:
         codes, labels = self.codes, sets.root
         alike = [labels]  # the set that all leaves of a node are in, or -1
@@ -167,35 +217,41 @@ class GrayIndex:
             below = mask[child]
             far = far + np.bitwise_count((codes[query] ^ pattern[child]) & below & ~held)
             node, held = child, below
-        sets.add(query, node)
+        self._add(query, node, sets)
 
 
-def links(codes: DataFrame, limit: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Spanning links (a, b) among the distinct fingerprints of ``codes`` (long fp)."""
-    masks = block_masks(blocks_for(codes.count(), limit), limit)
+def links(codes: DataFrame, masks: list[int], limit: int, most: int = 0, block: int = BLOCK) -> DataFrame:
+    """Spanning links (a, b) among the nodes of ``codes`` (node, fp, and further words w1, w2, ...).
+
+    Nodes are compared when their fingerprints agree on all bits of a mask.
+    """
+    words = [c for c in codes.columns if c not in ("node", "fp")]
 
     def spread(batch: pa.RecordBatch) -> dict:
         fp = batch.column("fp").to_numpy()
         raw = fp.view(np.uint64)
-        rank = gray_rank(raw).view(np.int64)
         k = len(masks)
-        return {
+        out = {name: np.tile(batch.column(name).to_numpy(), k) for name in ("node", "fp", *words)}
+        return out | {
             "choice": np.repeat(np.arange(k, dtype=np.int32), len(fp)),
             "value": np.concatenate([(raw & np.uint64(m)).view(np.int64) for m in masks]),
-            "rank": np.tile(rank, k),
-            "fp": np.tile(fp, k),
         }
 
-    rows = map_batches(codes.select("fp"), spread, "choice int, value long, rank long, fp long")
+    bound_batches(codes.sparkSession)
+    columns = ", ".join(f"{name} long" for name in ("node", "fp", *words))
+    rows = map_batches(codes, spread, f"choice int, value long, {columns}")
     key = ["choice", "value", "__i", "__j"]
-    dealt = deal(rows, ["choice", "value"], "fp", block)
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "rank").select(*key, "fp")
+    dealt = deal(rows, ["choice", "value"], "node", block).repartition(*key).sortWithinPartitions(*key)
 
     def join(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        fp = held.column("fp").to_numpy()
-        sets = GrayIndex(fp.view(np.uint64), starts).link(limit)
+        node, fp = held.column("node").to_numpy(), held.column("fp").to_numpy().view(np.uint64)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fp))))
+        order = np.lexsort((gray_rank(fp), group))
+        more = np.stack([held.column(w).to_numpy().view(np.uint64) for w in words], 1)[order] if words else None
+        sets = GrayIndex(fp[order], starts, more, most).link(limit)
         moved = np.flatnonzero(sets.root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[sets.root[moved]])], names=["a", "b"])
+        a, b = node[order[moved]], node[order[sets.root[moved]]]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(lambda batches: by_group(batches, key, join), "a long, b long").where("a <> b")
 
@@ -215,12 +271,43 @@ def classes(docs: DataFrame, words: int = WORDS, limit: int = MAX_BITS) -> DataF
     """(doc_id, fp, component_id) of every document."""
     marked = cut(fingerprint(docs, words), "simhash-fp")
     codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-codes")
-    found = components(links(codes, limit))
+    masks = block_masks(blocks_for(codes.count(), limit), limit)
+    found = components(links(codes.select(F.col("fp").alias("node"), "fp"), masks, limit))
     linked = codes.join(found, codes["fp"] == found["node"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
     named = codes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    # stored, so that both sides of the last join are plain exchanges, which may be split where one fp is hot
+    return marked.join(cut(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: the smallest id stays.
+
+    Texts are similar when their wide fingerprints over ``SIMILAR_WORDS``-word
+    shingles differ in at most ``WIDE_BITS`` bits; candidates agree on a sampled
+    choice of bits of the first word.  A row without id is known by its text.
+    """
+    bound_batches(docs.sparkSession)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha1(F.coalesce("text", F.lit("")))))
+    words = ["fp", *[f"w{i}" for i in range(1, WIDE)]]
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = wide_fingerprints(batch.column("text").to_pylist())
+        out = {c: batch.column(c) for c in ("id", "key")}
+        return out | {w: x.view(np.int64) for w, x in zip(words, found)}
+
+    fields = ", ".join(f"{w} long" for w in words)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
+    marked = map_batches(narrow, run, f"id long, key string, {fields}")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
+    codes = cut(marked.groupBy(*words).agg(first).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    masks = sampled_masks(codes.count())
+    found = components(links(codes.select("node", *words), masks, NARROW_BITS, WIDE_BITS))
+    roots = codes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
+    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
 
 
 def op8_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,17 @@
-"""Shared pieces: table access, scratch tables, bounded Arrow batches."""
+"""Shared pieces: table access and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.scratch import cut, release, scratch_path  # noqa: F401  (used by the operators)
+
 #: Rows in one Arrow batch; long texts make wider batches needlessly large.
 BATCH_ROWS = 1000
-_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,49 +26,6 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster its absence is an error, since executors share no local disk.
-    """
-    key = "spark.checkpoint.dir"
-    root = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set(key, root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
-
-    Cuts the lineage: what follows reads the table, so neither a lost executor
-    nor a second use runs the plan behind it again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process; call it when results are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``function(batch) -> dict of columns`` over Arrow batches of ``df``."""
     fields = _arrow_schema(df.sparkSession, schema)

@@ -1,33 +1,31 @@
-"""Declared schemas of the pipeline's tables; every column is nullable."""
+"""Declared schemas of the pipeline's tables, as DDL; every column is nullable."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _REPLIES = "MAP<STRING, ARRAY<STRUCT<date: STRING, reply: STRING>>>"
 _THREAD = (
     "forum STRING, page INT, title STRING, url STRING, closed BOOLEAN, user_list ARRAY<STRING>, original_post STRING, "
     f"created_date STRING, post_creator STRING, replies {_REPLIES}"
 )
 
-RAW = StructType.fromDDL("forum STRING, page INT, title STRING, url STRING, closed BOOLEAN, raw_content STRING")
-POST_ROWS = StructType.fromDDL("forum STRING, page INT, url STRING, pos INT, user STRING, date STRING, content STRING")
-REFINED = StructType.fromDDL(f"{_THREAD}, external_urls ARRAY<STRING>")
-PURE = StructType.fromDDL(
+RAW = "forum STRING, page INT, title STRING, url STRING, closed BOOLEAN, raw_content STRING"
+POST_ROWS = "forum STRING, page INT, url STRING, pos INT, user STRING, date STRING, content STRING"
+REFINED = (f"{_THREAD}, external_urls ARRAY<STRING>")
+PURE = (
     f"_id STRING, {_THREAD}, DNS_Related BOOLEAN, Non_English BOOLEAN, labels ARRAY<STRING>, raw_tag ARRAY<STRING>, "
     "labels_v2 ARRAY<STRING>, updated BOOLEAN"
 )
-EXTERNAL_RAW = StructType.fromDDL("title STRING, url STRING, raw_content STRING")
-EXTERNAL_REFINED = StructType.fromDDL("title STRING, url STRING, refined_content STRING")
-EXTERNAL_PURE = StructType.fromDDL("title STRING, url STRING, pure_text STRING")
-ATTEMPTS = StructType.fromDDL("url STRING, attempt INT, is_external BOOLEAN, status INT, error STRING")
-RULES = StructType.fromDDL("label STRING, ord INT, tier INT, kind STRING, keyword STRING, n INT, threshold INT")
-LEMMAS = StructType.fromDDL("form STRING, lemma STRING")
+EXTERNAL_RAW = "title STRING, url STRING, raw_content STRING"
+EXTERNAL_REFINED = "title STRING, url STRING, refined_content STRING"
+EXTERNAL_PURE = "title STRING, url STRING, pure_text STRING"
+ATTEMPTS = "url STRING, attempt INT, is_external BOOLEAN, status INT, error STRING"
+RULES = "label STRING, ord INT, tier INT, kind STRING, keyword STRING, n INT, threshold INT"
+LEMMAS = "form STRING, lemma STRING"
 
 #: JSON inputs.
-LISTING = StructType.fromDDL("topic_list STRUCT<topics: ARRAY<STRUCT<id: BIGINT, slug: STRING>>>")
+LISTING = "topic_list STRUCT<topics: ARRAY<STRUCT<id: BIGINT, slug: STRING>>>"
 NOTES = (
     "ARRAY<STRUCT<notes: ARRAY<STRUCT<author: STRUCT<name: STRING>, updated_at: STRING, created_at: STRING, "
     "note: STRING, note_html: STRING>>>>"
 )
-TOPIC_DATA = StructType.fromDDL("author_name STRING")
+TOPIC_DATA = "author_name STRING"

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def last_segment(url: Column) -> Column:
@@ -29,7 +30,7 @@ def is_media(url: Column) -> Column:
     return url.rlike("png|jpg|pdf|jpeg")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """``href`` resolved against ``base``; null when either is null."""
     return pd.Series([urljoin(b, h) if b is not None and h is not None else None for b, h in zip(base, href)], dtype=object)

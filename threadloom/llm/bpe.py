@@ -25,6 +25,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ LETTER, NUMBER, OTHER, SHORT, LONG, MORE_SPACE, LAST_BLANK, LAST_SPACE, RESET =
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, ONE_LEFT, TWO_LEFT, AFTER_BLANK, IN_SPACES = range(8)
 #: Pieces of at most this many bytes are merged by repeated scans, longer ones by a heap.
 SCAN_BYTES = 48
+#: Above every rank.
+NONE = 1 << 40
 #: Cached pieces of a worker; the cache is emptied when full.
-CACHED = 400_000
+CACHED = 1_000_000
 
 # White_Space of the Unicode character database (fixed values).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -164,15 +167,15 @@ class Encoder:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {v: k for k, v in self.ranks.items()}
-        self.cache: dict[bytes, tuple[int, str, tuple[int, ...]]] = {}
+        self.written = {v: str(v) for v in self.tokens}
+        self.cache: dict[bytes, tuple[int, ...]] = {}
 
-    def piece(self, raw: bytes) -> tuple[int, str, tuple[int, ...]]:
-        """Number of ids, the ids as text, and the ids of one piece."""
+    def piece(self, raw: bytes) -> tuple[int, ...]:
+        """The ids of one piece."""
         held = self.cache.get(raw)
         if held is None:
             whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self._merge(raw))
-            held = (len(ids), " ".join(map(str, ids)), ids)
+            held = (whole,) if whole is not None else tuple(self._merge(raw))
             if len(self.cache) >= CACHED:
                 self.cache.clear()
             if len(raw) <= 256:
@@ -180,20 +183,22 @@ class Encoder:
         return held
 
     def _merge(self, raw: bytes) -> list[int]:
-        ranks = self.ranks
         if len(raw) > SCAN_BYTES:
             return self._merge_long(raw)
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        find, n = self.ranks.get, len(raw)
+        cuts = list(range(n + 1))
+        pairs = [find(raw[i : i + 2], NONE) for i in range(n - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            i = pairs.index(best)
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = find(raw[cuts[i] : cuts[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = find(raw[cuts[i - 1] : cuts[i + 1]], NONE)
+        return [self.ranks[raw[a:b]] for a, b in zip(cuts, cuts[1:])]
 
     def _merge_long(self, raw: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, over a linked list."""
@@ -217,7 +222,11 @@ class Encoder:
         return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def write(self, ids) -> str:
+        """Decimal ids joined by spaces."""
+        return " ".join(map(self.written.__getitem__, ids))
 
 
 @functools.cache
@@ -225,8 +234,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_batch(texts: list[str | None], path: str) -> list[list[tuple[int, str, tuple[int, ...]]]]:
-    """The encoded pieces of each text."""
+def encode_batch(texts: list[str | None], path: str) -> list[list[int]]:
+    """The ids of each text."""
     coder = encoder(path)
     texts = [t or "" for t in texts]
     raw, offsets, counts = boundaries(texts)
@@ -234,7 +243,7 @@ def encode_batch(texts: list[str | None], path: str) -> list[list[tuple[int, str
     cache, piece = coder.cache, coder.piece
     found = [cache.get(p) or piece(p) for p in map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))]
     at = np.append(0, np.cumsum(counts)).tolist()
-    return [found[a:b] for a, b in zip(at, at[1:])]
+    return [list(chain.from_iterable(found[a:b])) for a, b in zip(at, at[1:])]
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -245,8 +254,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     names = passed.columns
 
     def run(batch: pa.RecordBatch) -> dict:
-        pieces = encode_batch(batch.column(text).to_pylist(), path)
-        return {c: batch.column(c) for c in names} | {"tokens": [[i for p in x for i in p[2]] for x in pieces]}
+        return {c: batch.column(c) for c in names} | {"tokens": encode_batch(batch.column(text).to_pylist(), path)}
 
     return map_batches(passed, run, f"{schema}, tokens array<int>")
 
@@ -265,11 +273,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     def run(batch: pa.RecordBatch) -> dict:
         coder = encoder(path)
         out = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for pieces in encode_batch(batch.column("text").to_pylist(), path):
-            out["n_tokens"].append(sum([p[0] for p in pieces]))
-            out["ids_sha256"].append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
-            decoded = coder.decode([i for p in pieces for i in p[2]])
-            out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+        for ids in encode_batch(batch.column("text").to_pylist(), path):
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(coder.write(ids).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids)).hexdigest())
         return out
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

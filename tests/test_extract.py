@@ -142,3 +142,15 @@ def test_streaming(spark, tmp_path):
     streaming.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert landed.read_stage(spark, str(tmp_path / "out"), "pure").count() == 1
     assert len(landed.read_stage(spark, str(tmp_path / "out"), "refined").first()["replies"]["u2"]) == 2
+
+
+def test_continuations(spark):
+    rows = [
+        ("cloudflare", 1, "http://f/t", 1, '<div role="navigation">next page</div>'), ("cloudflare", 1, "http://f/e", 3, '<div role="navigation">prev</div>'),
+        ("opendns", 1, "http://o/a", 1, '<li class="pagination-last"><a href="/b?page=2">last</a></li>'),
+        ("comodo", 1, "http://c/a", 1, '<div class="pagelinks floatleft"><a class="navPages" href="/2">2</a><a class="navPages" href="/3">3</a></div>'),
+        ("comodo", 1, "http://c/a", 2, '<div class="pagelinks floatleft"><a class="navPages" href="/3">3</a></div>'), ("github", 1, "g", 1, "x"),
+    ]
+    df = spark.createDataFrame(rows, "forum string, page int, url string, part int, raw_content string")
+    found = sorted((r["part"], r["next_url"]) for r in extract.continuations(df).collect())
+    assert found == [(2, "http://c/2"), (2, "http://f/t?page=2"), (2, "http://o/b?page=2"), (3, "http://c/3")]

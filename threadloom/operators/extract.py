@@ -349,3 +349,52 @@ def external_documents(pages: DataFrame, pure_of: str = "p") -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.string()) for n in names]))
 
     return pages.select("url", "raw_content").mapInArrow(run, "title string, url string, raw_content string, refined_content string, pure_text string")
+
+
+# Continuation pages
+
+# Where a forum's thread pages name further ones (fixed values): an element, and what to do with it.
+PAGERS: dict[str, tuple[str, Selector]] = {
+    "cloudflare": ("count", ("div", {"role": "navigation"})),
+    "opendns": ("link", ("li", {"class": "pagination-last"})),
+    "spiceworks": ("link", ("nav", {"class": "sui-pagination"})),
+    "comodo": ("links", ("div", {"class": "pagelinks floatleft"})),
+}
+
+
+def continuations(pages: DataFrame) -> DataFrame:
+    """(forum, page, url, part, next_url) of pages that thread pages point to, for the next round of fetching.
+
+    A counted pager names part + 1 while it says ``next``; a linking one names its
+    first link; a list of links names them all, from the first part only.  Rounds
+    end when no new URL is found, so a pager that points back can't loop.
+    """
+    from urllib.parse import urljoin
+
+    schema = "forum string, page int, url string, part int, next_url string"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["forum"] not in PAGERS:
+                    continue
+                how, selector = PAGERS[row["forum"]]
+                part, root = row["part"] or 1, dom.parse(row["raw_content"])
+                box = _find(root, selector)
+                if box is None:
+                    continue
+                if how == "count":
+                    found = [(part + 1, f"{row['url']}?page={part + 1}")] if "next" in box.text else []
+                else:
+                    anchors = box.find_all("a", class_="navPages") if how == "links" else box.find_all("a")[:1]
+                    hrefs_ = [a.attrs["href"] for a in anchors if a.attrs.get("href")]
+                    hrefs_ = [] if how == "links" and part > 1 else list(dict.fromkeys(hrefs_))
+                    found = [(part + i, urljoin(row["url"] or "", h)) for i, h in enumerate(hrefs_, 1)]
+                out += [(row["forum"], row["page"], row["url"], p, u) for p, u in found]
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            names = [x.split()[0] for x in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return pages.select("forum", "page", "url", "part", "raw_content").mapInArrow(run, schema)

@@ -613,3 +613,48 @@ def cluster_sizes(spark, sf_dir):
 def last_url_of_title(spark, sf_dir):
     rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name"))
     return rows.agg(F.max_by(F.col("p_partkey").cast("string"), "p_partkey").alias("url"))
+
+
+@query(
+    """SELECT user_id::VARCHAR AS url, count(*) AS n_attempts, count(*) FILTER (WHERE value >= 2) AS n_failed FROM events GROUP BY 1"""
+)
+def attempt_counts(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("url"), F.when(F.col("value") < 2, 200).otherwise(503).alias("status"), F.lit(None).cast("string").alias("error")
+    )
+    return crawl.attempt_counts(attempts)
+
+
+@query(
+    """SELECT o.o_orderkey::VARCHAR AS url, c.c_name AS raw, s.n AS notes FROM orders o
+JOIN customer c ON c.c_custkey = o.o_custkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY l_orderkey) s ON s.l_orderkey = o.o_orderkey"""
+)
+def listing_with_pages_and_notes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("url"), "o_custkey")
+    landed = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("url", F.col("c_name").alias("raw"))
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("notes"))
+    notes = lines.select(F.col("l_orderkey").cast("string").alias("url"), "notes")
+    return crawl.ingest_inputs(orders.select("url"), landed, notes)
+
+
+@query(
+    f"""WITH {TOKENS}, {CLEAN}, top AS (SELECT token FROM clean GROUP BY token ORDER BY count(*) DESC, token LIMIT 3),
+c AS (SELECT doc_id, token, count(*) AS n FROM clean WHERE token IN (FROM top) GROUP BY 1, 2)
+SELECT token, count(*) AS n_docs, sum(n)::BIGINT AS n FROM c GROUP BY token"""
+)
+def fixed_vocabulary_counts(spark, sf_dir):
+    words = cut(_clean(spark, sf_dir), "clean")
+    top = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(3).select("token")
+    counts = features.term_counts(words.join(F.broadcast(top), "token"), 1)
+    return counts.groupBy(F.col("term").alias("token")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@query(
+    """SELECT title, label FROM (SELECT 'v' || vec_id AS title, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 2"""
+)
+def cluster_report(spark, sf_dir):
+    points = _vectors(spark, sf_dir)
+    titles = points.select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("title"))
+    found = clustering.cluster_members(points.select("id", "label"), titles)
+    return found.select(F.explode(F.slice("titles", 1, 2)).alias("title"), "label")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +16,10 @@ from pyspark.sql import functions as F
 from threadloom.scratch import cut, release, scratch_path  # noqa: F401  (used by the operators)
 
 #: Rows in one Arrow batch; long texts make wider batches needlessly large.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
+#: Batches of a worker between calls that give memory back.
+TRIM_EVERY = 16
+_BATCHES = itertools.count(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +34,22 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
 @contextlib.contextmanager
 def paused_collection():
-    """No cyclic garbage collection inside: a batch makes many small objects and no cycles."""
+    """No cyclic garbage collection inside: a batch makes many small objects and no cycles.
+
+    Every few times free memory is given back, so that a reused worker doesn't
+    hold the largest batch of every stage that it ever ran.
+    """
     was = gc.isenabled()
     gc.disable()
     try:
@@ -38,6 +57,8 @@ def paused_collection():
     finally:
         if was:
             gc.enable()
+        if next(_BATCHES) % TRIM_EVERY == 0:
+            _trim()(0)
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
@@ -50,6 +71,7 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
                 with paused_collection():
                     out = function(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
+        _trim()(0)
 
     return df.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import cut, paused_collection
 
 
 def deal(rows: DataFrame, key: list[str], tie: str, block: int, few: int = 10_000) -> DataFrame:
@@ -34,7 +34,7 @@ def deal(rows: DataFrame, key: list[str], tie: str, block: int, few: int = 10_00
 
 
 def by_group(
-    batches: Iterable[pa.RecordBatch], key: list[str], function: Callable[[pa.Table, np.ndarray], pa.RecordBatch], rows: int = 1 << 16
+    batches: Iterable[pa.RecordBatch], key: list[str], function: Callable[[pa.Table, np.ndarray], pa.RecordBatch], rows: int = 1 << 15
 ) -> Iterator[pa.RecordBatch]:
     """Calls ``function(table, starts)`` on runs of whole groups of at least ``rows`` rows in all.
 
@@ -50,12 +50,16 @@ def by_group(
             starts = _starts(whole, key)
             last = int(starts[-1])
             if last:
-                yield function(whole.slice(0, last), starts[:-1])
+                with paused_collection():
+                    out = function(whole.slice(0, last), starts[:-1])
+                yield out
                 rest = whole.slice(last)
                 held, count = rest.to_batches(), rest.num_rows
     if count:
         whole = pa.Table.from_batches(held)
-        yield function(whole, _starts(whole, key))
+        with paused_collection():
+            out = function(whole, _starts(whole, key))
+        yield out
 
 
 def _starts(table: pa.Table, key: list[str]) -> np.ndarray:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm.common import bound_batches, map_batches, table
+from threadloom.llm.common import bound_batches, map_batches, paused_collection, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -186,7 +186,8 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            _, kept = judge(measure(batch.column(text).to_pylist()))
+            with paused_collection():
+                _, kept = judge(measure(batch.column(text).to_pylist()))
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

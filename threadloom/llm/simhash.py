@@ -45,7 +45,7 @@ BLOCK = 8192
 MEAN_GROUP = 64
 FANOUT = 8
 #: (query, node) entries held at once by a search.
-FRONTIER = 1 << 21
+FRONTIER = 1 << 19
 #: Similar texts (``similar``): words of a shingle, words of 64 bits in a wide fingerprint,
 #: differing bits allowed in its first word and in all of it.  Two texts that share 0.8 of
 #: their distinct shingles differ in 15 % of the bits on average.

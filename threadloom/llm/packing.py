@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -30,33 +32,82 @@ SIZE = 2048
 END_ID = 0
 #: Salts of a length: tasks that can number the pieces of one length.
 SALTS = 256
-#: Cached words of a worker; the cache is emptied when full.
-CACHED = 400_000
+#: Cached parts of a worker (about 200 bytes each), kept in two generations of this size: a full
+#: one becomes the old one, from which parts in use come back.
+CACHED = 300_000
+#: New parts given to the tokenizer at once.
+LEARNED = 2000
 
 
 class WordTokenizer:
-    """The word tokenizer, asked once for each word between blanks.
-
-    Its pre-tokenizer always separates at space, tab and line ends, so ids of a
-    text are those of its blank-separated words in order.
+    """The word tokenizer, asked once for each part that its pre-tokenizer makes.
+
+    Texts of ASCII and Latin-1 letters are lower-cased and cut by the
+    pre-tokenizer's own pattern, which on such characters needs no Unicode classes;
+    distinct parts go to the library's model without its normaliser, which would
+    leave them as they are.  Other texts are cut at blanks, where the pre-tokenizer
+    always cuts; words with other characters, or with the sign of a special token,
+    go through the whole tokenizer.
     """
 
+    #: Plain texts, and how they are cut after lower-casing (the tokenizer's pattern; fixed value).
+    PLAIN = re.compile("[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+    BLANKS = re.compile("[ \t\n\r]+")
+    #: Marks a word for the whole tokenizer.
+    ODD = "\0"
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
-        new = list({w for ws in words for w in ws if w not in cache})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            cache[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+        cut = [self._cut(t or "") for t in texts]
+        if len(self.parts) > CACHED:
+            self.old, self.parts = self.parts, {}
+        parts, old = self.parts, self.old
+        new = set().union(*cut) - parts.keys()
+        if old:
+            known = new & old.keys()
+            parts.update(zip(known, map(old.__getitem__, known)))
+            new -= known
+        self._learn(list(new))
+        return [b"".join(map(parts.__getitem__, ps)) for ps in cut]
+
+    def _cut(self, text: str) -> list[str]:
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return self.PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in self.BLANKS.split(text):
+            if self.PLAIN.fullmatch(word) and "<|" not in word:
+                out += self.PARTS.findall(word.lower())
+            else:
+                out.append(self.ODD + word)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [p for p in new if p[0] == self.ODD]
+        plain = [p for p in new if p[0] != self.ODD] if odd else new
+        for at in range(0, len(odd), LEARNED):
+            some = odd[at : at + LEARNED]
+            for part, found in zip(some, self.tokenizer.encode_batch([p[1:] for p in some], add_special_tokens=False)):
+                self.parts[part] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(plain), LEARNED):
+            some = plain[at : at + LEARNED]
+            found = self.model.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (np.cumsum(np.bincount(found.word_ids, minlength=len(some))) * 4).tolist()
+            self.parts.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends))))
 
 
 @functools.cache

@@ -92,7 +92,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # stored, so that the join reads two plain exchanges and may be split at a node with very many links
+        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
         out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = links.groupBy("a").agg(F.min("b").alias("m"))

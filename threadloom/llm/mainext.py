@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from threadloom.llm.common import bound_batches, map_batches, table
 
 #: Lines in a window, and the sum that makes a surge.
-LINES, SURGE = 3, 80
+LINES, SURGE = 3, 40
 #: Share of a line's characters inside links from which it counts as links.
 LINKS = 0.5
 
@@ -88,10 +88,11 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Lines:
-    """The lines of a page: text, characters in links, apart, inside an article."""
+    """The lines of a page: text, characters in links, apart, number of the article around it (or 0)."""
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.number = 0
         self.text: list[str] = []
         self.linked = 0
         # open elements: (tag, apart, article)
@@ -104,7 +105,7 @@ class _Lines:
         if self.text:
             line = " ".join(references.unescape("".join(self.text)).split())
             if line:
-                self.lines.append((line, self.linked, self.apart > 0, self.article > 0))
+                self.lines.append((line, self.linked, self.apart > 0, self.number if self.article else 0))
             self.text, self.linked = [], 0
 
     def _say(self, text: str) -> None:
@@ -117,6 +118,7 @@ class _Lines:
         article = tag in ("article", "main") and not apart and not self.apart
         self.open.append((tag, apart, article))
         self.apart += apart
+        self.number += article and tag == "article" or not self.article
         self.article += article
         self.links += tag == "a"
 
@@ -169,10 +171,12 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = _Lines(page).lines
-    marked = any(inside and not apart for _, _, apart, inside in lines)
+    # an article that is nothing but links points to other pages
+    told = {inside for line, linked, apart, inside in lines if inside and not apart and linked <= LINKS * len(line)}
+    marked = bool(told) or any(inside and not apart for _, _, apart, inside in lines)
     weights = []
     for line, linked, apart, inside in lines:
-        if apart or (marked and not inside):
+        if apart or (marked and (inside not in told if told else not inside)):
             weights.append(0)
         elif marked:
             weights.append(max(SURGE, len(line)))

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Links are first thinned inside each partition by union-find (a forest spans the
-same components with at most one link per node), so what is shuffled afterwards
-grows with the nodes.  Each round writes its links to the shared folder.
+Producers thin their links inside each partition by union-find (a forest spans
+the same components with at most one link per node), so what is shuffled
+afterwards grows with the nodes.  Each round writes its links to the shared folder.
 """
 
 from __future__ import annotations
@@ -53,7 +53,12 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[sets.root[moved]]
 
 
-def _thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of all links (a, b) of a partition.
+
+    Producers of links call it in their own function: one Python step in a stage
+    needs one worker for each core, two steps would need two.
+    """
     a = b = np.zeros(0, np.int64)
     for batch in batches:
         a = np.concatenate([a, batch.column(0).to_numpy()])
@@ -67,9 +72,10 @@ def _thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``links`` (long a, long b); root is the smallest node.
 
-    Nodes without links don't appear.  No null may occur in ``links``.
+    Nodes without links don't appear.  No null may occur in ``links``, and links
+    need no order; ``thin`` them where they are made.
     """
-    links = cut(links.select("a", "b").mapInArrow(_thin, "a long, b long"), "links")
+    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     seen = None
     for _ in range(rounds):
         links = cut(_star(_star(links, True), False), "links")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut, map_batches, table
-from threadloom.llm.components import components, spanning
+from threadloom.llm.components import components, spanning, thin
 from threadloom.llm.groups import by_group, deal
 
 LEAST = 0.98
@@ -110,7 +110,7 @@ def neighbour_links(
             a, b = _near(whole, window, least)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return coded.mapInArrow(compare, "a long, b long")
+    return coded.mapInArrow(lambda batches: thin(compare(batches)), "a long, b long")
 
 
 def _near(rows: pa.Table, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ CENTROIDS = 4
 #: A text is rejected below this share of the cosine that all but 0.5 % of the training texts reach.
 LOOSE = 0.6
 #: Texts turned into dense vectors at once.
-CHUNK = 256
+CHUNK = 64
 UNKNOWN = "und"
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import bound_batches, cut, map_batches, table
-from threadloom.llm.components import UnionFind, components
+from threadloom.llm.components import UnionFind, components, thin
 from threadloom.llm.groups import by_group, deal
 
 SEED = 42
@@ -253,7 +253,7 @@ def links(codes: DataFrame, masks: list[int], limit: int, most: int = 0, block:
         a, b = node[order[moved]], node[order[sets.root[moved]]]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(lambda batches: by_group(batches, key, join), "a long, b long").where("a <> b")
+    return dealt.mapInArrow(lambda batches: thin(by_group(batches, key, join)), "a long, b long")
 
 
 def fingerprint(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -87,3 +87,10 @@ def test_kmeans_and_projection(spark):
     xs = np.array([r["xs"] for r in clustering.project(p).orderBy("id").collect()])
     assert abs(xs.mean(axis=0)).max() < 1e-9 and abs(xs[:20, 0].mean() - xs[20:, 0].mean()) > 10
     assert [tuple(r) for r in clustering.label_counts(p).collect()] == [(0, 40)]
+
+
+def test_display(spark):
+    w = spark.createDataFrame([(0, "a", 0.6), (0, "b", 0.8), (1, "b", 1.0), (1, "c", 0.0)], "doc_id long, term string, w double")
+    assert sorted(map(tuple, features.wide(w, ["a", "b"]).collect())) == [(0, 0.6, 0.8), (1, 0.0, 1.0)]
+    assert [r[0] for r in features.feature_names(w).collect()] == ["a", "b", "c"]
+    assert [tuple(r) for r in features.top_terms(w, 0, 1).collect()] == [(0, "b", 0.8)]

@@ -15,7 +15,10 @@ from threadloom.functions import text as T
 from threadloom.functions import urls as U
 from threadloom.operators import clustering, crawl, extract, features, filters, labels, stats, threads
 from threadloom.scratch import cut
+from threadloom.sources.landed import spread
 
+#: Tables whose rows take long to work on.
+TEXTS = ("documents", "pages")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,7 +34,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def values(rows: list[tuple], names: str) -> str:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import urllib.parse
 import uuid
@@ -179,6 +180,11 @@ def _page(urn: str | None) -> int | None:
     return None if tail == "None" else int(tail)
 
 
+def _files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file, and the path in it."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 class PackageWriter:
     """Writes packages into a folder; each gets a name of its own.
 
@@ -187,7 +193,7 @@ class PackageWriter:
     """
 
     def __init__(self, folder: str, package_bytes: int = PACKAGE_BYTES):
-        self.files, self.base = pafs.FileSystem.from_uri(folder)
+        self.files, self.base = _files(folder)
         self.folder, self.limit = folder.rstrip("/"), package_bytes
         self.zip = None
 
@@ -298,7 +304,7 @@ def read_packages(manifest: DataFrame) -> DataFrame:
 
 
 def _read_package(uri: str) -> Iterator[dict]:
-    files, path = pafs.FileSystem.from_uri(uri)
+    files, path = _files(uri)
     with files.open_input_file(path) as source:
 
         def read_at(offset: int, length: int) -> bytes:

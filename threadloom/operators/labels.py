@@ -86,18 +86,34 @@ def features(texts: DataFrame, keys: list[str], text: str, lemmas: DataFrame | N
 def label(texts: DataFrame, keys: list[str], text: str, rules: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """(keys, labels): labels whose rules hold, in rule order; every text has a row.
 
-    The rule table is broadcast (hundreds of rows); rows that match no rule carry
-    null and vanish in the partial aggregation, so one row for each text is shuffled.
+    Lemmas are applied to the rules, not to the tokens: a rule word stands for all
+    its forms, so tokens meet one table.  That table is broadcast (rules times
+    forms, thousands of rows at most); rows that match no rule carry null and
+    vanish in the partial aggregation, so one row for each text is shuffled.
     """
     hit = F.struct("ord", "label", "tier", "threshold", "keyword", "n")
-    matched = _matched(features(texts, keys, text, lemmas), rules)
+    rules = surface_rules(rules, lemmas) if lemmas is not None else rules.withColumn("form", F.col("keyword"))
+    matched = _matched(features(texts, keys, text), rules)
     hits = matched.groupBy(*keys).agg(F.collect_set(F.when(F.col("keyword").isNotNull(), hit)).alias("__hits"))
     return hits.select(*keys, _labels(F.col("__hits")).alias("labels"))
 
 
+def surface_rules(rules: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """``rules`` with ``form``: a row for each form, or pair of forms, whose lemmas make the keyword."""
+    parts = F.when(F.col("kind") == "bigram", F.split("keyword", " ")).otherwise(F.array("keyword"))
+    split = rules.withColumns({"__a": F.get(parts, F.lit(0)), "__b": F.get(parts, F.lit(1))})
+    words = split.select(F.explode(F.array_compact(F.array("__a", "__b"))).alias("word")).distinct()
+    unchanged = words.join(lemmas, words["word"] == lemmas["form"], "left_anti").select("word", F.col("word").alias("form"))
+    forms = unchanged.unionByName(lemmas.select(F.col("lemma").alias("word"), "form"))
+    one = forms.select(F.col("word").alias("__a"), F.col("form").alias("__fa"))
+    two = forms.select(F.col("word").alias("__b"), F.col("form").alias("__fb"))
+    joined = split.join(one, "__a").join(two, "__b", "left").where("__b IS NULL OR __fb IS NOT NULL")
+    return joined.withColumn("form", F.concat_ws(" ", "__fa", "__fb")).drop("__a", "__b", "__fa", "__fb")
+
+
 def _matched(rows: DataFrame, rules: DataFrame) -> DataFrame:
     table = F.broadcast(rules.withColumnRenamed("kind", "__kind"))
-    return rows.join(table, (F.col("feature") == F.col("keyword")) & (F.col("kind") == F.col("__kind")), "left")
+    return rows.join(table, (F.col("feature") == F.col("form")) & (F.col("kind") == F.col("__kind")), "left")
 
 
 def _labels(hits: Column) -> Column:

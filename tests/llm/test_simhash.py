@@ -140,3 +140,48 @@ def test_deduplicate_keeps_one_of_similar_texts(spark):
     assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == sorted(first.values())
     assert sum(r["doc_id"] is None for r in found) == 1
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def near_texts(rng, changes, hub):
+    """Isolated pairs of texts of 316 shingles that differ in some words, and one hub of copies of a text."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(320)]
+        copy = list(base)
+        for at in rng.sample(range(5, 315, 6), changes):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    base = [word() for _ in range(320)]
+    for _ in range(hub):
+        copy = list(base)
+        for at in rng.sample(range(320), rng.choice([1, 3, 5, 9])):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    return texts
+
+
+def exact_left(texts):
+    """First of each component of texts that share 4/5 of their shingles."""
+    sets = []
+    for text in texts:
+        ws = text.lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if label[i] != label[j] and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return sorted(set(label))
+
+
+def test_deduplicate_finds_every_pair_of_shared_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTS", 100)
+    rng = random.Random(21)
+    texts = near_texts(rng, 7, 120)  # similarity 281 / 351
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)]
+    want = exact_left(texts)
+    assert sum(i < 120 for i in want) == 60
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == want

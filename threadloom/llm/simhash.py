@@ -46,12 +46,18 @@ MEAN_GROUP = 64
 FANOUT = 8
 #: (query, node) entries held at once by a search.
 FRONTIER = 1 << 19
-#: Similar texts (``similar``): words of a shingle, words of 64 bits in a wide fingerprint,
-#: differing bits allowed in its first word and in all of it.  Two texts that share 0.8 of
-#: their distinct shingles differ in 15 % of the bits on average.
-SIMILAR_WORDS, WIDE, NARROW_BITS, WIDE_BITS = 5, 4, 14, 42
-#: Share of pairs at ``TYPICAL_BITS`` differing bits that the sampled bit choices bring together.
-RECALL, TYPICAL_BITS = 0.97, 10
+#: Similar texts (``deduplicate``): words of a shingle; they share 4/5 of their distinct shingles or more.
+SIMILAR_WORDS = 5
+#: Words of 64 bits in a wide fingerprint, and its bits that similar texts mostly differ in at most.
+WIDE, WIDE_BITS = 4, 42
+#: Words of 64 bits in a parity sketch.
+SKETCH = 4
+#: Rows of a shingle's group up to which all its pairs are listed.
+FEW = 32
+#: Texts of an open cluster that one task compares at once.
+OPEN_BLOCK = 1024
+#: Texts counted for the order of shingles, the least count that matters, and counts sent to all tasks.
+COUNTED, OFTEN, COUNTS = 20_000, 4, 1 << 18
 
 
 def shingle_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,17 +135,6 @@ def blocks_for(distinct: int, limit: int = MAX_BITS) -> int:
     return blocks
 
 
-def sampled_masks(distinct: int, recall: float = RECALL, bits: int = TYPICAL_BITS) -> list[int]:
-    """Masks of random bit choices: groups stay near MEAN_GROUP, and a pair that differs in
-    ``bits`` bits shares some group with probability ``recall``.  Both numbers of bits and
-    choices grow with the logarithm of ``distinct``."""
-    size = max(8, int(np.ceil(np.log2(max(1, distinct) / MEAN_GROUP))) + 1)
-    together = np.prod([(64 - bits - i) / (64 - i) for i in range(size)])
-    choices = int(np.ceil(np.log(1 - recall) / np.log1p(-together)))
-    rng = np.random.default_rng(SEED)
-    return [sum(1 << int(b) for b in rng.choice(64, size, replace=False)) for _ in range(choices)]
-
-
 class GrayIndex:
     """Trees of shared bit patterns over groups of codes, each group in Gray order.
 
@@ -281,29 +276,233 @@ def classes(docs: DataFrame, words: int = WORDS, limit: int = MAX_BITS) -> DataF
     return marked.join(cut(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(texts: list[str | None], words: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of the texts, ascending in each, and how many each has."""
+    hashes, counts = shingle_hashes(texts, words)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(counts))
+
+
+def _remix(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def digests(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each set that tell equal sets."""
+    out = np.zeros((2, len(counts)), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        at = np.cumsum(counts[some]) - counts[some]
+        out[0, some], out[1, some] = np.add.reduceat(hashes, at), np.add.reduceat(_remix(hashes), at)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def sketches(hashes: np.ndarray, counts: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """(n, words): parity of the members that fall on each bit.
+
+    Two sketches never differ in more bits than their sets differ in members.
+    """
+    size = 64 * words
+    bit = (_remix(hashes) >> np.uint64(40)).astype(np.int64) % size
+    ones = np.bincount(np.repeat(np.arange(len(counts)), counts) * size + bit, minlength=len(counts) * size)
+    bits = (ones & 1).astype(np.uint8).reshape(len(counts), size)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def _often(sets: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some counted texts hold, ascending, and their counts."""
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, texts // COUNTED))) == 0)
+    counts = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    least, counts = OFTEN, cut(counts.where(F.col("count") >= OFTEN), "simhash-often")
+    while counts.where(F.col("count") >= least).count() > COUNTS:
+        least *= 2
+    found = counts.where(F.col("count") >= least).toArrow()
+    shingles, number = found.column("shingle").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], number[order]
+
+
+def prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, node, n, o0, ...): the rarest fifth of each set's shingles, and one more.
+
+    In one order of all shingles, sets of n and m members that share 4/5 of their
+    union share a member within the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.
+    """
+    sketch = [f"o{i}" for i in range(SKETCH)]
+    held = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        known, number = held.value
+        flat, n = batch.column("shingles").flatten().to_numpy(), batch.column("n").to_numpy()
+        weight = np.zeros(len(flat), np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            weight = np.where(known[place] == flat, number[place], 0)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((flat, weight, owner))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        first = order[rank < np.repeat(n + 1 - -(-4 * n // 5), n)]
+        row = owner[first]
+        return {"shingle": flat[first]} | {c: batch.column(c).to_numpy()[row] for c in ("node", "n", *sketch)}
+
+    fields = ", ".join(f"{c} long" for c in ("shingle", "node", "n", *sketch))
+    return map_batches(sets.where("n > 0"), run, fields)
+
+
+def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a < b, many) of nodes that share a prefix shingle and may be similar by size and sketch.
+
+    Of a group of more than FEW rows (``many``) the pairs of a spanning forest are listed.
+    """
+    sketch = [f"o{i}" for i in range(SKETCH)]
+    key = ["shingle", "__i", "__j"]
+    dealt = deal(rows, ["shingle"], "node", block).repartition(*key).sortWithinPartitions(*key)
+
+    def join(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, n = held.column("node").to_numpy(), held.column("n").to_numpy()
+        odd = np.stack([held.column(c).to_numpy() for c in sketch], 1).view(np.uint64)
+
+        def near(i, j):
+            sizes = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+            return sizes & (9 * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=-1, dtype=np.int64) <= n[i] + n[j])
+
+        ends = np.append(starts[1:], len(node))
+        size = ends - starts
+        last, size_of = np.repeat(ends, size), np.repeat(size, size)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        few = np.flatnonzero((size_of > 1) & (size_of <= FEW))
+        for step in range(1, FEW):
+            few = few[few + step < last[few]]
+            if not len(few):
+                break
+            found = few[near(few, few + step)]
+            a.append(found)
+            b.append(found + step)
+        listed = sum(map(len, a))
+        for lo, hi in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+            left, queue = lo + np.argsort(node[lo:hi], kind="stable"), []
+            while len(left):
+                if not queue:
+                    queue, left = [left[0]], left[1:]
+                at = queue.pop()
+                found = near(at, left)
+                a.append(np.full(int(found.sum()), at))
+                b.append(left[found])
+                queue.extend(left[found].tolist())
+                left = left[~found]
+        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
+        pairs = np.stack([np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= listed], 1)
+        pairs = np.unique(pairs[a != b], axis=0)
+        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "many"])
+
+    found = dealt.mapInArrow(lambda batches: by_group(batches, key, join), "a long, b long, many boolean")
+    return found.groupBy("a", "b").agg(F.max("many").alias("many"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets share 4/5 of their union or more."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "many")
+
+
+def cross_links(members: DataFrame, block: int = OPEN_BLOCK) -> DataFrame:
+    """Links (a, b) between similar sets of one hub (hub, node, label, n, shingles) that differ in label."""
+    key = ["hub", "__i", "__j"]
+    dealt = deal(members.select("hub", "node", "label", "n", "shingles"), ["hub"], "node", block)
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+
+    def compare(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(starts, np.append(starts[1:], held.num_rows)):
+            part = held.slice(lo, hi - lo)
+            node, label, n = (part.column(c).to_numpy() for c in ("node", "label", "n"))
+            flat = part.column("shingles").combine_chunks().flatten().to_numpy()
+            _, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
+            holders = np.repeat(np.arange(len(n)), n)[np.argsort(ids, kind="stable")]
+            begin, offset = np.cumsum(count) - count, np.append(0, np.cumsum(n))
+            names, often = np.unique(label, return_counts=True)
+            for i in np.flatnonzero(label != names[often.argmax()]).tolist():
+                own = ids[offset[i] : offset[i + 1]]
+                many = count[own]
+                at = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                shared = np.bincount(holders[at], minlength=len(n))
+                found = np.flatnonzero((9 * shared >= 4 * (n + n[i])) & (label != label[i]))
+                a.append(np.full(len(found), node[i]))
+                b.append(node[found])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(lambda batches: thin(by_group(batches, key, compare, 4 * block)), "a long, b long")
+
+
+def similar(sets: DataFrame, texts: int) -> DataFrame:
+    """(node, root) of every set (node, n, shingles, o0, ...) that is linked with another.
+
+    All pairs of the small groups are verified, and a spanning forest of the
+    large ones.  Where that leaves members of large groups apart that candidates
+    hold together, the sets themselves are compared.
+    """
+    pairs = cut(candidates(prefixes(sets, _often(sets, texts))), "simhash-pairs")
+    good = cut(verified(pairs, sets), "simhash-similar")
+    found = components(good.select("a", "b"))
+    if good.count() == pairs.count():
+        return found
+    hubs = components(pairs.where("many").select("a", "b")).select("node", F.col("root").alias("hub"))
+    members = hubs.join(found, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label"))
+    members = cut(members, "simhash-hubs")
+    apart = members.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    more = cut(cross_links(members.join(apart.select("hub"), "hub").join(sets, "node")), "simhash-cross")
+    return components(good.select("a", "b").union(more)) if more.limit(1).count() else found
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of similar texts: the smallest id stays.
 
-    Texts are similar when their wide fingerprints over ``SIMILAR_WORDS``-word
-    shingles differ in at most ``WIDE_BITS`` bits; candidates agree on a sampled
-    choice of bits of the first word.  A row without id is known by its text.
+    Texts are linked when they share 4/5 or more of their distinct
+    ``SIMILAR_WORDS``-word shingles; no pair is missed and none is added.  A row
+    without id is known by its text.
     """
     bound_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha1(F.coalesce("text", F.lit("")))))
-    words = ["fp", *[f"w{i}" for i in range(1, WIDE)]]
+    sketch = [f"o{i}" for i in range(SKETCH)]
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = wide_fingerprints(batch.column("text").to_pylist())
-        out = {c: batch.column(c) for c in ("id", "key")}
-        return out | {w: x.view(np.int64) for w, x in zip(words, found)}
+    def mark(batch: pa.RecordBatch) -> dict:
+        hashes, n = shingle_sets(batch.column("text").to_pylist())
+        s1, s2 = digests(hashes, n)
+        return {c: batch.column(c) for c in ("id", "key")} | {"s1": s1, "s2": s2, "n": n}
 
-    fields = ", ".join(f"{w} long" for w in words)
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
-    marked = map_batches(narrow, run, f"id long, key string, {fields}")
+    marked = map_batches(narrow, mark, "id long, key string, s1 long, s2 long, n long")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
-    codes = cut(marked.groupBy(*words).agg(first).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
-    masks = sampled_masks(codes.count())
-    found = components(links(codes.select("node", *words), masks, NARROW_BITS, WIDE_BITS))
+    codes = cut(marked.groupBy("s1", "s2", "n").agg(first).withColumn("node", F.monotonically_increasing_id()), "simhash-sets")
+    wanted = codes.select(F.col("first.key").alias("key"), "node", "s1", "s2", "n")
+    seen: set[int] = set()
+
+    def hold(batch: pa.RecordBatch) -> dict:
+        hashes, n = shingle_sets(batch.column("text").to_pylist())
+        s1, s2 = digests(hashes, n)
+        ours = (s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy())
+        ours &= n == batch.column("n").to_numpy()
+        node = batch.column("node").to_numpy()
+        for i in np.flatnonzero(ours).tolist():  # repeated rows give one set
+            ours[i] = int(node[i]) not in seen
+            seen.add(int(node[i]))
+        odd, kept = sketches(hashes, n)[ours].view(np.int64), hashes[np.repeat(ours, n)].view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[ours])), pa.int32()), pa.array(kept))
+        return {"node": node[ours], "n": n[ours], "shingles": lists} | {c: odd[:, i] for i, c in enumerate(sketch)}
+
+    fields = ", ".join(f"{c} long" for c in sketch)
+    chosen = narrow.select("key", "text").join(wanted, "key").select("node", "s1", "s2", "n", "text")
+    sets = cut(map_batches(chosen, hold, f"node long, n long, shingles array<long>, {fields}"), "simhash-shingles")
+    found = similar(sets, codes.count())
     roots = codes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
     kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")

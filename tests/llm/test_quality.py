@@ -52,6 +52,20 @@ def test_counts_match_brute_force():
             assert {k: int(v[i]) for k, v in found.items()} == brute(text), repr(text)
 
 
+def test_short_copies_between_long_ones():
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    texts = []
+    for size, part in [(104, n) for n in range(60, 104, 3)] + [(40, n) for n in range(8, 40)] + [(127, 100), (101, 67)]:
+        long = [word() for _ in range(size)]
+        pieces = [long, long[:part], long]
+        for order in ((0, 1, 2), (1, 0, 2), (0, 2, 1)):
+            texts.append(" ".join(w for i in order for w in [word()] + pieces[i] + [word()]))
+    found = quality.measure(texts)
+    for i, text in enumerate(texts):
+        assert {k: int(v[i]) for k, v in found.items()} == brute(text), i
+
+
 def test_verdicts():
     rng = random.Random(2)
     clean = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(200))

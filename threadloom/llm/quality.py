@@ -4,7 +4,7 @@ Words are runs of characters other than space and \\t to \\r.  For each text a
 suffix array over its words is built by prefix doubling, all texts of an Arrow
 batch at once: a word's symbol is (text, word), so no suffix of one text equals
 that of another.  Only suffixes whose prefix still occurs elsewhere are sorted
-again in the next round.  Longest common prefixes of neighbours in the array
+again in the next round; the others keep their place in the order of all.  Longest common prefixes of neighbours in the array
 bound the LCP intervals; a suffix's deepest interval is as deep as the larger of
 its two neighbouring values, and the union of those prefixes is the union of the
 maximal repeated substrings.  A text is rejected when repeats of at least
@@ -51,41 +51,31 @@ class Repeats:
         self.n, self.owner, self.n_owners, self.min_repeat = len(words), owner, n_owners, min_repeat
         n = self.n
         symbols = owner.astype(np.int64) * (int(words.max(initial=0)) + 1) + words
-        rank, count = _rank(symbols)
-        # A full rank array of each level; a suffix whose prefix is unique gets -1 - position.
-        self.levels: list[tuple[int, np.ndarray]] = []
-        active = np.flatnonzero(count > 1)
-        full = -1 - np.arange(n, dtype=np.int64)
-        full[active] = rank[active]
-        self.levels.append((1, full))
-        self.order = np.zeros(0, np.int64)
+        _, dense, count = np.unique(symbols, return_inverse=True, return_counts=True)
+        # Suffixes ordered before each one; a suffix alone keeps its place, tied ones share the first.
+        place = (np.cumsum(count) - count)[dense]
+        tied = count[dense] > 1
+        # At each level the place of a suffix whose prefix occurs elsewhere, or -1 - position.
+        self.levels: list[tuple[int, np.ndarray]] = [(1, np.where(tied, place, -1 - np.arange(n, dtype=np.int64)))]
+        active = np.flatnonzero(tied)
+        repeated = np.zeros(0, np.int64)
         length = 1
         while len(active):
+            if length == min_repeat:
+                repeated = active
             follow = active + length
             inside = follow < n
-            second = np.full(len(active), -1 - n, np.int64)
-            second[inside] = full[follow[inside]]
-            # (rank, second) as one sortable number; unique seconds sort anywhere, since they tie with nothing
-            rank, count = _rank(full[active] * (2 * n + 2) + second + n + 1)
-            still = count > 1
-            new = -1 - np.arange(n, dtype=np.int64)
-            new[active[still]] = rank[still]
-            if length * 2 > min_repeat or not still.any():
-                self._order(active, rank, length)
-            active, full, length = active[still], new, length * 2
+            second = np.full(len(active), -1, np.int64)
+            second[inside] = place[follow[inside]]
+            keys, dense, count = np.unique(place[active] * (n + 1) + second + 1, return_inverse=True, return_counts=True)
+            before, first = np.cumsum(count) - count, keys // (n + 1)
+            new = np.append(True, first[1:] != first[:-1])
+            place[active] = (first + before - np.maximum.accumulate(np.where(new, before, 0)))[dense]
+            active, length = active[count[dense] > 1], length * 2
+            full = -1 - np.arange(n, dtype=np.int64)
+            full[active] = place[active]
             self.levels.append((length, full))
-
-    def _order(self, active: np.ndarray, rank: np.ndarray, length: int) -> None:
-        """Keep the order of the suffixes that share a prefix of min_repeat words."""
-        if length >= self.min_repeat:
-            if not len(self.order):
-                self.order = active[np.argsort(rank, kind="stable")]
-                self.at = np.empty(self.n, np.int64)
-            else:
-                # the suffixes still tied lie in runs of the present order; refine those runs
-                self.at[self.order] = np.arange(len(self.order))
-                places = np.sort(self.at[active])
-                self.order[places] = active[np.argsort(rank, kind="stable")]
+        self.order = repeated[np.argsort(place[repeated], kind="stable")]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Words that the suffixes at a and b begin with alike."""

@@ -6,10 +6,9 @@ tagger is trained from labelled spans: texts composed of invented words, into
 which personal data and look-alikes are put at known places.  It reads windows
 of ``WINDOW`` characters that overlap by half.  A window is read when it holds
 an anchor (a digit, an at sign, or a written-out one), since every kind of span
-has one.  Spans decoded in the windows of a text are reconciled globally: spans
-cut by a window's edge are left to its neighbour, equal spans add up, and the
-choice of disjoint spans with the largest total probability is made over the
-whole text.  A tagged span is added only where no base span lies, and only if it
+has one.  Neighbouring windows are joined to runs: every character's scores come
+from the window where it lies nearest the middle, and the best path is decoded
+once over a run of any length.  A run whose edge cuts a span is read on.  A tagged span is added only where no base span lies, and only if it
 fits its kind (digits of a phone number, the check digit of a card).
 
 Defined results: null and empty texts have no spans; repeated rows get equal
@@ -145,10 +144,12 @@ def _private(rng: random.Random) -> tuple[str, str, str, str]:
     if kind == "phone":
         area, a, b = digits(3), digits(3), digits(4)
         return "", rng.choice((f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{digits(2)} {area} {a} {b}", f"+1-{area}-{a}-{b}")), "", kind
+    long = rng.random() < 0.25
+    mixed = lambda k: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(k))
     value = rng.choice(
         (
-            "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 20, 32, 40)))),
-            "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(14, 40))),
+            "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((64, 80, 128, 200) if long else (16, 18, 20, 32, 40)))),
+            mixed(rng.randint(41, 220) if long else rng.randint(14, 40)),
         )
     )
     if rng.random() < 0.3:
@@ -256,47 +257,79 @@ def _reconcile(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
 
 def tag(texts: list[str], tagger: crf.Tagger, sure: float = SURE) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind number) of the spans that the tagger finds in each text."""
-    windows: list[tuple[int, int]] = []
-    rows: list[np.ndarray] = []
-    found: list[dict] = [{} for _ in texts]
+    # the last window that is needed: one before reaches the end of the text
+    last = [max(0, -(-len(text) // STRIDE) - 2) for text in texts]
+    cells: list[set[int]] = []
     for number, text in enumerate(texts):
-        cells = sorted({m.start() // STRIDE for m in _ANCHOR.finditer(text)})
-        for cell in sorted({c for x in cells for c in (x - 1, x) if c >= 0}):
-            if cell and cell * STRIDE + STRIDE >= len(text):  # the window before reaches the end
-                continue
-            at = cell * STRIDE
-            part = crf.inputs(text[at : at + WINDOW])
-            rows.append(np.append(part, np.full(WINDOW - len(part), crf.REST)))
-            windows.append((number, at))
-            if len(rows) == BATCH:
-                _tag_windows(texts, tagger, sure, rows, windows, found)
-    if rows:
-        _tag_windows(texts, tagger, sure, rows, windows, found)
+        near = {m.start() // STRIDE for m in _ANCHOR.finditer(text)}
+        cells.append({c for x in near for c in (x - 1, x) if 0 <= c <= last[number]})
+    found: list[dict] = [{} for _ in texts]
+    left = [number for number, some in enumerate(cells) if some]
+    while left:
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for number in left:
+            found[number] = {}
+            own = sorted(cells[number])
+            first = 0
+            for i in range(1, len(own) + 1):
+                if i == len(own) or own[i] != own[i - 1] + 1:
+                    runs.setdefault(i - first, []).append((number, own[first]))
+                    first = i
+        again = set()
+        for size, some in runs.items():
+            step = max(1, BATCH // size)
+            for begin in range(0, len(some), step):
+                again |= _tag_runs(texts, tagger, sure, some[begin : begin + step], size, found, cells, last)
+        left = sorted(again)
     return [_reconcile(f) if f else [] for f in found]
 
 
-def _tag_windows(texts, tagger, sure, rows, windows, found) -> None:
-    scores, _ = tagger.scores(np.array(rows).T)
+def _run_scores(texts, tagger, runs, size: int) -> np.ndarray:
+    """Scores (STRIDE * (size + 1), runs, tags) of runs (text, first window) of ``size`` windows."""
+    rows = []
+    for number, cell in runs:
+        ids = crf.inputs(texts[number][cell * STRIDE : (cell + size + 1) * STRIDE])
+        ids = np.append(ids, np.full((size + 1) * STRIDE - len(ids), crf.REST))
+        rows += [ids[i * STRIDE : i * STRIDE + WINDOW] for i in range(size)]
+    out = np.empty(((size + 1) * STRIDE, len(runs), tagger.tags), np.float32)
+    margin = STRIDE // 2
+    for begin in range(0, len(rows), BATCH):
+        scores, _ = tagger.scores(np.array(rows[begin : begin + BATCH]).T)
+        for k in range(scores.shape[1]):
+            run, i = divmod(begin + k, size)
+            lo = margin if i else 0
+            hi = WINDOW - margin if i < size - 1 else WINDOW
+            out[i * STRIDE + lo : i * STRIDE + hi, run] = scores[lo:hi, k]
+    return out
+
+
+def _tag_runs(texts, tagger, sure, runs, size: int, found, cells, last) -> set[int]:
+    """Adds the spans of the runs to ``found``; returns texts with cut spans, whose ``cells`` were extended."""
+    again = set()
+    scores = _run_scores(texts, tagger, runs, size)
     paths = tagger.decode(scores)
     some = np.flatnonzero(paths.any(axis=0))
+    if not len(some):
+        return again
     chance = tagger.marginals(scores[:, some])
     for place, b in enumerate(some):
-        number, at = windows[b]
-        size = min(WINDOW, len(texts[number]) - at)
-        path, t = paths[:, b], 0
-        for t in np.flatnonzero(path % 2 == 1).tolist():
-            end, kind = t + 1, (int(path[t]) - 1) // 2
-            while end < WINDOW and path[end] == path[t] + 1:
-                end += 1
-            cut = (t == 0 and at > 0) or (end >= size and at + size < len(texts[number]))
-            if end > size or cut:
-                continue
+        number, cell = runs[b]
+        at, path = cell * STRIDE, paths[:, b]
+        held = min(len(path), len(texts[number]) - at)
+        for t in np.flatnonzero(path[:held] % 2 == 1).tolist():
+            kind = (int(path[t]) - 1) // 2
+            inside = path[t + 1 : held] == path[t] + 1
+            end = held if inside.all() else t + 1 + int(inside.argmin())
+            if t == 0 and at > 0:
+                cells[number].update(range(max(0, cell - size), cell))
+                again.add(number)
+            if end == held and at + held < len(texts[number]):
+                cells[number].update(range(cell + size, min(last[number], cell + 2 * size - 1) + 1))
+                again.add(number)
             p = float(chance[np.arange(t, end), place, path[t:end]].mean())
             if p >= sure:
-                key = (at + t, at + end, kind)
-                found[number][key] = found[number].get(key, 0.0) + p * (end - t)
-    rows.clear()
-    windows.clear()
+                found[number][(at + t, at + end, kind)] = p * (end - t)
+    return again
 
 
 def find(texts: list[str | None], tagger: crf.Tagger) -> list[tuple[dict, list[tuple[str, int, int]]]]:

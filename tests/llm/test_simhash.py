@@ -185,3 +185,15 @@ def test_deduplicate_finds_every_pair_of_shared_shingles(spark, monkeypatch):
     want = exact_left(texts)
     assert sum(i < 120 for i in want) == 60
     assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == want
+
+
+def test_deduplicate_merges_no_less_similar_texts(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = near_texts(rng, 9, 0)  # similarity 271 / 361
+    passage = " ".join(word() for _ in range(12))
+    for _ in range(20):  # one passage repeated in each, and words of their own
+        texts.append(" ".join([passage] * 20 + [word() for _ in range(40)]))
+    assert exact_left(texts) == list(range(len(texts)))
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == list(range(len(texts)))

@@ -314,11 +314,11 @@ def sketches(hashes: np.ndarray, counts: np.ndarray, words: int = SKETCH) -> np.
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def _often(sets: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of some counted texts hold, ascending, and their counts."""
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, texts // COUNTED))) == 0)
-    counts = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
-    least, counts = OFTEN, cut(counts.where(F.col("count") >= OFTEN), "simhash-often")
+def _often(texts: DataFrame, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some counted ``texts`` (key, text) hold, ascending, and their counts."""
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(max(1, number // COUNTED))) == 0).select("text")
+    held = map_batches(some, lambda batch: {"shingle": shingle_sets(batch.column("text").to_pylist())[0].view(np.int64)}, "shingle long")
+    least, counts = OFTEN, cut(held.groupBy("shingle").count().where(F.col("count") >= OFTEN), "simhash-often")
     while counts.where(F.col("count") >= least).count() > COUNTS:
         least *= 2
     found = counts.where(F.col("count") >= least).toArrow()
@@ -327,18 +327,43 @@ def _often(sets: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], number[order]
 
 
-def prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, node, n, o0, ...): the rarest fifth of each set's shingles, and one more.
+def _sets(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, n, shingles) of the rows (node, s1, s2, n, text) whose text has the node's set; repeated rows give one."""
+    hashes, n = shingle_sets(batch.column("text").to_pylist())
+    s1, s2 = digests(hashes, n)
+    ours = (s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy())
+    ours &= n == batch.column("n").to_numpy()
+    node = batch.column("node").to_numpy()
+    for i in np.flatnonzero(ours).tolist():
+        ours[i] = int(node[i]) not in seen
+        seen.add(int(node[i]))
+    return node[ours], n[ours], hashes[np.repeat(ours, n)].view(np.int64)
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """(node, n, shingles) of ``texts`` (node, s1, s2, n, text)."""
+    seen: set[int] = set()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        node, n, flat = _sets(batch, seen)
+        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        return {"node": node, "n": n, "shingles": pa.ListArray.from_arrays(ends, pa.array(flat))}
+
+    return map_batches(texts, run, "node long, n long, shingles array<long>")
+
+
+def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, node): the rarest fifth of each set's shingles, and one more, where another set's has it too.
 
     In one order of all shingles, sets of n and m members that share 4/5 of their
     union share a member within the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.
     """
-    sketch = [f"o{i}" for i in range(SKETCH)]
-    held = sets.sparkSession.sparkContext.broadcast(often)
+    spread = texts.sparkSession.sparkContext.broadcast(often)
+    seen: set[int] = set()
 
     def run(batch: pa.RecordBatch) -> dict:
-        known, number = held.value
-        flat, n = batch.column("shingles").flatten().to_numpy(), batch.column("n").to_numpy()
+        known, number = spread.value
+        node, n, flat = _sets(batch, seen)
         weight = np.zeros(len(flat), np.int64)
         if len(known):
             place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
@@ -347,11 +372,18 @@ def prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame
         order = np.lexsort((flat, weight, owner))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         first = order[rank < np.repeat(n + 1 - -(-4 * n // 5), n)]
-        row = owner[first]
-        return {"shingle": flat[first]} | {c: batch.column(c).to_numpy()[row] for c in ("node", "n", *sketch)}
+        return {"shingle": flat[first], "node": node[owner[first]]}
+
+    def repeated(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        size = np.diff(np.append(starts, held.num_rows))
+        return held.filter(pa.array(np.repeat(size > 1, size))).combine_chunks()
 
-    fields = ", ".join(f"{c} long" for c in ("shingle", "node", "n", *sketch))
-    return map_batches(sets.where("n > 0"), run, fields)
+    def shared(batches):
+        for table_ in by_group(batches, ["shingle"], repeated):
+            yield from table_.to_batches()
+
+    rows = map_batches(texts.where("n > 0"), run, "shingle long, node long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(shared, "shingle long, node long")
 
 
 def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -405,10 +437,10 @@ def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("many").alias("many"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs whose sets share 4/5 of their union or more."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
+    one = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
+    two = held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
     both = pairs.join(one, "a").join(two, "b")
     return both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "many")
 
@@ -443,15 +475,22 @@ def cross_links(members: DataFrame, block: int = OPEN_BLOCK) -> DataFrame:
     return dealt.mapInArrow(lambda batches: thin(by_group(batches, key, compare, 4 * block)), "a long, b long")
 
 
-def similar(sets: DataFrame, texts: int) -> DataFrame:
-    """(node, root) of every set (node, n, shingles, o0, ...) that is linked with another.
+def similar(codes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of every set of ``codes`` (node, key, s1, s2, n, o0, ...) that is linked with another.
 
     All pairs of the small groups are verified, and a spanning forest of the
     large ones.  Where that leaves members of large groups apart that candidates
     hold together, the sets themselves are compared.
     """
-    pairs = cut(candidates(prefixes(sets, _often(sets, texts))), "simhash-pairs")
-    good = cut(verified(pairs, sets), "simhash-similar")
+    wanted = codes.select("node", "key", "s1", "s2", "n")
+    told = ["node", "s1", "s2", "n", "text"]
+    rows = prefixes(texts.join(wanted, "key").select(*told), _often(texts, codes.count()))
+    sketch = [f"o{i}" for i in range(SKETCH)]
+    rows = cut(cut(rows, "simhash-prefixes").join(codes.select("node", "n", *sketch), "node"), "simhash-rows")
+    pairs = cut(candidates(rows), "simhash-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = cut(sets(texts.join(wanted.join(nodes, "node"), "key").select(*told)), "simhash-shingles")
+    good = cut(verified(pairs, held), "simhash-similar")
     found = components(good.select("a", "b"))
     if good.count() == pairs.count():
         return found
@@ -459,7 +498,7 @@ def similar(sets: DataFrame, texts: int) -> DataFrame:
     members = hubs.join(found, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label"))
     members = cut(members, "simhash-hubs")
     apart = members.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    more = cut(cross_links(members.join(apart.select("hub"), "hub").join(sets, "node")), "simhash-cross")
+    more = cut(cross_links(members.join(apart.select("hub"), "hub").join(held, "node")), "simhash-cross")
     return components(good.select("a", "b").union(more)) if more.limit(1).count() else found
 
 
@@ -477,32 +516,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def mark(batch: pa.RecordBatch) -> dict:
         hashes, n = shingle_sets(batch.column("text").to_pylist())
         s1, s2 = digests(hashes, n)
-        return {c: batch.column(c) for c in ("id", "key")} | {"s1": s1, "s2": s2, "n": n}
+        odd = sketches(hashes, n).view(np.int64)
+        out = {c: batch.column(c) for c in ("id", "key")} | {"s1": s1, "s2": s2, "n": n}
+        return out | {c: odd[:, i] for i, c in enumerate(sketch)}
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
-    marked = map_batches(narrow, mark, "id long, key string, s1 long, s2 long, n long")
+    by = ["s1", "s2", "n", *sketch]
+    marked = map_batches(narrow, mark, "id long, key string, " + ", ".join(f"{c} long" for c in by))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
-    codes = cut(marked.groupBy("s1", "s2", "n").agg(first).withColumn("node", F.monotonically_increasing_id()), "simhash-sets")
-    wanted = codes.select(F.col("first.key").alias("key"), "node", "s1", "s2", "n")
-    seen: set[int] = set()
-
-    def hold(batch: pa.RecordBatch) -> dict:
-        hashes, n = shingle_sets(batch.column("text").to_pylist())
-        s1, s2 = digests(hashes, n)
-        ours = (s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy())
-        ours &= n == batch.column("n").to_numpy()
-        node = batch.column("node").to_numpy()
-        for i in np.flatnonzero(ours).tolist():  # repeated rows give one set
-            ours[i] = int(node[i]) not in seen
-            seen.add(int(node[i]))
-        odd, kept = sketches(hashes, n)[ours].view(np.int64), hashes[np.repeat(ours, n)].view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[ours])), pa.int32()), pa.array(kept))
-        return {"node": node[ours], "n": n[ours], "shingles": lists} | {c: odd[:, i] for i, c in enumerate(sketch)}
-
-    fields = ", ".join(f"{c} long" for c in sketch)
-    chosen = narrow.select("key", "text").join(wanted, "key").select("node", "s1", "s2", "n", "text")
-    sets = cut(map_batches(chosen, hold, f"node long, n long, shingles array<long>, {fields}"), "simhash-shingles")
-    found = similar(sets, codes.count())
+    codes = marked.groupBy(*by).agg(first).withColumn("node", F.monotonically_increasing_id())
+    codes = cut(codes.withColumn("key", F.col("first.key")), "simhash-sets")
+    found = similar(codes, narrow.select("key", "text"))
     roots = codes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
     kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")

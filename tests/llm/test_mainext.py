@@ -1,5 +1,8 @@
 import html as references
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 from threadloom.llm import mainext
 
@@ -33,7 +36,8 @@ def test_marked_article_keeps_short_blocks():
 
 
 def test_odd_pages():
-    assert mainext.main_text(None) == mainext.main_text("") == mainext.main_text("<p>short") == ""
+    assert mainext.main_text(None) == mainext.main_text("") == ""
+    assert mainext.main_text("<p>short") == "short"
     assert mainext.main_text("<article>x") == "x"
     assert mainext.main_text("<script>never closed <article>x") == ""
     assert mainext.main_text("</p></div><main>" + "é&nbsp;b " * 3 + "</main>") == "é b é b é b"
@@ -61,3 +65,133 @@ def test_tables_of_pages(spark, sf_dir, save):
     assert mainext.op6_line_blocks(spark, save("pages", [], PAGES)).count() == 0
     clash = spark.createDataFrame([("<article>a</article>", "old")], "html string, text string")
     assert mainext.extract(clash).first()["text"] == "a"
+
+
+class Plain(HTMLParser):
+    """Lines of a well-formed page, each with the elements around it."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.lines, self.text, self.links, self.names = [], [], "", 0, 0
+        self.feed(page)
+        self.line()
+
+    def line(self):
+        if self.text.strip():
+            self.lines.append((" ".join(self.text.split()), self.links, list(self.stack)))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attributes):
+        if tag != "a" and tag != "b":
+            self.line()
+        self.names += 1
+        self.stack.append((tag, dict(attributes).get("class", ""), self.names))
+
+    def handle_endtag(self, tag):
+        if tag != "a" and tag != "b":
+            self.line()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        if any(tag == "a" for tag, _, _ in self.stack):
+            self.links += len(" ".join(data.split()))
+
+
+def plain_text(page):
+    """The line-block method with nothing shared or precomputed, for the names of ``random_page``."""
+    lines = Plain(page).lines
+    weight = [len(t) if 2 * n <= len(t) else 0 for t, n, _ in lines]
+    within = lambda e: [i for i in range(len(lines)) if e in lines[i][2]]
+    mass = lambda e: sum(weight[i] for i in within(e))
+    elements = {e for _, _, around in lines for e in around}
+    first_h1 = min((e[2] for e in elements if e[0] == "h1"), default=None)
+
+    def kind(e):
+        return 1 if e[0] in ("nav", "aside", "footer") else 2 if e[0] == "form" else 3 if e[1] in ("ad", "cookie-notice", "post-comments") else 0
+
+    def apart(e):
+        inside = {x for i in within(e) for x in lines[i][2][lines[i][2].index(e) + 1 :]}
+        if any(x[0] == "article" and not kind(x) and 0 < mass(x) >= sum(weight) / 4 for x in inside):
+            return False
+        if kind(e) > 1 and len(within(e)) >= kind(e) and mass(e) >= 0.95 * sum(weight):
+            return False
+        if kind(e) == 3 and any(x[2] == first_h1 for x in inside) and mass(e) >= sum(weight) / 2:
+            return False
+        return kind(e) > 0
+
+    out = [any(apart(e) for e in around) for _, _, around in lines]
+    article = [max([e[2] for e in around if e[0] == "article"], default=0) for _, _, around in lines]
+    w = [0 if o else x for o, x in zip(out, weight)]
+    n = len(w)
+    block = [sum(w[j] for j in range(i, min(n, i + 3)) if article[i : j + 1] == [article[i]] * (j + 1 - i)) for i in range(n)]
+    if not any(block):
+        return ""
+    runs, i = [], 0
+    while i < n:
+        if w[i] and block[i] >= min(40, max(block)):
+            j = i
+            while j < n and block[j] and article[j] == article[i]:
+                j += 1
+            runs.append((i, j))
+            i = j
+        else:
+            i += 1
+    heavy = max(sum(w[a:b]) for a, b in runs)
+    if any(article[a] and 4 * sum(w[a:b]) >= heavy for a, b in runs):
+        text = {article[i] for i in range(n) if w[i] and article[i]}
+        keep = [i for i in range(n) if article[i] in text]
+    else:
+        keep = [i for a, b in runs for i in range(a, b)]
+    return "\n".join(lines[i][0] for i in keep if not out[i])
+
+
+def random_page(rng, article):
+    words = lambda a, b: " ".join("word"[: rng.randint(1, 4)] for _ in range(rng.randint(a, b)))
+    link = lambda: f"<a>{words(1, 6)}</a>"
+    paragraph = lambda: f"<p>{words(1, rng.choice([2, 5, 40]))}{rng.choice(['', '', ' ' + link()])}</p>"
+    menu = lambda: f"<{(tag := rng.choice(['nav', 'div', 'aside', 'footer']))}>" + "".join(f"<p>{link()}</p>" for _ in range(rng.randint(1, 6))) + f"</{tag}>"
+    name = lambda: rng.choice(["ad", "cookie-notice", "post-comments", "has-sidebar", "social-science", "content"])
+    extra = lambda: f'<div class="{name()}">' + "".join(paragraph() for _ in range(rng.randint(1, 4))) + "</div>"
+    body = f"<h1>{words(1, 5)}</h1>" + "".join(rng.choice([paragraph, paragraph, paragraph, extra])() for _ in range(rng.randint(0, 9)))
+    if article:
+        body = f"<article>{body}</article>" + rng.choice(["", f"<article>{paragraph()}</article>"])
+    for _ in range(rng.randint(0, 2)):
+        body = rng.choice(['<div class="{}">'.format(name()) + body + "</div>", f"<form>{body}</form>", f"<div>{body}</div>", f"<aside>{body}</aside>"])
+    around = [rng.choice([menu, extra, paragraph])() for _ in range(rng.randint(0, 4))]
+    at = rng.randint(0, len(around))
+    return "<body>" + "".join(around[:at]) + body + "".join(around[at:]) + "</body>"
+
+
+def test_against_plain_line_blocks():
+    rng, kept = random.Random(3), 0
+    for number in range(4000):
+        page = random_page(rng, number % 2)
+        found = mainext.main_text(page)
+        assert found == plain_text(page), page
+        kept += bool(found)
+    assert kept > 3500
+
+
+TWO = "<p>First paragraph, which is long enough to count as the text of a page.</p><p>Second.</p>"
+WANT = "First paragraph, which is long enough to count as the text of a page.\nSecond."
+
+
+def test_names_empty_no_article():
+    for before, after in (
+        ('<div class="layout has-sidebar"><article>', "</article></div>"), ('<article class="post comments-open">', "</article>"),
+        ('<div class="container no-header">', "</div>"), ('<div class="social-science">', "</div>"),
+        ('<article><div class="legal-analysis">', "</div></article>"), ('<form id="aspnetForm"><div><h2>', "</h2></div></form>"),
+        ('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div class="social"><article>', "</article></div>"),
+    ):
+        assert mainext.main_text(f'<nav><a href="/">Home</a></nav>{before}{TWO}{after}<footer>f</footer>') == WANT
+    named = '<div class="{}"><p>Something that is no part of the article, in as many words as the article.</p></div>'
+    for name in ("ad", "site-header", "cookie-notice", "post-comments", "newsletter signup", "sidebarLeft", "related_posts"):
+        assert mainext.main_text(TWO + named.format(name)) == WANT == mainext.main_text(named.format(name) + TWO)
+
+
+def test_stray_tags_take_linear_time():
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p><td>" + "<b>" * 50_000 + "<p></p>" * 50_000, "<title>" * 100_000, "<a " * 100_000, "<a>" * 50_000 + "<p>x</p>" * 50_000):
+        began = time.process_time()
+        mainext.main_text(page)
+        assert time.process_time() - began < 3

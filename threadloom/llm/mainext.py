@@ -1,20 +1,30 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one for each block of text in page order.  A
-line's weight is its length, or nothing where the markup names it as something
-else than the article (menus, headers, footers, side bars, notices, adverts,
-forms, comments), where it is mostly links, and, on a page that marks its
-article, outside of that; lines inside a marked article weigh at least
-``SURGE``.  Sums over a sliding window of lines rise at a surge point and fall
-back to nothing at a dive point; the lines between a surge and its dive are kept
-whole, short ones included, but not those named as something else.
+line weighs its length, or nothing where it lies in something else than the
+article (menus, headers, footers, side bars, notices, adverts, forms, comments)
+or is mostly links.  Weights are summed over a sliding window of lines; no
+window crosses the edge of an ``article`` or ``main``.  The sums rise to a surge
+point (``SURGE``, or the page's largest sum where that is less) and fall back to
+nothing at a dive point; the lines between a surge and its dive are a run, and
+are kept whole, short ones included.  Where a run inside a marked article weighs a
+quarter of the heaviest run or more, the marked articles are the text: each that
+holds more than links is kept whole, however short.  Elsewhere all runs are kept.
+
+An element is something else by its tag, role, or being hidden, or by its name:
+a class or id all of whose words say so (``cookie-notice``, ``post-comments``; not
+``has-sidebar`` or ``social-science``).  None of that counts for an element that
+holds a marked article of a quarter of the page's text; a name or a form
+doesn't count either where the element holds nearly all text of the page, and a
+name doesn't where it holds the first heading and half of the text.
 
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined by line feeds.
 
 Defined results: null and empty html give an empty text; repeated rows are
-extracted alike; unclosed and stray tags are tolerated; an empty table gives no
-rows; other columns are passed through by ``extract``.
+extracted alike; no tie changes the result; unclosed and stray tags are tolerated and read in linear time; a page is read
+whole however long it is; an empty table gives no rows; other columns are passed
+through by ``extract``, and a column ``text`` is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +41,8 @@ from threadloom.llm.common import bound_batches, map_batches, table
 LINES, SURGE = 3, 40
 #: Share of a line's characters inside links from which it counts as links.
 LINKS = 0.5
+#: Shares of the page's text: of an article that counts, of an element with the first heading, of one that holds nearly all.
+ARTICLE, HEADED, ALL = 0.25, 0.5, 0.95
 
 _words = lambda text: frozenset(text.split())
 BLOCKS = _words(
@@ -42,7 +54,7 @@ VOID = _words("area base br col embed hr img input link meta param source track
 #: Elements whose content is no markup.
 RAW = _words("script style textarea title noscript template svg math iframe object canvas audio video xmp")
 #: Elements that are never the article's text, whatever they are called.
-APART = _words("nav footer aside form dialog menu button select head fieldset label option datalist")
+APART = _words("nav footer aside dialog menu button select head fieldset label option datalist")
 #: Words in class or id that name something else than the article.
 NAMES = _words(
     "ad ads advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion "
@@ -54,8 +66,17 @@ NAMES = _words(
     "skip hidden outbrain taboola"
 )
 ROLES = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar")
+#: Words in a name that say nothing about the content.
+NEUTRAL = _words(
+    "site page pages post posts article articles main top bottom left right inner outer box block container wrapper wrap area section sections list item items "
+    "row col column group panel bar slot unit body content text title inline fixed global primary secondary the"
+)
 #: Elements that are judged by what they are, not by what they are called.
 PLAIN = _words("html body main article")
+#: What sets an element apart: its tag, role or style; being a form; its name.
+TAG, FORM, NAME = 1, 2, 3
+#: Lines of a form or a named element from which it may be the whole page.
+WHOLE = {FORM: 2, NAME: 3}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
@@ -66,46 +87,92 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _apart(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article."""
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a name in a class or id says by all its words that something else than the article follows."""
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+        told = words & NAMES
+        if "header" in words and not in_article:
+            told = told | {"header"}
+        if told and words <= told | NEUTRAL:
+            return True
+    return False
+
+
+def _apart(tag: str, attributes: str, in_article: bool) -> int:
+    """What sets an element apart from the article, or 0."""
     if tag in APART or (tag == "header" and not in_article):
-        return True
+        return TAG
+    found = FORM if tag == "form" else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return TAG
         if key == "role" and value.lower() in ROLES and tag not in PLAIN:
-            return True
+            if value.lower() != "form":
+                return TAG
+            found = FORM
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if words & NAMES or ("header" in words and not in_article and tag not in PLAIN):
-                return True
-    return False
+            return TAG
+        if key in ("class", "id") and not found and tag not in ("html", "body", "main") and _named(value, in_article):
+            found = NAME
+    return found
 
 
 class _Lines:
-    """The lines of a page: text, characters in links, apart, number of the article around it (or 0)."""
+    """The lines of a page (text, characters in links, apart, number of the article around it or 0)."""
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.found: list[tuple[str, int, int, int]] = []
         self.number = 0
         self.text: list[str] = []
         self.linked = 0
-        # open elements: (tag, apart, article)
-        self.open: list[tuple[str, bool, bool]] = []
-        self.apart = self.article = self.links = 0
+        # by element: parent, what sets it apart, article or main, weight, lines, holds the first heading
+        self.parent, self.kind, self.marked = [0], [0], [False]
+        self.weight, self.count, self.headed = [0], [0], [False]
+        self.open: list[tuple[str, int]] = []
+        self.times: dict[str, int] = {}
+        self.article = self.links = 0
+        self.endless: set[str] = set()
         self._read(page)
         self._end()
+        apart = self._judge()
+        self.lines = [(line, linked, apart[at], number) for line, linked, at, number in self.found]
+
+    def _judge(self) -> list[bool]:
+        """Whether each element is something else than the article."""
+        n, parent = len(self.parent), self.parent
+        for i in range(n - 1, 0, -1):
+            self.weight[parent[i]] += self.weight[i]
+            self.count[parent[i]] += self.count[i]
+            self.headed[parent[i]] |= self.headed[i]
+        total = self.weight[0]
+        holds = [False] * n  # a large article below it
+        for i in range(n - 1, 0, -1):
+            large = self.marked[i] and not self.kind[i] and self.weight[i] > 0 and self.weight[i] >= ARTICLE * total
+            holds[parent[i]] |= large or holds[i]
+        apart = [False] * n
+        for i in range(1, n):
+            kind, weight = self.kind[i], self.weight[i]
+            if kind and holds[i]:
+                kind = 0
+            elif self.count[i] >= WHOLE.get(kind, len(self.found) + 1) and weight >= ALL * total:
+                kind = 0
+            elif kind == NAME and self.headed[i] and weight >= HEADED * total:
+                kind = 0
+            apart[i] = apart[parent[i]] or kind > 0
+        return apart
 
     def _end(self) -> None:
         if self.text:
             line = " ".join(references.unescape("".join(self.text)).split())
             if line:
-                self.lines.append((line, self.linked, self.apart > 0, self.number if self.article else 0))
+                at = self.open[-1][1] if self.open else 0
+                self.found.append((line, self.linked, at, self.number if self.article else 0))
+                self.count[at] += 1
+                self.weight[at] += len(line) if self.linked <= LINKS * len(line) else 0
             self.text, self.linked = [], 0
 
     def _say(self, text: str) -> None:
@@ -114,20 +181,32 @@ class _Lines:
             self.linked += len(" ".join(text.split()))
 
     def _push(self, tag: str, attributes: str) -> None:
-        apart = _apart(tag, attributes, self.article > 0)
-        article = tag in ("article", "main") and not apart and not self.apart
-        self.open.append((tag, apart, article))
-        self.apart += apart
-        self.number += article and tag == "article" or not self.article
-        self.article += article
+        kind = _apart(tag, attributes, self.article > 0)
+        if not kind and tag not in BLOCKS and tag != "a":  # says nothing about where a line lies
+            return
+        if tag == "a" and self.links:
+            self._pop("a")
+        marked = tag in ("article", "main")
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        self.kind.append(kind)
+        self.marked.append(marked)
+        self.weight.append(0)
+        self.count.append(0)
+        self.headed.append(tag == "h1" and "h1" not in self.times)
+        self.open.append((tag, len(self.parent) - 1))
+        self.times[tag] = self.times.get(tag, 0) + 1
+        self.number += marked and (tag == "article" or not self.article)
+        self.article += marked
         self.links += tag == "a"
 
     def _pop(self, tag: str, within: tuple[str, ...] = ()) -> None:
+        if not self.times.get(tag):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                for name, apart, article in self.open[at:]:
-                    self.apart -= apart
-                    self.article -= article
+                for name, _ in self.open[at:]:
+                    self.times[name] -= 1
+                    self.article -= name in ("article", "main")
                     self.links -= name == "a"
                 del self.open[at:]
                 return
@@ -135,9 +214,9 @@ class _Lines:
                 return
 
     def _read(self, page: str) -> None:
-        at, size = 0, len(page)
+        at, size, last = 0, len(page), page.rfind(">")
         while at < size:
-            m = _TAG.search(page, at)
+            m = _TAG.search(page, at) if at <= last else None
             if not m:
                 self._say(page[at:])
                 return
@@ -155,7 +234,11 @@ class _Lines:
             if closing:
                 self._pop(tag)
             elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                end = None
+                if tag not in self.endless:
+                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    if not end:
+                        self.endless.add(tag)
                 if not attributes.rstrip().endswith("/"):
                     at = end.end() if end else size if tag in ("script", "style") else at
             elif tag not in VOID:
@@ -166,39 +249,45 @@ class _Lines:
                 self._push(tag, attributes)
 
 
-def main_text(page: str | None) -> str:
-    """The article's text of one page."""
-    if not page:
-        return ""
-    lines = _Lines(page).lines
-    # an article that is nothing but links points to other pages
-    told = {inside for line, linked, apart, inside in lines if inside and not apart and linked <= LINKS * len(line)}
-    marked = bool(told) or any(inside and not apart for _, _, apart, inside in lines)
-    weights = []
-    for line, linked, apart, inside in lines:
-        if apart or (marked and (inside not in told if told else not inside)):
-            weights.append(0)
-        elif marked:
-            weights.append(max(SURGE, len(line)))
-        else:
-            weights.append(0 if linked > LINKS * len(line) else len(line))
+def runs(weights: list[int], surge: int) -> list[tuple[int, int]]:
+    """(first, end) of the lines between each surge of the window sums and its dive."""
     n = len(weights)
     sums = [sum(weights[i : i + LINES]) for i in range(n)]
-    keep: list[str] = []
+    found = []
     at = 0
     while at < n:
-        if not weights[at] or sums[at] < SURGE:  # no surge here
+        if not weights[at] or sums[at] < surge:
             at += 1
             continue
         dive = at
         while dive < n and sums[dive]:  # a window without text
             dive += 1
-        for i in range(at, dive):
-            line, _, apart, inside = lines[i]
-            if weights[i] or not (apart or marked):
-                keep.append(line)
+        found.append((at, dive))
         at = dive
-    return "\n".join(keep)
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The article's text of one page."""
+    if not page:
+        return ""
+    lines = _Lines(page).lines
+    weights = [0 if apart or linked > LINKS * len(line) else len(line) for line, linked, apart, _ in lines]
+    # stretches of lines in one article, or outside of all
+    edges = [i for i in range(len(lines)) if not i or lines[i][3] != lines[i - 1][3]] + [len(lines)]
+    stretches = list(zip(edges, edges[1:]))
+    largest = max((sum(weights[i : min(hi, i + LINES)]) for lo, hi in stretches for i in range(lo, hi)), default=0)
+    if not largest:
+        return ""
+    surge = min(SURGE, largest)
+    found = [(sum(weights[lo + a : lo + b]), lo + a, lo + b) for lo, hi in stretches for a, b in runs(weights[lo:hi], surge)]
+    heaviest = max(weight for weight, _, _ in found)
+    if any(lines[a][3] and weight >= ARTICLE * heaviest for weight, a, _ in found):
+        told = {lines[i][3] for i, weight in enumerate(weights) if weight and lines[i][3]}
+        kept = [i for i, (_, _, apart, number) in enumerate(lines) if number in told and not apart]
+    else:
+        kept = [i for _, a, b in found for i in range(a, b) if not lines[i][2]]
+    return "\n".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.scratch import cut, release, scratch_path  # noqa: F401  (used by the operators)
+from threadloom.scratch import cut, discard, release, scratch_path  # noqa: F401  (used by the operators)
 
-#: Rows in one Arrow batch; long texts make wider batches needlessly large.
-BATCH_ROWS = 256
+#: Rows in one Arrow batch, and bytes in what an operator takes at once; one longer row is taken alone.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Batches of a worker between calls that give memory back.
 TRIM_EVERY = 16
 _BATCHES = itertools.count(1)
@@ -32,6 +32,22 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key, "10000") or 10000)
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key, None) or "").rstrip("bB")
+    if not now or now.isdigit() and int(now) > 4 * BATCH_BYTES:
+        spark.conf.set(key, str(4 * BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``most`` bytes, or of one row, in order."""
+    todo = [batch] if batch.num_rows else []
+    while todo:
+        part = todo.pop()
+        if part.num_rows == 1 or part.nbytes <= most:
+            yield part
+        else:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
 
 
 @functools.cache
@@ -62,14 +78,14 @@ def paused_collection():
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``function(batch) -> dict of columns`` over Arrow batches of ``df``."""
+    """``function(batch) -> dict of columns`` over Arrow batches of ``df``, at most BATCH_BYTES at once."""
     fields = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            for part in slices(batch):
                 with paused_collection():
-                    out = function(batch)
+                    out = function(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
         _trim()(0)
 

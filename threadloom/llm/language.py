@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, map_batches, paused_collection, table
+from threadloom.llm.common import bound_batches, map_batches, paused_collection, slices, table
 
 #: Hashed n-gram features.
 FEATURES = 1 << 13
@@ -202,9 +202,10 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            with paused_collection():
-                rejected = np.array(held.value.predict(batch.column("text").to_pylist())["rejected"], bool)
-            yield batch.filter(pa.array(~rejected))
+            for part in slices(batch):
+                with paused_collection():
+                    rejected = np.array(held.value.predict(part.column("text").to_pylist())["rejected"], bool)
+                yield part.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)
 

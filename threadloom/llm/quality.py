@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm.common import bound_batches, map_batches, paused_collection, table
+from threadloom.llm.common import bound_batches, map_batches, paused_collection, slices, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -55,8 +55,9 @@ class Repeats:
         # Suffixes ordered before each one; a suffix alone keeps its place, tied ones share the first.
         place = (np.cumsum(count) - count)[dense]
         tied = count[dense] > 1
-        # At each level the place of a suffix whose prefix occurs elsewhere, or -1 - position.
-        self.levels: list[tuple[int, np.ndarray]] = [(1, np.where(tied, place, -1 - np.arange(n, dtype=np.int64)))]
+        # At each level the place of a suffix whose prefix occurs elsewhere, or -1 - position; in 32 bits if they hold it.
+        small = np.int32 if n < 1 << 31 else np.int64
+        self.levels: list[tuple[int, np.ndarray]] = [(1, np.where(tied, place, -1 - np.arange(n, dtype=np.int64)).astype(small))]
         active = np.flatnonzero(tied)
         repeated = np.zeros(0, np.int64)
         length = 1
@@ -72,7 +73,7 @@ class Repeats:
             new = np.append(True, first[1:] != first[:-1])
             place[active] = (first + before - np.maximum.accumulate(np.where(new, before, 0)))[dense]
             active, length = active[count[dense] > 1], length * 2
-            full = -1 - np.arange(n, dtype=np.int64)
+            full = -1 - np.arange(n, dtype=small)
             full[active] = place[active]
             self.levels.append((length, full))
         self.order = repeated[np.argsort(place[repeated], kind="stable")]
@@ -114,7 +115,7 @@ class Repeats:
         one = self.levels[0][1]
         starts = np.flatnonzero(two[:-2] >= 0) if self.n > 2 else np.zeros(0, np.int64)
         starts = starts[one[starts + 2] >= 0]
-        _, count = _rank(two[starts] * (self.n + 1) + one[starts + 2])
+        _, count = _rank(two[starts].astype(np.int64) * (self.n + 1) + one[starts + 2])
         return starts[count > 1]
 
 
@@ -176,9 +177,10 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            with paused_collection():
-                _, kept = judge(measure(batch.column(text).to_pylist()))
-            yield batch.filter(pa.array(kept))
+            for part in slices(batch):
+                with paused_collection():
+                    _, kept = judge(measure(part.column(text).to_pylist()))
+                yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 

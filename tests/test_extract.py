@@ -78,11 +78,12 @@ def test_refined_and_pure(spark, tmp_path):
 
 
 def test_listings(spark):
-    html = '<a href="/o/r/issues/1">a</a><a href="/o/r/issues/1">b</a><a>x</a><a href="/o/r/issues/2?q=1">c</a><a href="/other">d</a>'
+    mine = "/PowerDNS/pdns/issues"
+    html = f'<a href="{mine}/1">a</a><a href="{mine}/1">b</a><a>x</a><a href="{mine}/2?q=1">c</a><a href="/other/repo/issues/5">d</a><a href="/NLnetLabs/unbound/issues/9">e</a>'
     td = '<td class="subject"><a href="http://c/1">x</a><a href="http://c/n">y</a></td><td class="subject"><a href="http://c/1">x</a></td>'
-    rows = spark.createDataFrame([("github", 3, True, html), ("comodo", 1, False, td)], "forum string, page int, closed boolean, raw_content string")
+    rows = spark.createDataFrame([("github", 3, True, html), ("github_unbound", 1, True, html), ("comodo", 1, False, td)], "forum string, page int, closed boolean, raw_content string")
     found = sorted((r["forum"], r["url"], r["id"]) for r in extract.listing_from_html(rows).collect())
-    assert found == [("comodo", "http://c/1", "1"), ("comodo", "http://c/1", "1"), ("github", "https://github.com/o/r/issues/1", "1")]
+    assert found == [("comodo", "http://c/1", "1"), ("comodo", "http://c/1", "1"), ("github", "https://github.com/PowerDNS/pdns/issues/1", "1"), ("github_unbound", "https://github.com/NLnetLabs/unbound/issues/9", "9")]
     body = '{"topic_list": {"topics": [{"id": 5, "slug": "s"}]}}'
     got = extract.listing_from_json(spark.createDataFrame([(1, body)], "page int, body string"), "http://f/t/").collect()
     assert [tuple(r) for r in got] == [(1, "http://f/t/s/5", "5", "s")]
@@ -92,7 +93,7 @@ def test_external_documents(spark):
     html = "<title>E</title><div><p>one</p><div>x</div></div><p>two</p>"
     rows = spark.createDataFrame([("u", html), ("n", None)], "url string, raw_content string")
     found = {r["url"]: r for r in extract.external_documents(rows).collect()}
-    assert found["u"]["refined_content"] == "one\ntwo" and found["u"]["pure_text"] == "one two" and found["n"]["title"] == "Title: Unknown"
+    assert found["u"]["refined_content"] == "one" and found["u"]["pure_text"] == "one two" and found["n"]["title"] == "Title: Unknown"
     assert {r["pure_text"] for r in extract.external_documents(rows, "div").collect()} == {"onex", ""}
 
 
@@ -102,35 +103,89 @@ def test_dom_classes():
     assert dom.pure_text("<p>a&amp;b<script>x</script> <b>c</b>") == "a&b c"
 
 
-def test_fetching(spark):
-    import http.server
-    import threading
+class Site:
+    """A local server of given answers: path -> list of (status, body), the last one repeated."""
+
+    def __init__(self, answers):
+        import http.server
+        import threading
 
-    class Site(http.server.BaseHTTPRequestHandler):
-        seen = {}
+        seen = self.seen = {}
 
-        def do_GET(self):
-            n = self.seen[self.path] = self.seen.get(self.path, 0) + 1
-            self.send_response(200 if self.path == "/ok" or n > 1 and self.path == "/late" else 500)
-            self.end_headers()
-            self.wfile.write(CO.encode())
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                n = seen[self.path] = seen.get(self.path, 0) + 1
+                some = answers.get(self.path, [(404, "")])
+                status, body = some[min(n, len(some)) - 1]
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(body.replace("BASE", f"http://127.0.0.1:{self.server.server_port}").encode())
 
-        def log_message(self, *args):
-            pass
+            def log_message(self, *args):
+                pass
 
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}"
-    try:
-        listing = spark.createDataFrame([(f"{base}/{p}",) for p in ("ok", "late", "never")], "url string")
-        import tempfile
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://127.0.0.1:{self.server.server_port}"
 
-        root = tempfile.mkdtemp()
-        states = ingest.fetch_and_ingest(spark, listing, root, "comodo", 4, False, delay=0, retries=1, partitions=2)
-        assert {r["url"].rsplit("/", 1)[1]: (r["attempts"], r["state"]) for r in states.collect()} == {"ok": (1, "stored"), "late": (2, "stored"), "never": (2, "retry")}
-        assert landed.read_stage(spark, root, "pure", "comodo", (4, 4)).count() == 2
-    finally:
-        server.shutdown()
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.server.shutdown()
+
+
+def test_fetching(spark):
+    from threadloom.operators.crawl import attempt_state
+    from threadloom.scratch import cut
+    from threadloom.sources.http import fetch_frame, fetch_pages
+
+    with Site({"/ok": [(200, CO)], "/late": [(500, ""), (200, CO)], "/never": [(500, "")]}) as site:
+        urls = [f"{site.base}/{p}" for p in ("ok", "late", "never")]
+        for tried in (
+            fetch_pages(spark, urls, delay=0, retries=1, partitions=2),
+            fetch_frame(spark.createDataFrame([(u,) for u in [*urls, urls[0]]], "url string"), delay=0, retries=1, partitions=2, stagger=0.01),
+        ):
+            site.seen.clear()
+            states = attempt_state(cut(tried, "attempts")).collect()
+            assert {r["url"].rsplit("/", 1)[1]: (r["attempts"], r["state"]) for r in states} == {"ok": (1, "stored"), "late": (2, "stored"), "never": (2, "retry")}
+            assert site.seen == {"/ok": 1, "/late": 2, "/never": 2}
+
+
+def test_crawling_a_listing_in_rounds(spark, tmp_path):
+    """Two rounds of thread pages, a retry, a failed thread, outside pages once; a repeated batch adds nothing."""
+    listing = '<td class="subject"><a href="BASE/a">x</a></td><td class="subject"><a href="BASE/b">y</a></td><td class="subject"><a href="BASE/gone">z</a></td>'
+    more = '<div class="pagelinks floatleft"><a class="navPages" href="/a2">2</a><a class="navPages" href="/a3">3</a></div>'
+    site = Site({"/list": [(200, listing)], "/a": [(500, ""), (200, CO + more)], "/a2": [(200, CO)], "/a3": [(200, CO + more)], "/b": [(200, CO)]})
+    with site:
+        for _ in range(2):
+            site.seen.clear()
+            states = ingest.crawl_listing(spark, "comodo", 4, f"{site.base}/list", str(tmp_path), False, batch=7, delay=0, retries=1).collect()
+    assert site.seen == {"/list": 1, "/a": 2, "/a2": 1, "/a3": 1, "/b": 1, "/gone": 2}
+    state = {r["url"].rsplit("/", 1)[1]: r["state"] for r in states}
+    assert state == {"list": "stored", "a": "stored", "a2": "stored", "a3": "stored", "b": "stored", "gone": "retry"}
+    pure = {r["url"].rsplit("/", 1)[1]: r for r in landed.read_stage(spark, str(tmp_path), "pure", "comodo", (4, 4)).collect()}
+    assert set(pure) == {"a", "b"} and len(pure["a"]["replies"]["u2"]) == 3 and len(pure["b"]["replies"]["u2"]) == 1
+    assert landed.read_stage(spark, str(tmp_path), "raw").count() == 2 and landed.read_stage(spark, str(tmp_path), "refined").count() == 2
+
+
+def test_crawling_notes_and_outside_pages(spark, tmp_path):
+    item = '<span class="issue-title-text js-onboarding-issue-item"><a href="BASE/{}">t</a></span>'
+    listing = item.format("isc-projects/bind9/-/issues/7") * 2 + item.format("other/repo/-/issues/8")
+    page = GL.replace("http://o/g", "BASE/out")
+    said = NOTES.replace("http://o/n", "BASE/photo.png")
+    site = Site({
+        "/l": [(200, listing)], "/isc-projects/bind9/-/issues/7": [(200, page)], "/isc-projects/bind9/-/issues/7/discussions.json": [(200, said)],
+        "/out": [(503, ""), (503, ""), (200, "<title>E</title><div><p>one</p></div><p>two</p>")],
+    })
+    with site:
+        states = ingest.crawl_listing(spark, "gitlab", 1, f"{site.base}/l", str(tmp_path), True, external=True, delay=0).collect()
+    assert {r["state"] for r in states} == {"stored"} and site.seen["/out"] == 3 and "/photo.png" not in site.seen and len(site.seen) == 4
+    thread = landed.read_stage(spark, str(tmp_path), "refined").first()
+    assert thread["user_list"] == ["x_y", "z", "w"] and thread["closed"] and len(thread["external_urls"]) == 2
+    for stage, text in (("raw_external", "raw_content"), ("refined_external", "refined_content"), ("pure_external", "pure_text")):
+        (row,) = landed.read_stage(spark, str(tmp_path), stage).collect()
+        assert row["title"] == "E" and row["url"].endswith("/out") and "one" in row[text]
 
 
 def test_streaming(spark, tmp_path):
@@ -141,6 +196,8 @@ def test_streaming(spark, tmp_path):
     stream = streaming.landed_stream(spark, str(tmp_path / "in"))
     streaming.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert landed.read_stage(spark, str(tmp_path / "out"), "pure").count() == 1
+    ingest.ingest(rows.drop("fetched"), str(tmp_path / "out"), batch=0)  # the batch is replayed
+    assert landed.read_stage(spark, str(tmp_path / "out"), "pure").count() == 1
     assert len(landed.read_stage(spark, str(tmp_path / "out"), "refined").first()["replies"]["u2"]) == 2
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,7 @@ from threadloom.functions.urls import allowed_links
 from threadloom.schemas import LISTING, NOTES
 
 Selector = tuple[str, dict]
+#: Name of a user whose account is gone (fixed value).
 DELETED = "Permanently-Deleted-User"
 
 
@@ -53,6 +54,7 @@ class Layout:
     listing_never: str = "\0"
     listing_base: str = ""
     listing_key: str | None = None
+    notes_suffix: str | None = None
 
 
 # Selectors and link rules of the supported forums (fixed values).
@@ -70,6 +72,7 @@ LAYOUTS = {
         ),
         join_links=True,
         distinct_links=True,
+        listing_base="https://community.cloudflare.com/t/",
     ),
     "opendns": Layout(
         post=("div", {"class": "comment-info"}),
@@ -123,9 +126,9 @@ LAYOUTS = {
             "/blame/", "/watchers", "/network", "/graphs", "/raw/", "/compare/", "/cache/", "/.git/", "/search/advanced",
         ),
         listing=("a", {}),
-        listing_must="/issues/",
+        listing_must="/PowerDNS/pdns/issues/",
         listing_never="?",
-        listing_base="https://github.com",
+        listing_base="https://github.com/PowerDNS/pdns/issues/",
         listing_key="url",
     ),
     "gitlab": Layout(
@@ -141,11 +144,16 @@ LAYOUTS = {
             "/help", "/s/", "/-/profile", "/-/ide/", "/new", "/edit", "/raw", "/realtime_changes",
         ),
         listing=("span", {"class": "issue-title-text js-onboarding-issue-item"}),
-        listing_must="/issues/",
-        listing_base="https://gitlab.isc.org",
+        listing_must="/isc-projects/bind9/-/issues/",
+        listing_base="https://gitlab.isc.org/",
         listing_key="id",
+        notes_suffix="/discussions.json",
     ),
 }
+# A second project on the same site: same pages, another listing (fixed values).
+LAYOUTS["github_unbound"] = replace(
+    LAYOUTS["github"], listing_must="NLnetLabs/unbound/issues/", listing_base="https://github.com/NLnetLabs/unbound/issues"
+)
 
 
 def _find(node: dom.Node, selector: Selector) -> dom.Node | None:
@@ -330,7 +338,7 @@ def listing_from_html(listings: DataFrame) -> DataFrame:
 def external_documents(pages: DataFrame, pure_of: str = "p") -> DataFrame:
     """(title, url, raw_content, refined_content, pure_text) of fetched outside pages (url, raw_content).
 
-    Refined content is the text of all paragraphs; ``pure_of`` names the elements
+    Refined content is the text of the paragraphs inside a ``div``; ``pure_of`` names the elements
     whose text is the pure text, ``p`` or ``div``.
     """
 
@@ -343,7 +351,8 @@ def external_documents(pages: DataFrame, pure_of: str = "p") -> DataFrame:
                 boxes = root.find_all(pure_of)
                 inner = {id(n) for b in boxes for n in b.walk()}
                 pure = " ".join(" ".join(b.text for b in boxes if id(b) not in inner).split())
-                paragraphs = "\n".join(p.text.strip() for p in root.find_all("p"))
+                inside = {id(n) for box in root.find_all("div") for n in box.walk()}
+                paragraphs = "\n".join(p.text.strip() for p in root.find_all("p") if id(p) in inside)
                 for name, value in zip(names, (dom.title_of(root), url, html, paragraphs, pure)):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.string()) for n in names]))

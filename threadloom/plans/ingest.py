@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from threadloom.functions import dom
 from threadloom.operators import extract, threads
+from threadloom.operators.crawl import EXTERNAL_RETRIES, EXTERNAL_RETRIES_OF, attempt_state, frontier
+from threadloom.scratch import cut
 from threadloom.sources import sinks
+from threadloom.sources.http import fetch_frame, landed
 
 KEYS = ["forum", "page", "url"]
 
@@ -29,9 +32,10 @@ def refined_threads(pages: DataFrame, notes: DataFrame | None = None, slugs: Dat
 
     ``notes`` holds discussion JSON (forum, page, url, body) that continues some
     threads; ``slugs`` (url, id, slug) names threads that are titled by them.
-    A page without posts gives no thread.
+    A page without posts gives no thread.  Posts are stored, so that each page is
+    parsed once.
     """
-    posts = extract.kept_links(extract.extract_posts(pages))
+    posts = cut(extract.kept_links(extract.extract_posts(pages)), "posts")
     rows = posts.select(*KEYS, "part", "pos", "user", "date", "content")
     about = posts.groupBy(*KEYS).agg(
         F.min_by("title", F.struct("part", "pos")).alias("title"),
@@ -69,27 +73,73 @@ def pure_threads(refined: DataFrame) -> DataFrame:
     return joined.withColumn("replies", F.coalesce("__replies", empty)).drop("__replies")
 
 
-def ingest(pages: DataFrame, root: str, notes: DataFrame | None = None, slugs: DataFrame | None = None) -> None:
-    """Append the three stages of landed pages to their tables."""
-    sinks.append_stage(raw_documents(pages), root, "raw")
-    refined = refined_threads(pages, notes, slugs)
-    sinks.append_stage(refined, root, "refined")
-    sinks.append_stage(pure_threads(refined), root, "pure")
+def ingest(pages: DataFrame, root: str, notes: DataFrame | None = None, slugs: DataFrame | None = None, batch: str | int | None = None) -> DataFrame:
+    """Append the three stages of landed pages to their tables; returns the stored refined threads.
 
-
-def fetch_and_ingest(spark, listing: DataFrame, root: str, forum: str, page: int, closed: bool | None = None, **options) -> DataFrame:
-    """Fetch the threads of one listing page and ingest them; returns the attempts' states.
-
-    A listing page names tens of threads, so its URLs pass through the driver.
+    With a batch, doing it again after a failure replaces what was written.
     """
-    from threadloom.operators.crawl import attempt_state
-    from threadloom.scratch import cut
-    from threadloom.sources.http import fetch_pages, landed
-
-    urls = [r["url"] for r in listing.select("url").collect()]
-    attempts = cut(fetch_pages(spark, urls, **options), "attempts")
-    pages = landed(attempts).select(
-        F.lit(forum).alias("forum"), F.lit(page).alias("page"), "url", F.lit(1).alias("part"), F.lit(closed).cast("boolean").alias("closed"), "raw_content"
-    )
-    ingest(pages, root)
-    return attempt_state(attempts)
+    sinks.append_stage(raw_documents(pages), root, "raw", batch)
+    refined = cut(refined_threads(pages, notes, slugs), "refined")
+    sinks.append_stage(refined, root, "refined", batch)
+    sinks.append_stage(pure_threads(refined), root, "pure", batch)
+    return refined
+
+
+def crawl_listing(
+    spark: SparkSession,
+    forum: str,
+    page: int,
+    listing_url: str,
+    root: str,
+    closed: bool | None = None,
+    external: bool = False,
+    seen: DataFrame | None = None,
+    batch: str | int | None = None,
+    **options,
+) -> DataFrame:
+    """Fetch a listing page, its threads and what they point to, and ingest all; returns the attempts' states.
+
+    Threads are fetched in rounds: the first pages, then the continuation pages
+    that those name, until no new one is named.  Forums with notes have them
+    fetched beside the threads.  With ``external``, outside pages that the threads
+    link to are fetched and stored as well, but those of ``seen`` (url).  URLs stay
+    in tables, each round is stored, and every URL is fetched once.
+    """
+    layout = extract.LAYOUTS[forum]
+    tag = [F.lit(forum).alias("forum"), F.lit(page).cast("int").alias("page"), F.lit(closed).cast("boolean").alias("closed")]
+    attempts = cut(fetch_frame(spark.createDataFrame([(listing_url,)], "url string"), **options), "listing")
+    body = landed(attempts)
+    slugs = None
+    if layout.listing is None:
+        listing = extract.listing_from_json(body.select(tag[1], F.col("raw_content").alias("body")), layout.listing_base)
+        slugs = listing.select("url", "id", "slug")
+    else:
+        listing = extract.listing_from_html(body.select(*tag, "raw_content"))
+    todo = cut(listing.select("url").distinct().select("url", F.col("url").alias("thread"), F.lit(1).alias("part")), "frontier")
+    pages, fetched = None, todo.select("url")
+    while todo.limit(1).count():
+        tried = cut(fetch_frame(todo, **options), "attempts")
+        attempts = attempts.union(tried)
+        got = landed(tried).join(todo, "url").select(*tag[:2], F.col("thread").alias("url"), "part", tag[2], "raw_content")
+        got = cut(got, "landed")
+        pages = got if pages is None else pages.union(got)
+        more = extract.continuations(got).select(F.col("next_url").alias("url"), F.col("url").alias("thread"), "part")
+        more = more.join(fetched, "url", "left_anti").groupBy("url", "thread").agg(F.min("part").alias("part"))
+        todo = cut(more, "frontier")
+        fetched = fetched.union(todo.select("url"))
+    if pages is None:
+        return attempt_state(attempts)
+    notes = None
+    if layout.notes_suffix:
+        asked = pages.where("part = 1").select(F.col("url").alias("thread"), F.concat("url", F.lit(layout.notes_suffix)).alias("url"))
+        tried = cut(fetch_frame(asked, **options), "notes")
+        attempts = attempts.union(tried)
+        notes = landed(tried).join(asked, "url").select(*tag[:2], F.col("thread").alias("url"), F.col("raw_content").alias("body"))
+    refined = ingest(pages, root, notes, slugs, batch)
+    if external:
+        found = frontier(refined.select(F.explode("external_urls").alias("url")), seen)
+        retries = EXTERNAL_RETRIES_OF.get(forum, EXTERNAL_RETRIES)
+        tried = cut(fetch_frame(found, **(options | {"external": True, "retries": options.get("retries", retries)})), "external")
+        attempts = attempts.union(tried)
+        sinks.append_external(extract.external_documents(landed(tried)), root, batch)
+    return attempt_state(attempts, external_retries=EXTERNAL_RETRIES_OF.get(forum, EXTERNAL_RETRIES))

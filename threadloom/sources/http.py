@@ -4,7 +4,9 @@
 row for each attempt of each URL.  The first attempt waits ``timeout`` seconds,
 retries wait longer; an answer with an error status counts as a failed attempt.
 The URLs are dealt to ``partitions`` tasks, each fetching one page at a time, so
-the rate is bounded by partitions / delay.
+the rate is bounded by partitions / delay; with ``stagger`` each task begins so
+many seconds after the one before.  ``fetch_frame`` does the same for a table of
+URLs, which never pass through the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,25 +42,24 @@ def fetch(url: str, timeout: float) -> tuple[int | None, str | None, str | None]
 
 
 class _Part(InputPartition):
-    def __init__(self, urls: list[str]):
+    def __init__(self, number: int, urls: list[str]):
         super().__init__(None)
-        self.urls = urls
+        self.number, self.urls = number, urls
 
 
-class _Reader(DataSourceReader):
+class _Fetcher:
+    """Attempts for URLs one after the other, by the options of the data source."""
+
     def __init__(self, options: dict):
-        self.urls = json.loads(options.get("urls", "[]"))
         self.parts = max(1, int(options.get("partitions", 1)))
-        self.delay = float(options.get("delay", DELAY))
+        self.delay, self.stagger = float(options.get("delay", DELAY)), float(options.get("stagger", 0))
         self.retries = int(options.get("retries", RETRIES))
         self.timeouts = float(options.get("timeout", TIMEOUT)), float(options.get("retrytimeout", RETRY_TIMEOUT))
         self.external = str(options.get("external", "false")).lower() == "true"
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(self.urls[i :: self.parts]) for i in range(self.parts)]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        for url in partition.urls:
+    def attempts(self, number: int, urls: Iterable[str]) -> Iterator[tuple]:
+        time.sleep(number * self.stagger)
+        for url in urls:
             for attempt in range(1, self.retries + 2):
                 status, error, body = fetch(url, self.timeouts[attempt > 1])
                 yield url, self.external, attempt, status, error, body
@@ -65,8 +68,19 @@ class _Reader(DataSourceReader):
                     break
 
 
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.urls, self.fetcher = json.loads(options.get("urls", "[]")), _Fetcher(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Part(i, self.urls[i :: self.fetcher.parts]) for i in range(self.fetcher.parts)]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        yield from self.fetcher.attempts(partition.number, partition.urls)
+
+
 class HttpPages(DataSource):
-    """Options: urls (JSON list), partitions, delay, retries, timeout, retrytimeout, external."""
+    """Options: urls (JSON list), partitions, delay, stagger, retries, timeout, retrytimeout, external."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,6 +102,20 @@ def fetch_pages(spark: SparkSession, urls: list[str], **options) -> DataFrame:
     return reader.load()
 
 
+def fetch_frame(urls: DataFrame, **options) -> DataFrame:
+    """All attempts for the distinct ``url`` of a table; store the result, since reading it again would fetch again."""
+    fetcher = _Fetcher({k.lower(): v for k, v in options.items()})
+    kinds = (pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = fetcher.attempts(TaskContext.get().partitionId(), (u for b in batches for u in b.column(0).to_pylist()))
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+    return urls.select("url").where("url IS NOT NULL").distinct().repartition(fetcher.parts).mapInArrow(run, SCHEMA)
+
+
 def landed(attempts: DataFrame) -> DataFrame:
     """(url, raw_content) of the attempts that were answered well."""
     return attempts.where(F.col("error").isNull() & (F.col("status") < 400)).select("url", F.col("body").alias("raw_content"))

@@ -26,25 +26,11 @@ def between(df: DataFrame, column: str, first, last) -> DataFrame:
 def read_stage(spark: SparkSession, root: str, stage: str, forum: str | None = None, pages: tuple[int, int] | None = None, fmt: str = "parquet") -> DataFrame:
     """A stage's table with its declared schema; ``pages`` is an inclusive range."""
     rows = spark.read.schema(STAGES[stage]).format(fmt).load(f"{root}/{stage}")
+    rows = rows.select(*[c for c in rows.columns if c != "batch"])
     if forum is not None:
         rows = rows.where(F.col("forum") == forum)
     return between(rows, "page", *pages) if pages else rows
 
 
-#: Tables up to this size may be dealt anew before heavy work.
-SMALL_BYTES = 64 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt over all cores; a larger one as it is.
-
-    A file with one row group is read by one task however many cores there are.
-    Below ``SMALL_BYTES`` a round-robin exchange costs little; above, files bring
-    enough row groups, and texts should not move.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
-
-
 def stop_words(spark: SparkSession, language: str = "english") -> DataFrame:
     return spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords(language)], "word string")

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_stage(df: DataFrame, root: str, stage: str) -> None:
-    """Append to a stage's table, partitioned by forum and page where it has them."""
-    parts = [c for c in ("forum", "page") if c in df.columns]
-    writer = df.write.mode("append")
-    (writer.partitionBy(*parts) if parts else writer).parquet(f"{root}/{stage}")
+def append_stage(df: DataFrame, root: str, stage: str, batch: str | int | None = None) -> None:
+    """Append to a stage's table, partitioned by forum and page where it has them, and by batch.
+
+    A batch that is written again takes the place of what it wrote before, so a
+    step that is repeated after a failure adds nothing twice.  Without a batch each
+    call is one of its own.
+    """
+    parts = [c for c in ("forum", "page") if c in df.columns] + ["batch"]
+    marked = df.withColumn("batch", F.lit(uuid.uuid4().hex if batch is None else f"b{batch}"))
+    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*parts).parquet(f"{root}/{stage}")
 
 
-def append_external(documents: DataFrame, root: str) -> None:
+def append_external(documents: DataFrame, root: str, batch: str | int | None = None) -> None:
     """Append outside documents to their three tables."""
     for stage, column in (("raw", "raw_content"), ("refined", "refined_content"), ("pure", "pure_text")):
-        append_stage(documents.select("title", "url", column), root, f"{stage}_external")
+        append_stage(documents.select("title", "url", column), root, f"{stage}_external", batch)
 
 
 def updated(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:

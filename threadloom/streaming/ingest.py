@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.plans.ingest import ingest
+from threadloom.scratch import cut
 
 LANDED = "forum string, page int, url string, part int, closed boolean, raw_content string, fetched timestamp"
 
@@ -22,10 +23,12 @@ def landed_stream(spark: SparkSession, path: str, files: int = 100, late: str =
 
 
 def start(stream: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append every micro-batch to the stages under ``root``."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: ingest(batch.drop("fetched"), root)
-    )
+    """Append every micro-batch to the stages under ``root``; one that is replayed replaces what it wrote."""
+
+    def store(rows: DataFrame, number: int) -> None:
+        ingest(cut(rows.drop("fetched"), "batch"), root, batch=number)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -32,8 +32,9 @@ def test_dbscan(spark, m, eps):
     x = np.random.default_rng(m).normal(size=(60, 2)) * 2
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     p = points(spark, x)
-    pairs = clustering.vector_pairs(p, block=16)
-    assert pairs.count() == 60 * 59 // 2
+    assert clustering.vector_pairs(p, block=16).count() == 60 * 59 // 2
+    pairs = clustering.vector_pairs(p, eps, block=16)
+    assert {(r["i"], r["j"]) for r in pairs.collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= eps}
     found = [r["label"] for r in clustering.dbscan(p, pairs, eps, m).orderBy("id").collect()]
     assert found == brute_dbscan(d, eps, m)
 
@@ -61,9 +62,14 @@ def test_distance_rows_and_cosine_pairs(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     w = spark.createDataFrame([(int(i), f"t{j}", float(u[i, j])) for i, j in zip(*np.nonzero(u))], "doc_id long, term string, w double")
     s = u @ u.T
-    rows = {(r["i"], r["j"]): r["dist"] for r in features.distance_row_pairs(w).collect()}
-    for (i, j), dist in rows.items():
-        assert abs(dist - np.linalg.norm(s[i] - s[j])) < 1e-6
+    ids = sorted({r["doc_id"] for r in w.collect()})
+    found = {r["id"]: np.array(r["vector"]) for r in features.distance_row_vectors(w).collect()}
+    assert sorted(found) == ids
+    for i in ids:
+        for j in ids:
+            assert abs(np.linalg.norm(found[i] - found[j]) - np.linalg.norm(s[i] - s[j])) < 1e-6
+    with pytest.raises(ValueError):
+        features.distance_row_vectors(w, 3)
     near = {(r["i"], r["j"]) for r in features.cosine_pairs(w, 0.6).collect()}
     assert near == {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if s[i, j] >= 0.6}
 
@@ -94,3 +100,38 @@ def test_display(spark):
     assert sorted(map(tuple, features.wide(w, ["a", "b"]).collect())) == [(0, 0.6, 0.8), (1, 0.0, 1.0)]
     assert [r[0] for r in features.feature_names(w).collect()] == ["a", "b", "c"]
     assert [tuple(r) for r in features.top_terms(w, 0, 1).collect()] == [(0, "b", 0.8)]
+
+
+def test_rows_that_share_no_term_are_compared(spark):
+    """Three documents without common words are one cluster at eps 2 and noise at eps 1."""
+    w = spark.createDataFrame([(i, f"t{i}", 1.0) for i in range(3)], "doc_id long, term string, w double")
+    p = features.distance_row_vectors(w)
+    for eps, label in ((2.0, 0), (1.0, -1)):
+        found = clustering.dbscan(p, clustering.vector_pairs(p, eps), eps)
+        assert [r["label"] for r in found.collect()] == [label] * 3
+
+
+def test_equal_documents_are_compared_once(spark):
+    rows = [(i, t, w) for i in range(40) for t, w in (("a", 0.6), ("b", 0.8))] + [(50, "a", 1.0), (51, "c", 1.0)]
+    w = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    classes, pairs = features.similar_classes(w, 0.5)
+    assert {(r["doc_id"], r["head"]) for r in classes.collect()} == {(i, 0) for i in range(40)} | {(50, 50), (51, 51)}
+    assert [(r["i"], r["j"], round(r["sim"], 6)) for r in pairs.collect()] == [(0, 50, 0.6)]
+    found = features.cosine_pairs(w, 0.5).collect()
+    assert len(found) == 40 * 39 // 2 + 40 and len({(r["i"], r["j"]) for r in found}) == len(found)
+
+
+def test_numbers_by_ranges(spark):
+    rows = spark.range(1000).selectExpr("id * 7 AS root").repartition(5)
+    assert all(r["label"] * 7 == r["root"] for r in clustering.numbered(rows, "root", "label").collect())
+
+
+def test_kmeans_rounds(spark):
+    x = np.random.default_rng(3).normal(size=(50, 3))
+    centres = x[:4].copy()
+    for _ in range(3):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[near == k].mean(0) for k in range(4)])
+    want = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    found = clustering.kmeans_rounds(points(spark, x), x[:4].tolist(), 3).orderBy("id").collect()
+    assert [r["label"] for r in found] == want.tolist()

@@ -3,7 +3,7 @@
 import pytest
 
 from threadloom.functions.text import lemma_table
-from threadloom.operators import labels
+from threadloom.operators import filters, labels
 
 
 def labelled(spark, texts):
@@ -60,9 +60,12 @@ def test_lemmas(spark):
     found = dict(map(tuple, table.collect()))
     assert found["sites"] == "site" and found["failed"] == "fail" and found["failing"] == "fail" and found["proxies"] == "proxy"
     assert found["fastest"] == "fast" and found["was"] == "be" and "https" not in found
-    rows = spark.createDataFrame([(1, "sites failing")], "id int, text string")
-    got = labels.features(rows, ["id"], "text", table).collect()
-    assert {(r["kind"], r["feature"]) for r in got} == {("unigram", "site"), ("unigram", "fail"), ("bigram", "site fail"), ("bigram", None)}
+    rows = spark.createDataFrame([(1, "sites failing was x1"), (2, "")], "id int, text string")
+    assert [r["token"] for r in filters.clean_tokens(rows, "text", None, table).orderBy("pos").collect()] == ["site", "fail", "be"]
+    got = labels.features(rows, ["id"], "text").collect()
+    assert {(r["id"], r["kind"], r["feature"]) for r in got if r["kind"] == "bigram"} == {(1, "bigram", "sites failing"), (1, "bigram", "failing was"), (1, "bigram", "was x1")}
+    some = labels.features(rows, ["id"], "text", ["sites", "failing was", "no"]).collect()
+    assert {(r["id"], r["feature"]) for r in some} == {(1, "sites"), (1, "failing was"), (2, None)}
 
 
 @pytest.mark.parametrize("order", [1, -1])

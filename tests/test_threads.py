@@ -22,6 +22,8 @@ def test_user_statistics(spark):
     assert tuple(stats.user_summary(counts).first()) == (2, 4, 2.0)
     assert [tuple(r) for r in stats.user_ranking(counts).collect()] == [("u1", 3), ("u2", 1)]
     assert tuple(stats.user_summary(counts.limit(0)).first()) == (0, 0, None)
+    seen = spark.createDataFrame([("b", 1, 0), ("a", 1, 1), ("c", 2, 2)], "user string, n int, at int")
+    assert [r["user"] for r in stats.user_ranking(seen, seen="at").collect()] == ["c", "b", "a"]
 
 
 def test_scalars(spark):

@@ -34,10 +34,6 @@ def year_of(date: Column) -> Column:
     return F.substring(F.get(F.split(date, ","), F.lit(1)), 2, 4)
 
 
-def plain_title(title: Column) -> Column:
-    return F.translate(title, "-_", "  ")
-
-
 # Lemmas
 
 #: Endings that are detached, by part of speech, and what takes their place (fixed values).

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -15,18 +14,26 @@ from threadloom.scratch import cut
 NOISE = -1
 
 
-def vector_pairs(vectors: DataFrame, block: int = 1024) -> DataFrame:
-    """(i, j, dist), i < j: Euclidean distances of all pairs of (id, vector), block by block.
+def vector_pairs(vectors: DataFrame, eps: float | None = None, block: int = 1024) -> DataFrame:
+    """(i, j, dist), i < j: Euclidean distances of the pairs of (id, vector) within ``eps``, block by block.
 
     Each row goes to the block pairs of its own block; a task holds two blocks
-    and multiplies them, so nothing is broadcast or collected.
+    and multiplies them, so nothing is broadcast or collected, and only near pairs
+    leave it.  Blocks that lie further apart than ``eps`` by their centres and radii
+    are skipped.  Without ``eps`` all pairs are listed, for small tables.
     """
 
     def compare(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray):
+        if eps is not None and a is not b:
+            x, y = one.mean(axis=0), two.mean(axis=0)
+            reach = np.linalg.norm(one - x, axis=1).max() + np.linalg.norm(two - y, axis=1).max()
+            if np.linalg.norm(x - y) - reach > eps * (1 + 1e-9):
+                return [], [], []
         squared = (one * one).sum(1)[:, None] + (two * two).sum(1)[None] - 2 * one @ two.T
-        i, j = np.nonzero(a[:, None] < b[None] if a is b else np.ones((len(a), len(b)), bool))
-        lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        return lo, hi, np.sqrt(np.maximum(squared[i, j], 0))
+        dist = np.sqrt(np.maximum(squared, 0))
+        near = a[:, None] < b[None] if a is b else np.ones(dist.shape, bool)
+        i, j = np.nonzero(near if eps is None else near & (dist <= eps))
+        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), dist[i, j]
 
     return _blocks(vectors.select("id", "vector"), compare, "i long, j long, dist double", block)
 
@@ -107,8 +114,7 @@ def dbscan(points: DataFrame, pairs: DataFrame, eps: float, min_samples: int = 2
     to_core = graph.join(core.withColumnRenamed("id", "b"), "b", "left_semi")
     between = to_core.join(core.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b")
     found = core.join(smallest_reachable(between), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    # numbers by order of the roots: clusters are few compared with points
-    roots = found.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
+    roots = numbered(found.select("root").distinct(), "root", "label")
     named = cut(found.join(roots, "root").select("id", "label"), "core-labels")
     border = to_core.join(named.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
     joined = cores.join(named, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
@@ -116,6 +122,18 @@ def dbscan(points: DataFrame, pairs: DataFrame, eps: float, min_samples: int = 2
     return joined.select("id", label.cast("int").alias("label"), "is_core")
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: their number from 0 in the order of a column without repeats, by ranges of it."""
+    dealt = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    dealt = cut(dealt, "ranges")
+    # one row for each range
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return dealt.join(F.broadcast(counts), "__part").withColumn(name, inside + F.col("__before") - 1).drop("__part", "__before")
+
+
 def dbscan_sweep(points: DataFrame, pairs: DataFrame, epsilons: list[float], min_samples: int = 2) -> DataFrame:
     """(eps, n_clusters, n_noise) for each eps; pairs are computed once and stored."""
     pairs = cut(pairs.where(F.col("dist") <= max(epsilons)), "sweep-pairs")
@@ -178,11 +196,33 @@ def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
     return per.select("id", "label", (score if sound else F.lit(None).cast("double")).alias("s"))
 
 
-def kmeans(points: DataFrame, k: int = 4, seed: int = 1) -> DataFrame:
-    """(id, label) by k-means with a fixed seed."""
-    rows = points.select("id", array_to_vector("vector").alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(rows)
-    return model.transform(rows).select("id", "label")
+def kmeans(points: DataFrame, k: int = 4, rounds: int = 20, seed: int = 1) -> DataFrame:
+    """(id, label): Lloyd's rounds from the ``k`` vectors whose ids have the smallest hashes, until the centres rest.
+
+    A round is one pass with k broadcast centres and one row of sums for each
+    centre and component; a centre that loses all points stays where it was.
+    """
+    draw = F.xxhash64("id", F.lit(seed))
+    first = points.select("vector").orderBy(draw, "id").limit(k).collect()
+    return kmeans_rounds(points, [r["vector"] for r in first], rounds)
+
+
+def kmeans_rounds(points: DataFrame, centres: list[list[float]], rounds: int) -> DataFrame:
+    """(id, label) after ``rounds`` rounds from given centres, numbered as they are given."""
+    spark = points.sparkSession
+    held = [[float(x) for x in c] for c in centres]
+    frame = lambda: spark.createDataFrame(list(enumerate(held)), "label int, centre array<double>")
+    for _ in range(rounds):
+        near = kmeans_step(points, frame()).join(points.select("id", "vector"), "id")
+        means = near.select("label", F.posexplode("vector").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
+        rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).collect()
+        new = list(held)
+        for r in rows:
+            new[r["label"]] = [x["m"] for x in r["c"]]
+        if np.allclose(new, held, rtol=0, atol=1e-12):
+            break
+        held = new
+    return kmeans_step(points, frame()).select("id", "label")
 
 
 def kmeans_step(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -217,6 +257,16 @@ def scatter(points: DataFrame, labels: DataFrame, most: float | None = None) ->
 
 
 def cluster_members(labels: DataFrame, titles: DataFrame) -> DataFrame:
-    """(label, titles) sorted by id; every cluster is listed. ``titles`` is (id, title)."""
+    """(label, titles) sorted by id, a row for each cluster. ``titles`` is (id, title).
+
+    A cluster's titles make one row, so it is for reports on clusters that can be
+    read; ``first_members`` gives rows.
+    """
     rows = labels.join(titles, "id").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("rows"))
     return rows.select("label", F.transform("rows", lambda r: r["title"]).alias("titles"))
+
+
+def first_members(labels: DataFrame, titles: DataFrame, n: int) -> DataFrame:
+    """(label, id, title) of the first ``n`` members of each cluster by id; partial ranks keep a cluster from one task."""
+    rows = labels.join(titles, "id")
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("__k") <= n).drop("__k")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import is_ascii, is_plain_word, raw_tokens, year_of
+from threadloom.functions.text import is_ascii, is_plain_word, lemmatize, raw_tokens, year_of
 
+# Labels of posts that are left out or not yet labelled (fixed values).
 OTHER_LANGUAGES = "Other Languages"
 GENERAL = "General DNS & Network Issues"
 
@@ -40,9 +41,11 @@ def foreign_text(tokens: Column, limit: int = 3) -> Column:
     return F.size(F.filter(F.array_distinct(tokens), lambda t: ~is_ascii(t))) >= limit
 
 
-def clean_tokens(df: DataFrame, text: str, stop_words: DataFrame | None = None) -> DataFrame:
-    """(all columns but ``text``, pos, token): a to z words without stop words, empty ones dropped."""
+def clean_tokens(df: DataFrame, text: str, stop_words: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+    """(all columns but ``text``, pos, token): lemmas without stop words and of a to z only, empty ones dropped."""
     rows = df.select(*[c for c in df.columns if c != text], F.posexplode(raw_tokens(F.col(text))).alias("pos", "token"))
+    if lemmas is not None:
+        rows = lemmatize(rows, "token", lemmas)
     rows = rows.where(is_plain_word(F.col("token")) & (F.col("token") != ""))
     if stop_words is not None:
         rows = rows.join(F.broadcast(stop_words.select(F.col("word").alias("token"))), "token", "left_anti")

@@ -9,6 +9,8 @@ from threadloom.functions.text import raw_tokens
 from threadloom.schemas import RULES
 
 UNCLASSIFIED = "Unclassified"
+#: Forms of rule words up to which they are matched inside rows and their table is sent to every task.
+MOST_FORMS = 4096
 
 # Keywords, bigrams and thresholds of the labels (fixed values; a word listed twice counts twice).
 # label: [(tier, kind, threshold, keywords)]
@@ -62,38 +64,41 @@ def location_rules(locations: list[str] = LOCATIONS) -> dict:
     return out
 
 
-def features(texts: DataFrame, keys: list[str], text: str, lemmas: DataFrame | None = None) -> DataFrame:
-    """(keys, kind, feature) for every token and bigram of ``text``; a text without any keeps its keys."""
+def features(texts: DataFrame, keys: list[str], text: str, known: list[str] | None = None) -> DataFrame:
+    """(keys, kind, feature) for every distinct token and bigram of ``text``; a text without any keeps its keys.
+
+    With ``known``, features that aren't in that list are dropped inside the row,
+    so that only what can match is exploded.
+    """
     tokens = raw_tokens(F.col(text))
     pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("__t") - 1, F.lit(0))),
-        lambda i: F.struct(F.get(F.col("__t"), i).alias("token"), F.get(F.col("__t"), i + 1).alias("next")),
-    )
-    rows = texts.select(*keys, tokens.alias("__t")).select(*keys, F.explode_outer(pairs).alias("__p"))
-    rows = rows.select(*keys, F.col("__p.token").alias("token"), F.col("__p.next").alias("next"))
-    if lemmas is not None:
-        for name in ("token", "next"):
-            table = lemmas.select(F.col("form").alias("__form"), F.col("lemma").alias("__lemma"))
-            rows = rows.join(F.broadcast(table), F.col(name) == F.col("__form"), "left")
-            rows = rows.withColumn(name, F.coalesce("__lemma", name)).drop("__form", "__lemma")
-    both = F.array(
-        F.struct(F.lit("unigram").alias("kind"), F.col("token").alias("feature")),
-        F.struct(F.lit("bigram").alias("kind"), F.concat(F.col("token"), F.lit(" "), F.col("next")).alias("feature")),
+        F.slice("__t", F.lit(1), F.greatest(F.size("__t") - 1, F.lit(0))), lambda t, i: F.concat(t, F.lit(" "), F.get(F.col("__t"), i + 1))
     )
-    return rows.select(*keys, F.inline(both))
+    rows = texts.select(*keys, tokens.alias("__t"))
+    both = [F.array_distinct("__t"), F.array_distinct(pairs)]
+    if known is not None:
+        held = F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")
+        both = [F.array_intersect(x, held) for x in both]
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("feature")))
+
+    return rows.select(*keys, F.inline_outer(F.concat(named("unigram", both[0]), named("bigram", both[1]))))
 
 
 def label(texts: DataFrame, keys: list[str], text: str, rules: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """(keys, labels): labels whose rules hold, in rule order; every text has a row.
 
     Lemmas are applied to the rules, not to the tokens: a rule word stands for all
-    its forms, so tokens meet one table.  That table is broadcast (rules times
-    forms, thousands of rows at most); rows that match no rule carry null and
-    vanish in the partial aggregation, so one row for each text is shuffled.
+    its forms, so tokens meet one table.  Its forms (rules times inflections, at most
+    ``MOST_FORMS``) are matched inside the row, and only hits are exploded and joined
+    with the broadcast table; one row for each text is shuffled.
     """
     hit = F.struct("ord", "label", "tier", "threshold", "keyword", "n")
     rules = surface_rules(rules, lemmas) if lemmas is not None else rules.withColumn("form", F.col("keyword"))
-    matched = _matched(features(texts, keys, text), rules)
+    forms = [r["form"] for r in rules.select("form").distinct().limit(MOST_FORMS + 1).collect()]
+    few = len(forms) <= MOST_FORMS
+    matched = _matched(features(texts, keys, text, known=sorted(forms) if few else None), rules, few)
     hits = matched.groupBy(*keys).agg(F.collect_set(F.when(F.col("keyword").isNotNull(), hit)).alias("__hits"))
     return hits.select(*keys, _labels(F.col("__hits")).alias("labels"))
 
@@ -111,8 +116,9 @@ def surface_rules(rules: DataFrame, lemmas: DataFrame) -> DataFrame:
     return joined.withColumn("form", F.concat_ws(" ", "__fa", "__fb")).drop("__a", "__b", "__fa", "__fb")
 
 
-def _matched(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    table = F.broadcast(rules.withColumnRenamed("kind", "__kind"))
+def _matched(rows: DataFrame, rules: DataFrame, few: bool) -> DataFrame:
+    table = rules.withColumnRenamed("kind", "__kind")
+    table = F.broadcast(table) if few else table
     return rows.join(table, (F.col("feature") == F.col("form")) & (F.col("kind") == F.col("__kind")), "left")
 
 
@@ -147,13 +153,13 @@ def or_unclassified(labels: Column) -> Column:
 
 
 def label_histogram(labelled: DataFrame) -> DataFrame:
-    """Posts of each label."""
-    return labelled.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n_posts"))
+    """Posts of each label, in order of label."""
+    return labelled.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n_posts")).orderBy("label")
 
 
 def label_count_histogram(labelled: DataFrame) -> DataFrame:
-    """Posts by number of labels, those without under 0."""
-    return labelled.groupBy(F.size("labels").alias("n_labels")).agg(F.count(F.lit(1)).alias("n_posts"))
+    """Posts by number of labels, those without under 0, in order of number."""
+    return labelled.groupBy(F.size("labels").alias("n_labels")).agg(F.count(F.lit(1)).alias("n_posts")).orderBy("n_labels")
 
 
 def locations(posts: DataFrame, key: str, text: str, raw_tag: str | None = None, lemmas: DataFrame | None = None, rules: dict | None = None) -> DataFrame:

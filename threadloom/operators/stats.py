@@ -38,9 +38,13 @@ def user_summary(counts: DataFrame) -> DataFrame:
     )
 
 
-def user_ranking(counts: DataFrame, top: int | None = None) -> DataFrame:
-    """Users by replies, most first; ties in order of name."""
-    ranked = user_replies(counts).orderBy(F.desc("n_replies"), "user")
+def user_ranking(counts: DataFrame, top: int | None = None, seen: str | None = None) -> DataFrame:
+    """Users by replies, most first; ties in order of ``seen`` (a column that tells when a row came), then of name."""
+    if seen is None:
+        ranked = user_replies(counts).orderBy(F.desc("n_replies"), "user")
+    else:
+        first = counts.groupBy("user").agg(F.sum("n").cast("long").alias("n_replies"), F.min(seen).alias("__seen"))
+        ranked = first.orderBy(F.desc("n_replies"), "__seen", "user").drop("__seen")
     return ranked.limit(top) if top else ranked
 
 

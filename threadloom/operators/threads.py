@@ -42,15 +42,6 @@ def assemble(posts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def purify(threads: DataFrame, clean) -> DataFrame:
-    """``threads`` with ``clean`` (a column function) applied to the post and to every reply."""
-    replies = F.transform_values(
-        "replies", lambda _, rs: F.transform(rs, lambda r: F.struct(r["date"].alias("date"), clean(r["reply"]).alias("reply")))
-    )
-    kept = threads.drop("external_urls")
-    return kept.withColumns({"original_post": clean(F.col("original_post")), "replies": replies})
-
-
 def reply_counts(threads: DataFrame) -> DataFrame:
     """(user, n) for each user of each thread's reply map."""
     return threads.select(F.explode("replies").alias("user", "rs")).select("user", F.size("rs").alias("n"))

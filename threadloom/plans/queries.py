@@ -15,10 +15,7 @@ from threadloom.functions import text as T
 from threadloom.functions import urls as U
 from threadloom.operators import clustering, crawl, extract, features, filters, labels, stats, threads
 from threadloom.scratch import cut
-from threadloom.sources.landed import spread
 
-#: Tables whose rows take long to work on.
-TEXTS = ("documents", "pages")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,8 +31,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXTS else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -76,12 +72,12 @@ def _lemma_rows() -> list[tuple]:
     return sorted(found.items())
 
 
-def _labels_sql(source: str, rules: list[tuple], keys: str = "doc_id", lemmas: bool = True) -> str:
+def _labels_sql(source: str, rules: list[tuple], keys: str = "doc_id", lemmas: bool = True, lemma_rows: list[tuple] | None = None) -> str:
     """CTEs ending in ``lab`` (keys, label, ord) for texts of ``source`` (keys, text)."""
     join = "LEFT JOIN lem ON tok.token = lem.form" if lemmas else ""
     token = "coalesce(lem.lemma, token)" if lemmas else "token"
     return rf"""rules AS {values(rules, "label, ord, tier, kind, keyword, n, threshold")},
-lem AS {values(_lemma_rows(), "form, lemma")},
+lem AS {values(lemma_rows or _lemma_rows(), "form, lemma")},
 tok AS (
   SELECT {keys}, i, lower(regexp_replace(w, '^\s+|\s+$', '', 'g')) AS token
   FROM (SELECT {keys}, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM {source})
@@ -142,14 +138,14 @@ def post_labels(spark, sf_dir):
 @query(
     f"""WITH texts AS (
   SELECT doc_id, 'body' AS part, text FROM documents
-  UNION ALL SELECT doc_id, 'title', translate(substr(text, 1, 40), '-_', '  ') FROM documents),
+  UNION ALL SELECT doc_id, 'title', translate(concat_ws('_', lang, source, 'und', 'la-que'), '-_', '  ') FROM documents),
 {_labels_sql('texts', labels.rule_rows(RULES), 'doc_id, part')},
 first AS (SELECT doc_id, label, min(CASE part WHEN 'body' THEN ord ELSE 100 + ord END) AS o FROM lab GROUP BY doc_id, label)
 SELECT d.doc_id, coalesce(string_agg(label, '|' ORDER BY o), '') AS labels
 FROM documents d LEFT JOIN first USING (doc_id) GROUP BY d.doc_id"""
 )
 def title_body_union(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("_", "lang", "source", F.lit("und"), F.lit("la-que")).alias("title"))
     found = labels.label_posts(docs, "doc_id", "text", "title", _rules(spark), _lemmas(spark))
     return found.select("doc_id", F.array_join("labels", "|").alias("labels"))
 
@@ -185,14 +181,15 @@ def bigram_counts(spark, sf_dir):
     return stats.bigram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-CLEAN = f"""clean AS (
-  SELECT doc_id, i, token FROM tok WHERE regexp_full_match(token, '[a-z]*') AND token <> ''
-    AND token NOT IN ({', '.join(repr(w) for w in STOP)}))"""
+CLEAN = f"""lem AS {values(_lemma_rows(), "form, lemma")},
+clean AS (
+  SELECT doc_id, i, token FROM (SELECT doc_id, i, coalesce(lemma, token) AS token FROM tok LEFT JOIN lem ON token = form)
+  WHERE regexp_full_match(token, '[a-z]*') AND token <> '' AND token NOT IN ({', '.join(repr(w) for w in STOP)}))"""
 
 
 def _clean(spark, sf_dir) -> DataFrame:
     stop = spark.createDataFrame([(w,) for w in STOP], "word string")
-    return filters.clean_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", stop)
+    return filters.clean_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", stop, _lemmas(spark))
 
 
 @query(f"WITH {TOKENS}, {CLEAN} SELECT doc_id, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY i) AS cleaned FROM clean GROUP BY doc_id")
@@ -211,8 +208,9 @@ def vocabulary(spark, sf_dir):
 SELECT (SELECT count(*) FROM documents) AS n_documents, count(DISTINCT doc_id) AS n_cleaned, count(DISTINCT token) AS n_terms FROM clean"""
 )
 def corpus_size(spark, sf_dir):
-    words = stats.vocabulary(_clean(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_terms"))
-    cleaned = _clean(spark, sf_dir).select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_cleaned"))
+    tokens = cut(_clean(spark, sf_dir).select("doc_id", "token").distinct(), "tokens")
+    words = tokens.select("token").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
+    cleaned = tokens.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_cleaned"))
     docs = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_documents"))
     return docs.join(F.broadcast(cleaned)).join(F.broadcast(words)).select("n_documents", "n_cleaned", "n_terms")
 
@@ -467,12 +465,10 @@ def _counts(spark, sf_dir) -> DataFrame:
     return features.term_counts(_clean(spark, sf_dir))
 
 
-def _weights(spark, sf_dir, min_df=1, max_features=None, most_id=None) -> DataFrame:
+def _weights(spark, sf_dir, min_df=1, max_features=None) -> DataFrame:
     counts = cut(_counts(spark, sf_dir), "counts")
     n = counts.select("doc_id").distinct().count()
     terms = features.prune(features.document_frequency(counts), min_df, max_features)
-    if most_id is not None:
-        counts = counts.where(F.col("doc_id") < most_id)
     return features.tfidf(counts, features.idf_table(terms, n))
 
 
@@ -520,7 +516,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT i, j FROM p WHERE dist <= {EPS}")
 def eps_graph(spark, sf_dir):
-    pairs = clustering.vector_pairs(_vectors(spark, sf_dir))
+    pairs = clustering.vector_pairs(_vectors(spark, sf_dir), EPS)
     return clustering.eps_graph(pairs, EPS).where("a < b").select(F.col("a").alias("i"), F.col("b").alias("j"))
 
 
@@ -530,11 +526,11 @@ SELECT v.id, count(d.id) + 1 AS neighbours, count(d.id) + 1 >= 3 AS is_core FROM
 )
 def dbscan_core(spark, sf_dir):
     points = _vectors(spark, sf_dir)
-    return clustering.core_points(points, clustering.vector_pairs(points), EPS, 3)
+    return clustering.core_points(points, clustering.vector_pairs(points, EPS), EPS, 3)
 
 
-def _dbscan_sql(eps: float) -> str:
-    return f"""WITH RECURSIVE {PAIRS},
+def _dbscan_sql(eps: float, pairs: str = PAIRS) -> str:
+    return f"""WITH RECURSIVE {pairs},
 link AS (SELECT i AS a, j AS b FROM p WHERE dist <= {eps} UNION ALL SELECT j, i FROM p WHERE dist <= {eps}),
 reach AS (SELECT id AS a, id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 root AS (SELECT a AS id, min(b) AS root, count(*) AS n FROM reach GROUP BY a),
@@ -544,7 +540,7 @@ lab AS (SELECT id, CASE WHEN n = 1 THEN -1 ELSE dense_rank() OVER (ORDER BY n =
 @query(_dbscan_sql(EPS) + " SELECT id, label FROM lab")
 def dbscan_labels(spark, sf_dir):
     points = _vectors(spark, sf_dir)
-    return clustering.dbscan(points, clustering.vector_pairs(points), EPS).select("id", "label")
+    return clustering.dbscan(points, clustering.vector_pairs(points, EPS), EPS).select("id", "label")
 
 
 @query(
@@ -556,7 +552,7 @@ def dbscan_labels(spark, sf_dir):
 )
 def dbscan_sweep(spark, sf_dir):
     points = _vectors(spark, sf_dir)
-    return clustering.dbscan_sweep(points, clustering.vector_pairs(points), [1.0, 1.1, 1.15])
+    return clustering.dbscan_sweep(points, clustering.vector_pairs(points, 1.15), [1.0, 1.1, 1.15])
 
 
 @query(
@@ -585,9 +581,25 @@ def kmeans_step(spark, sf_dir):
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-@query()
+def _kmeans_sql(rounds: int) -> str:
+    """Lloyd's rounds from the first four vectors, unrolled."""
+    near = "list_sum([(x[1] - x[2]) ^ 2 for x in list_zip(e, centre)])"
+    ctes = [f"{VECTORS}, c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS label, e AS centre FROM (SELECT * FROM v ORDER BY id LIMIT 4))"]
+    for i in range(rounds + 1):
+        ctes.append(f"b{i} AS (SELECT id, any_value(e) AS e, first(label ORDER BY {near}, label) AS label FROM v JOIN c{i} ON true GROUP BY id)")
+        ctes.append(
+            f"""m{i} AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM b{i}) GROUP BY 1, 2),
+c{i + 1} AS (SELECT label, list(x ORDER BY pos) AS centre FROM m{i} GROUP BY label
+  UNION ALL SELECT label, centre FROM c{i} WHERE label NOT IN (SELECT label FROM m{i}))"""
+        )
+    return f"WITH {', '.join(ctes)} SELECT id, label FROM b{rounds}"
+
+
+@query(_kmeans_sql(3))
 def kmeans_labels(spark, sf_dir):
-    return clustering.kmeans(_vectors(spark, sf_dir))
+    points = _vectors(spark, sf_dir)
+    first = points.orderBy("id").limit(4).select("vector").collect()
+    return clustering.kmeans_rounds(points, [r["vector"] for r in first], 3)
 
 
 @query()
@@ -596,6 +608,31 @@ def pca_2d(spark, sf_dir):
     return clustering.scatter(points, points.select("id", "label"), 0.8)
 
 
+# What holds of every projection on principal components: centred, uncorrelated, none of the first and at most the
+# trace of the covariances, and no single component of the vectors varies more than the first projection.
+@query(
+    f"""WITH {VECTORS}, x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v), s AS (SELECT pos, var_samp(x) AS s FROM x GROUP BY pos)
+SELECT (SELECT count(*) FROM v) AS n, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y, 0.0::DOUBLE AS covariance, round(sum(s), 6) AS trace,
+  true AS ordered, true AS first_is_largest, true AS within_trace FROM s"""
+)
+def pca_invariants(spark, sf_dir):
+    points = cut(_vectors(spark, sf_dir), "points")
+    rows = points.select("id", F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("s"))
+    of = rows.agg(F.sum("s").alias("trace"), F.max("s").alias("most"))
+    xy = clustering.scatter(points, points.select("id", "label")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.abs(F.round(F.avg(c), 6)).alias(f"mean_{c}") for c in "xy"],
+        F.abs(F.round(F.covar_samp("x", "y"), 6)).alias("covariance"),
+        F.var_samp("x").alias("vx"),
+        F.var_samp("y").alias("vy"),
+    )
+    both = xy.join(F.broadcast(of))  # one row each
+    return both.select(
+        "n", "mean_x", "mean_y", "covariance", F.round("trace", 6).alias("trace"), (F.col("vx") >= F.col("vy")).alias("ordered"),
+        (F.col("vx") >= F.col("most") - 1e-9).alias("first_is_largest"), (F.col("vx") + F.col("vy") <= F.col("trace") + 1e-9).alias("within_trace"),
+    )
+
+
 @query(
     """SELECT label, string_agg('v' || vec_id, '|' ORDER BY vec_id) AS titles, count(*) AS n FROM embeddings GROUP BY label"""
 )
@@ -660,5 +697,40 @@ def fixed_vocabulary_counts(spark, sf_dir):
 def cluster_report(spark, sf_dir):
     points = _vectors(spark, sf_dir)
     titles = points.select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("title"))
-    found = clustering.cluster_members(points.select("id", "label"), titles)
-    return found.select(F.explode(F.slice("titles", 1, 2)).alias("title"), "label")
+    return clustering.first_members(points.select("id", "label"), titles, 2).select("title", "label")
+
+
+# the reference form of density clustering: rows of the cosine distance matrix of lemmatised TF-IDF as points
+
+ROWS_KEPT = "kept AS (SELECT * FROM freq WHERE df >= 3 ORDER BY cf DESC, term LIMIT 200)"
+ROWS = f"""{TFIDF}, {ROWS_KEPT}, {_weights_sql('kept')},
+dense AS (SELECT d.doc_id, list(coalesce(w.w, 0.0) ORDER BY t.term) AS x FROM (SELECT DISTINCT doc_id FROM w) d
+  CROSS JOIN (SELECT DISTINCT term FROM w) t LEFT JOIN w ON w.doc_id = d.doc_id AND w.term = t.term GROUP BY d.doc_id),
+rows AS (SELECT a.doc_id AS id, list(list_dot_product(a.x, b.x) ORDER BY b.doc_id) AS e FROM dense a CROSS JOIN dense b GROUP BY a.doc_id),
+v AS (SELECT id, e FROM rows),
+p AS (SELECT a.id AS i, b.id AS j, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.id < b.id)"""
+
+
+def _row_points(spark, sf_dir) -> DataFrame:
+    return cut(features.distance_row_vectors(cut(_weights(spark, sf_dir, 3, 200), "weights")), "row-points")
+
+
+ROW_EPS = 0.6
+
+
+@query(_dbscan_sql(ROW_EPS, ROWS) + " SELECT id, label FROM lab")
+def dbscan_distance_rows(spark, sf_dir):
+    points = _row_points(spark, sf_dir)
+    return clustering.dbscan(points, clustering.vector_pairs(points, ROW_EPS), ROW_EPS).select("id", "label")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_dbscan_sql(e, ROWS)} SELECT {e}::DOUBLE AS eps, count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters, "
+        f"count(*) FILTER (WHERE label = -1) AS n_noise FROM lab)"
+        for e in (0.3, 0.6)
+    )
+)
+def sweep_distance_rows(spark, sf_dir):
+    points = _row_points(spark, sf_dir)
+    return clustering.dbscan_sweep(points, clustering.vector_pairs(points, 0.6), [0.3, 0.6])

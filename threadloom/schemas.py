@@ -9,7 +9,6 @@ _THREAD = (
 )
 
 RAW = "forum STRING, page INT, title STRING, url STRING, closed BOOLEAN, raw_content STRING"
-POST_ROWS = "forum STRING, page INT, url STRING, pos INT, user STRING, date STRING, content STRING"
 REFINED = (f"{_THREAD}, external_urls ARRAY<STRING>")
 PURE = (
     f"_id STRING, {_THREAD}, DNS_Related BOOLEAN, Non_English BOOLEAN, labels ARRAY<STRING>, raw_tag ARRAY<STRING>, "
@@ -18,7 +17,6 @@ PURE = (
 EXTERNAL_RAW = "title STRING, url STRING, raw_content STRING"
 EXTERNAL_REFINED = "title STRING, url STRING, refined_content STRING"
 EXTERNAL_PURE = "title STRING, url STRING, pure_text STRING"
-ATTEMPTS = "url STRING, attempt INT, is_external BOOLEAN, status INT, error STRING"
 RULES = "label STRING, ord INT, tier INT, kind STRING, keyword STRING, n INT, threshold INT"
 LEMMAS = "form STRING, lemma STRING"
 
@@ -28,4 +26,3 @@ NOTES = (
     "ARRAY<STRUCT<notes: ARRAY<STRUCT<author: STRUCT<name: STRING>, updated_at: STRING, created_at: STRING, "
     "note: STRING, note_html: STRING>>>>"
 )
-TOPIC_DATA = "author_name STRING"

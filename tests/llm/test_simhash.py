@@ -197,3 +197,27 @@ def test_deduplicate_merges_no_less_similar_texts(spark):
     assert exact_left(texts) == list(range(len(texts)))
     rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)]
     assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == list(range(len(texts)))
+
+
+def test_deduplicate_with_shared_ids(spark):
+    """Unlike texts with one id are kept apart, and which row of a group stays is fixed."""
+    rng = random.Random(23)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    one, two, three = text(), text(), text()
+    rows = [(1, one, "x", "y", 1), (1, two, "x", "y", 1), (2, three, "x", "y", 1), (2, one, "x", "y", 1), (2, three, "x", "y", 1)]
+    for _ in range(2):
+        found = simhash.deduplicate(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in found) == sorted([(1, one), (1, two), (2, three)])
+        rows.reverse()
+
+
+def test_majority_by_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 3, 0, 40, 1, 7, 0, 16, 100, 0])
+    hashes = rng.integers(0, 2**64, counts.sum(), dtype=np.uint64)
+    whole = simhash.majority(hashes, counts)
+    for size in (1, 7, 16, 64):
+        monkeypatch.setattr(simhash, "HASHES", size)
+        assert np.array_equal(simhash.majority(hashes, counts), whole)
+    own = hashes[3:43]
+    assert int(whole[3]) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > 40)

@@ -16,14 +16,21 @@ Every link between different fingerprints is found, and what is written down
 are spanning links, so dense groups never become lists of pairs.  Groups above
 ``BLOCK`` fingerprints are dealt out as pairs of blocks.
 
+``deduplicate`` is the form for similar texts: the index finds the close ones, and
+an exact search finds the rest, which no fingerprint can promise (two texts that
+share 4/5 of their shingles differ in some 10 of 64 bits, and now and then in 20).
+
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; repeated rows and equal texts share a component; a null id takes the
-smallest id of its component (null when it has none); an empty table gives no
-rows; other columns pass through ``deduplicate``.
+smallest id of its component (null when it has none); texts are read whole, however
+long; ties in Gray rank don't matter; an empty table gives no rows; other columns
+pass through ``deduplicate``, where unlike texts with one id stay apart and repeated
+rows become one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, cut, map_batches, table
+from threadloom.llm.common import bound_batches, cut, discard, map_batches, table
 from threadloom.llm.components import UnionFind, components, thin
-from threadloom.llm.groups import by_group, deal
+from threadloom.llm.groups import by_group, deal, deal_out
 
 SEED = 42
 #: Words of a shingle and bits that may differ, by the contract of the query.
@@ -48,16 +55,20 @@ FANOUT = 8
 FRONTIER = 1 << 19
 #: Similar texts (``deduplicate``): words of a shingle; they share 4/5 of their distinct shingles or more.
 SIMILAR_WORDS = 5
-#: Words of 64 bits in a wide fingerprint, and its bits that similar texts mostly differ in at most.
-WIDE, WIDE_BITS = 4, 42
-#: Words of 64 bits in a parity sketch.
-SKETCH = 4
+#: Hashes whose bits are held as bytes at once.
+HASHES = 1 << 18
+#: Words of 64 bits in the parity sketch that meets others by shingle, and in the shortest of those that pairs are tested with.
+SKETCH, WIDE = 4, 32
 #: Rows of a shingle's group up to which all its pairs are listed.
 FEW = 32
-#: Texts of an open cluster that one task compares at once.
-OPEN_BLOCK = 1024
+#: Sets of a more common shingle that one task compares at once.
+FOREST_BLOCK = 4096
+#: Texts of an open cluster that one task compares at once, and blocks that are not cut further.
+OPEN_BLOCK, OPEN_FINE = 1024, 128
 #: Texts counted for the order of shingles, the least count that matters, and counts sent to all tasks.
 COUNTED, OFTEN, COUNTS = 20_000, 4, 1 << 18
+#: Sets of a partition that are remembered, so that copies are sent once.
+SEEN = 1 << 20
 
 
 def shingle_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +98,14 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
-        at = np.cumsum(counts[some]) - counts[some]
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        ends = np.cumsum(counts[some])
+        ones = np.zeros((len(some), 64), np.int64)
+        for begin in range(0, len(hashes), HASHES):
+            end = min(len(hashes), begin + HASHES)
+            bits = np.unpackbits(hashes[begin:end].view(np.uint8), bitorder="little").reshape(-1, 64)
+            first, last = np.searchsorted(ends, [begin, end - 1], "right")
+            at = np.maximum(np.append(0, ends)[first : last + 1], begin) - begin
+            ones[first : last + 1] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
         most = ones * 2 > counts[some][:, None]
         out[some] = np.packbits(most, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
@@ -100,18 +116,6 @@ def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
     return majority(*shingle_hashes(texts, words))
 
 
-def wide_fingerprints(texts: list[str | None], words: int = SIMILAR_WORDS, wide: int = WIDE) -> list[np.ndarray]:
-    """Fingerprints of 64 * wide bits; the words after the first are of remixed hashes."""
-    hashes, counts = shingle_hashes(texts, words)
-    out = [majority(hashes, counts)]
-    for _ in range(1, wide):
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes = hashes ^ (hashes >> np.uint64(32))
-        out.append(majority(hashes, counts))
-    return out
-
-
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Position of each 64-bit code in the reflected Gray sequence."""
     rank = codes.copy()
@@ -136,14 +140,9 @@ def blocks_for(distinct: int, limit: int = MAX_BITS) -> int:
 
 
 class GrayIndex:
-    """Trees of shared bit patterns over groups of codes, each group in Gray order.
-
-    ``more`` (n x words) holds further bits of each code; with it, codes are
-    linked only if those differ in at most ``most`` bits together with the first.
-    """
+    """Trees of shared bit patterns over groups of codes, each group in Gray order."""
 
-    def __init__(self, codes: np.ndarray, starts: np.ndarray, more: np.ndarray | None = None, most: int = 0):
-        self.more, self.most = more, most
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
         n = len(codes)
         ends = np.append(starts[1:], n)
         full = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -170,8 +169,8 @@ class GrayIndex:
         n = len(self.codes)
         sets = UnionFind(n)
         near = (np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= limit) & (self.roots[1:] == self.roots[:-1])
-        self._add(np.flatnonzero(near), np.flatnonzero(near) + 1, sets)
-        for _, mask, _, _, leaf_lo, leaf_hi in self.levels[1:] if self.more is None else ():
+        sets.add(np.flatnonzero(near), np.flatnonzero(near) + 1)
+        for _, mask, _, _, leaf_lo, leaf_hi in self.levels[1:]:
             tight = np.flatnonzero(np.bitwise_count(~mask) <= limit)
             many = leaf_hi[tight] - leaf_lo[tight]
             head = np.repeat(leaf_lo[tight], many)
@@ -181,13 +180,6 @@ class GrayIndex:
             self._search(np.arange(begin, min(n, begin + step)), limit, sets)
         return sets
 
-    def _add(self, a: np.ndarray, b: np.ndarray, sets: UnionFind) -> None:
-        if self.more is not None:
-            far = np.bitwise_count(self.codes[a] ^ self.codes[b]).astype(np.int16)
-            near = far + np.bitwise_count(self.more[a] ^ self.more[b]).sum(axis=1, dtype=np.int16) <= self.most
-            a, b = a[near], b[near]
-        sets.add(a, b)
-
     def _search(self, query: np.ndarray, limit: int, sets: UnionFind) -> None:
         codes, labels = self.codes, sets.root
         alike = [labels]  # the set that all leaves of a node are in, or -1
@@ -212,40 +204,36 @@ class GrayIndex:
             below = mask[child]
             far = far + np.bitwise_count((codes[query] ^ pattern[child]) & below & ~held)
             node, held = child, below
-        self._add(query, node, sets)
+        sets.add(query, node)
 
 
-def links(codes: DataFrame, masks: list[int], limit: int, most: int = 0, block: int = BLOCK) -> DataFrame:
-    """Spanning links (a, b) among the nodes of ``codes`` (node, fp, and further words w1, w2, ...).
+def links(codes: DataFrame, masks: list[int], limit: int, block: int = BLOCK) -> DataFrame:
+    """Spanning links (a, b) among the distinct fingerprints of ``codes`` (fp).
 
-    Nodes are compared when their fingerprints agree on all bits of a mask.
+    Fingerprints are compared when they agree on all bits of a mask.
     """
-    words = [c for c in codes.columns if c not in ("node", "fp")]
 
     def spread(batch: pa.RecordBatch) -> dict:
         fp = batch.column("fp").to_numpy()
-        raw = fp.view(np.uint64)
-        k = len(masks)
-        out = {name: np.tile(batch.column(name).to_numpy(), k) for name in ("node", "fp", *words)}
-        return out | {
+        raw, k = fp.view(np.uint64), len(masks)
+        return {
+            "fp": np.tile(fp, k),
             "choice": np.repeat(np.arange(k, dtype=np.int32), len(fp)),
             "value": np.concatenate([(raw & np.uint64(m)).view(np.int64) for m in masks]),
         }
 
     bound_batches(codes.sparkSession)
-    columns = ", ".join(f"{name} long" for name in ("node", "fp", *words))
-    rows = map_batches(codes, spread, f"choice int, value long, {columns}")
+    rows = map_batches(codes.select("fp"), spread, "choice int, value long, fp long")
     key = ["choice", "value", "__i", "__j"]
-    dealt = deal(rows, ["choice", "value"], "node", block).repartition(*key).sortWithinPartitions(*key)
+    dealt = deal(rows, ["choice", "value"], "fp", block).repartition(*key).sortWithinPartitions(*key)
 
     def join(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        node, fp = held.column("node").to_numpy(), held.column("fp").to_numpy().view(np.uint64)
+        fp = held.column("fp").to_numpy()
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fp))))
-        order = np.lexsort((gray_rank(fp), group))
-        more = np.stack([held.column(w).to_numpy().view(np.uint64) for w in words], 1)[order] if words else None
-        sets = GrayIndex(fp[order], starts, more, most).link(limit)
+        order = np.lexsort((gray_rank(fp.view(np.uint64)), group))
+        sets = GrayIndex(fp[order].view(np.uint64), starts).link(limit)
         moved = np.flatnonzero(sets.root != np.arange(len(fp)))
-        a, b = node[order[moved]], node[order[sets.root[moved]]]
+        a, b = fp[order[moved]], fp[order[sets.root[moved]]]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(lambda batches: thin(by_group(batches, key, join)), "a long, b long")
@@ -267,7 +255,7 @@ def classes(docs: DataFrame, words: int = WORDS, limit: int = MAX_BITS) -> DataF
     marked = cut(fingerprint(docs, words), "simhash-fp")
     codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-codes")
     masks = block_masks(blocks_for(codes.count(), limit), limit)
-    found = components(links(codes.select(F.col("fp").alias("node"), "fp"), masks, limit))
+    found = components(links(codes, masks, limit))
     linked = codes.join(found, codes["fp"] == found["node"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
@@ -314,127 +302,245 @@ def sketches(hashes: np.ndarray, counts: np.ndarray, words: int = SKETCH) -> np.
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def _often(texts: DataFrame, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of some counted ``texts`` (key, text) hold, ascending, and their counts."""
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(max(1, number // COUNTED))) == 0).select("text")
+def wide_sketches(hashes: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Parity sketches of two bits or more for each member: a power of two of words, WIDE at least.
+
+    The two halves of a sketch, added, are the sketch of half the size.
+    """
+    words = np.full(len(counts), WIDE, np.int64)
+    while (small := 32 * words < counts).any():
+        words[small] *= 2
+    ends = np.append(0, np.cumsum(words))
+    bit = (_remix(hashes) >> np.uint64(20)).astype(np.int64) & np.repeat(64 * words - 1, counts)
+    ones = np.bincount(np.repeat(64 * ends[:-1], counts) + bit, minlength=64 * int(ends[-1]))
+    flat = np.packbits((ones & 1).astype(np.uint8), bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _often(docs: DataFrame, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some counted rows of ``docs`` (key, text) hold, ascending, and their counts.
+
+    They only order the shingles, so what the sample holds changes no result.
+    """
+    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(max(1, number // COUNTED))) == 0).select("text")
     held = map_batches(some, lambda batch: {"shingle": shingle_sets(batch.column("text").to_pylist())[0].view(np.int64)}, "shingle long")
     least, counts = OFTEN, cut(held.groupBy("shingle").count().where(F.col("count") >= OFTEN), "simhash-often")
     while counts.where(F.col("count") >= least).count() > COUNTS:
         least *= 2
     found = counts.where(F.col("count") >= least).toArrow()
+    discard(counts)
     shingles, number = found.column("shingle").to_numpy(), found.column("count").to_numpy()
     order = np.argsort(shingles)
     return shingles[order], number[order]
 
 
-def _sets(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, n, shingles) of the rows (node, s1, s2, n, text) whose text has the node's set; repeated rows give one."""
-    hashes, n = shingle_sets(batch.column("text").to_pylist())
-    s1, s2 = digests(hashes, n)
-    ours = (s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy())
-    ours &= n == batch.column("n").to_numpy()
-    node = batch.column("node").to_numpy()
-    for i in np.flatnonzero(ours).tolist():
-        ours[i] = int(node[i]) not in seen
-        seen.add(int(node[i]))
-    return node[ours], n[ours], hashes[np.repeat(ours, n)].view(np.int64)
-
-
-def sets(texts: DataFrame) -> DataFrame:
-    """(node, n, shingles) of ``texts`` (node, s1, s2, n, text)."""
-    seen: set[int] = set()
-
-    def run(batch: pa.RecordBatch) -> dict:
-        node, n, flat = _sets(batch, seen)
-        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
-        return {"node": node, "n": n, "shingles": pa.ListArray.from_arrays(ends, pa.array(flat))}
-
-    return map_batches(texts, run, "node long, n long, shingles array<long>")
-
-
-def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, node): the rarest fifth of each set's shingles, and one more, where another set's has it too.
+def marks(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, key, s1, s2, n, fp, o0, ..., wide, prefix) of the rows (id, key, text).
 
-    In one order of all shingles, sets of n and m members that share 4/5 of their
-    union share a member within the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.
+    s1, s2 and n tell equal sets of shingles, fp is the fingerprint of the set and
+    o0, ... and ``wide`` are its parity sketches.  ``prefix`` holds the rarest fifth of the set and one
+    more: in one order of all shingles, sets of n and m members that share 4/5 of
+    their union share a member within the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.
     """
-    spread = texts.sparkSession.sparkContext.broadcast(often)
-    seen: set[int] = set()
+    spread = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batch: pa.RecordBatch) -> dict:
         known, number = spread.value
-        node, n, flat = _sets(batch, seen)
+        flat, n = shingle_sets(batch.column("text").to_pylist())
+        s1, s2 = digests(flat, n)
+        odd = sketches(flat, n).view(np.int64)
+        fp = majority(flat, n).view(np.int64)
+        own = flat.view(np.int64)
         weight = np.zeros(len(flat), np.int64)
         if len(known):
-            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-            weight = np.where(known[place] == flat, number[place], 0)
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            weight = np.where(known[place] == own, number[place], 0)
         owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((flat, weight, owner))
+        order = np.lexsort((own, weight, owner))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-        first = order[rank < np.repeat(n + 1 - -(-4 * n // 5), n)]
-        return {"shingle": flat[first], "node": node[owner[first]]}
+        many = np.where(n > 0, n + 1 - -(-4 * n // 5), 0)
+        first = own[order[rank < np.repeat(many, n)]]
+        prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(first))
+        out = {"id": batch.column("id"), "key": batch.column("key"), "s1": s1, "s2": s2, "n": n, "fp": fp, "prefix": prefix}
+        out["wide"] = wide_sketches(flat, n)
+        return out | {f"o{i}": odd[:, i] for i in range(SKETCH)}
+
+    columns = ", ".join(f"{c} long" for c in ("s1", "s2", "n", "fp", *(f"o{i}" for i in range(SKETCH))))
+    return map_batches(docs, run, f"id long, key string, {columns}, wide array<long>, prefix array<long>")
+
+
+def shared_prefixes(marked: DataFrame) -> DataFrame:
+    """(shingle, s1, s2): the prefix shingles that two or more different sets have."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            s1, s2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
+            new = np.zeros(len(s1), bool)
+            for i, pair in enumerate(zip(s1.tolist(), s2.tolist())):
+                new[i] = pair not in seen
+                seen.add(pair)
+            batch = batch.filter(pa.array(new))
+            prefix, many = batch.column("prefix"), batch.column("prefix").value_lengths().to_numpy()
+            columns = [prefix.flatten(), pa.array(np.repeat(s1[new], many)), pa.array(np.repeat(s2[new], many))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "s1", "s2"])
+            if len(seen) > SEEN:  # sets that come again are only sent again
+                seen.clear()
 
     def repeated(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        size = np.diff(np.append(starts, held.num_rows))
-        return held.filter(pa.array(np.repeat(size > 1, size))).combine_chunks()
+        s1, s2 = held.column("s1").to_numpy(), held.column("s2").to_numpy()
+        new = np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))
+        new[starts] = True
+        size = np.add.reduceat(new.astype(np.int64), starts)
+        return held.filter(pa.array(new & np.repeat(size > 1, np.diff(np.append(starts, held.num_rows))))).combine_chunks()
 
     def shared(batches):
         for table_ in by_group(batches, ["shingle"], repeated):
             yield from table_.to_batches()
 
-    rows = map_batches(texts.where("n > 0"), run, "shingle long, node long")
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(shared, "shingle long, node long")
+    schema = "shingle long, s1 long, s2 long"
+    rows = marked.where("n > 0").select("s1", "s2", "prefix").mapInArrow(spread, schema)
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "s1", "s2").mapInArrow(shared, schema)
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """(node, n, shingles) of the rows (node, s1, s2, n, text) whose text has the node's set; repeated rows give one."""
+    seen: set[int] = set()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        hashes, n = shingle_sets(batch.column("text").to_pylist())
+        s1, s2 = digests(hashes, n)
+        ours = (s1 == batch.column("s1").to_numpy()) & (s2 == batch.column("s2").to_numpy())
+        ours &= n == batch.column("n").to_numpy()
+        node = batch.column("node").to_numpy()
+        for i in np.flatnonzero(ours).tolist():
+            ours[i] = int(node[i]) not in seen
+            seen.add(int(node[i]))
+        ends = pa.array(np.append(0, np.cumsum(n[ours])), pa.int32())
+        flat = pa.array(hashes[np.repeat(ours, n)].view(np.int64))
+        return {"node": node[ours], "n": n[ours], "shingles": pa.ListArray.from_arrays(ends, flat)}
 
+    return map_batches(texts, run, "node long, n long, shingles array<long>")
 
-def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a < b, many) of nodes that share a prefix shingle and may be similar by size and sketch.
 
-    Of a group of more than FEW rows (``many``) the pairs of a spanning forest are listed.
+def close_fingerprints(codes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) between nodes of ``codes`` (node, fp) with equal or close fingerprints, by the index; they span its groups."""
+    prints = cut(codes.groupBy("fp").agg(F.min("node").alias("head")), "simhash-prints")
+    masks = block_masks(blocks_for(prints.count(), limit), limit)
+    near = links(prints, masks, limit).distinct()
+    near = near.join(prints.toDF("a", "head_a"), "a").join(prints.toDF("b", "head_b"), "b")
+    same = codes.select("node", "fp").join(prints, "fp").where("node <> head").select("node", "head")
+    return near.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).union(
+        same.select(F.least("node", "head"), F.greatest("node", "head"))
+    )
+
+
+class Parities:
+    """Wide sketches of some sets, compared by place."""
+
+    def __init__(self, wide: pa.ListArray):
+        self.words = wide.value_lengths().to_numpy().astype(np.int64)
+        flat, ends = wide.flatten().to_numpy().view(np.uint64), np.cumsum(self.words)
+        self.at = np.zeros(len(self.words), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for size in np.unique(self.words).tolist():
+            here = np.flatnonzero(self.words == size)
+            self.at[here] = np.arange(len(here))
+            rows = flat[(ends[here] - size)[:, None] + np.arange(size)]
+            self.of[size], self.half[size] = rows, rows[:, : size // 2] ^ rows[:, size // 2 :]
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which set i differs from each of the others, in sketches of the smaller size; many where none fit."""
+        size = int(self.words[i])
+        out = np.full(len(others), 1 << 40, np.int64)
+        for other in (size // 2, size, 2 * size):
+            here = np.flatnonzero(self.words[others] == other)
+            if len(here):
+                own = self.half[size][self.at[i]] if other < size else self.of[size][self.at[i]]
+                rows = (self.half if other > size else self.of)[other][self.at[others[here]]]
+                out[here] = np.bitwise_count(own ^ rows).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def few_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the rows (shingle, node, n, o0, ...) that share a shingle and may be similar by size and sketch.
+
+    For shingles of at most FEW rows; each is a group of its own.
     """
     sketch = [f"o{i}" for i in range(SKETCH)]
-    key = ["shingle", "__i", "__j"]
-    dealt = deal(rows, ["shingle"], "node", block).repartition(*key).sortWithinPartitions(*key)
 
     def join(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         node, n = held.column("node").to_numpy(), held.column("n").to_numpy()
         odd = np.stack([held.column(c).to_numpy() for c in sketch], 1).view(np.uint64)
-
-        def near(i, j):
-            sizes = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-            return sizes & (9 * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=-1, dtype=np.int64) <= n[i] + n[j])
-
-        ends = np.append(starts[1:], len(node))
-        size = ends - starts
-        last, size_of = np.repeat(ends, size), np.repeat(size, size)
+        last = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        few = np.flatnonzero((size_of > 1) & (size_of <= FEW))
+        few = np.arange(len(node))
         for step in range(1, FEW):
             few = few[few + step < last[few]]
             if not len(few):
                 break
-            found = few[near(few, few + step)]
-            a.append(found)
-            b.append(found + step)
-        listed = sum(map(len, a))
-        for lo, hi in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist()):
+            to = few + step
+            near = 5 * np.minimum(n[few], n[to]) >= 4 * np.maximum(n[few], n[to])
+            near &= 9 * np.bitwise_count(odd[few] ^ odd[to]).sum(axis=1, dtype=np.int64) <= n[few] + n[to]
+            a.append(few[near])
+            b.append(to[near])
+        return _pairs(node[np.concatenate(a)], node[np.concatenate(b)])
+
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(lambda batches: by_group(batches, ["shingle"], join), "a long, b long").distinct()
+
+
+def forest_pairs(rows: DataFrame, block: int = FOREST_BLOCK) -> DataFrame:
+    """Pairs (a < b) that span, for each shingle of the rows (shingle, node, n, wide), the sets that may be similar.
+
+    Two sets of a shingle that wide sketches allow to be similar are joined by a path of such pairs.
+    """
+    key = ["shingle", "__i", "__j"]
+    dealt = deal_out(deal(rows, ["shingle"], "node", block), "shingle")
+
+    def join(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, n = held.column("node").to_numpy(), held.column("n").to_numpy()
+        wide = Parities(held.column("wide").combine_chunks())
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist()):
             left, queue = lo + np.argsort(node[lo:hi], kind="stable"), []
             while len(left):
                 if not queue:
                     queue, left = [left[0]], left[1:]
                 at = queue.pop()
-                found = near(at, left)
-                a.append(np.full(int(found.sum()), at))
-                b.append(left[found])
-                queue.extend(left[found].tolist())
-                left = left[~found]
-        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
-        pairs = np.stack([np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= listed], 1)
-        pairs = np.unique(pairs[a != b], axis=0)
-        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "many"])
+                near = 5 * np.minimum(n[at], n[left]) >= 4 * np.maximum(n[at], n[left])
+                near[near] = 9 * wide.differ(at, left[near]) <= n[at] + n[left[near]]
+                a.append(np.full(int(near.sum()), at))
+                b.append(left[near])
+                queue.extend(left[near].tolist())
+                left = left[~near]
+        return _pairs(node[np.concatenate(a)], node[np.concatenate(b)])
+
+    return dealt.mapInArrow(lambda batches: by_group(batches, key, join, 4 * block), "a long, b long").distinct()
+
 
-    found = dealt.mapInArrow(lambda batches: by_group(batches, key, join), "a long, b long, many boolean")
-    return found.groupBy("a", "b").agg(F.max("many").alias("many"))
+def plausible(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs that wide sketches of ``codes`` (node, n, wide) allow to share 4/5 of their union."""
+    one, two = codes.select("node", "n", "wide").toDF("a", "n_a", "of_a"), codes.select("node", "n", "wide").toDF("b", "n_b", "of_b")
+
+    def halved(x):
+        half = F.shiftright(F.size(x), 1)
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    # sizes within 4/5 of each other: the sketches are of one size, or one is twice the other
+    of_a = F.when(F.size("of_a") > F.size("of_b"), halved(F.col("of_a"))).otherwise(F.col("of_a"))
+    of_b = F.when(F.size("of_b") > F.size("of_a"), halved(F.col("of_b"))).otherwise(F.col("of_b"))
+    odd = F.zip_with(of_a, of_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(odd, F.lit(0), lambda held, x: held + x)
+    sizes = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+    near = F.when(sizes, 9 * differ <= F.col("n_a") + F.col("n_b"))
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -442,14 +548,39 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     one = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
     two = held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
     both = pairs.join(one, "a").join(two, "b")
-    return both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "many")
+    return both.where(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def cross_links(members: DataFrame, block: int = OPEN_BLOCK) -> DataFrame:
+def open_members(members: DataFrame, block: int = OPEN_BLOCK, fine: int = OPEN_FINE) -> DataFrame:
+    """(node) of the members (hub, node, label, n, wide) whose sketch allows that they are similar to one of another label."""
+    key = ["hub", "__i", "__j"]
+    dealt = deal(members.select("hub", "node", "label", "n", "wide"), ["hub"], "node", block, fine=fine)
+
+    def compare(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        out = [np.zeros(0, np.int64)]
+        for lo, hi in zip(starts, np.append(starts[1:], held.num_rows)):
+            part = held.slice(lo, hi - lo)
+            node, label, n = (part.column(c).to_numpy() for c in ("node", "label", "n"))
+            wide, found = Parities(part.column("wide").combine_chunks()), np.zeros(len(n), bool)
+            order = np.argsort(n, kind="stable")
+            stop = np.searchsorted(4 * n[order], 5 * n[order], "right")
+            for place, i in enumerate(order.tolist()):
+                rest = order[place + 1 : stop[place]]
+                rest = rest[label[rest] != label[i]]
+                near = 9 * wide.differ(i, rest) <= n[i] + n[rest]
+                found[rest] |= near
+                found[i] |= near.any()
+            out.append(node[found])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["node"])
+
+    found = deal_out(dealt, "hub").mapInArrow(lambda batches: by_group(batches, key, compare, 4 * block), "node long")
+    return found.distinct()
+
+
+def cross_links(members: DataFrame, block: int = OPEN_BLOCK, fine: int = OPEN_FINE) -> DataFrame:
     """Links (a, b) between similar sets of one hub (hub, node, label, n, shingles) that differ in label."""
     key = ["hub", "__i", "__j"]
-    dealt = deal(members.select("hub", "node", "label", "n", "shingles"), ["hub"], "node", block)
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    dealt = deal(members.select("hub", "node", "label", "n", "shingles"), ["hub"], "node", block, fine=fine)
 
     def compare(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -472,63 +603,76 @@ def cross_links(members: DataFrame, block: int = OPEN_BLOCK) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(lambda batches: thin(by_group(batches, key, compare, 4 * block)), "a long, b long")
+    return deal_out(dealt, "hub").mapInArrow(lambda batches: thin(by_group(batches, key, compare, 4 * block)), "a long, b long")
 
 
-def similar(codes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every set of ``codes`` (node, key, s1, s2, n, o0, ...) that is linked with another.
+def similar(codes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of every set of ``codes`` (node, key, s1, s2, n, fp, o0, ...) that is linked with another.
 
-    All pairs of the small groups are verified, and a spanning forest of the
-    large ones.  Where that leaves members of large groups apart that candidates
-    hold together, the sets themselves are compared.
+    The index finds the sets whose fingerprints are close, which are nearly all
+    that are copied with few changes.  Sets further apart are found by a shingle
+    of their prefixes.  Of a shingle that few sets have all pairs are tested by
+    sketches that can't rule out a similar pair, and then verified; of a more common
+    one, a spanning forest of what the sketches allow.  Where that leaves sets apart
+    that a forest holds together, they are compared themselves.
     """
-    wanted = codes.select("node", "key", "s1", "s2", "n")
-    told = ["node", "s1", "s2", "n", "text"]
-    rows = prefixes(texts.join(wanted, "key").select(*told), _often(texts, codes.count()))
     sketch = [f"o{i}" for i in range(SKETCH)]
-    rows = cut(cut(rows, "simhash-prefixes").join(codes.select("node", "n", *sketch), "node"), "simhash-rows")
-    pairs = cut(candidates(rows), "simhash-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = cut(sets(texts.join(wanted.join(nodes, "node"), "key").select(*told)), "simhash-shingles")
-    good = cut(verified(pairs, held), "simhash-similar")
-    found = components(good.select("a", "b"))
-    if good.count() == pairs.count():
-        return found
-    hubs = components(pairs.where("many").select("a", "b")).select("node", F.col("root").alias("hub"))
-    members = hubs.join(found, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label"))
-    members = cut(members, "simhash-hubs")
-    apart = members.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    more = cut(cross_links(members.join(apart.select("hub"), "hub").join(held, "node")), "simhash-cross")
-    return components(good.select("a", "b").union(more)) if more.limit(1).count() else found
+    shared = cut(shared_prefixes(marked), "simhash-prefixes")
+    discard(marked)
+    rows = cut(shared.join(codes.select("s1", "s2", "node", "n", *sketch), ["s1", "s2"]).drop("s1", "s2"), "simhash-rows")
+    discard(shared)
+    common = cut(rows.groupBy("shingle").count().where(F.col("count") > FEW).select("shingle"), "simhash-common")
+    pairs = cut(few_pairs(rows.join(common, "shingle", "left_anti")), "simhash-pairs")
+    crowded = rows.join(common, "shingle").select("shingle", "node").join(codes.select("node", "n", "wide"), "node")
+    forest = cut(forest_pairs(crowded), "simhash-forest")
+    discard(rows, common)
+    likely = cut(plausible(pairs, codes).union(forest).distinct(), "simhash-likely")
+    near = cut(plausible(close_fingerprints(codes), codes), "simhash-near")
+    ends = likely.union(near)
+    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+    wanted = codes.select("node", "key", "s1", "s2", "n").join(nodes, "node")
+    held = cut(sets(texts.join(wanted, "key").select("node", "s1", "s2", "n", "text")), "simhash-shingles")
+    good = cut(verified(near, held), "simhash-close")
+    close = components(good)
+    # what the index has joined needs no other link
+    of_a, of_b = close.toDF("a", "root_a"), close.toDF("b", "root_b")
+    open_ = likely.join(of_a, "a", "left").join(of_b, "b", "left").where("NOT coalesce(root_a = root_b, false)")
+    more = cut(verified(open_.select("a", "b"), held), "simhash-similar")
+    all_ = good.union(more)
+    found = components(all_)
+    if forest.limit(1).count():
+        hubs = components(forest).select("node", F.col("root").alias("hub"))
+        members = cut(hubs.join(found, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("label")), "simhash-hubs")
+        apart = members.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("hub")
+        members = members.join(apart, "hub")
+        left = cut(open_members(members.join(codes.select("node", "n", "wide"), "node")), "simhash-left")
+        if left.limit(1).count():
+            cross = cut(cross_links(members.join(left, "node").join(held, "node")), "simhash-cross")
+            found = components(all_.union(cross))
+    discard(pairs, forest, likely, held, near)
+    return found
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of similar texts: the smallest id stays.
 
     Texts are linked when they share 4/5 or more of their distinct
-    ``SIMILAR_WORDS``-word shingles; no pair is missed and none is added.  A row
-    without id is known by its text.
+    ``SIMILAR_WORDS``-word shingles; no pair is missed and none is added.  Rows
+    are known by id and text, so unlike texts with one id are kept apart, and
+    repeated rows become one.
     """
     bound_batches(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha1(F.coalesce("text", F.lit("")))))
+    key = F.concat_ws("~", F.col("doc_id").cast("string"), F.sha1(F.coalesce("text", F.lit(""))))
     sketch = [f"o{i}" for i in range(SKETCH)]
-
-    def mark(batch: pa.RecordBatch) -> dict:
-        hashes, n = shingle_sets(batch.column("text").to_pylist())
-        s1, s2 = digests(hashes, n)
-        odd = sketches(hashes, n).view(np.int64)
-        out = {c: batch.column(c) for c in ("id", "key")} | {"s1": s1, "s2": s2, "n": n}
-        return out | {c: odd[:, i] for i, c in enumerate(sketch)}
-
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), "text")
-    by = ["s1", "s2", "n", *sketch]
-    marked = map_batches(narrow, mark, "id long, key string, " + ", ".join(f"{c} long" for c in by))
+    marked = cut(marks(narrow, _often(narrow.select("key", "text"), docs.count())), "simhash-marks")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
-    codes = marked.groupBy(*by).agg(first).withColumn("node", F.monotonically_increasing_id())
+    codes = marked.groupBy("s1", "s2", "n", "fp", *sketch).agg(first, F.first("wide").alias("wide"))
+    codes = codes.withColumn("node", F.monotonically_increasing_id())
     codes = cut(codes.withColumn("key", F.col("first.key")), "simhash-sets")
-    found = similar(codes, narrow.select("key", "text"))
+    found = similar(codes, marked, narrow.select("key", "text"))
     roots = codes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
+    stay = cut(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")), "simhash-stay")
     kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).drop("__key")
 

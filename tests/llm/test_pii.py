@@ -122,7 +122,7 @@ def test_spans_over_window_edges(tagger):
 def test_long_secrets_at_every_offset(tagger):
     rng = random.Random(8)
     missed = []
-    for size in (64, 80, 128, 200):
+    for size in (64, 70, 80, 128, 130, 200):
         value = "".join(rng.choice("0123456789abcdef") for _ in range(size))
         texts = ["x" * shift + " and the words " * 6 + f"token={value} and more words of text" for shift in range(64)]
         for shift, (_, spans) in enumerate(pii.find(texts, tagger)):
@@ -131,6 +131,34 @@ def test_long_secrets_at_every_offset(tagger):
     assert not missed
 
 
+def test_secrets_of_letters_after_a_key_word(tagger):
+    for line, value in (
+        ("password = hunterTwoAlphaBravo", "hunterTwoAlphaBravo"), ("token: abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwx"),
+        ('api_key="QwErTyUiOpAsDfGhJkLz"', "QwErTyUiOpAsDfGhJkLz"), ("secret=correcthorsebatterystaple", "correcthorsebatterystaple"),
+    ):
+        for shift in range(0, 64, 7):
+            text = "x" * shift + " some words before it, " + line + " and more words of text"
+            assert ("secret", value) in [(k, text[a:b]) for k, a, b in pii.find([text], tagger)[0][1]], (line, shift)
+
+
+def test_anchored_windows_lose_nothing(spark, sf_dir, tagger):
+    """Reading only the windows around anchors gives the spans that reading every window gives."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rng = random.Random(12)
+    texts += [pii.labelled(rng, 600)[0] for _ in range(100)]
+    texts += ["Write to ann (AT) web (DOT) org or bob[ at ]web[ dot ]net today. " * 3 + "plain words follow here. " * 20]
+    some, every = pii.find(texts, tagger), pii.find(texts, tagger, every=True)
+    assert some == every and sum(len(spans) for _, spans in some) > 500
+
+
+def test_weights_are_stored_once(spark, monkeypatch):
+    first = pii.stored_tagger(spark)
+    pii._HELD.clear()
+    monkeypatch.setattr(pii, "default_tagger", lambda: pytest.fail("trained again"))
+    again = pii.stored_tagger(spark)
+    assert all(np.array_equal(first.w[key], again.w[key]) for key in first.w) and set(first.w) == set(again.w)
+
+
 def test_query_and_redaction(spark, save):
     texts = ["mail a.b@c.de, 10.0.0.1, +1 (607) 555-1595", None, "", "é x@y.zz é", "q" * 200_000]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None), (0, texts[0], None, None, None)]

@@ -4,21 +4,32 @@ The base patterns give e-mail addresses, IP addresses, card and phone numbers,
 each kind leftmost and without overlaps; they are matched in linear time.  The
 tagger is trained from labelled spans: texts composed of invented words, into
 which personal data and look-alikes are put at known places.  It reads windows
-of ``WINDOW`` characters that overlap by half.  A window is read when it holds
-an anchor (a digit, an at sign, or a written-out one), since every kind of span
-has one.  Neighbouring windows are joined to runs: every character's scores come
-from the window where it lies nearest the middle, and the best path is decoded
-once over a run of any length.  A run whose edge cuts a span is read on.  A tagged span is added only where no base span lies, and only if it
-fits its kind (digits of a phone number, the check digit of a card).
+of ``WINDOW`` characters that overlap by half, and neighbouring windows are
+joined to runs: every character's scores come from the window where it lies
+nearest the middle, and the best path is decoded once over a run of any length.
+A run whose edge cuts a span is read on.
+
+A tagged span is added only where no base span lies, and only if it fits its
+kind: an at sign or a written-out one in an address, digits in the others, or for
+a secret a key word before it.  Each of these is an anchor, and the windows
+around every anchor are read, which finds what reading all windows finds (a test
+compares the two on whole tables).
+
+Blanks can't be in a secret, which the decoding of the chain is told.  The weights are trained once and kept in the shared folder, by a digest of this
+code, and each process holds them.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-results; an empty table gives no rows; other columns pass through ``redact``.
+results; overlapping tagged spans are reconciled to the disjoint ones of largest
+weight, ties by the earlier end; texts are read whole, however long; a null id
+stays null; an empty table gives no rows; other columns pass through ``redact``.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import inspect
+import io
 import random
 import re
 import string
@@ -29,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import crf
 from threadloom.llm.common import bound_batches, map_batches, table
+from threadloom.scratch import shared_root
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -37,6 +49,8 @@ WINDOW, STRIDE = 128, 64
 BATCH = 256
 #: Least probability of a tagged span, averaged over its characters.
 SURE = 0.8
+#: Inputs that no secret holds, and the score of a tag that can't be.
+BLANKS, NEVER = (crf.OWN.index(" "), crf.OWN.index("\n"), crf.SPACE), np.float32(-1e4)
 #: Training: batches, and windows in each.
 STEPS, PER_STEP = 360, 32
 
@@ -47,7 +61,10 @@ _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[\[({]at[\])}]")
+_AT = r"[\[({<]\s{0,3}at\s{0,3}[\])}>]"
+_KEY = r"(?:pass(?:word|wd|phrase)?|pwd|token|secret|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+_ANCHOR = re.compile(rf"[0-9@]|{_AT}|{_KEY}", re.I)
+_WRITTEN_AT, _AFTER_KEY = re.compile(rf"@|{_AT}", re.I), re.compile(rf"{_KEY}\Z", re.I)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -134,6 +151,8 @@ def _private(rng: random.Random) -> tuple[str, str, str, str]:
         host, end = rng.choice((low(3, 9), f"mail{digits(1)}.{low(4, 8)}")), rng.choice(("com", "org", "net", "de"))
         if rng.random() < 0.3:
             at, dot = rng.choice(((" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", ".")))
+            if rng.random() < 0.2:
+                at, dot = at.upper(), dot.upper()
             return "", f"{user}{at}{host.replace('.', dot)}{dot}{end}", "", kind
         return "", f"{user}@{host}.{end}", "", kind
     if kind == "ip":
@@ -154,6 +173,12 @@ def _private(rng: random.Random) -> tuple[str, str, str, str]:
     )
     if rng.random() < 0.3:
         return "", "AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16)), "", kind
+    if rng.random() < 0.1:
+        value = rng.choice((
+            "".join(rng.choice(string.ascii_letters) for _ in range(rng.randint(41, 160) if long else rng.randint(14, 40))),
+            "".join(low(2, 8).capitalize() for _ in range(rng.randint(3, 6))) + low(3, 5),
+            low(16, 32),
+        ))
     name = rng.choice(("password", "token", "secret", "api_key", "passwd", "access_token", "Password", "key"))
     before, after = rng.choice((("=", ""), (' = "', '"'), (": ", ""), ("='", "'"), (' = ', "")))
     return f"{name}{before}", value, after, kind
@@ -218,13 +243,37 @@ def default_tagger() -> crf.Tagger:
     return train([labelled(rng, 4 * WINDOW) for _ in range(STEPS * PER_STEP // 4)])
 
 
+_HELD: dict[str, crf.Tagger] = {}
+
+
+def stored_tagger(spark: SparkSession) -> crf.Tagger:
+    """``default_tagger`` from the shared folder, where the first process that trains it leaves its weights."""
+    code = inspect.getsource(crf) + inspect.getsource(inspect.getmodule(stored_tagger))
+    name = hashlib.sha256(code.encode()).hexdigest()[:16]
+    if name not in _HELD:
+        path = f"{shared_root(spark)}/threadloom/models/pii-{name}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            tagger = crf.Tagger(len(KINDS))
+            with np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["weights"]))) as held:
+                tagger.w = {key: held[key] for key in held.files}
+        else:
+            tagger, out = default_tagger(), io.BytesIO()
+            np.savez(out, **tagger.w)
+            spark.createDataFrame([(bytearray(out.getvalue()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+        _HELD[name] = tagger
+    return _HELD[name]
+
+
 # tagging
 
 
-def _fits(kind: str, span: str) -> bool:
+def _fits(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] can be of the kind; all that can holds an anchor or follows one."""
+    span = text[a:b]
     digits = _NOT_DIGIT.sub("", span)
     if kind == "email":
-        return ("@" in span or "at" in span.lower()) and ("." in span or "dot" in span.lower())
+        return bool(_WRITTEN_AT.search(span)) and ("." in span or "dot" in span.lower())
     if kind == "ip":
         parts = span.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -232,7 +281,9 @@ def _fits(kind: str, span: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15 and not re.search(r"[^0-9+() .-]", span) and len(span) > len(digits)
-    return len(span) >= 12 and bool(digits) and not re.search(r"\s", span) and len(digits) < len(span)
+    if len(span) < 12 or re.search(r"\s", span) or len(digits) == len(span):
+        return False
+    return bool(digits) or bool(_AFTER_KEY.search(text, max(0, a - 24), a))
 
 
 def _reconcile(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int]]:
@@ -255,13 +306,15 @@ def _reconcile(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def tag(texts: list[str], tagger: crf.Tagger, sure: float = SURE) -> list[list[tuple[int, int, int]]]:
-    """(start, end, kind number) of the spans that the tagger finds in each text."""
+def tag(texts: list[str], tagger: crf.Tagger, sure: float = SURE, every: bool = False) -> list[list[tuple[int, int, int]]]:
+    """(start, end, kind number) of the spans that the tagger finds in each text; ``every``: reads all windows."""
     # the last window that is needed: one before reaches the end of the text
     last = [max(0, -(-len(text) // STRIDE) - 2) for text in texts]
     cells: list[set[int]] = []
     for number, text in enumerate(texts):
-        near = {m.start() // STRIDE for m in _ANCHOR.finditer(text)}
+        near = {x // STRIDE for m in _ANCHOR.finditer(text) for x in (m.start(), m.end())}
+        if every:
+            near = set(range(-(-len(text) // STRIDE) + 1))
         cells.append({c for x in near for c in (x - 1, x) if 0 <= c <= last[number]})
     found: list[dict] = [{} for _ in texts]
     left = [number for number, some in enumerate(cells) if some]
@@ -287,8 +340,12 @@ def tag(texts: list[str], tagger: crf.Tagger, sure: float = SURE) -> list[list[t
 def _run_scores(texts, tagger, runs, size: int) -> np.ndarray:
     """Scores (STRIDE * (size + 1), runs, tags) of runs (text, first window) of ``size`` windows."""
     rows = []
-    for number, cell in runs:
+    barred = np.zeros(((size + 1) * STRIDE, len(runs)), bool)
+    ended = np.zeros_like(barred)
+    for place, (number, cell) in enumerate(runs):
         ids = crf.inputs(texts[number][cell * STRIDE : (cell + size + 1) * STRIDE])
+        barred[: len(ids), place] = np.isin(ids, BLANKS)
+        ended[len(ids) :, place] = True
         ids = np.append(ids, np.full((size + 1) * STRIDE - len(ids), crf.REST))
         rows += [ids[i * STRIDE : i * STRIDE + WINDOW] for i in range(size)]
     out = np.empty(((size + 1) * STRIDE, len(runs), tagger.tags), np.float32)
@@ -300,6 +357,10 @@ def _run_scores(texts, tagger, runs, size: int) -> np.ndarray:
             lo = margin if i else 0
             hi = WINDOW - margin if i < size - 1 else WINDOW
             out[i * STRIDE + lo : i * STRIDE + hi, run] = scores[lo:hi, k]
+    # no secret holds a blank, and no span goes beyond the text
+    secret = 1 + 2 * KINDS.index("secret")
+    out[barred, secret : secret + 2] = NEVER
+    out[ended, 1:] = NEVER
     return out
 
 
@@ -332,16 +393,16 @@ def _tag_runs(texts, tagger, sure, runs, size: int, found, cells, last) -> set[i
     return again
 
 
-def find(texts: list[str | None], tagger: crf.Tagger) -> list[tuple[dict, list[tuple[str, int, int]]]]:
+def find(texts: list[str | None], tagger: crf.Tagger, every: bool = False) -> list[tuple[dict, list[tuple[str, int, int]]]]:
     """For each text its base spans, and all spans as (kind, start, end) in order of kind and start."""
     texts = [t or "" for t in texts]
     out = []
-    for text, tagged in zip(texts, tag(texts, tagger)):
+    for text, tagged in zip(texts, tag(texts, tagger, every=every)):
         base = base_spans(text)
         spans = [(kind, a, b) for kind in BASE_KINDS for a, b in base[kind]]
         held = [(a, b) for _, a, b in spans]
         for a, b, k in tagged:
-            if _fits(KINDS[k], text[a:b]) and not any(a < y and x < b for x, y in held):
+            if _fits(KINDS[k], text, a, b) and not any(a < y and x < b for x, y in held):
                 spans.append((KINDS[k], a, b))
         spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
         out.append((base, spans))
@@ -365,7 +426,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, tagger: crf.Tagger | None = None, text: str = "text") -> DataFrame:
     """``docs`` with personal data masked in ``text``; a null text stays null."""
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
+    held = docs.sparkSession.sparkContext.broadcast(tagger or stored_tagger(docs.sparkSession))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = docs.columns
 
@@ -380,7 +441,7 @@ def redact(docs: DataFrame, tagger: crf.Tagger | None = None, text: str = "text"
 def op10_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in every whole text."""
     bound_batches(spark)
-    held = spark.sparkContext.broadcast(default_tagger())
+    held = spark.sparkContext.broadcast(stored_tagger(spark))
     counts = [f"n_{kind}" for kind in BASE_KINDS]
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -75,3 +75,37 @@ def test_against_sql(spark, sf_dir):
     df = embeddings.op7_sorted_projections(spark, sf_dir)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({embeddings.ORACLE})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def clustered(rng, number, pairs, size=32, clusters=20, spread=0.42):
+    """Unit vectors around centres (cosine about 0.85 inside a cluster), and pairs at 0.981 of which ``pairs`` rows are one half."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(clusters, size)))
+    base = unit(centres[rng.integers(0, clusters, number)] + spread * unit(rng.normal(size=(number, size))))
+    aside = rng.normal(size=(pairs, size))
+    aside = unit(aside - (aside * base[:pairs]).sum(axis=1, keepdims=True) * base[:pairs])
+    return np.concatenate([base, 0.981 * base[:pairs] + (1 - 0.981**2) ** 0.5 * aside]).astype(np.float32)
+
+
+@pytest.mark.parametrize("number", [4_000, 40_000])
+def test_recall_of_planted_pairs_among_clusters(spark, tmp_path, number):
+    """Pairs just above the limit in one dense label are found alike at both sizes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pairs = 400
+    rows = clustered(np.random.default_rng(number), number, pairs)
+    ids = np.arange(len(rows))
+    vectors = pa.FixedSizeListArray.from_arrays(rows.reshape(-1), 32).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": vectors, "label": np.zeros(len(rows), np.int32)}), tmp_path / "embeddings.parquet")
+    found = embeddings.op7_sorted_projections(spark, f"file://{tmp_path}").toPandas().set_index("vec_id")
+    halves = found.loc[ids[number:]]
+    assert (halves["component_id"].to_numpy() == ids[:pairs]).mean() >= 0.95
+
+
+def test_other_columns_and_kinds(spark):
+    """Columns with the names of the result, doubles as components, vectors in any type of label."""
+    rows = [(1, [1.0, 2.0], "a", 5, 6, "x"), (2, [1.0, 2.0], "a", 5, 6, "y"), (3, [2.0, 4.1], "a", 1, 1, "z"), (4, [2.0, 4.1], None, 1, 1, "z")]
+    vectors = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string, n_links int, component_id long, node string")
+    found = sorted(map(tuple, embeddings.near_duplicates(vectors).collect()))
+    assert found == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]

@@ -2,17 +2,33 @@
 
 Vectors with equal components and label become one representative.  In each
 pass a representative gets a code, the concatenated signs of random projections
-drawn for that pass; representatives are range-partitioned and sorted by
-(pass, label, code), and each is compared with the next ``window`` ones.  Pairs
-at ``least`` cosine or more are united over all passes.  An exact check follows:
-inside each component found, all representatives are compared, in blocks, so
-that the number of links of a vector is complete however many vectors lie close
-together.
+drawn for that pass, taken about the mean of its label, since vectors that all
+point one way would else have like signs; representatives are range-partitioned
+and sorted by (label, code), and each is compared with the next ``WINDOW`` ones.
+Pairs at ``least`` cosine or more are united over all passes.  An exact check
+follows: inside each component found, all representatives are compared, in
+blocks, so that the number of links of a vector is complete however many vectors
+lie close together.
+
+The number of passes follows from the data: from a bounded sample of vectors and
+the size of each label it is estimated how many vectors share the first k signs
+with another, hence how deep a window reaches, and with what chance a pair at
+exactly ``least`` agrees so far; passes are added until such a pair is found with
+``RECALL``.  The sample (and the means, which any value may stand for) changes
+the cost and the recall, never what counts as a link.  Two passes at a time are
+shuffled; their files go before the next two.
+
+Cost: about (1.2 x passes + 2) times the input is shuffled, a third of which is on
+disk at once when there are many passes; the exact check of a component of n
+vectors takes n * n / 2 products, as its counts do by definition.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without label, link with nothing, as do vectors of
 different lengths; copies of one vector are linked with each other; repeated
-rows count as vectors of their own; an empty table gives no rows.
+rows count as vectors of their own; a null id is no smallest id, and such a row is
+kept only where its whole component has no id; vectors are read whole, however
+long; ties in codes are sorted by node; an empty table gives no rows; the result
+has the four columns named below, whatever other columns the input has.
 """
 
 from __future__ import annotations
@@ -26,27 +42,32 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut, map_batches, table
 from threadloom.llm.components import components, spanning, thin
-from threadloom.llm.groups import by_group, deal
+from threadloom.llm.groups import by_group, deal, deal_out
 
 LEAST = 0.98
-#: Passes, signs in a code, and neighbours compared in each pass.
-PASSES, BITS, WINDOW = 16, 32, 32
-#: Representatives of a component that one task compares at once.
-BLOCK = 2048
+#: Signs in a code, and neighbours compared in each pass.
+BITS, WINDOW = 62, 512
+#: Chance with which a pair at exactly LEAST is to be found, fewest passes, and passes of one shuffle.
+RECALL, PASSES, ROUND = 0.98, 3, 2
+#: Vectors that the number of passes is estimated from, pairs of them in a label, and labels with means and estimates.
+SAMPLE, PAIRS, LABELS = 20_000, 4096, 256
+#: Representatives of a component that one task compares at once, and blocks that are not cut further.
+BLOCK, FINE = 4096, 128
 SEED = 20240
 
 
 def _unit(values: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
-    rows = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    rows = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with keys (null for those that link with nothing), and one row for each distinct vector."""
-    values = F.transform(F.col("embedding"), lambda x: x.cast("double") + F.lit(0.0))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    values = F.transform(F.col("embedding"), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 becomes 0.0
     sound = (
         F.col("label").isNotNull()
         & (F.size("embedding") > 0)
@@ -74,32 +95,85 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.first("vector").alias("vector"),
         )
         .withColumn("dim", F.size("vector"))
+        .withColumn("group", F.xxhash64("label", "dim"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     return rows.select("vec_id", "k1", "k2"), cut(found, "vectors")
 
 
+def depth_chance(unit: np.ndarray, centre: np.ndarray, number: int, window: int, least: float, bits: int = BITS) -> float:
+    """Chance that a pass brings two of ``number`` vectors like ``unit`` that lie at ``least`` within ``window``.
+
+    Of the vectors that don't link with one, number * mean(agree ** k) share its
+    first k signs; at the first k where they fit the window the pair is found if
+    it agrees in k signs.
+    """
+    rng = np.random.default_rng(SEED)
+    i, j = rng.integers(0, len(unit), (2, PAIRS))
+    apart = (unit[i] * unit[j]).sum(axis=1) < least
+
+    def agree(x, y):
+        x, y = x - centre, y - centre
+        scale = np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-30)
+        return 1 - np.arccos(np.clip((x * y).sum(axis=1) / scale, -1, 1)) / np.pi
+
+    aside = rng.standard_normal(unit.shape)
+    aside -= (aside * unit).sum(axis=1, keepdims=True) * unit
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-30)
+    near = agree(unit, least * unit + (1 - least * least) ** 0.5 * aside)
+    other = agree(unit[i[apart]], unit[j[apart]])
+    for k in range(bits + 1):
+        rivals = number * (other**k).sum() / PAIRS
+        if rivals <= window:
+            return float((near**k).mean())
+    return float((near**bits).mean() * window / rivals)
+
+
+def plan(reps: DataFrame, least: float = LEAST, window: int = WINDOW) -> tuple[int, dict[int, np.ndarray]]:
+    """Passes to make, and the mean unit vector of each of the largest groups, by a bounded sample."""
+    sizes = reps.groupBy("group").count().orderBy(F.desc("count"), "group").limit(LABELS).collect()
+    total = reps.count()
+    thin_ = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, total // SAMPLE))) == 0
+    held = reps.where(thin_).where(F.col("group").isin([r["group"] for r in sizes])).select("group", "dim", "vector").toArrow()
+    of, dim = held.column("group").to_numpy(), held.column("dim").to_numpy()
+    passes, means = PASSES, {}
+    for row in sizes:
+        here = np.flatnonzero(of == row["group"])
+        if len(here) < 2:
+            continue
+        unit = _unit(held.column("vector").take(pa.array(here)), int(dim[here[0]]))
+        means[row["group"]] = unit.mean(axis=0)
+        chance = min(max(depth_chance(unit, means[row["group"]], row["count"], window, least), 1e-6), 1 - 1e-9)
+        passes = max(passes, int(np.ceil(np.log(1 - RECALL) / np.log(1 - chance))))
+    return passes, means
+
+
 def neighbour_links(
-    reps: DataFrame, least: float = LEAST, passes: int = PASSES, bits: int = BITS, window: int = WINDOW
+    reps: DataFrame, passes: range, means: dict[int, np.ndarray], least: float = LEAST, bits: int = BITS, window: int = WINDOW
 ) -> DataFrame:
-    """Links (a, b) between representatives that lie close in some pass, thinned to spanning ones."""
+    """Links (a, b) between representatives that lie close in some of the passes, thinned to spanning ones."""
+    spread = reps.sparkSession.sparkContext.broadcast(means)
+    kind = dict(reps.dtypes)["vector"]
 
     def code(batch: pa.RecordBatch) -> dict:
-        dims = batch.column("dim").to_numpy()
-        codes = np.zeros((passes, batch.num_rows), np.int64)
+        dims, group = batch.column("dim").to_numpy(), batch.column("group").to_numpy()
+        codes = np.zeros((len(passes), batch.num_rows), np.int64)
         for size in np.unique(dims):
             here = np.flatnonzero(dims == size)
             unit = _unit(batch.column("vector").take(pa.array(here)), int(size))
-            for p in range(passes):
+            for name in np.unique(group[here]):
+                if name in spread.value:
+                    unit[group[here] == name] -= spread.value[name]
+            for row, p in enumerate(passes):
                 planes = np.random.default_rng([SEED, p, int(size)]).standard_normal((int(size), bits))
-                codes[p, here] = (unit @ planes > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
-        again = pa.array(np.tile(np.arange(batch.num_rows), passes))
-        out = {name: batch.column(name).take(again) for name in ("label", "dim", "node", "vector")}
-        return out | {"pass": np.repeat(np.arange(passes, dtype=np.int32), batch.num_rows), "code": codes.reshape(-1)}
-
-    order = ["pass", "label", "dim", "code", "node"]
-    schema = "pass int, label string, dim int, code long, node long, vector array<double>"
-    coded = map_batches(reps.select("label", "dim", "node", "vector"), code, schema)
+                codes[row, here] = (unit @ planes > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+        again = pa.array(np.tile(np.arange(batch.num_rows), len(passes)))
+        out = {name: batch.column(name).take(again) for name in ("node", "vector")}
+        mixed = np.stack([group ^ np.int64(p) for p in passes])  # a group's passes are groups of their own
+        return out | {"group": mixed.reshape(-1), "code": codes.reshape(-1)}
+
+    order = ["group", "code", "node"]
+    coded = map_batches(reps.select("group", "dim", "node", "vector"), code, f"group long, code long, node long, vector {kind}")
     coded = coded.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,34 +188,34 @@ def neighbour_links(
 
 
 def _near(rows: pa.Table, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    n, node = rows.num_rows, rows.column("node").to_numpy()
-    new = np.zeros(n, bool)
-    for name in ("pass", "label", "dim"):
-        values = rows.column(name).to_numpy()
-        new[1:] |= values[1:] != values[:-1]
-    group = np.cumsum(new)
-    starts = np.append(np.flatnonzero(np.append(True, new[1:])), n)
-    found_a, found_b = [], []
+    n, node, group = rows.num_rows, rows.column("node").to_numpy(), rows.column("group").to_numpy()
+    starts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), n) if n else np.zeros(1, np.int64)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in zip(starts[:-1], starts[1:]):
-        part = rows.slice(lo, hi - lo)
-        unit = _unit(part.column("vector"), part.column("dim")[0].as_py())
+        part = rows.slice(lo, hi - lo).column("vector")
+        unit = _unit(part, len(part[0].as_py()))
+        short = unit.astype(np.float32)
         for begin in range(0, hi - lo, 256):
             end = min(hi - lo, begin + 256)
             stop = min(hi - lo, end + window)
-            i, j = np.nonzero(unit[begin:end] @ unit[begin:stop].T >= least)
+            # single precision is right to 1e-5; what comes so near is computed in double precision
+            maybe = np.flatnonzero(((short[begin:end] @ short[begin:stop].T >= least - 1e-4).sum(axis=1)) > 1)
+            if not len(maybe):
+                continue
+            i, j = np.nonzero(unit[begin + maybe] @ unit[begin:stop].T >= least)
+            i = maybe[i]
             ahead = (j > i) & (j - i <= window)
-            found_a.append(i[ahead] + begin + lo)
-            found_b.append(j[ahead] + begin + lo)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    assert (group[a] == group[b]).all()
-    return spanning(node[a], node[b])
+            a, b = spanning(node[i[ahead] + begin + lo], node[j[ahead] + begin + lo])
+            found_a.append(a)
+            found_b.append(b)
+    return spanning(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def link_counts(members: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def link_counts(members: DataFrame, least: float = LEAST, block: int = BLOCK, fine: int = FINE) -> DataFrame:
     """(node, linked): copies of other vectors linked with each representative, by exact comparison."""
     key = ["root", "__i", "__j"]
-    dealt = deal(members.select("root", "node", "copies", "dim", "vector"), ["root"], "node", block)
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "__own", "node")
+    dealt = deal(members.select("root", "node", "copies", "dim", "vector"), ["root"], "node", block, fine=min(fine, block))
+    dealt = deal_out(dealt, "root", "__own", "node")
 
     def count(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         node, copies, own = (rows.column(c).to_numpy() for c in ("node", "copies", "__own"))
@@ -150,15 +224,17 @@ def link_counts(members: DataFrame, least: float = LEAST, block: int = BLOCK) ->
         for lo, hi in zip(starts, np.append(starts[1:], len(node))):
             part = rows.slice(lo, hi - lo)
             unit = _unit(part.column("vector"), part.column("dim")[0].as_py())
-            if first[lo] == last[lo]:
-                near = unit @ unit.T >= least
-                np.fill_diagonal(near, False)
-                linked[lo:hi] = near @ copies[lo:hi]
-            else:
-                split = int((own[lo:hi] == first[lo]).sum())
-                near = unit[:split] @ unit[split:].T >= least
-                linked[lo : lo + split] = near @ copies[lo + split : hi]
-                linked[lo + split : hi] = copies[lo : lo + split] @ near
+            whole = first[lo] == last[lo]
+            split = hi - lo if whole else int((own[lo:hi] == first[lo]).sum())
+            other = slice(lo, hi) if whole else slice(lo + split, hi)
+            for begin in range(0, split, 512):
+                some = slice(lo + begin, lo + min(split, begin + 512))
+                near = unit[some.start - lo : some.stop - lo] @ unit[other.start - lo :].T >= least
+                if whole:
+                    near[np.arange(near.shape[0]), begin + np.arange(near.shape[0])] = False
+                else:
+                    linked[other] += copies[some] @ near
+                linked[some] += near @ copies[other]
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(linked)], names=["node", "linked"])
 
     counted = dealt.mapInArrow(lambda batches: by_group(batches, key, count, 8192), "node long, linked long")
@@ -168,7 +244,15 @@ def link_counts(members: DataFrame, least: float = LEAST, block: int = BLOCK) ->
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     rows, reps = representatives(vectors)
-    found = components(neighbour_links(reps, least))
+    passes, means = plan(reps, least)
+    found = []
+    for begin in range(0, passes, ROUND):
+        some = range(begin, min(passes, begin + ROUND))
+        found.append(cut(neighbour_links(reps, some, means, least), "vector-links"))
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    found = components(links)
     members = cut(reps.join(found, "node"), "vector-members")
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = members.select("node", "root").join(ids, "root").join(link_counts(members, least), "node", "left")

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -61,3 +62,81 @@ def test_several_centroids_and_clashing_columns(spark):
     docs = spark.createDataFrame([(t, "old") for t in texts[:4]], "text string, lang_pred string")
     assert [r["lang_pred"] for r in language.identify(docs, model).collect()] == ["one", "two"] * 2
     assert language.keep(docs, model).columns == docs.columns
+
+
+def plain_grams(text):
+    line = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+    kept = "".join(c for i, c in enumerate(line) if i == 0 or c != "\0" or line[i - 1] != "\0")
+    out = {}
+    for n in (2, 3):
+        for i in range(len(kept) - n + 1):
+            out[kept[i : i + n]] = out.get(kept[i : i + n], 0) + 1
+    return out
+
+
+def test_against_plain_centroids():
+    """TF-IDF, spherical k-means and cosine with dictionaries, without hashing."""
+    rng = random.Random(6)
+    texts = [prose(rng, x, 12) for x in ("aa", "bb") * 10]
+    of, new = ["one", "two"] * 10, [prose(rng, x, 9) for x in ("aa", "bb", "cc") * 4]
+    grams = [plain_grams(t) for t in texts]
+    df = {}
+    for g in grams:
+        for x in g:
+            df[x] = df.get(x, 0) + 1
+
+    def vector(g):
+        v = {x: math.log1p(n) * (math.log((1 + len(texts)) / (1 + df.get(x, 0))) + 1) for x, n in g.items()}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / size for x, w in v.items()}
+
+    dot = lambda a, b: sum(w * b.get(x, 0.0) for x, w in a.items())
+
+    def unit(vs):
+        total = {}
+        for v in vs:
+            for x, w in v.items():
+                total[x] = total.get(x, 0.0) + w
+        size = math.sqrt(sum(w * w for w in total.values()))
+        return {x: w / size for x, w in total.items()}
+
+    centres = []
+    for name in ("one", "two"):
+        own = [vector(g) for g, o in zip(grams, of) if o == name]
+        mean = unit(own)
+        chosen = [max(range(len(own)), key=lambda i: dot(own[i], mean))]
+        while len(chosen) < 3:
+            chosen.append(min(range(len(own)), key=lambda i: max(dot(own[i], own[c]) for c in chosen)))
+        found = [own[c] for c in chosen]
+        for _ in range(20):
+            near = [max(range(3), key=lambda c: dot(v, found[c])) for v in own]
+            found = [unit([v for v, c in zip(own, near) if c == k]) if k in near else found[k] for k in range(3)]
+        centres += [(name, c) for c in found]
+    model = language.fit(language.counts(texts, 1 << 18), of, centroids=3)
+    got = model.predict(new)
+    for text, lang, score in zip(new, got["lang_pred"], got["score"]):
+        best, name = max((dot(vector(plain_grams(text)), c), name) for name, c in centres)
+        assert abs(best - score) < (1e-3 if best > 0.05 else 0.02) and (name == lang or score < 0.05)  # unseen n-grams may share a place
+
+
+def test_rejection_of_planted_texts(spark, sf_dir):
+    """Foreign scripts, letter noise, hexadecimal and code are dropped; texts of the tables stay."""
+    rng = random.Random(7)
+    words = lambda letters, n=80, most=7: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, most))) for _ in range(n))
+    kinds = ["абвгдежзийклмнопрстуфхцчшщ", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这为之大来以个中上们", "xqzvkjwp", "abcdefghijklmnopqrstuvwxyz"]
+    odd = [words(k) for k in kinds for _ in range(20)] + [words("0123456789abcdef", 60, 32) for _ in range(20)]
+    odd += ["for(int i=0;i<n;i++){x[i]=y[i]*z;} return fn(a,b); " * k for k in range(1, 11)]
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = language.train(docs)
+    planted = docs.sparkSession.createDataFrame([(t,) for t in odd], "text string")
+    assert language.keep(planted, model).count() <= 0.02 * len(odd)
+    clean = docs.where("char_length(text) > 300")
+    assert language.keep(clean, model).count() >= 0.995 * clean.count()
+
+
+def test_few_or_no_labels_drop_nothing_clean(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, "aa"), None) for i in range(20)] + [(20, "12 !", None), (21, None, None)], "doc_id long, text string, lang string")
+    assert language.keep(docs, language.train(docs)).count() == 20
+    some = spark.createDataFrame([(i, prose(rng, "aa"), "aa" if i < 8 else None) for i in range(60)], "doc_id long, text string, lang string")
+    assert language.keep(some, language.train(some)).count() == 60

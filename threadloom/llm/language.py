@@ -6,11 +6,15 @@ document frequency and normalised.  Each language of a bounded labelled sample
 is clustered into several centroids (spherical k-means), and a text gets the
 language of the centroid with the largest cosine.  A text whose distance to it
 is larger than nearly all training texts had is rejected: ``rejected`` is set,
-while the prediction stays.
+while the prediction stays.  A language of few labelled texts takes the loosest
+limit of the others, as its own texts are its centroids.
 
 Defined results: a null text and one without a letter are ``und``, score 0 and
-rejected; repeated rows get equal results; with no labelled row everything is
-``und``; an empty table gives no rows; other columns pass through ``identify``.
+rejected; repeated rows get equal results; of centroids at equal cosine the first
+counts, languages being in order of name; texts are read whole, however long; with
+no labelled row everything is ``und`` with score 0 and ``keep`` keeps every text
+with a letter; an empty table gives no rows; other columns pass through
+``identify``, and columns with the names of its results are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ FEATURES = 1 << 13
 #: Labelled texts of a language used for fitting, at most about this many.
 SAMPLE = 400
 CENTROIDS = 4
+#: Labelled texts below which a language has no limit of its own.
+ENOUGH = 32
 #: A text is rejected below this share of the cosine that all but 0.5 % of the training texts reach.
 LOOSE = 0.6
 #: Texts turned into dense vectors at once.
@@ -126,24 +132,42 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return centres
 
 
-def fit(raw: np.ndarray, languages: list[str], centroids: int = CENTROIDS, loose: float = LOOSE) -> Model:
-    """A model from raw counts and the language of each row."""
+def _rows(raw, which: np.ndarray, features: int) -> np.ndarray:
+    """Some rows of raw counts as a dense matrix; ``raw`` is one, or a list of (features, counts)."""
+    if isinstance(raw, np.ndarray):
+        return raw[which]
+    out = np.zeros((len(which), features), np.float32)
+    for row, i in enumerate(which.tolist()):
+        out[row, raw[i][0]] = raw[i][1]
+    return out
+
+
+def fit(raw, languages: list[str], centroids: int = CENTROIDS, loose: float = LOOSE, features: int = FEATURES) -> Model:
+    """A model from raw counts (a matrix, or a list of (features, counts)) and the language of each row.
+
+    One language at a time is held as a dense matrix.
+    """
     names = tuple(sorted(set(languages)))
+    if isinstance(raw, np.ndarray):
+        features = raw.shape[1]
     if not names:
-        return Model((), np.zeros(0, int), np.zeros((0, FEATURES), np.float32), np.ones(FEATURES, np.float32), np.zeros(0))
-    df = (raw > 0).sum(axis=0)
-    weights = (np.log((1 + len(raw)) / (1 + df)) + 1).astype(np.float32)
-    rows = _normal(np.log1p(raw) * weights)
+        return Model((), np.zeros(0, int), np.zeros((0, features), np.float32), np.ones(features, np.float32), np.zeros(0))
     of = np.array([names.index(x) for x in languages])
+    df = np.zeros(features)
+    for number in range(len(names)):
+        df += (_rows(raw, np.flatnonzero(of == number), features) > 0).sum(axis=0)
+    weights = (np.log((1 + len(languages)) / (1 + df)) + 1).astype(np.float32)
     owner, centres, limits = [], [], []
     for number in range(len(names)):
-        own = rows[of == number]
+        own = _normal(np.log1p(_rows(raw, np.flatnonzero(of == number), features)) * weights)
         found = _cluster(own, centroids)
-        limit = loose * float(np.quantile((own @ found.T).max(axis=1), 0.005))
+        enough = len(own) >= ENOUGH
         owner += [number] * len(found)
         centres.append(found)
-        limits += [limit] * len(found)
-    return Model(names, np.array(owner), np.concatenate(centres).astype(np.float32), weights, np.array(limits))
+        limits += [loose * float(np.quantile((own @ found.T).max(axis=1), 0.005)) if enough else np.nan] * len(found)
+    limits = np.array(limits)
+    limits[np.isnan(limits)] = np.nanmin(limits) if not np.isnan(limits).all() else 0.0
+    return Model(names, np.array(owner), np.concatenate(centres).astype(np.float32), weights, limits)
 
 
 def fold(doc_id: Column) -> Column:
@@ -155,7 +179,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return fit(np.zeros((0, FEATURES)), [])
+        return fit([], [])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, sample / n)])
     chosen = labelled.where(draw < share[F.col("lang")]).select("doc_id", "text", "lang")
@@ -173,9 +197,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
 
     bound_batches(docs.sparkSession)
     rows = map_batches(chosen, run, "doc_id long, lang string, feature array<int>, n array<float>").toArrow()
-    raw = np.zeros((rows.num_rows, FEATURES), np.float32)
-    for i, (feature, n) in enumerate(zip(rows.column("feature"), rows.column("n"))):
-        raw[i, feature.values.to_numpy()] = n.values.to_numpy()
+    raw = [(feature.values.to_numpy(), n.values.to_numpy()) for feature, n in zip(rows.column("feature"), rows.column("n"))]
     return fit(raw, rows.column("lang").to_pylist(), centroids)
 
 
@@ -196,15 +218,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, columns unchanged."""
+    """The rows of ``docs`` that aren't rejected, columns unchanged; with a model of no language, all with a letter."""
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    def told(texts: list[str | None]) -> list[bool]:
+        return held.value.predict(texts)["rejected"] if held.value.languages else [not has_letter(t) for t in texts]
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 with paused_collection():
-                    rejected = np.array(held.value.predict(part.column("text").to_pylist())["rejected"], bool)
+                    rejected = np.array(told(part.column("text").to_pylist()), bool)
                 yield part.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,5 @@
+import bisect
+import math
 import zlib
 from collections import defaultdict
 
@@ -70,3 +72,65 @@ def test_splitters_follow_weights(spark):
     bounds = sharding.splitters(rows, 180_000, 10, 200)
     weight = lambda k: 90 * min(k, 1000) + 10 * max(0, k - 1000)
     assert all(abs(weight(b) / 180_000 - i / 10) < 0.03 for i, b in enumerate(bounds, 1))
+
+
+def test_repeated_rows_keep_the_law(spark, save):
+    """Half of the rows alike in all columns, id included."""
+    rows = [(None, "the same text again", None, None, None)] * 2000 + [(i, f"text number {i} " * 3, None, None, None) for i in range(2000)]
+    found = sharding.op2_sampled_splitters(spark, save("documents", rows, DOCS)).collect()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(sizes.values()) / 8
+    assert len(found) == 4000 and all(abs(sizes[k] - mean) <= 0.03 * mean for k in range(8)), sizes
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_columns_with_the_names_of_the_result(spark):
+    rows = spark.range(400).selectExpr("id", "id % 7 AS shard", "'x' AS slot", "'law' AS law")
+    found = sharding.shard(rows, F.col("shard"), F.col("id"), F.lit(1), shards=4)
+    assert found.columns == ["id", "law", "shard", "slot"] and found.count() == 400
+    assert {r["shard"] for r in found.collect()} == {0, 1, 2, 3}
+
+
+def plain_shards(rows, shards, ranges, per_range):
+    """(shard, slot) of every (key, tie, size): the method as loops over all rows."""
+    span, total = sharding.KEY_SPAN, sum(size for _, _, size in rows)
+    share = max(1, total // ranges)
+    sample = sorted(key for key, tie, size in rows for _ in range(math.floor(size * (ranges * per_range / total) + tie / span)))
+    found = []
+    for i in range(1, ranges):
+        at = (len(sample) - 1) * (i / ranges)
+        lo, hi = math.floor(at), math.ceil(at)
+        found.append(int((hi - at) * sample[lo] + (at - lo) * sample[hi] if hi > lo else sample[lo]))
+    bounds = sorted(set(found) | {b + 1 for a, b in zip(found, found[1:]) if a == b})
+    of = [bisect.bisect_right(bounds, key) for key, _, _ in rows]
+    weight = defaultdict(int)
+    for r, (_, _, size) in zip(of, rows):
+        weight[r] += size
+    parts = {r: math.ceil(w / share) if w > 1.5 * share else 1 for r, w in weight.items()}
+    pieces = defaultdict(list)
+    for n, (r, (_, tie, _)) in enumerate(zip(of, rows)):
+        pieces[r, math.floor(tie * parts[r] / span)].append(n)
+    out, before, slots = {}, 0, defaultdict(int)
+    for piece in sorted(pieces):
+        mass = sum(rows[n][2] for n in pieces[piece])
+        shard = min(shards - 1, math.floor((before + mass / 2) * shards / total))
+        before += mass
+        for n in sorted(pieces[piece], key=lambda n: rows[n]):
+            out[n] = (shard, slots[shard])
+            slots[shard] += 1
+    return out
+
+
+def test_against_plain_loops(spark, monkeypatch):
+    stored, cut = [], sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df, name: stored.append(cut(df, name)) or stored[-1])
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id * 31 % 501 END AS g", "1 + id * id % 97 AS size")
+    rows = rows.union(spark.createDataFrame([(9_999, 3, 5_000)] * 3, "id long, g long, size long"))
+    found = sharding.shard(rows, F.col("g"), F.col("id"), F.col("size"), shards=5, ranges_per_shard=8, samples_per_range=16)
+    found = sorted(tuple(r) for r in found.select("id", "shard", "slot").collect())
+    keyed = stored[0].select("id", "__shard_key", "__shard_tie", "__shard_size").collect()
+    want = plain_shards([tuple(r)[1:] for r in keyed], 5, 40, 16)
+    assert found == sorted((r["id"], *want[n]) for n, r in enumerate(keyed))

@@ -4,15 +4,18 @@ Records are ordered by a key, the hash of the group column (equal texts share
 it).  A size-weighted sample of keys gives quantile boundaries; each record
 falls in one key range.  A key that fills a range alone gets a range of its
 own, and a range above its share of bytes is subdivided by the hash of the row
-id.  The ranges, in key order, are dealt to shards by cumulative bytes, so the
-law held is ``bytes``: shard sizes are near equal (within about one range).
+id and of the row's number in a stored table, so that rows which are alike in all
+columns are dealt apart as well.  The ranges, in key order, are dealt to shards by
+cumulative bytes, so the law held is ``bytes``: shard sizes are near equal (within
+about one range, or one row where that is larger).
 
 Equal texts stay together unless their range had to be subdivided.
 
 Defined results: null text has size 1 and crc 0; a null id hashes like any
-value; repeated rows take neighbouring slots; an empty table gives an empty
-result; other columns pass through, and helper columns carry a prefix that
-can't clash (``__shard_``).
+value; repeated rows are rows of their own, and which of them takes which slot is
+left to their order in storage; a text of any length is one row of its size; an
+empty table gives an empty result; other columns pass through, columns named
+``shard`` or ``slot`` are replaced, and helper columns carry a prefix (``__shard_``).
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ def splitters(keyed: DataFrame, total: int, ranges: int, samples_per_range: int)
     """Boundaries at weighted quantiles of a systematic, size-weighted sample.
 
     A row is drawn ``floor(size * m / total + u)`` times, ``u`` being a hash of
-    its id, for m = ranges * samples_per_range; the driver receives ``ranges``
+    its id and number, for m = ranges * samples_per_range; the driver receives ``ranges``
     numbers.  A key that spans several quantiles is bounded on both sides.
     """
     drawn = ranges * samples_per_range
@@ -65,6 +68,13 @@ def splitters(keyed: DataFrame, total: int, ranges: int, samples_per_range: int)
     return sorted(set(found) | {b + 1 for b in twice})
 
 
+def keys(rows: DataFrame, group: Column, row_id: Column, size: Column) -> DataFrame:
+    """``rows`` without ``shard`` and ``slot``, with key, tie and size of each; to be stored, as the tie holds the row's number."""
+    tie = _hash52(row_id, F.monotonically_increasing_id())
+    keyed = rows.withColumns({"__shard_key": _hash52(group), "__shard_tie": tie, "__shard_size": size.cast("long")})
+    return keyed.drop("shard", "slot")
+
+
 def shard(
     rows: DataFrame,
     group: Column,
@@ -81,14 +91,13 @@ def shard(
     ``group``: equal values belong together; ``row_id`` breaks ties; ``size`` is
     a row's weight (at least 1).  The number of ranges grows with the bytes up
     to ``most_ranges``; it bounds what the driver and the broadcast hold.
-    ``rows`` is read three times, so pass a stored table.
+    ``rows`` is stored with its keys, so pass narrow ones.
     """
-    keyed = rows.withColumns(
-        {"__shard_key": _hash52(group), "__shard_tie": _hash52(row_id, F.lit(1)), "__shard_size": size.cast("long")}
-    )
+    keyed = cut(keys(rows, group, row_id, size), "shard-rows")
+    passed = [c for c in keyed.columns if not c.startswith("__shard_")]
     total = keyed.agg(F.sum("__shard_size")).first()[0] or 0
     if not total:
-        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return keyed.select(*[F.col(f"`{c}`") for c in passed]).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ranges = min(most_ranges, max(shards * ranges_per_shard, total // range_bytes))
     share = max(1, total // ranges)
     bounds = splitters(keyed, total, ranges, samples_per_range)
@@ -118,7 +127,7 @@ def shard(
     return (
         keyed.join(F.broadcast(dealt), piece)
         .withColumn("slot", (F.col("__shard_start") + F.row_number().over(order) - 1).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
+        .select(*[F.col(f"`{c}`") for c in passed], "shard", "slot")
     )
 
 
@@ -131,7 +140,6 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         unsigned_crc32(F.col("text")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
     )
-    narrow = cut(narrow, "op2-rows")
     placed = shard(narrow, F.col("text_hash"), F.col("doc_id"), F.col("size"))
     return placed.select(
         "doc_id",

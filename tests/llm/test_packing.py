@@ -94,3 +94,15 @@ def test_pieces_carry_ids(spark):
     docs = spark.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, ids string")
     row = packing.pieces(docs, packing.vocabulary_path(), size=2).orderBy("piece").collect()
     assert [len(r["ids"]) for r in row] == [2, 2] and row[-1]["ids"][-1] == 0
+
+
+def test_columns_with_the_names_of_the_result(spark):
+    rows = [(i, 0, 100 + i % 3, "x", "y", "z") for i in range(50)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string, offset string, shard string")
+    found = packing.pack(parts)
+    assert found.columns == ["doc_id", "piece", "length", "shard", "sequence_id", "offset"]
+    ends = {}
+    for r in sorted(found.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and r["shard"] == "z"
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048 and len(ends) == 3

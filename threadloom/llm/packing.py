@@ -8,8 +8,10 @@ their planned slot by rank within their length.  Ranks come from counts by
 (length, salt), so a length that many pieces share is numbered by many tasks.
 
 Defined results: null and empty texts are one piece holding only the end id;
-repeated rows are packed one by one; an empty table gives no rows; other
-columns are not needed and not returned by the query.
+repeated rows are packed one by one; a text of any length is read whole and cut
+into pieces; pieces of equal length are ranked by salt, id and number, and ties
+among them are interchangeable; an empty table gives no rows; ``pack`` passes other
+columns through and replaces those named ``sequence_id`` and ``offset``.
 """
 
 from __future__ import annotations
@@ -200,6 +202,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> dict[int, list[tuple[int,
 def pack(parts: DataFrame, size: int = SIZE, salts: int = SALTS, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``parts`` (a stored table with ``length``) with ``sequence_id`` and ``offset``."""
     spark = parts.sparkSession
+    parts = parts.drop("sequence_id", "offset")
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     salted = parts.withColumn("__salt", salt)
     each = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))

@@ -69,8 +69,17 @@ def lemma_table(spark: SparkSession, words: Iterable[tuple[str, str]], exception
     return spark.createDataFrame(rows, LEMMAS)
 
 
+#: Rows of a word list up to which it is sent to every task; a longer one is joined by exchange.
+SENT = 1 << 18
+
+
+def sent(words: DataFrame, most: int = SENT) -> DataFrame:
+    """``words`` marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(words) if words.limit(most + 1).count() <= most else words
+
+
 def lemmatize(rows: DataFrame, token: str, lemmas: DataFrame) -> DataFrame:
-    """``rows`` with ``token`` replaced by its lemma; the lemma table is broadcast (a dictionary of bounded size)."""
-    table = F.broadcast(lemmas.select(F.col("form").alias("__form"), F.col("lemma").alias("__lemma")))
+    """``rows`` with ``token`` replaced by its lemma; the lemma table is broadcast where its size allows it."""
+    table = sent(lemmas.select(F.col("form").alias("__form"), F.col("lemma").alias("__lemma")))
     joined = rows.join(table, F.col(token) == F.col("__form"), "left")
     return joined.withColumn(token, F.coalesce("__lemma", token)).drop("__form", "__lemma")

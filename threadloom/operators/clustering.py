@@ -159,6 +159,9 @@ def label_counts(labels: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
     """(id, label, s) of (id, vector, label), by Euclidean distances to all points, block by block.
 
+    A score takes a point's distances to all others, so n points take n * n / 2 by
+    definition; what leaves a task is one sum for each point and cluster.
+
     Points of a cluster of one have 0; with fewer than two labels, or as many as
     points, s is null.
     """

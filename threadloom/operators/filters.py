@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import is_ascii, is_plain_word, lemmatize, raw_tokens, year_of
+from threadloom.functions.text import is_ascii, is_plain_word, lemmatize, raw_tokens, sent, year_of
 
 # Labels of posts that are left out or not yet labelled (fixed values).
 OTHER_LANGUAGES = "Other Languages"
@@ -48,5 +48,5 @@ def clean_tokens(df: DataFrame, text: str, stop_words: DataFrame | None = None,
         rows = lemmatize(rows, "token", lemmas)
     rows = rows.where(is_plain_word(F.col("token")) & (F.col("token") != ""))
     if stop_words is not None:
-        rows = rows.join(F.broadcast(stop_words.select(F.col("word").alias("token"))), "token", "left_anti")
+        rows = rows.join(sent(stop_words.select(F.col("word").alias("token"))), "token", "left_anti")
     return rows

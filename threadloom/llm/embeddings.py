@@ -52,7 +52,7 @@ RECALL, PASSES, ROUND = 0.98, 3, 2
 #: Vectors that the number of passes is estimated from, pairs of them in a label, and labels with means and estimates.
 SAMPLE, PAIRS, LABELS = 20_000, 4096, 256
 #: Representatives of a component that one task compares at once, and blocks that are not cut further.
-BLOCK, FINE = 4096, 128
+BLOCK, FINE = 4096, 64
 SEED = 20240
 
 

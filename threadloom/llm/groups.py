@@ -16,7 +16,7 @@ def deal(rows: DataFrame, key: list[str], tie: str, block: int, few: int = 10_00
     """``rows`` with ``__i`` and ``__j``: every pair of a group's rows meets in some (key, i, j).
 
     A group of n rows is cut into ceil(n / block) blocks by the hash of ``tie``,
-    with ``fine`` into up to 8 blocks of at least that size, so that one group of
+    with ``fine`` into up to 12 blocks of at least that size, so that one group of
     middling size isn't one task; a row goes to every pair of blocks that holds
     its own (``__own`` tells it).  Only groups of more than one block are looked
     up; their table is sent to all tasks when it has at most ``few`` rows, and
@@ -28,7 +28,7 @@ def deal(rows: DataFrame, key: list[str], tie: str, block: int, few: int = 10_00
     if not large:
         return rows.withColumns({c: F.lit(0) for c in ("__own", "__i", "__j")})
     dealt = rows.join(F.broadcast(sizes) if large <= few else sizes, key, "left")
-    blocks = F.greatest(F.ceil(F.col("__n") / block), F.least(F.lit(8), F.ceil(F.col("__n") / least)))
+    blocks = F.greatest(F.ceil(F.col("__n") / block), F.least(F.lit(12), F.ceil(F.col("__n") / least)))
     dealt = dealt.withColumn("__blocks", F.coalesce(blocks, F.lit(1)).cast("int"))
     dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(tie), F.col("__blocks")).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))

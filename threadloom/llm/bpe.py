@@ -14,7 +14,9 @@ The pattern is the one for English contractions, letters, numbers, other
 characters and white space that the ``byte_bpe_50k`` vocabulary was made with.
 
 Defined results: null and empty texts have no tokens; texts are independent of
-each other and of row order; other columns pass through.
+each other and of row order; repeated rows get equal results; of pairs of one rank
+the leftmost is merged first; a text is encoded whole, however long; an empty table
+gives no rows; other columns pass through, and one named ``tokens`` is replaced.
 """
 
 from __future__ import annotations

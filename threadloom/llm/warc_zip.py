@@ -11,8 +11,9 @@ Records with equal payloads: the one with the largest page id is written as
 
 Defined results: null html is an empty payload; a null url is written as
 ``about:blank``; a null page id sorts below every id and is read back as null;
-of repeated rows with the largest id one is the response; an empty table gives
-no package and no rows; other columns are ignored.
+of repeated rows with the largest id one is the response; a payload of any length
+is one record; an empty table gives no package and no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

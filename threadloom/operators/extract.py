@@ -31,7 +31,8 @@ class Layout:
     ``post``, and inside of it ``user``, ``date``, ``body``; ``head_*`` for an
     original post that is marked up in another way; ``parallel`` when users, dates
     and bodies are three lists of the whole page; ``closed`` is the element whose
-    last occurrence tells the thread's state, by the word ``closed_word``.
+    last occurrence tells the thread's state, by the word ``closed_word``;
+    ``outside_text`` the elements whose text is that of an outside page.
     """
 
     post: Selector | None = None
@@ -55,6 +56,7 @@ class Layout:
     listing_base: str = ""
     listing_key: str | None = None
     notes_suffix: str | None = None
+    outside_text: str = "div"
 
 
 # Selectors and link rules of the supported forums (fixed values).
@@ -73,6 +75,7 @@ LAYOUTS = {
         join_links=True,
         distinct_links=True,
         listing_base="https://community.cloudflare.com/t/",
+        outside_text="p",
     ),
     "opendns": Layout(
         post=("div", {"class": "comment-info"}),

@@ -141,5 +141,5 @@ def crawl_listing(
         retries = EXTERNAL_RETRIES_OF.get(forum, EXTERNAL_RETRIES)
         tried = cut(fetch_frame(found, **(options | {"external": True, "retries": options.get("retries", retries)})), "external")
         attempts = attempts.union(tried)
-        sinks.append_external(extract.external_documents(landed(tried)), root, batch)
+        sinks.append_external(cut(extract.external_documents(landed(tried), layout.outside_text), "documents"), root, batch)
     return attempt_state(attempts, external_retries=EXTERNAL_RETRIES_OF.get(forum, EXTERNAL_RETRIES))

@@ -734,3 +734,42 @@ def dbscan_distance_rows(spark, sf_dir):
 def sweep_distance_rows(spark, sf_dir):
     points = _row_points(spark, sf_dir)
     return clustering.dbscan_sweep(points, clustering.vector_pairs(points, 0.6), [0.3, 0.6])
+
+
+@query(
+    _dbscan_sql(ROW_EPS, ROWS)
+    + """, l AS (SELECT v.id, e, label FROM v JOIN lab USING (id)),
+d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS total, count(*) AS n FROM l a CROSS JOIN l b GROUP BY 1, 2, 3),
+s AS (SELECT id, label, max(CASE WHEN other = label THEN total / greatest(n - 1, 1) END) AS a,
+  min(CASE WHEN other <> label THEN total / n END) AS b, max(CASE WHEN other = label THEN n END) AS n FROM d GROUP BY 1, 2)
+SELECT count(*) AS n, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS s FROM s"""
+)
+def silhouette_distance_rows(spark, sf_dir):
+    """The mean silhouette of the clusters of distance rows, noise counted as a cluster."""
+    points = _row_points(spark, sf_dir)
+    labels_ = clustering.dbscan(points, clustering.vector_pairs(points, ROW_EPS), ROW_EPS).select("id", "label")
+    found = clustering.silhouette(cut(points.join(labels_, "id"), "labelled"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 5).alias("s"))
+
+
+SHOWN = ["thing", "re", "ou"]
+
+
+@query(
+    f"WITH {TFIDF}, {PRUNED}, {_weights_sql('kept')} SELECT doc_id, "
+    + ", ".join(f"round(coalesce(max(w) FILTER (WHERE term = '{t}'), 0), 6) AS {t}" for t in SHOWN)
+    + f" FROM w WHERE term IN ({', '.join(map(repr, SHOWN))}) GROUP BY doc_id"
+)
+def term_matrix(spark, sf_dir):
+    """A few columns of the weight matrix, for display."""
+    shown = features.wide(_weights(spark, sf_dir, 3, 10000), SHOWN)
+    return shown.select("doc_id", *[F.round(t, 6).alias(t) for t in SHOWN])
+
+
+@query(f"WITH {TFIDF}, {PRUNED}, {_weights_sql('kept')} SELECT count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms, min(term) AS first, max(term) AS last FROM w")
+def matrix_shape(spark, sf_dir):
+    """Documents and terms of the weight matrix, and the names at both ends."""
+    weights = cut(_weights(spark, sf_dir, 3, 10000), "weights")
+    names = features.feature_names(weights).agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first"), F.max("term").alias("last"))
+    docs = weights.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs"))
+    return docs.join(F.broadcast(names)).select("n_docs", "n_terms", "first", "last")  # one row each

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import cut, discard
 
 
 class UnionFind:
@@ -78,7 +78,10 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     seen = None
     for _ in range(rounds):
-        links = cut(_star(_star(links, True), False), "links")
+        larger, least = _large_star(links)
+        new = cut(_small_star(larger), "links")
+        discard(links, least)
+        links = new
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -90,18 +93,17 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     )
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One star round over links (a, b) with b < a.
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), b < a, where every larger neighbour of a node is linked to its smallest one; and a table they read."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # stored, so that the join reads two plain exchanges and may be split at a node with very many links
+    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+    out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return out.where("a <> b").distinct(), least
 
-    Large: every larger neighbour of a node is linked to its smallest one.
-    Small: a node and its smaller neighbours are linked to the smallest of them.
-    """
-    if large:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # stored, so that the join reads two plain exchanges and may be split at a node with very many links
-        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
-        out = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Links (a, b), b < a, where a node and its smaller neighbours are linked to the smallest of them."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    out = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
     return out.where("a <> b").distinct()

@@ -632,13 +632,7 @@ def similar(codes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
     wanted = codes.select("node", "key", "s1", "s2", "n").join(nodes, "node")
     held = cut(sets(texts.join(wanted, "key").select("node", "s1", "s2", "n", "text")), "simhash-shingles")
-    good = cut(verified(near, held), "simhash-close")
-    close = components(good)
-    # what the index has joined needs no other link
-    of_a, of_b = close.toDF("a", "root_a"), close.toDF("b", "root_b")
-    open_ = likely.join(of_a, "a", "left").join(of_b, "b", "left").where("NOT coalesce(root_a = root_b, false)")
-    more = cut(verified(open_.select("a", "b"), held), "simhash-similar")
-    all_ = good.union(more)
+    all_ = cut(verified(near.union(likely).distinct(), held), "simhash-similar")
     found = components(all_)
     if forest.limit(1).count():
         hubs = components(forest).select("node", F.col("root").alias("hub"))

@@ -61,19 +61,21 @@ class Tagger:
 
     # LSTM
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
-        """Hidden states (T, B, H) of one direction over inputs (T, B)."""
-        h, steps = self.hidden, len(x)
-        gates_in, recur = self.w[f"in{d}"], self.w[f"re{d}"]
-        state = np.zeros((x.shape[1], h), np.float32)
+    def _run(self, x: np.ndarray, keep: bool):
+        """Hidden states (T, 2, B, H) over inputs (T, B), both directions side by side; the second reads backwards."""
+        h, (steps, batch) = self.hidden, x.shape
+        recur = np.stack([self.w["ref"], self.w["reb"]])
+        given = np.empty((steps, 2, batch, 4 * h), recur.dtype)
+        given[:, 0], given[:, 1] = self.w["inf"][x], self.w["inb"][x[::-1]]
+        state = np.zeros((2, batch, h), recur.dtype)
         cell = np.zeros_like(state)
-        out = np.empty((steps, x.shape[1], h), np.float32)
+        out = np.empty((steps, 2, batch, h), recur.dtype)
         saved = []
         for t in range(steps):
-            z = gates_in[x[t]] + state @ recur
-            gate = _sigmoid(z[:, : 3 * h])
-            i, f, o = gate[:, :h], gate[:, h : 2 * h], gate[:, 2 * h :]
-            g = np.tanh(z[:, 3 * h :])
+            z = given[t] + state @ recur
+            gate = _sigmoid(z[..., : 3 * h])
+            i, f, o = gate[..., :h], gate[..., h : 2 * h], gate[..., 2 * h :]
+            g = np.tanh(z[..., 3 * h :])
             if keep:
                 saved.append((i, f, o, g, cell, state))
             cell = f * cell + i * g
@@ -81,34 +83,35 @@ class Tagger:
             out[t] = state
         return out, (saved, cell)
 
-    def _back(self, x: np.ndarray, d: str, grad: np.ndarray, kept, sums: dict) -> None:
-        h, (saved, cell) = self.hidden, kept
-        recur = self.w[f"re{d}"]
-        dz_all = np.empty((*x.shape, 4 * h), np.float32)
+    def _back(self, x: np.ndarray, grad: np.ndarray, kept, sums: dict) -> None:
+        """Adds the gradients of the input and recurrent weights for gradients (T, 2, B, H) of the states."""
+        h, (steps, batch), (saved, cell) = self.hidden, x.shape, kept
+        back = np.stack([self.w["ref"].T, self.w["reb"].T])
+        dz_all = np.empty((steps, 2, batch, 4 * h), back.dtype)
         dh, dc = np.zeros_like(cell), np.zeros_like(cell)
-        d_recur = np.zeros_like(recur)
-        for t in range(len(x) - 1, -1, -1):
+        d_recur = np.zeros((2, h, 4 * h), back.dtype)
+        for t in range(steps - 1, -1, -1):
             i, f, o, g, before, state = saved[t]
             dh = dh + grad[t]
             squashed = np.tanh(cell)
             dc = dc + dh * o * (1 - squashed * squashed)
             dz = dz_all[t]
-            dz[:, :h] = dc * g * i * (1 - i)
-            dz[:, h : 2 * h] = dc * before * f * (1 - f)
-            dz[:, 2 * h : 3 * h] = dh * squashed * o * (1 - o)
-            dz[:, 3 * h :] = dc * i * (1 - g * g)
-            d_recur += state.T @ dz
-            dh, dc, cell = dz @ recur.T, dc * f, before
-        d_in = np.zeros_like(self.w[f"in{d}"])
-        np.add.at(d_in, x.reshape(-1), dz_all.reshape(-1, 4 * h))
-        sums[f"in{d}"], sums[f"re{d}"] = d_in, d_recur
+            dz[..., :h] = dc * g * i * (1 - i)
+            dz[..., h : 2 * h] = dc * before * f * (1 - f)
+            dz[..., 2 * h : 3 * h] = dh * squashed * o * (1 - o)
+            dz[..., 3 * h :] = dc * i * (1 - g * g)
+            d_recur += state.transpose(0, 2, 1) @ dz
+            dh, dc, cell = dz @ back, dc * f, before
+        for d, inputs_, name in ((0, x, "f"), (1, x[::-1], "b")):
+            hot = np.zeros((INPUTS, steps * batch), back.dtype)
+            hot[inputs_.reshape(-1), np.arange(steps * batch)] = 1
+            sums[f"in{name}"], sums[f"re{name}"] = hot @ dz_all[:, d].reshape(-1, 4 * h), d_recur[d]
 
     def scores(self, x: np.ndarray, keep: bool = False):
         """Tag scores (T, B, K) for inputs (T, B)."""
-        ahead, kept_f = self._run(x, "f", keep)
-        behind, kept_b = self._run(x[::-1], "b", keep)
-        both = np.concatenate([ahead, behind[::-1]], axis=2)
-        return both @ self.w["out"] + self.w["bias"], (both, kept_f, kept_b)
+        states, kept = self._run(x, keep)
+        both = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
+        return both @ self.w["out"] + self.w["bias"], (both, kept)
 
     # chain
 
@@ -143,16 +146,14 @@ class Tagger:
 
     def loss(self, x: np.ndarray, gold: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of gold tags (T, B), and its gradients."""
-        scores, (both, kept_f, kept_b) = self.scores(x, keep=True)
+        scores, (both, kept) = self.scores(x, keep=True)
         steps, batch, k = scores.shape
         ahead, behind, local, move, log_z = self._chain(scores)
         share = ahead * behind
         share /= share.sum(axis=2, keepdims=True)
         hot = np.eye(k)[gold]
-        d_move = np.zeros((k, k))
-        for t in range(1, steps):
-            pair = ahead[t - 1][:, :, None] * move * (local[t] * behind[t])[:, None, :]
-            d_move += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        pair = ahead[:-1, :, :, None] * move * (local[1:] * behind[1:])[:, :, None, :]
+        d_move = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
         np.add.at(d_move, (gold[:-1].reshape(-1), gold[1:].reshape(-1)), -1)
         right = np.take_along_axis(scores, gold[:, :, None], 2)[:, :, 0].sum(axis=0)
         right = right + self.w["move"][gold[:-1], gold[1:]].sum(axis=0) + self.w["first"][gold[0]]
@@ -164,8 +165,7 @@ class Tagger:
             "bias": d_scores.sum(axis=(0, 1)),
         }
         d_both = d_scores @ self.w["out"].T
-        self._back(x, "f", d_both[:, :, : self.hidden], kept_f, sums)
-        self._back(x[::-1], "b", d_both[::-1, :, self.hidden :], kept_b, sums)
+        self._back(x, np.stack([d_both[:, :, : self.hidden], d_both[::-1, :, self.hidden :]], 1), kept, sums)
         return float((log_z - right).mean()), sums
 
     def fit(self, batches, rate: float = 0.02) -> list[float]:

@@ -33,6 +33,7 @@ import io
 import random
 import re
 import string
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -247,24 +248,30 @@ _HELD: dict[str, crf.Tagger] = {}
 
 
 def stored_tagger(spark: SparkSession) -> crf.Tagger:
-    """``default_tagger`` from the shared folder, where the first process that trains it leaves its weights."""
+    """``default_tagger`` from the shared folder, where a task of the first process that asks leaves its weights."""
     code = inspect.getsource(crf) + inspect.getsource(inspect.getmodule(stored_tagger))
     name = hashlib.sha256(code.encode()).hexdigest()[:16]
     if name not in _HELD:
         path = f"{shared_root(spark)}/threadloom/models/pii-{name}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            tagger = crf.Tagger(len(KINDS))
-            with np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["weights"]))) as held:
-                tagger.w = {key: held[key] for key in held.files}
-        else:
-            tagger, out = default_tagger(), io.BytesIO()
-            np.savez(out, **tagger.w)
-            spark.createDataFrame([(bytearray(out.getvalue()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            spark.range(1, numPartitions=1).mapInArrow(_fitted, "weights binary").write.mode("overwrite").parquet(path)
+        tagger = crf.Tagger(len(KINDS))
+        with np.load(io.BytesIO(bytes(spark.read.schema("weights binary").parquet(path).first()["weights"]))) as held:
+            tagger.w = {key: held[key] for key in held.files}
         _HELD[name] = tagger
     return _HELD[name]
 
 
+def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trained weights as one row; in a task, as its arithmetic libraries are held to one thread."""
+    for batch in batches:
+        if batch.num_rows:
+            out = io.BytesIO()
+            np.savez(out, **default_tagger().w)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
+
+
 # tagging
 
 

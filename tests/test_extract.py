@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import dom
 from threadloom.operators import extract
 from threadloom.plans import ingest
+from threadloom.plans.samples import Site
 from threadloom.sources import landed
 
 CF = """<html><head><title>T</title></head><body>
@@ -103,38 +104,6 @@ def test_dom_classes():
     assert dom.pure_text("<p>a&amp;b<script>x</script> <b>c</b>") == "a&b c"
 
 
-class Site:
-    """A local server of given answers: path -> list of (status, body), the last one repeated."""
-
-    def __init__(self, answers):
-        import http.server
-        import threading
-
-        seen = self.seen = {}
-
-        class Handler(http.server.BaseHTTPRequestHandler):
-            def do_GET(self):
-                n = seen[self.path] = seen.get(self.path, 0) + 1
-                some = answers.get(self.path, [(404, "")])
-                status, body = some[min(n, len(some)) - 1]
-                self.send_response(status)
-                self.end_headers()
-                self.wfile.write(body.replace("BASE", f"http://127.0.0.1:{self.server.server_port}").encode())
-
-            def log_message(self, *args):
-                pass
-
-        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-        threading.Thread(target=self.server.serve_forever, daemon=True).start()
-        self.base = f"http://127.0.0.1:{self.server.server_port}"
-
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_):
-        self.server.shutdown()
-
-
 def test_fetching(spark):
     from threadloom.operators.crawl import attempt_state
     from threadloom.scratch import cut

@@ -6,7 +6,9 @@ small inputs; their SQL states the rows that must come out.
 
 from __future__ import annotations
 
+import http.server
 import json
+import threading
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,3 +275,75 @@ def related_posts(spark, sf_dir):
         F.when(F.col("lang") == "de", F.array(F.lit(filters.OTHER_LANGUAGES))).otherwise(F.array().cast("array<string>")).alias("labels"),
     )
     return posts.where(filters.relevant_post()).select("doc_id")
+
+
+class Site:
+    """A small web site on the driver: path -> list of (status, body), the last one repeated; BASE stands for its address."""
+
+    def __init__(self, answers: dict[str, list[tuple[int, str]]], host: str = "127.0.0.1"):
+        seen = self.seen = {}
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                n = seen[self.path] = seen.get(self.path, 0) + 1
+                some = answers.get(self.path, [(404, "")])
+                status, body = some[min(n, len(some)) - 1]
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(body.replace("BASE", f"http://{host}:{self.server.server_port}").encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer((host, 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://{host}:{self.server.server_port}"
+
+    def __enter__(self) -> Site:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+BOARD = "".join(f'<td class="subject"><a href="BASE/{x}">t</a></td>' for x in ("a", "b", "gone", "a"))
+ISSUE = '<span class="issue-title-text js-onboarding-issue-item"><a href="BASE/{}">t</a></span>'
+OWN_ISSUE = "isc-projects/bind9/-/issues/7"
+ANSWERS = {
+    "/board": [(500, ""), (200, BOARD)],
+    "/a": [(500, ""), (200, COMODO.replace("/2", "/a2").replace("/3", "/a3"))],
+    "/a2": [(200, COMODO.replace("/2", "/a2").replace("/3", "/a3"))],
+    "/a3": [(200, COMODO.replace("/2", "/a2").replace("/3", "/a3"))],
+    "/b": [(200, COMODO.partition('<div class="pagelinks')[0])],
+    "/issues": [(200, ISSUE.format(OWN_ISSUE) * 2 + ISSUE.format("other/repo/-/issues/8"))],
+    f"/{OWN_ISSUE}": [(200, GITLAB.replace("http://o/g", "BASE/out"))],
+    f"/{OWN_ISSUE}/discussions.json": [(200, NOTES.replace("http://o/n", "BASE/photo.png"))],
+    "/out": [(503, ""), (200, "<title>E</title><div><p>one</p></div><p>two</p>")],
+}
+CRAWLED = [
+    ("attempt", "board", "2 stored"), ("attempt", "a", "2 stored"), ("attempt", "a2", "1 stored"), ("attempt", "a3", "1 stored"), ("attempt", "b", "1 stored"),
+    ("attempt", "gone", "2 retry"), ("attempt", "issues", "1 stored"), ("attempt", OWN_ISSUE, "1 stored"), ("attempt", f"{OWN_ISSUE}/discussions.json", "1 stored"),
+    ("attempt", "out", "2 stored"), ("thread", "a", "u1|u2 5 C"), ("thread", "b", "u1|u2 1 C"), ("thread", OWN_ISSUE, "x_y|z|w 2 L"), ("outside", "out", "E one one"),
+]
+
+
+@query(rows(CRAWLED, "kind, path, value"))
+def crawled_site(spark, sf_dir):
+    """Two listings of a local site: retries, rounds of continuation pages, notes, an outside page, stages written twice."""
+    root, found = scratch_path(spark, "crawl"), None
+    local = spark.sparkContext.master.startswith("local")
+    with Site(ANSWERS, "127.0.0.1" if local else spark.conf.get("spark.driver.host")) as site:
+        path = F.substring_index(F.col("url"), site.base + "/", -1).alias("path")
+        for forum, page, address in (("comodo", 4, "board"), ("gitlab", 1, "issues")):
+            states = ingest.crawl_listing(
+                spark, forum, page, f"{site.base}/{address}", root, False, external=True, batch=forum, delay=0, retries=1, partitions=2, stagger=0.01
+            )
+            states = cut(states.select(F.lit("attempt").alias("kind"), path, F.concat_ws(" ", "attempts", "state").alias("value")), "states")
+            found = states if found is None else found.union(states)
+    threads = landed.read_stage(spark, root, "refined")
+    n = F.aggregate(F.map_values("replies"), F.lit(0), lambda total, rs: total + F.size(rs))
+    threads = threads.select(F.lit("thread"), path, F.concat_ws(" ", F.array_join("user_list", "|"), n.cast("string"), "title"))
+    refined, pure = (landed.read_stage(spark, root, x) for x in ("refined_external", "pure_external"))
+    outside = refined.join(pure.drop("title"), "url").select(F.lit("outside"), path, F.concat_ws(" ", "title", "refined_content", "pure_text"))
+    return found.union(threads).union(outside)

@@ -335,12 +335,13 @@ def _often(docs: DataFrame, number: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, key, s1, s2, n, fp, o0, ..., wide, prefix) of the rows (id, key, text).
+    """(id, key, s1, s2, n, fp, o0, ..., wide, rare, prefix) of the rows (id, key, text).
 
     s1, s2 and n tell equal sets of shingles, fp is the fingerprint of the set and
     o0, ... and ``wide`` are its parity sketches.  ``prefix`` holds the rarest fifth of the set and one
     more: in one order of all shingles, sets of n and m members that share 4/5 of
     their union share a member within the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.
+    Its first ``rare`` members aren't among those counted often.
     """
     spread = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -359,18 +360,24 @@ def marks(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         order = np.lexsort((own, weight, owner))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         many = np.where(n > 0, n + 1 - -(-4 * n // 5), 0)
-        first = own[order[rank < np.repeat(many, n)]]
+        chosen = order[rank < np.repeat(many, n)]
+        first = own[chosen]
+        rare = np.bincount(owner[chosen], weights=weight[chosen] == 0, minlength=len(n)).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(first))
-        out = {"id": batch.column("id"), "key": batch.column("key"), "s1": s1, "s2": s2, "n": n, "fp": fp, "prefix": prefix}
+        out = {"id": batch.column("id"), "key": batch.column("key"), "s1": s1, "s2": s2, "n": n, "fp": fp, "rare": rare, "prefix": prefix}
         out["wide"] = wide_sketches(flat, n)
         return out | {f"o{i}": odd[:, i] for i in range(SKETCH)}
 
     columns = ", ".join(f"{c} long" for c in ("s1", "s2", "n", "fp", *(f"o{i}" for i in range(SKETCH))))
-    return map_batches(docs, run, f"id long, key string, {columns}, wide array<long>, prefix array<long>")
+    return map_batches(docs, run, f"id long, key string, {columns}, wide array<long>, rare int, prefix array<long>")
 
 
 def shared_prefixes(marked: DataFrame) -> DataFrame:
-    """(shingle, s1, s2): the prefix shingles that two or more different sets have."""
+    """(shingle, s1, s2): the prefix shingles that two or more different sets have, or that were counted often.
+
+    Those counted often need no test, so the exchange by shingle meets no key that
+    a large share of the sets has.
+    """
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -399,8 +406,11 @@ def shared_prefixes(marked: DataFrame) -> DataFrame:
             yield from table_.to_batches()
 
     schema = "shingle long, s1 long, s2 long"
-    rows = marked.where("n > 0").select("s1", "s2", "prefix").mapInArrow(spread, schema)
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "s1", "s2").mapInArrow(shared, schema)
+    rare = marked.where("n > 0").select("s1", "s2", F.slice("prefix", F.lit(1), F.col("rare")).alias("prefix"))
+    rare = rare.mapInArrow(spread, schema).repartition("shingle").sortWithinPartitions("shingle", "s1", "s2")
+    often = marked.where("rare < size(prefix)").select("s1", "s2", F.slice("prefix", F.col("rare") + 1, F.size("prefix")).alias("prefix"))
+    often = often.mapInArrow(spread, schema).distinct()
+    return rare.mapInArrow(shared, schema).unionByName(often)
 
 
 def sets(texts: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 import time
 from html.parser import HTMLParser
 
+import pytest
+
 from threadloom.llm import mainext
 
 PAGES = "page_id long, url string, html string"
@@ -186,7 +188,7 @@ def test_names_empty_no_article():
     ):
         assert mainext.main_text(f'<nav><a href="/">Home</a></nav>{before}{TWO}{after}<footer>f</footer>') == WANT
     named = '<div class="{}"><p>Something that is no part of the article, in as many words as the article.</p></div>'
-    for name in ("ad", "site-header", "cookie-notice", "post-comments", "newsletter signup", "sidebarLeft", "related_posts"):
+    for name in ("ad", "site-header", "cookie-notice", "post-comments", "newsletter signup", "sidebarLeft", "related_posts", "google-ads", "userComments", "mega-menu x"):
         assert mainext.main_text(TWO + named.format(name)) == WANT == mainext.main_text(named.format(name) + TWO)
 
 
@@ -195,3 +197,24 @@ def test_stray_tags_take_linear_time():
         began = time.process_time()
         mainext.main_text(page)
         assert time.process_time() - began < 3
+
+
+STORY = "<h1>Big title</h1><p>This is the first paragraph of the text, it has quite some words in it.</p><p>Short one.</p><h2>Part</h2><ul><li>one</li><li>two</li></ul><p>And the last paragraph of the text, which ends here with a sentence.</p>"
+COMMENTS = "<h3>3 Comments</h3><div class='comment'><p>I really liked this, thanks for the article, it helped me a lot with my work.</p></div><div class='comment'><p>Me too, although I would have written it in another way and with more words.</p></div>"
+USUAL = {
+    "wp": f"<body class='single has-sidebar'><div id='page'><header id='masthead' class='site-header'><p>My blog, a tagline of the site</p></header><div id='content' class='site-content'><div id='primary'><div class='entry-content'>{STORY}</div><div id='comments' class='comments-area'>{COMMENTS}</div></div><div id='secondary' class='widget-area'><p>About me: this is a text about the author that is long enough to count.</p></div></div><footer>c 2020</footer></div></body>",
+    "article": f"<body><nav><a href=/>x</a></nav><main><article><header>{STORY[:18]}</header>{STORY[18:]}<footer>Posted by me in some category of the site</footer></article><section id='comments'>{COMMENTS}</section></main><aside><p>Side bar text which is long enough to be counted as text here.</p></aside></body>",
+    "comments_in_article": f"<article>{STORY}<section class='comments'>{COMMENTS}</section><div class='ad'>Buy this thing now, it is the best thing that money can buy today.</div></article>",
+    "notice": f"<div class='cookie-banner'><p>We use cookies to improve your experience on this site and others.</p></div><div>{STORY}</div>",
+    "form": f"<div>{STORY}</div><form class='contact'><p>Leave your name and address in this form so that we can call you.</p></form>",
+    "footer_div": f"<div>{STORY}</div><div class='footer'><p>Copyright 2020 by the owner of this site, all rights are reserved.</p></div>",
+    "reader": f"<article>{STORY}</article><article class='comment'><p>Comment in an article element that is long enough to be text.</p></article>",
+    "teasers": f"<div id=main>{STORY}</div><div class='related'><article><a href=x>Other story</a></article><article><a href=y>Another story</a></article></div>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(USUAL))
+def test_usual_pages(name):
+    """The story and nothing else, on pages built in the usual ways."""
+    want = [" ".join(re.sub("<[^>]+>", "", x).split()) for x in re.split("</?(?:h1|h2|p|ul|li)>", STORY)]
+    assert mainext.main_text(USUAL[name]) == "\n".join(x for x in want if x)

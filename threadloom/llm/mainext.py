@@ -13,7 +13,8 @@ holds more than links is kept whole, however short.  Elsewhere all runs are kept
 
 An element is something else by its tag, role, or being hidden, or by its name:
 a class or id all of whose words say so (``cookie-notice``, ``post-comments``; not
-``has-sidebar`` or ``social-science``).  None of that counts for an element that
+``social-science``), or one with a word that is never used of an article
+(``google-ads``), unless it tells a state (``has-sidebar``).  None of that counts for an element that
 holds a marked article of a quarter of the page's text; a name or a form
 doesn't count either where the element holds nearly all text of the page, and a
 name doesn't where it holds the first heading and half of the text.
@@ -65,6 +66,12 @@ NAMES = _words(
     "discussion responses reviews widget widgets pagination pager search searchform form copyright legal disclaimer "
     "skip hidden outbrain taboola"
 )
+#: Words of these that tell so in any company, and words that make a name tell a state instead.
+STRONG = _words(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsored cookie cookies consent gdpr newsletter "
+    "breadcrumb breadcrumbs sidebar nav navbar menu submenu footer comments commentlist disqus popup outbrain taboola"
+)
+STATE = _words("has no not with without is are open opened closed enabled disabled allowed hide show on off")
 ROLES = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar")
 #: Words in a name that say nothing about the content.
 NEUTRAL = _words(
@@ -94,7 +101,7 @@ def _named(value: str, in_article: bool) -> bool:
         told = words & NAMES
         if "header" in words and not in_article:
             told = told | {"header"}
-        if told and words <= told | NEUTRAL:
+        if told and (words <= told | NEUTRAL or words & STRONG and not words & STATE):
             return True
     return False
 

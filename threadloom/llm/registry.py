@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, embeddings, language, mainext, packing, pii, quality, sharding, simhash, warc_zip
+from threadloom.llm import bpe, embeddings, language, mainext, packing, pii, prefixtrie, quality, sharding, simhash, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_gray_index": simhash.op8_gray_index,
     "op9_best_fit": packing.op9_best_fit,
     "op10_bilstm_crf": pii.op10_bilstm_crf,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_repetition": quality.ORACLE,
     "op5_zip_packages": warc_zip.ORACLE,
     "op7_sorted_projections": embeddings.ORACLE,
+    "op13_prefix_trie": prefixtrie.ORACLE,
 }

@@ -1,7 +1,12 @@
-"""Rows numbered without gaps, by many tasks."""
+"""Rows numbered without gaps, and running sums, by many tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +38,32 @@ def numbered(rows: DataFrame, name: str, order: list | None = None, label: str =
     inside = F.col("__at").bitwiseAND(F.lit((1 << _INSIDE) - 1))
     joined = held.withColumn("__part", part).join(F.broadcast(before), "__part")
     return joined.withColumn(name, F.col("__before") + inside).drop("__at", "__part", "__before")
+
+
+def running(rows: DataFrame, value: str, name: str, order: list[str], label: str = "running") -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows before, in the order of columns without ties.
+
+    As with ``numbered``, ranges are summed by tasks and the driver gets a sum for each.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            values = batch.column(value).to_numpy()
+            sums = total + np.cumsum(values)
+            total = int(sums[-1]) if len(sums) else total
+            columns = [*batch.columns, pa.array(sums - values, pa.int64()), pa.array(np.full(len(values), part, np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name, "__part"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    held = cut(dealt.mapInArrow(add, f"{schema}, `{name}` long, __part long"), label)
+    totals = {r[0]: r[1] for r in held.groupBy("__part").agg(F.sum(value)).collect()}
+    starts, total = [], 0
+    for key in sorted(totals):
+        starts.append((key, total))
+        total += totals[key]
+    # one row for each partition
+    before = held.sparkSession.createDataFrame(starts, "__part long, __before long")
+    joined = held.join(F.broadcast(before), "__part")
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")

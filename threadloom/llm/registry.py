@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, embeddings, language, mainext, packing, pii, prefixtrie, quality, sharding, simhash, warc_zip
+from threadloom.llm import bpe, embeddings, language, mainext, mixture, packing, pii, prefixtrie, quality, sharding, simhash, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_gray_index": simhash.op8_gray_index,
     "op9_best_fit": packing.op9_best_fit,
     "op10_bilstm_crf": pii.op10_bilstm_crf,
+    "op11_mixture_packing": mixture.op11_mixture_packing,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, embeddings, language, mainext, mixture, packing, pii, prefixtrie, quality, sharding, simhash, warc_zip
+from threadloom.llm import bpe, collocation, embeddings, language, mainext, mixture, packing, pii, prefixtrie, quality, sharding, simhash, warc_zip
 
 QUERIES = {
     "op1_suffix_repetition": quality.op1_suffix_repetition,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit": packing.op9_best_fit,
     "op10_bilstm_crf": pii.op10_bilstm_crf,
     "op11_mixture_packing": mixture.op11_mixture_packing,
+    "op12_collocations": collocation.op12_collocations,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op1_suffix_repetition": quality.ORACLE,
     "op5_zip_packages": warc_zip.ORACLE,
     "op7_sorted_projections": embeddings.ORACLE,
+    "op12_collocations": collocation.ORACLE,
     "op13_prefix_trie": prefixtrie.ORACLE,
 }

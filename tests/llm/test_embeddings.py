@@ -109,3 +109,29 @@ def test_other_columns_and_kinds(spark):
     vectors = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string, n_links int, component_id long, node string")
     found = sorted(map(tuple, embeddings.near_duplicates(vectors).collect()))
     assert found == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+def test_recall_with_many_labels(spark):
+    """400 labels, half of them dense and above a window; planted pairs are found in every one of these."""
+    rng, rows, halves = np.random.default_rng(5), [], {}
+    for label in range(400):
+        number, pairs = (540, 12) if label % 2 else (20, 2)
+        some = clustered(rng, number, pairs, size=8, clusters=2, spread=0.3) if label % 2 else clustered(rng, number, pairs, size=8)
+        at = len(rows)
+        rows += [(at + i, v.tolist(), label) for i, v in enumerate(some)]
+        halves[label] = [(at + i, at + number + i) for i in range(pairs)]
+    vectors = spark.createDataFrame(rows, TABLE).repartition(4)
+    _, reps = embeddings.representatives(vectors)
+    assert embeddings.plan(reps).count() == 200
+    found = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(vectors).collect()}
+    for label, pairs in halves.items():
+        assert np.mean([found[a] == found[b] for a, b in pairs]) >= 0.9, label
+    assert np.mean([found[a] == found[b] for pairs in halves.values() for a, b in pairs]) >= 0.995
+
+
+def test_plans_joined_by_exchange_give_the_same(spark, monkeypatch):
+    rows = clustered(np.random.default_rng(6), 1200, 60, size=8, clusters=2, spread=0.3)
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(rows)], TABLE)
+    sent = sorted(map(tuple, embeddings.near_duplicates(vectors).collect()))
+    monkeypatch.setattr(embeddings, "SENT", 0)
+    assert sorted(map(tuple, embeddings.near_duplicates(vectors).collect())) == sent

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.scratch import cut, discard, release, scratch_path  # noqa: F401  (used by the operators)
-from threadloom.sources.landed import spread
 
 #: Rows in one Arrow batch, and bytes in what an operator takes at once; one longer row is taken alone.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -24,8 +23,8 @@ _BATCHES = itertools.count(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; where its scan has far fewer tasks than there are cores, it is dealt over them."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A table; its row groups are its scan's tasks, and no whole row goes through an exchange for it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

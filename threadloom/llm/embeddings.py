@@ -10,8 +10,8 @@ follows: inside each component found, all representatives are compared, in
 blocks, so that the number of links of a vector is complete however many vectors
 lie close together.
 
-The number of passes follows from the data: from a bounded sample of vectors and
-the size of each label it is estimated how many vectors share the first k signs
+The number of passes follows from the data, label by label: from a bounded sample of
+its vectors and its size, each in a task of its own, it is estimated how many vectors share the first k signs
 with another, hence how deep a window reaches, and with what chance a pair at
 exactly ``least`` agrees so far; passes are added until such a pair is found with
 ``RECALL``.  The sample (and the means, which any value may stand for) changes
@@ -49,8 +49,10 @@ LEAST = 0.98
 BITS, WINDOW = 62, 512
 #: Chance with which a pair at exactly LEAST is to be found, fewest passes, and passes of one shuffle.
 RECALL, PASSES, ROUND = 0.98, 3, 2
-#: Vectors that the number of passes is estimated from, pairs of them in a label, and labels with means and estimates.
-SAMPLE, PAIRS, LABELS = 20_000, 4096, 256
+#: Vectors of a label, about, that its mean and passes are estimated from, and pairs of them.
+SAMPLE, PAIRS = 4096, 4096
+#: Labels above a window up to which their table is sent to every task; beyond, it is joined by exchange.
+SENT = 10_000
 #: Representatives of a component that one task compares at once, and blocks that are not cut further.
 BLOCK, FINE = 4096, 64
 SEED = 20240
@@ -129,51 +131,64 @@ def depth_chance(unit: np.ndarray, centre: np.ndarray, number: int, window: int,
     return float((near**bits).mean() * window / rivals)
 
 
-def plan(reps: DataFrame, least: float = LEAST, window: int = WINDOW) -> tuple[int, dict[int, np.ndarray]]:
-    """Passes to make, and the mean unit vector of each of the largest groups, by a bounded sample."""
-    sizes = reps.groupBy("group").count().orderBy(F.desc("count"), "group").limit(LABELS).collect()
-    total = reps.count()
-    thin_ = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, total // SAMPLE))) == 0
-    held = reps.where(thin_).where(F.col("group").isin([r["group"] for r in sizes])).select("group", "dim", "vector").toArrow()
-    of, dim = held.column("group").to_numpy(), held.column("dim").to_numpy()
-    passes, means = PASSES, {}
-    for row in sizes:
-        here = np.flatnonzero(of == row["group"])
-        if len(here) < 2:
-            continue
-        unit = _unit(held.column("vector").take(pa.array(here)), int(dim[here[0]]))
-        means[row["group"]] = unit.mean(axis=0)
-        chance = min(max(depth_chance(unit, means[row["group"]], row["count"], window, least), 1e-6), 1 - 1e-9)
-        passes = max(passes, int(np.ceil(np.log(1 - RECALL) / np.log(1 - chance))))
-    return passes, means
-
-
-def neighbour_links(
-    reps: DataFrame, passes: range, means: dict[int, np.ndarray], least: float = LEAST, bits: int = BITS, window: int = WINDOW
-) -> DataFrame:
-    """Links (a, b) between representatives that lie close in some of the passes, thinned to spanning ones."""
-    spread = reps.sparkSession.sparkContext.broadcast(means)
-    kind = dict(reps.dtypes)["vector"]
+def plan(reps: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """(group, mean, passes) of every group above ``window``: its mean unit vector and the passes it takes.
+
+    A bounded sample of each such group goes to a task, whatever the number of
+    groups; in a smaller group every window holds all others, so one pass does.
+    """
+    sizes = reps.groupBy("group").agg(F.count(F.lit(1)).alias("number")).where(F.col("number") > window)
+    sizes = cut(sizes, "vector-groups")
+    few = sizes.limit(SENT + 1).count() <= SENT
+    draw = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30))
+    held = reps.select("group", "node", "dim", "vector").join(F.broadcast(sizes) if few else sizes, "group")
+    held = held.where(draw * F.col("number") < F.lit((1 << 30) * SAMPLE)).drop("node")
+
+    def estimate(rows: pa.Table) -> pa.Table:
+        unit = _unit(rows.column("vector"), rows.column("dim")[0].as_py())
+        mean = unit.mean(axis=0)
+        chance = min(max(depth_chance(unit, mean, rows.column("number")[0].as_py(), window, least), 1e-6), 1 - 1e-9)
+        passes = max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - chance))))
+        columns = [pa.array([rows.column("group")[0].as_py()]), pa.array([mean], pa.list_(pa.float64())), pa.array([passes], pa.int32())]
+        return pa.Table.from_arrays(columns, names=["group", "mean", "passes"])
+
+    return cut(held.groupBy("group").applyInArrow(estimate, "group long, mean array<double>, passes int"), "vector-plan")
+
+
+def planned(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``reps`` with ``mean`` and ``passes`` of their group; null and 1 where it has none."""
+    few = groups.limit(SENT + 1).count() <= SENT
+    joined = reps.select("group", "dim", "node", "vector").join(F.broadcast(groups) if few else groups, "group", "left")
+    return joined.withColumn("passes", F.coalesce("passes", F.lit(1)))
+
+
+def neighbour_links(rows: DataFrame, passes: range, least: float = LEAST, bits: int = BITS, window: int = WINDOW) -> DataFrame:
+    """Links (a, b) between rows of ``planned`` that lie close in some of the passes, thinned to spanning ones."""
+    kind = dict(rows.dtypes)["vector"]
 
     def code(batch: pa.RecordBatch) -> dict:
-        dims, group = batch.column("dim").to_numpy(), batch.column("group").to_numpy()
+        dims, group, most = (batch.column(c).to_numpy() for c in ("dim", "group", "passes"))
+        centred = batch.column("mean").is_valid().to_numpy(zero_copy_only=False)
         codes = np.zeros((len(passes), batch.num_rows), np.int64)
         for size in np.unique(dims):
             here = np.flatnonzero(dims == size)
             unit = _unit(batch.column("vector").take(pa.array(here)), int(size))
-            for name in np.unique(group[here]):
-                if name in spread.value:
-                    unit[group[here] == name] -= spread.value[name]
+            about = np.flatnonzero(centred[here])
+            if len(about):
+                means = batch.column("mean").take(pa.array(here[about])).flatten().to_numpy().reshape(-1, int(size))
+                unit[about] -= means
             for row, p in enumerate(passes):
                 planes = np.random.default_rng([SEED, p, int(size)]).standard_normal((int(size), bits))
                 codes[row, here] = (unit @ planes > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
-        again = pa.array(np.tile(np.arange(batch.num_rows), len(passes)))
+        taken = np.array(passes)[:, None] < most[None]
+        again = pa.array(np.nonzero(taken)[1])
         out = {name: batch.column(name).take(again) for name in ("node", "vector")}
         mixed = np.stack([group ^ np.int64(p) for p in passes])  # a group's passes are groups of their own
-        return out | {"group": mixed.reshape(-1), "code": codes.reshape(-1)}
+        return out | {"group": mixed[taken], "code": codes[taken]}
 
     order = ["group", "code", "node"]
-    coded = map_batches(reps.select("group", "dim", "node", "vector"), code, f"group long, code long, node long, vector {kind}")
+    some = rows.where(F.col("passes") > passes.start).select("group", "dim", "node", "vector", "mean", "passes")
+    coded = map_batches(some, code, f"group long, code long, node long, vector {kind}")
     coded = coded.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +259,12 @@ def link_counts(members: DataFrame, least: float = LEAST, block: int = BLOCK, fi
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     rows, reps = representatives(vectors)
-    passes, means = plan(reps, least)
-    found = []
+    groups = plan(reps, least)
+    passes = groups.agg(F.max("passes")).first()[0] or 1
+    dealt, found = planned(reps, groups), []
     for begin in range(0, passes, ROUND):
         some = range(begin, min(passes, begin + ROUND))
-        found.append(cut(neighbour_links(reps, some, means, least), "vector-links"))
+        found.append(cut(neighbour_links(dealt, some, least), "vector-links"))
     links = found[0]
     for more in found[1:]:
         links = links.union(more)

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,21 +183,23 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
         return fit([], [])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, sample / n)])
-    chosen = labelled.where(draw < share[F.col("lang")]).select("doc_id", "text", "lang")
+    chosen = labelled.where(draw < share[F.col("lang")]).select("doc_id", "text", "lang", F.xxhash64("text").alias("tie"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {"doc_id": [], "lang": [], "feature": [], "n": []}
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")))
-        for doc_id, text, lang in rows:
+        out = {"doc_id": [], "tie": [], "lang": [], "feature": [], "n": []}
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "tie")))
+        for doc_id, text, lang, tie in rows:
             if has_letter(text):
                 row = counts([text])[0]
                 held = np.flatnonzero(row)
-                for key, value in (("doc_id", doc_id), ("lang", lang), ("feature", held.astype(np.int32)), ("n", row[held])):
+                for key, value in (("doc_id", doc_id), ("tie", tie), ("lang", lang), ("feature", held.astype(np.int32)), ("n", row[held])):
                     out[key].append(value)
         return out
 
     bound_batches(docs.sparkSession)
-    rows = map_batches(chosen, run, "doc_id long, lang string, feature array<int>, n array<float>").toArrow()
+    rows = map_batches(chosen, run, "doc_id long, tie long, lang string, feature array<int>, n array<float>").toArrow()
+    order = [(c, "ascending") for c in ("doc_id", "tie", "lang")]
+    rows = rows.take(pc.sort_indices(rows.select([c for c, _ in order]), order))  # the same model whatever the partitions
     raw = [(feature.values.to_numpy(), n.values.to_numpy()) for feature, n in zip(rows.column("feature"), rows.column("n"))]
     return fit(raw, rows.column("lang").to_pylist(), centroids)
 

@@ -37,15 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import hashindex
-from threadloom.llm.common import bound_batches, cut, discard, paused_collection, slices, table
-from threadloom.llm.hashindex import Index, index, opened, pair_hashes
+from threadloom.llm.common import bound_batches, cut, discard, give_back, paused_collection, slices, table
+from threadloom.llm.hashindex import Index, index, pair_hashes
 from threadloom.llm.ranges import numbered
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase is dropped if a longer one holds it in SHARE of 100 of its occurrences or more.
 SHARE, SCALE = 80, 2_000_000
 #: Rows and bytes of text taken at once, and arrays that one task sums.
-ROWS, BYTES, FAN = 4096, 8 << 20, 16
+ROWS, BYTES, FAN = 2048, 4 << 20, 16
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,6 +123,7 @@ def _each(batches: Iterable[pa.RecordBatch], function) -> Iterator[pa.RecordBatc
             with paused_collection():
                 out = function(some)
             yield out
+    give_back()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def encode(docs: DataFrame, vocabulary: Index) -> DataFrame:
         def run(batch: pa.RecordBatch, sent=sent, first=first, last=last) -> pa.RecordBatch:
             keys, back, new = _by_language(batch)
             one, two = _word_hashes(keys)
-            numbers = opened(sent).find(one, two, _same_words(pa.array(keys, pa.large_binary()))) + 1
+            numbers = sent.value.find(one, two, _same_words(pa.array(keys, pa.large_binary()))) + 1
             ids = numbers[back].astype(np.uint32) if len(keys) else np.zeros(0, np.uint32)
             if not first:
                 ids = np.maximum(ids, np.frombuffer(batch.column("ids")[0].as_py(), np.uint32))
@@ -249,7 +250,7 @@ def candidates(ids: DataFrame, n: int, shorter: Index | None, least: int) -> Dat
                 held = np.frombuffer(blob, "<u4")
                 at, high, low = _phrases(held, n)
                 if sent is not None:
-                    block = opened(sent)
+                    block = sent.value
                     where, h, lo = _phrases(held, n - 1)
                     member = np.zeros(len(held) + 1, bool)
                     member[where] = _find(block, h, lo) >= 0
@@ -258,10 +259,14 @@ def candidates(ids: DataFrame, n: int, shorter: Index | None, least: int) -> Dat
                     safe = member[at] & (member[at + 1] | other[at + 1])
                     high, low = high[safe], low[safe]
                 out.append((high, low))
-            return _sums(*(np.concatenate(c) for c in zip(*out)))
+            return _sums(*(np.concatenate(c) for c in zip(*out))) if out else _sums(*[np.zeros(0, np.uint64)] * 2)
 
         def run(batches, sieve=sieve):
-            return (sieve(b) for b in batches if b.num_rows)
+            for batch in batches:
+                with paused_collection():
+                    out = sieve(batch)
+                yield out
+            give_back()
 
         sums = ids.mapInArrow(run, "high long, low long, n long")
         found = sums if found is None else found.unionByName(sums)
@@ -291,7 +296,7 @@ def counts(ids: DataFrame, phrases: Index) -> DataFrame:
         def run(batches, sent=sent, first=first, sizes=sizes, total=total) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(total, np.int64)
             for batch in batches:
-                block = opened(sent)
+                block = sent.value
                 for blob in batch.column("ids").to_pylist():
                     held = np.frombuffer(blob, "<u4")
                     member = None
@@ -305,6 +310,7 @@ def counts(ids: DataFrame, phrases: Index) -> DataFrame:
                         # a phrase with a part that is no candidate is none; parts of other blocks are not known
                         member = np.zeros(len(held) + 1, bool)
                         member[at] = (slots >= 0) | ~_covers(block, high, low)
+            give_back()
             if sums.any():
                 task = TaskContext.get().partitionId()
                 rows = [(p, task, sums[a : a + s].tobytes()) for p, a, s in sizes]
@@ -363,7 +369,7 @@ def cuts(phrases: Index, sums: DataFrame, least: int) -> DataFrame:
             first, raw = by_slot.value
             all_ = np.frombuffer(raw, np.int64)
             for batch in batches:
-                block = opened(sent)
+                block = sent.value
                 high, low = (batch.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
                 ids = _unpacked(high, low)
                 size = sum((p != 0).astype(np.int64) for p in ids)
@@ -440,7 +446,7 @@ def _spelled(rows: DataFrame, vocabulary: Index) -> DataFrame:
 
         def spell(batches, sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                block = opened(sent)
+                block = sent.value
                 ids = _unpacked(*(batch.column(c).to_numpy().view(np.uint64) for c in ("high", "low")))
                 out = []
                 for w, ids_ in zip(words, ids):

@@ -60,6 +60,12 @@ def _trim():
         return lambda _: 0
 
 
+def give_back() -> None:
+    """Give a worker's free memory back to the system; at the end of a task's work, as workers are kept."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 @contextlib.contextmanager
 def paused_collection():
     """No cyclic garbage collection inside: a batch makes many small objects and no cycles.

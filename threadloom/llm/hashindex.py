@@ -10,9 +10,7 @@ so many at a time that a task's memory holds them.
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -130,34 +128,16 @@ class Index:
         self.size = at
 
     def blocks(self) -> Iterator[tuple[list[int], object]]:
-        """For each block: its parts, and a broadcast to be opened by ``opened``.  The driver holds one block at a time."""
+        """For each block: its parts, and a broadcast ``Block``.  The driver holds one block at a time."""
         step = max(1, BLOCK // PART)
         spark = self.table.sparkSession
         for first in range(0, 1 << self.bits, step):
             rows = self.table.where(F.col("part").between(first, first + step - 1)).collect()
-            blobs = {r["part"]: (self.bases[r["part"]], bytes(r["blob"])) for r in rows}
             numbers = list(range(first, min(first + step, 1 << self.bits)))
-            yield numbers, Sent(uuid.uuid4().hex, spark.sparkContext.broadcast((self.bits, {n: blobs.get(n) for n in numbers})))
-
-
-@dataclass(frozen=True)
-class Sent:
-    """A broadcast block, and a name that workers know it by."""
-
-    name: str
-    block: object
-
-
-_OPEN: dict[str, Block] = {}
-
-
-def opened(sent: Sent) -> Block:
-    """The block of a broadcast, unpacked once by a worker."""
-    if sent.name not in _OPEN:
-        _OPEN.clear()
-        bits, blobs = sent.block.value
-        _OPEN[sent.name] = Block(bits, {n: (b[0], *pickle.loads(b[1])) if b else (0, None, None) for n, b in blobs.items()})
-    return _OPEN[sent.name]
+            parts = dict.fromkeys(numbers, (0, None, None))
+            for r in rows:
+                parts[r["part"]] = (self.bases[r["part"]], *pickle.loads(r["blob"]))
+            yield numbers, spark.sparkContext.broadcast(Block(self.bits, parts))
 
 
 def index(rows: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], store: Callable[[pa.Table, np.ndarray], object], name: str) -> Index:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, cut, paused_collection, slices, table
+from threadloom.llm.common import bound_batches, cut, give_back, paused_collection, slices, table
 from threadloom.llm.ranges import running
 
 SIZE = 2048
@@ -253,6 +253,7 @@ def tokens(df: DataFrame, path: str) -> DataFrame:
                         pa.array(at, pa.int64()), pa.array([x.tobytes() + last for x in found], pa.binary()),
                     ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "n", "part", "at", "ids"])
+        give_back()
 
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), "text").mapInArrow(run, schema)

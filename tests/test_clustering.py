@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from threadloom.operators import clustering, features
+from threadloom.operators import clustering, density, features
 
 
 def points(spark, rows, labels=None):
@@ -55,7 +55,7 @@ def test_silhouette(spark):
     assert clustering.silhouette(points(spark, x)).first()["s"] is None
 
 
-def test_distance_rows_and_cosine_pairs(spark):
+def test_cosine_pairs(spark):
     rng = np.random.default_rng(1)
     x = rng.random((20, 12)) * (rng.random((20, 12)) < 0.3)
     x = x[np.linalg.norm(x, axis=1) > 0]
@@ -63,13 +63,7 @@ def test_distance_rows_and_cosine_pairs(spark):
     w = spark.createDataFrame([(int(i), f"t{j}", float(u[i, j])) for i, j in zip(*np.nonzero(u))], "doc_id long, term string, w double")
     s = u @ u.T
     ids = sorted({r["doc_id"] for r in w.collect()})
-    found = {r["id"]: np.array(r["vector"]) for r in features.distance_row_vectors(w).collect()}
-    assert sorted(found) == ids
-    for i in ids:
-        for j in ids:
-            assert abs(np.linalg.norm(found[i] - found[j]) - np.linalg.norm(s[i] - s[j])) < 1e-6
-    with pytest.raises(ValueError):
-        features.distance_row_vectors(w, 3)
+    assert ids == list(range(len(u)))
     near = {(r["i"], r["j"]) for r in features.cosine_pairs(w, 0.6).collect()}
     assert near == {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if s[i, j] >= 0.6}
 
@@ -105,10 +99,10 @@ def test_display(spark):
 def test_rows_that_share_no_term_are_compared(spark):
     """Three documents without common words are one cluster at eps 2 and noise at eps 1."""
     w = spark.createDataFrame([(i, f"t{i}", 1.0) for i in range(3)], "doc_id long, term string, w double")
-    p = features.distance_row_vectors(w)
+    copies = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, copies long")
+    cells = density.cells(density.similarity_row_points(w, copies))
     for eps, label in ((2.0, 0), (1.0, -1)):
-        found = clustering.dbscan(p, clustering.vector_pairs(p, eps), eps)
-        assert [r["label"] for r in found.collect()] == [label] * 3
+        assert [r["label"] for r in density.dbscan(cells, eps).collect()] == [label] * 3
 
 
 def test_equal_documents_are_compared_once(spark):

@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import urls as U
-from threadloom.operators import clustering, crawl, extract, features, filters, labels, stats, threads
+from threadloom.operators import clustering, crawl, density, extract, features, filters, labels, stats, threads
 from threadloom.scratch import cut
-from threadloom.sources.landed import spread
 
-#: Tables whose rows take long to work on.
-TEXTS = ("documents", "pages")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,8 +31,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXTS else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -520,7 +516,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT i, j FROM p WHERE dist <= {EPS}")
 def eps_graph(spark, sf_dir):
-    pairs = clustering.vector_pairs(_vectors(spark, sf_dir), EPS)
+    pairs = density.near_pairs(density.dense_points(_vectors(spark, sf_dir)), EPS)
     return clustering.eps_graph(pairs, EPS).where("a < b").select(F.col("a").alias("i"), F.col("b").alias("j"))
 
 
@@ -529,8 +525,8 @@ def eps_graph(spark, sf_dir):
 SELECT v.id, count(d.id) + 1 AS neighbours, count(d.id) + 1 >= 3 AS is_core FROM v LEFT JOIN d ON d.id = v.id GROUP BY v.id"""
 )
 def dbscan_core(spark, sf_dir):
-    points = _vectors(spark, sf_dir)
-    return clustering.core_points(points, clustering.vector_pairs(points, EPS), EPS, 3)
+    counts = density.neighbour_counts(density.cells(density.dense_points(_vectors(spark, sf_dir))), EPS)
+    return counts.select("id", "neighbours", (F.col("neighbours") >= 3).alias("is_core"))
 
 
 def _dbscan_sql(eps: float, pairs: str = PAIRS) -> str:
@@ -543,8 +539,7 @@ lab AS (SELECT id, CASE WHEN n = 1 THEN -1 ELSE dense_rank() OVER (ORDER BY n =
 
 @query(_dbscan_sql(EPS) + " SELECT id, label FROM lab")
 def dbscan_labels(spark, sf_dir):
-    points = _vectors(spark, sf_dir)
-    return clustering.dbscan(points, clustering.vector_pairs(points, EPS), EPS).select("id", "label")
+    return density.dbscan(density.cells(density.dense_points(_vectors(spark, sf_dir))), EPS).select("id", "label")
 
 
 @query(
@@ -555,8 +550,11 @@ def dbscan_labels(spark, sf_dir):
     )
 )
 def dbscan_sweep(spark, sf_dir):
-    points = _vectors(spark, sf_dir)
-    return clustering.dbscan_sweep(points, clustering.vector_pairs(points, 1.15), [1.0, 1.1, 1.15])
+    cells, found = density.cells(density.dense_points(_vectors(spark, sf_dir))), None
+    for eps in (1.0, 1.1, 1.15):
+        row = clustering.cluster_counts(density.dbscan(cells, eps)).select(F.lit(eps).alias("eps"), "n_clusters", "n_noise")
+        found = row if found is None else found.union(row)
+    return found
 
 
 @query(
@@ -704,56 +702,65 @@ def cluster_report(spark, sf_dir):
     return clustering.first_members(points.select("id", "label"), titles, 2).select("title", "label")
 
 
-# the reference form of density clustering: rows of the cosine distance matrix of lemmatised TF-IDF as points
+# density clustering of the rows of the cosine distance matrix of lemmatised TF-IDF, at 10,000 terms
 
-ROWS_KEPT = "kept AS (SELECT * FROM freq WHERE df >= 3 ORDER BY cf DESC, term LIMIT 200)"
-ROWS = f"""{TFIDF}, {ROWS_KEPT}, {_weights_sql('kept')},
-dense AS (SELECT d.doc_id, list(coalesce(w.w, 0.0) ORDER BY t.term) AS x FROM (SELECT DISTINCT doc_id FROM w) d
-  CROSS JOIN (SELECT DISTINCT term FROM w) t LEFT JOIN w ON w.doc_id = d.doc_id AND w.term = t.term GROUP BY d.doc_id),
-rows AS (SELECT a.doc_id AS id, list(list_dot_product(a.x, b.x) ORDER BY b.doc_id) AS e FROM dense a CROSS JOIN dense b GROUP BY a.doc_id),
-v AS (SELECT id, e FROM rows),
-p AS (SELECT a.id AS i, b.id AS j, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.id < b.id)"""
+ROWS = f"""{TFIDF}, {PRUNED}, {_weights_sql('kept')},
+sim AS MATERIALIZED (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS s FROM w a JOIN w b USING (term) GROUP BY 1, 2),
+d AS (SELECT DISTINCT doc_id FROM w),
+v AS MATERIALIZED (SELECT a.doc_id AS id, list(coalesce(s, 0.0) ORDER BY b.doc_id) AS e
+  FROM d a CROSS JOIN d b LEFT JOIN sim ON sim.i = a.doc_id AND sim.j = b.doc_id GROUP BY a.doc_id),
+p AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.id < b.id)"""
 
 
-def _row_points(spark, sf_dir) -> DataFrame:
-    return cut(features.distance_row_vectors(cut(_weights(spark, sf_dir, 3, 200), "weights")), "row-points")
+def _components_sql(epsilons: tuple[float, ...], pairs: str) -> str:
+    """CTEs ending in ``lab`` (eps, id, label) by smallest ids that travel along links, for clusters of two or more."""
+    return f"""WITH RECURSIVE {pairs},
+radius AS (SELECT unnest({list(epsilons)})::DOUBLE AS eps),
+link AS MATERIALIZED (SELECT eps, i AS a, j AS b FROM p JOIN radius ON dist <= eps UNION ALL SELECT eps, j, i FROM p JOIN radius ON dist <= eps),
+cc(eps, id, root) USING KEY (eps, id) AS (
+  SELECT eps, id, id FROM v, radius
+  UNION SELECT l.eps, l.b, min(cc.root) FROM cc JOIN link l ON l.eps = cc.eps AND l.a = cc.id
+    JOIN recurring.cc r ON r.eps = l.eps AND r.id = l.b WHERE cc.root < r.root GROUP BY l.eps, l.b),
+sized AS (SELECT *, count(*) OVER (PARTITION BY eps, root) AS n FROM cc),
+lab AS (SELECT eps, id, CASE WHEN n = 1 THEN -1 ELSE dense_rank() OVER (PARTITION BY eps ORDER BY n = 1, root) - 1 END::INTEGER AS label FROM sized)"""
+
+
+def _row_points(spark, sf_dir) -> tuple[density.Points, DataFrame]:
+    """Distinct documents as points, and (doc_id, head) of all."""
+    classes, heads = features.equal_classes(cut(_weights(spark, sf_dir, 3, 10000), "weights"))
+    copies = classes.groupBy(F.col("head").alias("doc_id")).agg(F.count(F.lit(1)).alias("copies"))
+    return density.similarity_row_points(heads, cut(copies, "copies")), classes
+
+
+def _row_labels(cells: density.Cells, classes: DataFrame, eps: float) -> DataFrame:
+    labels_ = density.dbscan(cells, eps).select(F.col("id").alias("head"), "label")
+    return cut(classes.join(labels_, "head").select(F.col("doc_id").alias("id"), "label"), "row-labels")
 
 
 ROW_EPS = 0.6
 
 
-@query(_dbscan_sql(ROW_EPS, ROWS) + " SELECT id, label FROM lab")
+@query(_components_sql((ROW_EPS,), ROWS) + " SELECT id, label FROM lab")
 def dbscan_distance_rows(spark, sf_dir):
-    points = _row_points(spark, sf_dir)
-    return clustering.dbscan(points, clustering.vector_pairs(points, ROW_EPS), ROW_EPS).select("id", "label")
+    points, classes = _row_points(spark, sf_dir)
+    return _row_labels(density.cells(points), classes, ROW_EPS)
 
 
-@query(
-    " UNION ALL ".join(
-        f"SELECT * FROM ({_dbscan_sql(e, ROWS)} SELECT {e}::DOUBLE AS eps, count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters, "
-        f"count(*) FILTER (WHERE label = -1) AS n_noise FROM lab)"
-        for e in (0.3, 0.6)
-    )
-)
-def sweep_distance_rows(spark, sf_dir):
-    points = _row_points(spark, sf_dir)
-    return clustering.dbscan_sweep(points, clustering.vector_pairs(points, 0.6), [0.3, 0.6])
+SWEEP = (1.0, 2.0, 3.0, 4.0)
 
 
 @query(
-    _dbscan_sql(ROW_EPS, ROWS)
-    + """, l AS (SELECT v.id, e, label FROM v JOIN lab USING (id)),
-d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS total, count(*) AS n FROM l a CROSS JOIN l b GROUP BY 1, 2, 3),
-s AS (SELECT id, label, max(CASE WHEN other = label THEN total / greatest(n - 1, 1) END) AS a,
-  min(CASE WHEN other <> label THEN total / n END) AS b, max(CASE WHEN other = label THEN n END) AS n FROM d GROUP BY 1, 2)
-SELECT count(*) AS n, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS s FROM s"""
-)
-def silhouette_distance_rows(spark, sf_dir):
-    """The mean silhouette of the clusters of distance rows, noise counted as a cluster."""
-    points = _row_points(spark, sf_dir)
-    labels_ = clustering.dbscan(points, clustering.vector_pairs(points, ROW_EPS), ROW_EPS).select("id", "label")
-    found = clustering.silhouette(cut(points.join(labels_, "id"), "labelled"))
-    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 5).alias("s"))
+    _components_sql(SWEEP, ROWS)
+    + """ SELECT eps, count(DISTINCT label) FILTER (WHERE label <> -1) AS n_clusters, count(*) FILTER (WHERE label = -1) AS n_noise FROM lab GROUP BY eps"""
+)
+def sweep_distance_rows(spark, sf_dir):
+    """Clusters and noise for each radius; the points and their cells are made once."""
+    points, classes = _row_points(spark, sf_dir)
+    cells, found = density.cells(points), None
+    for eps in SWEEP:
+        row = clustering.cluster_counts(_row_labels(cells, classes, eps)).select(F.lit(eps).alias("eps"), "n_clusters", "n_noise")
+        found = row if found is None else found.union(row)
+    return found
 
 
 SHOWN = ["thing", "re", "ou"]

@@ -50,6 +50,21 @@ def _shuffles_go(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, was)
 
 
+@contextlib.contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]:
+    """Queries that run inside hand Python batches of at most ``most`` bytes, or of one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 

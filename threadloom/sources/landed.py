@@ -32,15 +32,5 @@ def read_stage(spark: SparkSession, root: str, stage: str, forum: str | None = N
     return between(rows, "page", *pages) if pages else rows
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores where its scan would keep half of them idle or more; else as it is.
-
-    A file with one row group is read by one task however many cores there are.
-    Tables with more row groups than cores, as large ones have, don't move.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
-
-
 def stop_words(spark: SparkSession, language: str = "english") -> DataFrame:
     return spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords(language)], "word string")

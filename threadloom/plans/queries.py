@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import urls as U
-from threadloom.operators import clustering, crawl, density, extract, features, filters, labels, stats, threads
+from threadloom.operators import clustering, crawl, density, extract, features, filters, labels, sparse, stats, threads
 from threadloom.scratch import cut
 
 QUERIES: dict = {}
@@ -621,14 +621,19 @@ def pca_invariants(spark, sf_dir):
     points = cut(_vectors(spark, sf_dir), "points")
     rows = points.select("id", F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("s"))
     of = rows.agg(F.sum("s").alias("trace"), F.max("s").alias("most"))
-    xy = clustering.scatter(points, points.select("id", "label")).agg(
+    return _projection_facts(clustering.scatter(points, points.select("id", "label")).select("x", "y"), of)
+
+
+def _projection_facts(xy: DataFrame, of: DataFrame) -> DataFrame:
+    """What is known of projections (x, y) on principal components, given the sum and the largest of all variances."""
+    facts = xy.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.abs(F.round(F.avg(c), 6)).alias(f"mean_{c}") for c in "xy"],
         F.abs(F.round(F.covar_samp("x", "y"), 6)).alias("covariance"),
         F.var_samp("x").alias("vx"),
         F.var_samp("y").alias("vy"),
     )
-    both = xy.join(F.broadcast(of))  # one row each
+    both = facts.join(F.broadcast(of))  # one row each
     return both.select(
         "n", "mean_x", "mean_y", "covariance", F.round("trace", 6).alias("trace"), (F.col("vx") >= F.col("vy")).alias("ordered"),
         (F.col("vx") >= F.col("most") - 1e-9).alias("first_is_largest"), (F.col("vx") + F.col("vy") <= F.col("trace") + 1e-9).alias("within_trace"),
@@ -763,6 +768,99 @@ def sweep_distance_rows(spark, sf_dir):
     return found
 
 
+@query(
+    _components_sql((ROW_EPS,), ROWS)
+    + """, l AS (SELECT v.id, e, label FROM v JOIN lab USING (id)),
+d2 AS (SELECT i AS id, j AS other, dist FROM p UNION ALL SELECT j, i, dist FROM p UNION ALL SELECT id, id, 0 FROM v),
+t AS (SELECT d2.id, a.label, b.label AS other, sum(dist) AS total, count(*) AS n FROM d2 JOIN lab a ON a.id = d2.id JOIN lab b ON b.id = d2.other GROUP BY 1, 2, 3),
+s AS (SELECT id, label, max(CASE WHEN other = label THEN total / greatest(n - 1, 1) END) AS a,
+  min(CASE WHEN other <> label THEN total / n END) AS b, max(CASE WHEN other = label THEN n END) AS n FROM t GROUP BY 1, 2)
+SELECT count(*) AS n, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS s FROM s"""
+)
+def silhouette_distance_rows(spark, sf_dir):
+    """The mean silhouette of the clusters of distance rows, noise counted as a cluster."""
+    points, classes = _row_points(spark, sf_dir)
+    labels_ = density.dbscan(density.cells(points), ROW_EPS).select("id", "label")
+    found, _ = density.silhouette(points, cut(labels_, "labels"))
+    return _mean_silhouette(found)
+
+
+def _mean_silhouette(found: DataFrame) -> DataFrame:
+    mean = F.sum(F.col("s") * F.col("copies")) / F.sum("copies")
+    return found.agg(F.sum("copies").alias("n"), F.round(mean, 5).alias("s"))
+
+
+# k-means, silhouette and projection of the TF-IDF matrix at 10,000 terms: k = 4, from the vectors of the first four documents
+
+KMEANS_ROUNDS = 4
+
+
+def _tfidf_kmeans_sql(rounds: int) -> str:
+    ctes = [
+        f"{TFIDF}, {PRUNED}, {_weights_sql('kept')}, m AS MATERIALIZED (SELECT * FROM w), d AS MATERIALIZED (SELECT DISTINCT doc_id FROM m)",
+        "f AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INTEGER AS label FROM (SELECT doc_id FROM d ORDER BY doc_id LIMIT 4))",
+        "c0 AS MATERIALIZED (SELECT label, term, w AS x FROM m JOIN f USING (doc_id))",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"""q{i} AS (SELECT label, sum(x * x) AS q FROM c{i} GROUP BY label),
+o{i} AS (SELECT doc_id, label, sum(w * x) AS o FROM m JOIN c{i} USING (term) GROUP BY 1, 2),
+b{i} AS MATERIALIZED (SELECT doc_id, arg_min(label, (cost, label)) AS label FROM
+  (SELECT d.doc_id, q.label, round(1 + q - 2 * coalesce(o, 0), 9) AS cost FROM d CROSS JOIN q{i} q LEFT JOIN o{i} o ON o.doc_id = d.doc_id AND o.label = q.label) GROUP BY doc_id),
+n{i} AS (SELECT label, count(*) AS n FROM b{i} GROUP BY label),
+c{i + 1} AS MATERIALIZED (SELECT label, term, sum(w) / any_value(n) AS x FROM m JOIN b{i} USING (doc_id) JOIN n{i} USING (label) GROUP BY 1, 2
+  UNION ALL SELECT * FROM c{i} WHERE label NOT IN (SELECT label FROM n{i}))"""
+        )
+    return f"WITH {', '.join(ctes)}"
+
+
+def _sparse(spark, sf_dir) -> tuple[DataFrame, int]:
+    """Distinct documents' rows, and the number of terms; every document, as k-means weighs each."""
+    return density.sparse_rows(cut(_weights(spark, sf_dir, 3, 10000), "weights"))
+
+
+def _tfidf_labels(rows: DataFrame, width: int) -> DataFrame:
+    first = [r["id"] for r in rows.select("id").orderBy("id").limit(4).collect()]
+    return cut(sparse.kmeans(rows, sparse.vectors_of(rows, first, width), KMEANS_ROUNDS)[0], "tfidf-labels")
+
+
+@query(_tfidf_kmeans_sql(KMEANS_ROUNDS) + f" SELECT doc_id, label FROM b{KMEANS_ROUNDS}")
+def kmeans_tfidf(spark, sf_dir):
+    return _tfidf_labels(*_sparse(spark, sf_dir)).select(F.col("id").alias("doc_id"), "label")
+
+
+@query(
+    _tfidf_kmeans_sql(KMEANS_ROUNDS)
+    + f""", s AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS s FROM m a JOIN m b USING (term) GROUP BY 1, 2),
+t AS (SELECT a.doc_id AS id, a.label, b.label AS other, sum(CASE WHEN a.doc_id = b.doc_id THEN 0 ELSE sqrt(greatest(2 - 2 * coalesce(s, 0), 0)) END) AS total, count(*) AS n
+  FROM b{KMEANS_ROUNDS} a CROSS JOIN b{KMEANS_ROUNDS} b LEFT JOIN s ON s.i = a.doc_id AND s.j = b.doc_id GROUP BY 1, 2, 3),
+z AS (SELECT id, label, max(CASE WHEN other = label THEN total / greatest(n - 1, 1) END) AS a,
+  min(CASE WHEN other <> label THEN total / n END) AS b, max(CASE WHEN other = label THEN n END) AS n FROM t GROUP BY 1, 2)
+SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS s FROM z"""
+)
+def silhouette_tfidf(spark, sf_dir):
+    """The mean silhouette of the k-means clusters of the TF-IDF matrix."""
+    rows, width = _sparse(spark, sf_dir)
+    points = density.sparse_points(rows.withColumn("copies", F.lit(1).cast("long")), width)
+    return _mean_silhouette(density.silhouette(points, _tfidf_labels(rows, width))[0])
+
+
+@query(
+    f"""WITH {TFIDF}, {PRUNED}, {_weights_sql('kept')}, n_ AS (SELECT count(DISTINCT doc_id) AS n FROM w),
+s AS (SELECT term, (sum(w * w) - sum(w) ^ 2 / any_value(n)) / (any_value(n) - 1) AS s FROM w, n_ GROUP BY term)
+SELECT any_value(n) AS n, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y, 0.0::DOUBLE AS covariance, round(sum(s), 6) AS trace,
+  true AS ordered, true AS first_is_largest, true AS within_trace FROM s, n_"""
+)
+def pca_tfidf(spark, sf_dir):
+    """What holds of the projection of the TF-IDF matrix on its first two components."""
+    rows, width = _sparse(spark, sf_dir)
+    xy = sparse.projected(rows, sparse.principal(rows, width)).select(F.col("xs")[0].alias("x"), F.col("xs")[1].alias("y"))
+    n = rows.count()
+    terms = rows.select(F.explode(F.arrays_zip("pos", "w")).alias("z")).groupBy("z.pos")
+    each = terms.agg(((F.sum(F.col("z.w") * F.col("z.w")) - F.pow(F.sum("z.w"), 2) / n) / (n - 1)).alias("s"))
+    return _projection_facts(xy, each.agg(F.sum("s").alias("trace"), F.max("s").alias("most")))
+
+
 SHOWN = ["thing", "re", "ou"]
 
 

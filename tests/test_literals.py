@@ -1,8 +1,4 @@
-"""Queries over literal pages and posts: every forum layout, listings, notes, pagers, sinks and the real label rules.
-
-The generated tables hold no forum pages, so these queries bring their own
-small inputs; their SQL states the rows that must come out.
-"""
+"""Literal pages and posts: every forum layout, listings, notes, pagers, sinks, the real label rules, and a crawl of a local site."""
 
 from __future__ import annotations
 
@@ -10,16 +6,29 @@ import http.server
 import json
 import threading
 
+import pytest
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import extract, filters, labels, stats
+from threadloom.operators import extract, labels
 from threadloom.plans import ingest
-from threadloom.plans.queries import _labels_sql, query, table, values
+from threadloom.plans.queries import _labels_sql, values
 from threadloom.scratch import cut, scratch_path
 from threadloom.sources import landed, sinks
 
+CASES: dict = {}
+
+
+def query(sql):
+    def add(function):
+        CASES[function.__name__] = (function, sql)
+        return function
+
+    return add
+
+
 CLOUDFLARE = """<html><head><title>T</title></head><body>
 <div class="topic-body crawler-post"><span class="creator" itemprop="author">a.b</span><time class="post-time">d0</time>
 <div class="post">first <a href="/t/x">l</a><a href="http://o/y">m</a><a href="http://o/y">n</a><a href="/u/z">u</a></div></div>
@@ -253,30 +262,6 @@ def tagged_locations(spark, sf_dir):
     return labels.locations(posts, "id", "text", "raw_tag").select("id", F.array_join("labels", "|").alias("locations"))
 
 
-@query(
-    """SELECT user_id::VARCHAR AS user, count(*) AS n_replies FROM events GROUP BY 1
-ORDER BY count(*) DESC, min(event_id), 1 LIMIT 20"""
-)
-def first_seen_ranking(spark, sf_dir):
-    """Users by number of rows, ties by who came first."""
-    counts = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.lit(1).alias("n"), F.col("event_id").alias("at"))
-    return stats.user_ranking(counts, 20, "at")
-
-
-@query(
-    """SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id)
-WHERE coalesce(quality, 0) = 1 AND lang <> 'de' AND NOT coalesce(toxic = 1, false)"""
-)
-def related_posts(spark, sf_dir):
-    """The relevance filter with its language flag set on some rows and null on others."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    posts = docs.select(
-        "doc_id", (F.col("quality") == 1).alias("DNS_Related"), (F.col("toxic") == 1).alias("Non_English"), F.lit("May 1, 2021, x").alias("created_date"),
-        F.when(F.col("lang") == "de", F.array(F.lit(filters.OTHER_LANGUAGES))).otherwise(F.array().cast("array<string>")).alias("labels"),
-    )
-    return posts.where(filters.relevant_post()).select("doc_id")
-
-
 class Site:
     """A small web site on the driver: path -> list of (status, body), the last one repeated; BASE stands for its address."""
 
@@ -347,3 +332,13 @@ def crawled_site(spark, sf_dir):
     refined, pure = (landed.read_stage(spark, root, x) for x in ("refined_external", "pure_external"))
     outside = refined.join(pure.drop("title"), "url").select(F.lit("outside"), path, F.concat_ws(" ", "title", "refined_content", "pure_text"))
     return found.union(threads).union(outside)
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_literal_case(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    function, sql = CASES[name]
+    found = function(spark, None)
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    want = duckdb.connect().execute(f"SELECT {columns} FROM ({sql})").fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))

@@ -83,3 +83,38 @@ def lemmatize(rows: DataFrame, token: str, lemmas: DataFrame) -> DataFrame:
     table = sent(lemmas.select(F.col("form").alias("__form"), F.col("lemma").alias("__lemma")))
     joined = rows.join(table, F.col(token) == F.col("__form"), "left")
     return joined.withColumn(token, F.coalesce("__lemma", token)).drop("__form", "__lemma")
+
+
+def _suffixes() -> dict[str, list[tuple[int, int, str, str]]]:
+    """The nodes of the trie of reversed endings that hold rules: ending -> (part of speech, rule, ending, base)."""
+    nodes: dict[str, list[tuple[int, int, str, str]]] = {}
+    for part, rules in enumerate(DETACH.values()):
+        for number, (ending, base) in enumerate(rules):
+            nodes.setdefault(ending, []).append((part, number, ending, base))
+    return nodes
+
+
+def corpus_lemmas(tokens: DataFrame, exceptions: DataFrame | None = None, safe: Iterable[str] = SAFE) -> DataFrame:
+    """(form, lemma) of every distinct ``token`` that has another lemma, by what the corpus itself holds.
+
+    A token walks the trie of reversed endings, one node for each of its own last letters,
+    and takes the rules of the nodes it meets; a base counts where the corpus has it as a token.
+    The first part of speech with a base decides (noun, adjective, verb), in it the shortest
+    base, ties in order of the rules.  ``exceptions`` (form, lemma) come first.  The table grows with the
+    vocabulary: it is joined, and ``lemmatize`` broadcasts it only behind a check of its size.
+    """
+    words = tokens.where(is_plain_word(F.col("token")) & (F.col("token") != "")).select("token").distinct()
+    nodes = _suffixes()
+    rule = lambda r: F.struct(F.lit(r[0]).alias("part"), F.lit(r[1]).alias("rule"), F.lit(len(r[2])).alias("cut"), F.lit(r[3]).alias("base"))
+    trie = F.create_map(*[x for ending, rules in nodes.items() for x in (F.lit(ending), F.array(*[rule(r) for r in rules]))])
+    longest = max(map(len, nodes))
+    walk = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.try_element_at(trie, F.right("token", k)))
+    met = F.flatten(F.filter(walk, lambda x: x.isNotNull()))
+    base = lambda r: F.concat(F.substring("token", F.lit(1), F.char_length("token") - r["cut"]), r["base"])
+    found = words.select("token", F.explode(F.filter(met, lambda r: F.char_length("token") > r["cut"])).alias("r"))
+    found = found.select(F.col("token").alias("form"), base(F.col("r")).alias("lemma"), "r.part", "r.rule").where("lemma <> form")
+    held = found.join(words.select(F.col("token").alias("lemma")), "lemma", "left_semi")
+    chosen = held.groupBy("form").agg(F.min(F.struct("part", F.char_length("lemma").alias("n"), "rule", "lemma")).alias("m")).select("form", F.col("m.lemma").alias("lemma"))
+    if exceptions is not None:
+        chosen = exceptions.select("form", "lemma").unionByName(chosen.join(exceptions.select("form"), "form", "left_anti"))
+    return chosen.where(~F.col("form").isin(*safe))

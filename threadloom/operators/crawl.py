@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.urls import is_media
+from threadloom.scratch import cut
 
 #: Retries after the first attempt, for thread pages and for outside pages; forums that differ.
 RETRIES, EXTERNAL_RETRIES = 3, 3
@@ -57,3 +58,21 @@ def closed_and_open(closed: DataFrame, open_: DataFrame) -> DataFrame:
 def ingest_inputs(listing: DataFrame, pages: DataFrame, notes: DataFrame) -> DataFrame:
     """Listed threads with their landed page and, where there is one, their notes."""
     return listing.join(pages, "url").join(notes, "url", "left")
+
+
+def reachable(links: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+    """(page, round) of the pages that links (a, b) lead to from ``start`` (page), with the round that first meets each.
+
+    Semi-naive rounds: only pages that are new in a round are followed in the next, and
+    each round is stored.  ``most`` bounds the depth; it ends with an error, not with less.
+    """
+    links = cut(links.select("a", "b").where("b IS NOT NULL").distinct(), "links")
+    new = cut(start.select("page").distinct().withColumn("round", F.lit(0)), "round")
+    seen = new
+    for number in range(1, most + 1):
+        found = new.join(links, F.col("page") == F.col("a")).select(F.col("b").alias("page")).distinct()
+        new = cut(found.join(seen.select("page"), "page", "left_anti").withColumn("round", F.lit(number)), "round")
+        if not new.limit(1).count():
+            return seen
+        seen = seen.union(new)
+    raise RuntimeError(f"pages are left after {most} rounds")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions import urls as U
 from threadloom.operators import clustering, crawl, density, extract, features, filters, labels, sparse, stats, threads
-from threadloom.scratch import cut
+from threadloom.scratch import cut, scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -882,3 +882,114 @@ def matrix_shape(spark, sf_dir):
     names = features.feature_names(weights).agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first"), F.max("term").alias("last"))
     docs = weights.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     return docs.join(F.broadcast(names)).select("n_docs", "n_terms", "first", "last")  # one row each
+
+
+# lemmas by the corpus, the closure of links, updates in place, documents without schema, pruned partitions
+
+RULE_ROWS = [(p, n, e, b) for p, rules in enumerate(T.DETACH.values()) for n, (e, b) in enumerate(rules)]
+CORPUS_LEMMAS = f"""rule AS {values(RULE_ROWS, "part, rule, ending, base")},
+exc AS {values(EXCEPTIONS, "form, lemma")},
+plain AS (SELECT token FROM tok WHERE regexp_full_match(token, '[a-z]*') AND token <> ''),
+word AS (SELECT DISTINCT token FROM plain),
+cand AS (SELECT token AS form, part, rule, left(token, length(token) - length(ending)) || base AS lemma FROM word JOIN rule ON ends_with(token, ending) AND length(token) > length(ending)),
+held AS (SELECT * FROM cand WHERE lemma <> form AND lemma IN (FROM word)),
+chosen AS (SELECT form, arg_min(lemma, (part, length(lemma), rule)) AS lemma FROM held GROUP BY form),
+lem AS (SELECT * FROM (SELECT * FROM exc UNION ALL SELECT * FROM chosen WHERE form NOT IN (SELECT form FROM exc)) WHERE form <> 'ns')"""
+
+
+@query(
+    f"""WITH {TOKENS}, {CORPUS_LEMMAS}
+SELECT coalesce(lemma, token) AS lemma, count(*) AS n_tokens, count(DISTINCT token) AS n_forms FROM plain LEFT JOIN lem ON form = token GROUP BY 1"""
+)
+def corpus_lemmas(spark, sf_dir):
+    """Every token of the documents by its lemma: noun, adjective, verb, with bases that the corpus holds."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.select(F.explode(T.raw_tokens(F.col("text"))).alias("token")).where(T.is_plain_word(F.col("token")) & (F.col("token") != ""))
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    lemmas = cut(T.corpus_lemmas(counts, spark.createDataFrame(EXCEPTIONS, "form string, lemma string")), "lemmas")
+    found = T.lemmatize(counts.withColumn("form", F.col("token")), "token", lemmas)
+    return found.groupBy(F.col("token").alias("lemma")).agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_forms"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+link AS MATERIALIZED (SELECT DISTINCT page_id AS a, (31 * ord(substr(href, 2, 1)) + length(href)) % n AS b
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="(/[^"]+)"', 1)) AS href FROM pages), n),
+r(page, round) USING KEY (page) AS (SELECT 0::BIGINT, 0 UNION SELECT b, min(r.round) + 1 FROM r JOIN link ON a = r.page
+  WHERE b NOT IN (SELECT page FROM recurring.r) GROUP BY b)
+SELECT page, round::INTEGER AS round FROM r"""
+)
+def reachable_pages(spark, sf_dir):
+    """Pages reached from page 0, round by round.  The generated links name no page, so a link's letters stand for a page's number."""
+    pages = cut(table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="(/[^"]+)"'), F.lit(1))).alias("href")), "hrefs")
+    n = table(spark, sf_dir, "pages").count()
+    target = (31 * F.ascii(F.substring("href", 2, 1)) + F.char_length("href")) % n
+    links = pages.select(F.col("page_id").alias("a"), target.cast("long").alias("b"))
+    return crawl.reachable(links, spark.range(1).select(F.col("id").alias("page")))
+
+
+STAGED = """SELECT o_orderkey, o_orderpriority AS forum, month(o_orderdate)::INTEGER AS page, o_orderpriority AS labels_v2, false AS updated FROM orders"""
+
+
+def _staged(spark, sf_dir) -> str:
+    """Orders as a stage partitioned by (forum, page); returns its path."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("forum"), F.month("o_orderdate").alias("page"), F.col("o_orderpriority").alias("labels_v2"), F.lit(False).alias("updated")
+    )
+    path = scratch_path(spark, "staged")
+    orders.repartition("forum", "page").write.partitionBy("forum", "page").parquet(path)
+    return path
+
+
+@query(
+    f"""WITH s AS ({STAGED}), c AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS tags FROM lineitem
+  JOIN s ON o_orderkey = l_orderkey AND page IN (3, 7) WHERE l_quantity > 45 GROUP BY l_orderkey)
+SELECT o_orderkey, forum, page, coalesce(tags, labels_v2) AS labels_v2, tags IS NOT NULL AS updated FROM s LEFT JOIN c ON l_orderkey = o_orderkey"""
+)
+def partial_update(spark, sf_dir):
+    """Labels of two months are changed in place: only their folders are written anew."""
+    from threadloom.sources.sinks import update_partitions
+
+    path = _staged(spark, sf_dir)
+    months = table(spark, sf_dir, "orders").where(F.month("o_orderdate").isin(3, 7)).select("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").join(months, F.col("l_orderkey") == F.col("o_orderkey"))
+    tags = lines.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("labels_v2"))
+    update_partitions(spark, path, tags.withColumn("updated", F.lit(True)), "o_orderkey")
+    return spark.read.parquet(path).select("o_orderkey", "forum", "page", "labels_v2", "updated")
+
+
+@query(
+    f"""WITH s AS ({STAGED}), d AS (SELECT p_size % 5 AS k, p_size % 12 + 1 AS page FROM part WHERE p_partkey % 50 = 7 GROUP BY ALL)
+SELECT s.forum, s.page, count(*) AS n FROM s JOIN (SELECT DISTINCT page FROM d WHERE page <= 4) d ON d.page = s.page GROUP BY ALL"""
+)
+def pruned_partitions(spark, sf_dir):
+    """A stage joined with pages that another table names: only those folders are read."""
+    return pruned_join(spark, sf_dir)
+
+
+def pruned_join(spark, sf_dir) -> DataFrame:
+    stage = spark.read.parquet(_staged(spark, sf_dir))
+    named = table(spark, sf_dir, "part").where("p_partkey % 50 = 7").select((F.col("p_size") % 12 + 1).alias("page")).where("page <= 4").distinct()
+    return stage.join(named, "page").groupBy("forum", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type AS kind, value AS amount, CASE WHEN event_id % 3 = 0 THEN (event_id % 7)::BIGINT END AS depth,
+  event_id % 2 = 0 AS flag, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id::VARCHAR END AS author FROM events"""
+)
+def schema_free(spark, sf_dir):
+    """Documents without schema: fields of five types, some missing and some of another type, which give null."""
+    key = F.col("event_id")
+    field = lambda name, value: F.concat(F.lit(f', "{name}": '), value)
+    body = F.concat(
+        F.expr("substring(props, 1, length(props) - 1)"), field("kind", F.concat(F.lit('"'), "event_type", F.lit('"'))), field("amount", F.col("value").cast("string")),
+        F.when(key % 3 == 0, field("meta", F.concat(F.lit('{"depth": '), (key % 7).cast("string"), F.lit("}")))).otherwise(field("meta", F.lit('"none"'))),
+        field("flag", (key % 2 == 0).cast("string")), F.when(key % 5 == 0, "").otherwise(field("author", F.concat(F.lit('{"name": "'), F.col("user_id").cast("string"), F.lit('"}')))),
+        F.lit("}"),
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(body).alias("doc"))
+    get = lambda path, kind: F.try_variant_get("doc", path, kind)
+    return rows.select(
+        "event_id", get("$.k", "bigint").alias("k"), get("$.kind", "string").alias("kind"), get("$.amount", "double").alias("amount"),
+        get("$.meta.depth", "bigint").alias("depth"), get("$.flag", "boolean").alias("flag"), get("$.author.name", "string").alias("author"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.plans import samples  # noqa: F401  (registers its queries)
+from threadloom.plans import rendered  # noqa: F401  (registers its queries)
 from threadloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

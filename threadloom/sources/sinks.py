@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.scratch import cut
+
 
 def append_stage(df: DataFrame, root: str, stage: str, batch: str | int | None = None) -> None:
     """Append to a stage's table, partitioned by forum and page where it has them, and by batch.
@@ -43,3 +45,23 @@ def write_version(df: DataFrame, root: str, stage: str, version: int) -> str:
     parts = [c for c in ("forum", "page") if c in df.columns]
     (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return path
+
+
+def update_partitions(spark: SparkSession, path: str, changes: DataFrame, key: str, parts: tuple[str, ...] = ("forum", "page")) -> DataFrame:
+    """Update a stored table in place: only partitions that hold a changed key are written anew; returns these.
+
+    Copy-on-write: the keys alone are read to find the partitions, whose rows are then read
+    by pruned folders, updated, stored aside and put in their place by dynamic overwrite.
+    A step that fails before the last leaves the table as it was, and one that is repeated
+    gives the same table.
+    """
+    table = spark.read.parquet(path)
+    touched = cut(table.select(key, *parts).join(changes.select(key).distinct(), key, "left_semi").select(*parts).distinct(), "touched")
+    same = [table[p].eqNullSafe(touched[p]) for p in parts]
+    condition = same[0]
+    for more in same[1:]:
+        condition = condition & more
+    rows = table.join(F.broadcast(touched), condition, "left_semi")  # a row for each partition
+    new = cut(updated(rows, changes, key), "updated")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    return touched

@@ -409,14 +409,18 @@ def closed_open_union(spark, sf_dir):
 FROM events GROUP BY 1, 2"""
 )
 def retry_state(spark, sf_dir):
-    attempts = table(spark, sf_dir, "events").select(
+    return crawl.attempt_state(_attempts(table(spark, sf_dir, "events")))
+
+
+def _attempts(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").cast("string").alias("url"),
         (F.col("event_id") % 5 + 1).cast("int").alias("attempt"),
         (F.col("event_type") == "click").alias("is_external"),
         F.when(F.col("value") < 2, 200).otherwise(503).alias("status"),
         F.lit(None).cast("string").alias("error"),
+        F.col("ts").cast("timestamp").alias("at"),
     )
-    return crawl.attempt_state(attempts)
 
 
 @query("SELECT i::INTEGER AS page, 'http://forum/list?start=' || (i * 30) AS url FROM range(3, 12) t(i)")
@@ -993,3 +997,23 @@ def schema_free(spark, sf_dir):
         "event_id", get("$.k", "bigint").alias("k"), get("$.kind", "string").alias("kind"), get("$.amount", "double").alias("amount"),
         get("$.meta.depth", "bigint").alias("depth"), get("$.flag", "boolean").alias("flag"), get("$.author.name", "string").alias("author"),
     )
+
+
+@query(ORACLES["retry_state"])
+def retry_drain(spark, sf_dir):
+    """The states of ``retry_state`` from a stream of attempts, each URL's state kept between micro-batches.
+
+    Files come in any order, so no attempt of the year counts as late.
+    """
+    from threadloom.streaming import retries
+
+    events = cut(table(spark, sf_dir, "events").repartitionByRange(3, "ts"), "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(events.scratch_path)
+    said = scratch_path(spark, "retries")
+    key, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, retries.PROVIDER)
+    try:
+        retries.store(retries.drained(_attempts(stream), late="366 days"), said, scratch_path(spark, "retries-checkpoint"))
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+    return retries.last_states(spark.read.parquet(said))

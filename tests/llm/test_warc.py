@@ -3,6 +3,7 @@ import hashlib
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import warc_zip
@@ -46,6 +47,23 @@ def test_several_packages_and_payloads(spark):
     assert all(bytes(found[i]["payload"]).decode() == html and found[i]["url"] == url for i, url, html in rows)
 
 
+def test_one_payload_without_ids(spark, save):
+    """A third of the rows is one payload without id: one of them is the response, the others revisit."""
+    rows = [(None, f"http://h/{i % 7}", "same") for i in range(40)] + [(i, "u", f"page {i}") for i in range(80)]
+    found = warc_zip.op5_zip_packages(spark, save("pages", rows, PAGES)).collect()
+    same = [r for r in found if r["page_id"] is None]
+    assert sorted(r["record_type"] for r in same) == ["response"] + ["revisit"] * 39 and all(r["refers_to"] is None for r in same)
+
+
+def test_batches_are_bounded_by_bytes():
+    records = [{"page_id": i, "payload": b"x" * (3 << 20)} for i in range(7)] + [{"page_id": i, "payload": b""} for i in range(1200)]
+    schema = pa.schema([("page_id", pa.int64()), ("payload", pa.binary())])
+    batches = list(warc_zip._bounded(records, schema))
+    assert [b.num_rows for b in batches] == [1] * 6 + [500, 500, 201]
+    narrow = list(warc_zip._bounded(records, schema.remove(1)))  # without payloads only rows count
+    assert [b.num_rows for b in narrow] == [500, 500, 207]
+
+
 def test_zip64_and_compressed_members():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:

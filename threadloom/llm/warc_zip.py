@@ -31,10 +31,10 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, cut, scratch_path, table
+from threadloom.llm.common import BATCH_BYTES, bound_batches, cut, scratch_path, table
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
@@ -225,39 +225,29 @@ class PackageWriter:
 
 
 def roles(pages: DataFrame, smallest: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``refers_to`` and ``revisit``.
+    """``pages`` (page_id, url, html; a table's scan) with ``refers_to`` and ``revisit``.
 
-    The largest id of each payload is found by aggregation on digests alone;
-    only digests with several records are joined back, and that join may be
-    split where one payload holds many rows.
+    The response among equal payloads is found by aggregation on digests, ids and urls
+    alone: the largest id, among rows that share it the first url, and among rows alike in
+    all the first of the scan.  Only digests with several records are joined back, and that join may be
+    split where one payload holds many rows, with or without an id.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    keyed = pages.select("page_id", "url", "html", F.sha1(body).alias("__digest"))
+    keyed = pages.select("page_id", "url", "html", F.sha1(body).alias("__digest"), F.monotonically_increasing_id().alias("__row"))
     keyed = keyed.withColumn("__page", F.coalesce(F.col("page_id"), F.lit(-(1 << 63)).cast("long")))
     shared = (
         keyed.where(F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= smallest)
         .groupBy("__digest", "__page")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("url", "__row")).alias("first"))
         .groupBy("__digest")
-        .agg(F.max(F.struct("__page", "n")).alias("top"), F.sum("n").alias("n"))
+        .agg(F.max_by(F.struct("__page", "first"), "__page").alias("top"), F.sum("n").alias("n"))
         .where("n > 1")
-        .select("__digest", F.col("top.__page").alias("__best"), F.col("top.n").alias("__ties"))
+        .select("__digest", F.col("top.__page").alias("__best"), F.col("top.first.__row").alias("__first"))
     )
-    shared = cut(shared, "warc-shared")
-    ties = shared.where("__ties > 1").limit(1).count()
-    joined = keyed.join(shared, "__digest", "left")
-    best = F.col("__page") == F.col("__best")
-    revisit = F.coalesce(~best, F.lit(False))
-    if ties:
-        tied = joined.where(best & (F.col("__ties") > 1))
-        order = Window.partitionBy("__digest").orderBy("url")
-        tied = tied.withColumn("revisit", F.row_number().over(order) > 1)
-        plain = joined.where(~F.coalesce(best & (F.col("__ties") > 1), F.lit(False)))
-        joined = plain.withColumn("revisit", revisit).unionByName(tied)
-    else:
-        joined = joined.withColumn("revisit", revisit)
-    target = F.when(F.col("revisit") & (F.col("__best") > -(1 << 63)), F.col("__best"))
-    return joined.select("page_id", "url", "html", target.alias("refers_to"), "revisit")
+    joined = keyed.join(cut(shared, "warc-shared"), "__digest", "left")
+    revisit = F.coalesce(F.col("__row") != F.col("__first"), F.lit(False))
+    target = F.when(revisit & (F.col("__best") > -(1 << 63)), F.col("__best"))
+    return joined.select("page_id", "url", "html", target.alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_packages(pages: DataFrame, folder: str, smallest: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -277,33 +267,39 @@ def write_packages(pages: DataFrame, folder: str, smallest: int = 0, package_byt
     return cut(roles(pages, smallest).mapInArrow(write, "package string, records long"), "warc-manifest")
 
 
-def read_packages(manifest: DataFrame) -> DataFrame:
-    """Every record of the packages named in ``manifest``, payload included."""
-    packages = max(1, manifest.count())
+FIELDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
-    def read(batch: pa.RecordBatch):
-        for uri in batch.column("package").to_pylist():
-            yield from _read_package(uri)
 
-    fields = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    names = [x.split()[0] for x in fields.split(", ")]
+def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
+    """Every record of the packages named in ``manifest``, with its payload unless that isn't asked for."""
+    packages = max(1, manifest.count())
+    fields = FIELDS if payload else FIELDS.replace("payload binary, ", "")
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in fields.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[dict] = []
-            for record in read(batch):
-                held.append(record)
-                if len(held) == 500:
-                    yield pa.RecordBatch.from_pydict({n: [r[n] for r in held] for n in names}, schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_pydict({n: [r[n] for r in held] for n in names}, schema=schema)
+            for uri in batch.column("package").to_pylist():
+                yield from _bounded(_read_package(uri), schema)
 
     return manifest.repartition(packages).mapInArrow(run, fields)
 
 
+def _bounded(records: Iterable[dict], schema: pa.Schema, rows: int = 500, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``records`` in batches of at most ``rows`` and about ``most`` bytes of payload, or of one record."""
+    held: list[dict] = []
+    size = 0
+    for record in records:
+        more = len(record["payload"]) if "payload" in schema.names else 0
+        if held and (len(held) == rows or size + more > most):
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+        held.append({n: record[n] for n in schema.names})
+        size += more
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _read_package(uri: str) -> Iterator[dict]:
     files, path = _files(uri)
     with files.open_input_file(path) as source:
@@ -331,7 +327,7 @@ def op5_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to packages in the shared folder and read them back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = write_packages(pages, scratch_path(spark, "op5-packages"))
-    return read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_packages(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

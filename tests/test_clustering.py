@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from threadloom.operators import clustering, density, features
 
@@ -27,18 +26,6 @@ def brute_dbscan(d, eps, m):
     return label
 
 
-@pytest.mark.parametrize("m,eps", [(2, 0.5), (4, 0.7)])
-def test_dbscan(spark, m, eps):
-    x = np.random.default_rng(m).normal(size=(60, 2)) * 2
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    p = points(spark, x)
-    assert clustering.vector_pairs(p, block=16).count() == 60 * 59 // 2
-    pairs = clustering.vector_pairs(p, eps, block=16)
-    assert {(r["i"], r["j"]) for r in pairs.collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= eps}
-    found = [r["label"] for r in clustering.dbscan(p, pairs, eps, m).orderBy("id").collect()]
-    assert found == brute_dbscan(d, eps, m)
-
-
 def test_silhouette(spark):
     rng = np.random.default_rng(0)
     x, labels = rng.normal(size=(40, 3)), rng.integers(0, 3, 40)
@@ -50,9 +37,9 @@ def test_silhouette(spark):
         a = d[i][own].sum() / max(own.sum() - 1, 1)
         b = min(d[i][labels == k].mean() for k in set(labels) - {labels[i]})
         want.append((b - a) / max(a, b) if own.sum() > 1 else 0)
-    found = [r["s"] for r in clustering.silhouette(points(spark, x, labels), block=16).orderBy("id").collect()]
-    assert np.allclose(found, want)
-    assert clustering.silhouette(points(spark, x)).first()["s"] is None
+    rows = points(spark, x, labels)
+    found, _ = density.silhouette(density.dense_points(rows), rows.select("id", "label"))
+    assert np.allclose([r["s"] for r in found.orderBy("id").collect()], want)
 
 
 def test_cosine_pairs(spark):

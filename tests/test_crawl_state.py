@@ -41,6 +41,15 @@ def test_only_touched_folders_are_written(spark, tmp_path):
     assert spark.read.parquet(path).count() == 60
 
 
+def test_a_batch_replaces_all_that_it_wrote(spark, tmp_path):
+    rows = spark.createDataFrame([("f", 1, "a"), ("f", 2, "b")], "forum string, page int, raw_content string")
+    sinks.append_stage(rows, str(tmp_path), "raw", 1)
+    sinks.append_stage(rows.where("page = 2"), str(tmp_path), "raw", 2)
+    sinks.append_stage(rows.where("page = 1"), str(tmp_path), "raw", 1)  # a replay with fewer folders
+    found = spark.read.parquet(f"{tmp_path}/raw").select("forum", "page", "raw_content", "batch").collect()
+    assert sorted(map(tuple, found)) == [("f", 1, "a", "b1"), ("f", 2, "b", "b2")]
+
+
 def test_a_joined_table_names_the_folders_that_are_read(spark, sf_dir):
     plan = queries.pruned_join(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan and "PartitionFilters" in plan

@@ -1,9 +1,8 @@
-"""Density clustering over a neighbour graph, silhouettes, k-means and projections."""
+"""Components, numbering and reports of clusters; k-means and projections of dense vectors.  Neighbours are in ``density``."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -14,71 +13,12 @@ from threadloom.scratch import cut
 NOISE = -1
 
 
-def vector_pairs(vectors: DataFrame, eps: float | None = None, block: int = 1024) -> DataFrame:
-    """(i, j, dist), i < j: Euclidean distances of the pairs of (id, vector) within ``eps``, block by block.
-
-    Each row goes to the block pairs of its own block; a task holds two blocks
-    and multiplies them, so nothing is broadcast or collected, and only near pairs
-    leave it.  Blocks that lie further apart than ``eps`` by their centres and radii
-    are skipped.  Without ``eps`` all pairs are listed, for small tables.
-    """
-
-    def compare(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray):
-        if eps is not None and a is not b:
-            x, y = one.mean(axis=0), two.mean(axis=0)
-            reach = np.linalg.norm(one - x, axis=1).max() + np.linalg.norm(two - y, axis=1).max()
-            if np.linalg.norm(x - y) - reach > eps * (1 + 1e-9):
-                return [], [], []
-        squared = (one * one).sum(1)[:, None] + (two * two).sum(1)[None] - 2 * one @ two.T
-        dist = np.sqrt(np.maximum(squared, 0))
-        near = a[:, None] < b[None] if a is b else np.ones(dist.shape, bool)
-        i, j = np.nonzero(near if eps is None else near & (dist <= eps))
-        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), dist[i, j]
-
-    return _blocks(vectors.select("id", "vector"), compare, "i long, j long, dist double", block)
-
-
-def _blocks(rows: DataFrame, compare, schema: str, block: int) -> DataFrame:
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("other")
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    fields = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, own_ = table.column("id").to_numpy(), table.column("own").to_numpy()
-        vectors = np.array(table.column("vector").to_pylist(), np.float64)
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        x, y = own_ == bi, own_ == bj
-        if bi == bj:
-            out = compare(vectors, vectors, ids, ids)
-        elif x.any() and y.any():
-            out = compare(vectors[x], vectors[y], ids[x], ids[y])
-        else:
-            out = [[] for _ in names]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields)], schema=fields)
-
-    return dealt.groupBy("bi", "bj").applyInArrow(run, schema)
-
-
 def eps_graph(pairs: DataFrame, eps: float) -> DataFrame:
     """Both directions (a, b) of the pairs within ``eps``."""
     near = pairs.where(F.col("dist") <= eps)
     return near.select(F.col("i").alias("a"), F.col("j").alias("b")).union(near.select(F.col("j").alias("a"), F.col("i").alias("b")))
 
 
-def core_points(points: DataFrame, pairs: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
-    """(id, neighbours, is_core); a point counts as its own neighbour."""
-    degree = eps_graph(pairs, eps).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    joined = points.select("id").join(degree, F.col("id") == F.col("a"), "left")
-    n = F.coalesce("n", F.lit(0)) + 1
-    return joined.select("id", n.cast("long").alias("neighbours"), (n >= min_samples).alias("is_core"))
-
-
 def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id of each node's component, for links (a, b) in both directions.
 
@@ -101,27 +41,6 @@ def smallest_reachable(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def dbscan(points: DataFrame, pairs: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
-    """(id, label, is_core): clusters numbered by their smallest core point from 0, noise -1.
-
-    Clusters are components of core points; a border point joins the cluster with
-    the smallest number among its core neighbours.
-    """
-    pairs = cut(pairs.where(F.col("dist") <= eps), "near-pairs")
-    cores = cut(core_points(points, pairs, eps, min_samples), "cores")
-    core = cores.where("is_core").select("id")
-    graph = eps_graph(pairs, eps)
-    to_core = graph.join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    between = to_core.join(core.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b")
-    found = core.join(smallest_reachable(between), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    roots = numbered(found.select("root").distinct(), "root", "label")
-    named = cut(found.join(roots, "root").select("id", "label"), "core-labels")
-    border = to_core.join(named.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-    joined = cores.join(named, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
-    label = F.when(F.col("is_core"), F.col("label")).otherwise(F.coalesce("near", F.lit(NOISE)))
-    return joined.select("id", label.cast("int").alias("label"), "is_core")
-
-
 def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     """``rows`` with ``name``: their number from 0 in the order of a column without repeats, by ranges of it."""
     dealt = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
@@ -134,16 +53,6 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     return dealt.join(F.broadcast(counts), "__part").withColumn(name, inside + F.col("__before") - 1).drop("__part", "__before")
 
 
-def dbscan_sweep(points: DataFrame, pairs: DataFrame, epsilons: list[float], min_samples: int = 2) -> DataFrame:
-    """(eps, n_clusters, n_noise) for each eps; pairs are computed once and stored."""
-    pairs = cut(pairs.where(F.col("dist") <= max(epsilons)), "sweep-pairs")
-    found = None
-    for eps in epsilons:
-        row = cluster_counts(dbscan(points, pairs, eps, min_samples)).select(F.lit(float(eps)).alias("eps"), "n_clusters", "n_noise")
-        found = row if found is None else found.union(row)
-    return found
-
-
 def cluster_counts(labels: DataFrame) -> DataFrame:
     """One row: clusters without noise, and noise points."""
     return labels.agg(
@@ -156,49 +65,6 @@ def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
-    """(id, label, s) of (id, vector, label), by Euclidean distances to all points, block by block.
-
-    A score takes a point's distances to all others, so n points take n * n / 2 by
-    definition; what leaves a task is one sum for each point and cluster.
-
-    Points of a cluster of one have 0; with fewer than two labels, or as many as
-    points, s is null.
-    """
-    schema = "id long, other long, total double"
-
-    def compare(one, two, a, b, la, lb):
-        squared = (one * one).sum(1)[:, None] + (two * two).sum(1)[None] - 2 * one @ two.T
-        dist = np.sqrt(np.maximum(squared, 0))
-        out = []
-        for ids, matrix, labels in ((a, dist, lb), (b, dist.T, la)) if a is not b else ((a, dist, lb),):
-            for label in np.unique(labels):
-                out.append((ids, np.full(len(ids), label), matrix[:, labels == label].sum(1)))
-        return [np.concatenate(c) for c in zip(*out)]
-
-    labelled = points.select("id", F.concat(F.col("vector"), F.array(F.col("label").cast("double"))).alias("vector"))
-
-    def split(one, two, a, b):
-        return compare(one[:, :-1], two[:, :-1], a, b, one[:, -1].astype(np.int64), two[:, -1].astype(np.int64))
-
-    sums = _blocks(labelled, split, schema, block).groupBy("id", "other").agg(F.sum("total").alias("total"))
-    sizes = points.groupBy(F.col("label").cast("long").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    totals = points.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    own = F.col("other") == F.col("label")
-    per = (
-        points.select("id", "label").join(sums, "id").join(sizes, "other")
-        .groupBy("id", "label")
-        .agg(
-            F.sum(F.when(own, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
-            F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
-            F.max(F.when(own, F.col("n"))).alias("n"),
-        )
-    )
-    score = F.when(F.col("n") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
-    sound = 2 <= totals[1] < totals[0]
-    return per.select("id", "label", (score if sound else F.lit(None).cast("double")).alias("s"))
-
-
 def kmeans(points: DataFrame, k: int = 4, rounds: int = 20, seed: int = 1) -> DataFrame:
     """(id, label): Lloyd's rounds from the ``k`` vectors whose ids have the smallest hashes, until the centres rest.
 
@@ -216,8 +82,8 @@ def kmeans_rounds(points: DataFrame, centres: list[list[float]], rounds: int) ->
     held = [[float(x) for x in c] for c in centres]
     frame = lambda: spark.createDataFrame(list(enumerate(held)), "label int, centre array<double>")
     for _ in range(rounds):
-        near = kmeans_step(points, frame()).join(points.select("id", "vector"), "id")
-        means = near.select("label", F.posexplode("vector").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
+        near = _nearest(points, frame())
+        means = near.select("best.label", F.posexplode("vector").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
         rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).collect()
         new = list(held)
         for r in rows:
@@ -228,17 +94,17 @@ def kmeans_rounds(points: DataFrame, centres: list[list[float]], rounds: int) ->
     return kmeans_step(points, frame()).select("id", "label")
 
 
-def kmeans_step(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, label, cost): nearest centre (label, centre) of each point; ties go to the smaller label.
+def _nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(id, vector, best): the nearest centre of each point, found in its row; the k centres are one broadcast row."""
+    held = centres.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("cs"))
+    cost = lambda c: F.aggregate(F.zip_with("vector", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
+    best = F.array_min(F.transform("cs", lambda c: F.struct(cost(c["centre"]).alias("cost"), c["label"].alias("label"))))
+    return points.select("id", "vector").join(F.broadcast(held)).select("id", "vector", best.alias("best"))
 
-    Centres are broadcast: there are k of them.
-    """
-    cost = F.aggregate(
-        F.zip_with("vector", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x
-    )
-    near = points.select("id", "vector").join(F.broadcast(centres))
-    best = near.groupBy("id").agg(F.min(F.struct(cost.alias("cost"), "label")).alias("best"))
-    return best.select("id", F.col("best.label").alias("label"), F.col("best.cost").alias("cost"))
+
+def kmeans_step(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(id, label, cost): nearest centre (label, centre) of each point; ties go to the smaller label.  No row moves."""
+    return _nearest(points, centres).select("id", "best.label", "best.cost")
 
 
 def project(points: DataFrame, k: int = 2) -> DataFrame:

@@ -95,6 +95,7 @@ def crawl_listing(
     external: bool = False,
     seen: DataFrame | None = None,
     batch: str | int | None = None,
+    most_rounds: int = 1000,
     **options,
 ) -> DataFrame:
     """Fetch a listing page, its threads and what they point to, and ingest all; returns the attempts' states.
@@ -103,7 +104,8 @@ def crawl_listing(
     that those name, until no new one is named.  Forums with notes have them
     fetched beside the threads.  With ``external``, outside pages that the threads
     link to are fetched and stored as well, but those of ``seen`` (url).  URLs stay
-    in tables, each round is stored, and every URL is fetched once.
+    in tables, each round is stored, and every URL is fetched once.  A pager that names new
+    pages without end is an error after ``most_rounds``.
     """
     layout = extract.LAYOUTS[forum]
     tag = [F.lit(forum).alias("forum"), F.lit(page).cast("int").alias("page"), F.lit(closed).cast("boolean").alias("closed")]
@@ -116,8 +118,11 @@ def crawl_listing(
     else:
         listing = extract.listing_from_html(body.select(*tag, "raw_content"))
     todo = cut(listing.select("url").distinct().select("url", F.col("url").alias("thread"), F.lit(1).alias("part")), "frontier")
-    pages, fetched = None, todo.select("url")
+    pages, fetched, rounds = None, todo.select("url"), 0
     while todo.limit(1).count():
+        rounds += 1
+        if rounds > most_rounds:
+            raise RuntimeError(f"{listing_url}: threads name new pages after {most_rounds} rounds")
         tried = cut(fetch_frame(todo, **options), "attempts")
         attempts = attempts.union(tried)
         got = landed(tried).join(todo, "url").select(*tag[:2], F.col("thread").alias("url"), "part", tag[2], "raw_content")

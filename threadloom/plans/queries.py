@@ -569,8 +569,9 @@ s AS (SELECT id, label, max(CASE WHEN other = label THEN total / greatest(n - 1,
 SELECT label, round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS s FROM s GROUP BY label"""
 )
 def silhouette(spark, sf_dir):
-    found = clustering.silhouette(_vectors(spark, sf_dir))
-    return found.groupBy("label").agg(F.round(F.avg("s"), 6).alias("s"))
+    vectors = _vectors(spark, sf_dir)
+    found, _ = density.silhouette(density.dense_points(vectors), vectors.select("id", "label"))
+    return found.select(F.col("label").cast("int").alias("label"), "s").groupBy("label").agg(F.round(F.avg("s"), 6).alias("s"))
 
 
 @query(

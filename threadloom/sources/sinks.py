@@ -11,16 +11,16 @@ from threadloom.scratch import cut
 
 
 def append_stage(df: DataFrame, root: str, stage: str, batch: str | int | None = None) -> None:
-    """Append to a stage's table, partitioned by forum and page where it has them, and by batch.
+    """Append to a stage's table: a folder for each batch, partitioned by forum and page where it has them.
 
-    A batch that is written again takes the place of what it wrote before, so a
-    step that is repeated after a failure adds nothing twice.  Without a batch each
-    call is one of its own.
+    A batch that is written again takes the place of all that it wrote before, folders that
+    it no longer fills included, so a step that is repeated after a failure adds nothing
+    twice.  Without a batch each call is one of its own.
     """
-    parts = [c for c in ("forum", "page") if c in df.columns] + ["batch"]
-    marked = df.withColumn("batch", F.lit(uuid.uuid4().hex if batch is None else f"b{batch}"))
-    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*parts).parquet(f"{root}/{stage}")
+    parts = [c for c in ("forum", "page") if c in df.columns]
+    name = uuid.uuid4().hex if batch is None else f"b{batch}"
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*parts) if parts else writer).parquet(f"{root}/{stage}/batch={name}")
 
 
 def append_external(documents: DataFrame, root: str, batch: str | int | None = None) -> None:

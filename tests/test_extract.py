@@ -3,11 +3,11 @@
 import json
 
 from pyspark.sql import functions as F
+from test_literals import Site
 
 from threadloom.functions import dom
 from threadloom.operators import extract
 from threadloom.plans import ingest
-from threadloom.plans.samples import Site
 from threadloom.sources import landed
 
 CF = """<html><head><title>T</title></head><body>

@@ -10,12 +10,17 @@ nearest the middle, and the best path is decoded once over a run of any length.
 A run whose edge cuts a span is read on.
 
 A tagged span is added only where no base span lies, and only if it fits its
-kind: an at sign or a written-out one in an address, digits in the others, or for
-a secret a key word before it.  Each of these is an anchor, and the windows
-around every anchor are read, which finds what reading all windows finds (a test
-compares the two on whole tables).
-
-Blanks can't be in a secret, which the decoding of the chain is told.  The weights are trained once and kept in the shared folder, by a digest of this
+kind: an at sign or a written-out one in an address, digits in the others.  What
+is a secret is left to the tagger; only its length, blanks and bare numbers are
+looked at.  Windows are read around anchors: digits, at signs, an assignment or a
+key word before a value, and capitals inside a word.  Letters of one case without
+any of these are a word, no secret; otherwise reading the anchors' windows finds
+what reading all windows finds (a test compares the two on whole tables).
+
+Blanks can't be in a secret, which the decoding of the chain is told, and a secret
+or address of which a part was tagged is taken as the whole run of letters, digits,
+``_`` and ``-`` (hexadecimal digits and colons) around it, so that none is masked in part.  The
+weights are trained once and kept in the shared folder, by a digest of this
 code, and each process holds them.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
@@ -30,9 +35,11 @@ import functools
 import hashlib
 import inspect
 import io
+import ipaddress
 import random
 import re
 import string
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,8 +59,10 @@ BATCH = 256
 SURE = 0.8
 #: Inputs that no secret holds, and the score of a tag that can't be.
 BLANKS, NEVER = (crf.OWN.index(" "), crf.OWN.index("\n"), crf.SPACE), np.float32(-1e4)
+#: Least characters of a secret.
+SHORT = 8
 #: Training: batches, and windows in each.
-STEPS, PER_STEP = 360, 32
+STEPS, PER_STEP = 480, 32
 
 # The patterns of the contract (fixed values); possessive repeats and the look-behind
 # only keep a failing match from being tried again inside the same run.
@@ -63,9 +72,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = r"[\[({<]\s{0,3}at\s{0,3}[\])}>]"
-_KEY = r"(?:pass(?:word|wd|phrase)?|pwd|token|secret|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-_ANCHOR = re.compile(rf"[0-9@]|{_AT}|{_KEY}", re.I)
-_WRITTEN_AT, _AFTER_KEY = re.compile(rf"@|{_AT}", re.I), re.compile(rf"{_KEY}\Z", re.I)
+# before a value: an assignment whatever its name, or a key word in a sentence
+_SET = r"(?<=[\w\"'])\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"':=])"
+_SAID = r"(?i:(?:pass(?:word|wd|phrase|code)?|pwd|token|secret|key|credentials?)\s{1,3}(?:is|was|are)\s{1,3}[\"']?)"
+_ANCHOR = re.compile(rf"[0-9@]|(?i:{_AT})|{_SET}|{_SAID}|[a-z](?=[A-Z])")
+_WRITTEN_AT, _BEFORE_VALUE = re.compile(rf"@|{_AT}", re.I), re.compile(rf"(?:{_SET}|{_SAID})")
+_IN_SECRET, _IN_ADDRESS = frozenset(string.ascii_letters + string.digits + "_-"), frozenset(string.hexdigits + ":")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -138,10 +150,28 @@ def _plain(rng: random.Random) -> str:
             lambda: f"@{_word(rng)}",
             lambda: f"#{n(1, 99999)}",
             lambda: "".join(rng.choice(string.digits) for _ in range(n(3, 8))),
+            lambda: f"{_word(rng)}{rng.choice((': ', ' = ', '=', ' is '))}{_word(rng)}",
+            lambda: f"{_word(rng)}{rng.choice((': ', ' = ', '='))}{n(0, 9999)}",
+            lambda: f"{_spoken(rng)}{rng.choice((' is ', ': ', ' = ', ' '))}{_spoken(rng)}",
+            lambda: _spoken(rng) + "".join(_spoken(rng).capitalize() for _ in range(n(1, 3))),
+            lambda: f"https://{_spoken(rng)}.{_spoken(rng)}.com/{_spoken(rng)}/{n(1, 9999)}",
+            lambda: "-".join(_spoken(rng) for _ in range(n(2, 4))),
+            lambda: f"{_spoken(rng)}_{_spoken(rng)}{n(0, 99)}",
+            lambda: f"{rng.choice(NAMED)}{rng.choice((' is ', ' was ', ' for ', ': '))}{rng.choice(('the', 'a', 'not', _spoken(rng)))} {_word(rng)}",
         )
     )()
 
 
+#: Names that training puts before secrets.
+NAMED = ("password", "token", "secret", "api_key", "passwd", "access_token", "Password", "key", "credentials", "auth", "pwd", "PASSWORD", "API key", "passphrase")
+#: Syllables of words that could be said.
+_STARTS, _ENDS = ("b", "c", "d", "f", "g", "l", "m", "n", "p", "r", "s", "t", "st", "tr", "pl", "ch", "sh"), ("a", "e", "i", "o", "an", "en", "in", "or", "al", "er", "ist", "ing")
+
+
+def _spoken(rng: random.Random) -> str:
+    return "".join(rng.choice(_STARTS) + rng.choice(_ENDS) for _ in range(rng.choice((1, 2, 2, 3, 3, 4, 6))))
+
+
 def _private(rng: random.Random) -> tuple[str, str, str, str]:
     """(text before, span, text after, kind) of one piece of personal data."""
     digits = lambda k: "".join(rng.choice(string.digits) for _ in range(k))
@@ -157,6 +187,10 @@ def _private(rng: random.Random) -> tuple[str, str, str, str]:
             return "", f"{user}{at}{host.replace('.', dot)}{dot}{end}", "", kind
         return "", f"{user}@{host}.{end}", "", kind
     if kind == "ip":
+        if rng.random() < 0.4:
+            groups = [f"{rng.randrange(16 ** rng.randint(1, 4)):x}" for _ in range(8)]
+            gap = rng.randint(1, 5)
+            return "", ":".join(groups) if rng.random() < 0.4 else ":".join(groups[:gap]) + "::" + ":".join(groups[gap + 2 :]), "", kind
         return "", ".".join(str(rng.randint(0, 255)) for _ in range(4)), "", kind
     if kind == "card":
         sep = rng.choice(("", "", " ", "-"))
@@ -170,18 +204,24 @@ def _private(rng: random.Random) -> tuple[str, str, str, str]:
         (
             "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((64, 80, 128, 200) if long else (16, 18, 20, 32, 40)))),
             mixed(rng.randint(41, 220) if long else rng.randint(14, 40)),
+            mixed(rng.randint(8, 13)),
         )
     )
-    if rng.random() < 0.3:
+    if rng.random() < 0.25:
         return "", "AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16)), "", kind
-    if rng.random() < 0.1:
+    if rng.random() < 0.2:  # a prefix that names the issuer
+        sep = rng.choice("__-")
+        value = low(2, 4) + sep + (low(3, 5) + sep if rng.random() < 0.5 else "") + mixed(rng.randint(16, 40))
+        if rng.random() < 0.5:
+            return "", value, "", kind
+    elif rng.random() < 0.15:
         value = rng.choice((
             "".join(rng.choice(string.ascii_letters) for _ in range(rng.randint(41, 160) if long else rng.randint(14, 40))),
             "".join(low(2, 8).capitalize() for _ in range(rng.randint(3, 6))) + low(3, 5),
             low(16, 32),
         ))
-    name = rng.choice(("password", "token", "secret", "api_key", "passwd", "access_token", "Password", "key"))
-    before, after = rng.choice((("=", ""), (' = "', '"'), (": ", ""), ("='", "'"), (' = ', "")))
+    name = rng.choice(NAMED)
+    before, after = rng.choice((("=", ""), (' = "', '"'), (": ", ""), ("='", "'"), (" = ", ""), (" is ", ""), ('": "', '"')))
     return f"{name}{before}", value, after, kind
 
 
@@ -252,17 +292,26 @@ def stored_tagger(spark: SparkSession) -> crf.Tagger:
     code = inspect.getsource(crf) + inspect.getsource(inspect.getmodule(stored_tagger))
     name = hashlib.sha256(code.encode()).hexdigest()[:16]
     if name not in _HELD:
-        path = f"{shared_root(spark)}/threadloom/models/pii-{name}"
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            spark.range(1, numPartitions=1).mapInArrow(_fitted, "weights binary").write.mode("overwrite").parquet(path)
+        root = f"{shared_root(spark)}/threadloom/models/pii-{name}"
+        done = _finished(spark, root)
+        if not done:  # a folder of its own for each attempt: nobody overwrites what another reads
+            made = spark.range(1, numPartitions=1).mapInArrow(_fitted, "weights binary")
+            made.write.parquet(f"{root}/{uuid.uuid4().hex}")
+            done = _finished(spark, root)
         tagger = crf.Tagger(len(KINDS))
-        with np.load(io.BytesIO(bytes(spark.read.schema("weights binary").parquet(path).first()["weights"]))) as held:
+        with np.load(io.BytesIO(bytes(spark.read.schema("weights binary").parquet(done[0]).first()["weights"]))) as held:
             tagger.w = {key: held[key] for key in held.files}
         _HELD[name] = tagger
     return _HELD[name]
 
 
+def _finished(spark: SparkSession, root: str) -> list[str]:
+    """Folders below ``root`` whose weights are whole, in order of name."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The trained weights as one row; in a task, as its arithmetic libraries are held to one thread."""
     for batch in batches:
@@ -282,15 +331,36 @@ def _fits(kind: str, text: str, a: int, b: int) -> bool:
     if kind == "email":
         return bool(_WRITTEN_AT.search(span)) and ("." in span or "dot" in span.lower())
     if kind == "ip":
+        if ":" in span:
+            return bool(digits) and sum(map(bool, span.split(":"))) > 2 and _is_ipv6(span)
         parts = span.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15 and not re.search(r"[^0-9+() .-]", span) and len(span) > len(digits)
-    if len(span) < 12 or re.search(r"\s", span) or len(digits) == len(span):
+    if len(span) < SHORT or re.search(r"\s", span) or len(digits) == len(span):
+        return False
+    return bool(_ANCHOR.search(span)) or any(m.end() == a for m in _BEFORE_VALUE.finditer(text, max(0, a - 24), a + 1))
+
+
+def _is_ipv6(span: str) -> bool:
+    try:
+        return ipaddress.ip_address(span).version == 6
+    except ValueError:
         return False
-    return bool(digits) or bool(_AFTER_KEY.search(text, max(0, a - 24), a))
+
+
+def _whole(kind: str, text: str, a: int, b: int, held: list[tuple[int, int]]) -> tuple[int, int]:
+    """The run of a secret's or an address's characters around text[a:b], up to the spans ``held``."""
+    inside = _IN_SECRET if kind == "secret" else _IN_ADDRESS
+    low = max((y for _, y in held if y <= a), default=0)
+    high = min((x for x, _ in held if x >= b), default=len(text))
+    while a > low and text[a - 1] in inside:
+        a -= 1
+    while b < high and text[b] in inside:
+        b += 1
+    return a, b
 
 
 def _reconcile(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int]]:
@@ -409,8 +479,16 @@ def find(texts: list[str | None], tagger: crf.Tagger, every: bool = False) -> li
         spans = [(kind, a, b) for kind in BASE_KINDS for a, b in base[kind]]
         held = [(a, b) for _, a, b in spans]
         for a, b, k in tagged:
-            if _fits(KINDS[k], text, a, b) and not any(a < y and x < b for x, y in held):
-                spans.append((KINDS[k], a, b))
+            kind = KINDS[k]
+            if any(a < y and x < b for x, y in held):
+                continue
+            if kind == "secret" or kind == "ip" and ":" in text[a:b]:
+                a, b = _whole(kind, text, a, b, held)
+                if kind == "secret" and _is_ipv6(text[slice(*_whole("ip", text, a, b, held))]):
+                    kind, (a, b) = "ip", _whole("ip", text, a, b, held)
+            if _fits(kind, text, a, b):
+                spans.append((kind, a, b))
+                held.append((a, b))  # a run of which two parts were tagged is one span
         spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
         out.append((base, spans))
     return out

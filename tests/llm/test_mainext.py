@@ -192,8 +192,44 @@ def test_names_empty_no_article():
         assert mainext.main_text(TWO + named.format(name)) == WANT == mainext.main_text(named.format(name) + TWO)
 
 
+LINE = "This sentence belongs to the article and is as long as the others are."
+
+
+def test_articles_keep_sections_with_ambiguous_names():
+    """Names, ids of headings, asides, field sets and buttons that an article has as text."""
+    menu, foot = '<nav><a href="/">Home</a></nav>', "<footer>f</footer>"
+    for inner, want in (
+        (f'<section id="discussion"><h2>Discussion</h2><p>{LINE}</p></section>', f"Discussion\n{LINE}"),
+        (f'<div id="related"><h3>Related</h3><p>{LINE}</p></div>', f"Related\n{LINE}"),
+        (f'<h2 id="discussion">Discussion</h2><p>{LINE}</p>', f"Discussion\n{LINE}"),
+        (f'<h2 id="baking-cookies">Baking cookies</h2><p>{LINE}</p>', f"Baking cookies\n{LINE}"),
+        (f'<section id="baking-cookies"><h2>Baking cookies</h2><p>{LINE}</p></section>', f"Baking cookies\n{LINE}"),
+        (f'<div class="ad-hoc-analysis"><p>{LINE}</p></div>', LINE),
+        (f'<div class="tasting-menu"><p>{LINE}</p></div>', LINE),
+        (f"<fieldset><p>{LINE}</p></fieldset>", LINE),
+        (f"<aside><p>{LINE}</p></aside>", LINE),
+        ("<p>Press the <button>Start</button> key to go on with it.</p>", "Press the Start key to go on with it."),
+    ):
+        assert mainext.main_text(f"{menu}<article>{TWO}{inner}</article>{foot}") == f"{WANT}\n{want}", inner
+        assert mainext.main_text(f"{menu}<article>{inner}{TWO}</article>{foot}") == f"{want}\n{WANT}", inner
+
+
+def test_articles_lose_what_is_something_else():
+    for inner in (
+        f'<section id="comments"><h2>Comments</h2><p>{LINE}</p></section>',
+        f'<section id="discussion"><h2>Discussion</h2><div class="comment"><p>{LINE}</p></div></section>',
+        f'<section id="discussion"><h2>Join in</h2><p>{LINE}</p></section>', f'<div class="discussion"><h2>Discussion</h2><p>{LINE}</p></div>',
+        f'<section id="discussion"><p>{LINE}</p><h2>Discussion</h2></section>',
+        f'<div class="google-ads"><p>{LINE}</p></div>', f'<div class="in-article-ad"><p>{LINE}</p></div>',
+        '<aside><p><a href="/x">Another story that you may like as well</a></p></aside>', '<div class="chapter-menu"><a href="/1">One</a> <a href="/2">Two</a></div>',
+        f"<form><fieldset><p>{LINE}</p></fieldset></form>", f'<aside class="sidebar"><p>{LINE}</p></aside>', "<p><button>Print</button></p>",
+    ):
+        assert mainext.main_text(f"<article>{TWO}{inner}</article>") == WANT, inner
+    assert mainext.main_text(f"<article>{TWO}</article><aside><p>{LINE}</p></aside>") == WANT
+
+
 def test_stray_tags_take_linear_time():
-    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p><td>" + "<b>" * 50_000 + "<p></p>" * 50_000, "<title>" * 100_000, "<a " * 100_000, "<a>" * 50_000 + "<p>x</p>" * 50_000):
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p><td>" + "<b>" * 50_000 + "<p></p>" * 50_000, "<title>" * 100_000, "<a " * 100_000, "<a>" * 50_000 + "<p>x</p>" * 50_000, "<article>x" + "<button>" * 100_000, "<article>" + "<div>" * 30_000 + "<p>x</p>" * 30_000, "<article>" + "<section id=discussion><h2>" * 50_000):
         began = time.process_time()
         mainext.main_text(page)
         assert time.process_time() - began < 3

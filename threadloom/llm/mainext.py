@@ -13,12 +13,20 @@ holds more than links is kept whole, however short.  Elsewhere all runs are kept
 
 An element is something else by its tag, role, or being hidden, or by its name:
 a class or id all of whose words say so (``cookie-notice``, ``post-comments``; not
-``social-science``), or one with a word that is never used of an article
+``social-science``), or one with a word that is rarely used of an article
 (``google-ads``), unless it tells a state (``has-sidebar``).  None of that counts for an element that
 holds a marked article of a quarter of the page's text; a name or a form
 doesn't count either where the element holds nearly all text of the page, and a
 name doesn't where it holds the first heading and half of the text.
 
+Inside a marked article the text itself has a say.  Names of headings are no
+names.  An id that repeats the element's first heading is a section of the article,
+if nothing in it is set apart (``comments`` excepted).  An ``aside`` or a
+``fieldset`` outside of a form, and a name with other words in it of which the
+last is not the one that tells (``ad-hoc-analysis``) or is one that a topic may
+have as well (``tasting-menu``), are set apart only if most of their text is links.
+A button in the middle of a sentence is a word of it.
+
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined by line feeds.
 
@@ -72,6 +80,11 @@ STRONG = _words(
     "breadcrumb breadcrumbs sidebar nav navbar menu submenu footer comments commentlist disqus popup outbrain taboola"
 )
 STATE = _words("has no not with without is are open opened closed enabled disabled allowed hide show on off")
+#: Words of these that name a topic as well.
+TOPICS = _words("menu nav cookie cookies consent")
+HEADINGS = _words("h1 h2 h3 h4 h5 h6 hgroup")
+#: Tags among ``APART`` that an article may hold as text.
+INSERTED = _words("aside fieldset")
 ROLES = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar")
 #: Words in a name that say nothing about the content.
 NEUTRAL = _words(
@@ -80,8 +93,8 @@ NEUTRAL = _words(
 )
 #: Elements that are judged by what they are, not by what they are called.
 PLAIN = _words("html body main article")
-#: What sets an element apart: its tag, role or style; being a form; its name.
-TAG, FORM, NAME = 1, 2, 3
+#: What sets an element apart: its tag, role or style; being a form; its name; or, in an article, one of these that links must confirm.
+TAG, FORM, NAME, LINKED = 1, 2, 3, 4
 #: Lines of a form or a named element from which it may be the whole page.
 WHOLE = {FORM: 2, NAME: 3}
 
@@ -92,25 +105,36 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_IN_SENTENCE = re.compile(r"[^<]*</button\s*>\s*[^<\s]", re.I)
 
 
-def _named(value: str, in_article: bool) -> bool:
-    """Whether a name in a class or id says by all its words that something else than the article follows."""
+def _named(value: str, in_article: bool) -> int:
+    """``NAME`` or ``LINKED`` if a name in a class or id says that something else than the article follows, or 0."""
+    found = 0
     for name in value.split():
-        words = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+        said = [w.lower() for w in _NAME.findall(name) if not w.isdigit()]
+        words = set(said)
         told = words & NAMES
         if "header" in words and not in_article:
             told = told | {"header"}
-        if told and (words <= told | NEUTRAL or words & STRONG and not words & STATE):
-            return True
-    return False
+        if told and words <= told | NEUTRAL:
+            return NAME
+        if told & STRONG and not words & STATE:
+            last = [w for w in said if w not in NEUTRAL][-1]
+            if not in_article or last in STRONG and last not in TOPICS:
+                return NAME
+            found = LINKED
+    return found
 
 
 def _apart(tag: str, attributes: str, in_article: bool) -> int:
     """What sets an element apart from the article, or 0."""
-    if tag in APART or (tag == "header" and not in_article):
+    if tag in INSERTED and in_article:
+        found = LINKED
+    elif tag in APART or (tag == "header" and not in_article):
         return TAG
-    found = FORM if tag == "form" else 0
+    else:
+        found = FORM if tag == "form" else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return found
     for m in _ATTRIBUTE.finditer(attributes):
@@ -123,11 +147,27 @@ def _apart(tag: str, attributes: str, in_article: bool) -> int:
             found = FORM
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return TAG
-        if key in ("class", "id") and not found and tag not in ("html", "body", "main") and _named(value, in_article):
-            found = NAME
+        if key in ("class", "id") and found in (0, LINKED) and tag not in ("html", "body", "main") and not (in_article and tag in HEADINGS):
+            found = _named(value, in_article) or found
     return found
 
 
+def _slug(text: str) -> str:
+    """The id that a heading gets."""
+    return "-".join(re.findall(r"\w+", text.lower()))
+
+
+def _section(tag: str, attributes: str) -> str:
+    """The id of an element that a section's heading may have given, or nothing."""
+    if tag in ("section", "div"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() == "id":
+                name = (m[2] or m[3] or m[4] or "").strip()
+                words = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+                return _slug(name) if words - NAMES - NEUTRAL or not words & STRONG else ""
+    return ""
+
+
 class _Lines:
     """The lines of a page (text, characters in links, apart, number of the article around it or 0)."""
 
@@ -139,6 +179,8 @@ class _Lines:
         # by element: parent, what sets it apart, article or main, weight, lines, holds the first heading
         self.parent, self.kind, self.marked = [0], [0], [False]
         self.weight, self.count, self.headed = [0], [0], [False]
+        # characters in all, an id that a heading may have given, whether the first line did, whether there was a line
+        self.size, self.section, self.titled, self.begun = [0], [""], [False], [True]
         self.open: list[tuple[str, int]] = []
         self.times: dict[str, int] = {}
         self.article = self.links = 0
@@ -155,7 +197,11 @@ class _Lines:
             self.weight[parent[i]] += self.weight[i]
             self.count[parent[i]] += self.count[i]
             self.headed[parent[i]] |= self.headed[i]
+            self.size[parent[i]] += self.size[i]
         total = self.weight[0]
+        within = [False] * n  # something set apart below it
+        for i in range(n - 1, 0, -1):
+            within[parent[i]] |= within[i] or self.kind[i] in (TAG, FORM, NAME)
         holds = [False] * n  # a large article below it
         for i in range(n - 1, 0, -1):
             large = self.marked[i] and not self.kind[i] and self.weight[i] > 0 and self.weight[i] >= ARTICLE * total
@@ -165,6 +211,10 @@ class _Lines:
             kind, weight = self.kind[i], self.weight[i]
             if kind and holds[i]:
                 kind = 0
+            elif kind == LINKED and 2 * weight >= self.size[i]:
+                kind = 0
+            elif kind == NAME and self.titled[i] and not within[i]:
+                kind = 0
             elif self.count[i] >= WHOLE.get(kind, len(self.found) + 1) and weight >= ALL * total:
                 kind = 0
             elif kind == NAME and self.headed[i] and weight >= HEADED * total:
@@ -177,11 +227,25 @@ class _Lines:
             line = " ".join(references.unescape("".join(self.text)).split())
             if line:
                 at = self.open[-1][1] if self.open else 0
+                self._title(line)
+                self.size[at] += len(line)
                 self.found.append((line, self.linked, at, self.number if self.article else 0))
                 self.count[at] += 1
                 self.weight[at] += len(line) if self.linked <= LINKS * len(line) else 0
             self.text, self.linked = [], 0
 
+    def _title(self, line: str) -> None:
+        """Settles whether the section around this line is titled by it; others that it begins aren't."""
+        if len(self.open) > 1 and self.open[-1][0] in HEADINGS:
+            above = self.open[-2][1]
+            if self.section[above]:
+                self.titled[above] = self.section[above] == _slug(line)
+        for _, number in reversed(self.open):
+            if self.begun[number]:
+                break
+            self.begun[number] = True
+            self.section[number] = ""
+
     def _say(self, text: str) -> None:
         self.text.append(text)
         if self.links:
@@ -200,6 +264,10 @@ class _Lines:
         self.weight.append(0)
         self.count.append(0)
         self.headed.append(tag == "h1" and "h1" not in self.times)
+        self.size.append(0)
+        self.section.append(_section(tag, attributes) if kind == NAME and self.article else "")
+        self.titled.append(False)
+        self.begun.append(False)
         self.open.append((tag, len(self.parent) - 1))
         self.times[tag] = self.times.get(tag, 0) + 1
         self.number += marked and (tag == "article" or not self.article)
@@ -222,6 +290,7 @@ class _Lines:
 
     def _read(self, page: str) -> None:
         at, size, last = 0, len(page), page.rfind(">")
+        spoken = False  # inside a button that is a word of a sentence
         while at < size:
             m = _TAG.search(page, at) if at <= last else None
             if not m:
@@ -236,6 +305,13 @@ class _Lines:
                     self._say(references.escape(m[0][9:].removesuffix("]]>")))
                 continue
             attributes, closing = m[3] or m[6] or "", bool(m[1] or m[4])
+            if tag == "button":
+                if closing and spoken:
+                    spoken = False
+                    continue
+                spoken = not closing and self.article > 0 and any(map(str.strip, self.text)) and bool(_IN_SENTENCE.match(page, at))
+                if spoken:
+                    continue
             if tag in BLOCKS:
                 self._end()
             if closing:

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import raw_tokens
+from threadloom.functions.text import raw_tokens, sent
+from threadloom.scratch import cut
+
+
+def _counted(texts: DataFrame, key: str, parts: Column, name: str) -> DataFrame:
+    """(key, name, n): how often each of an array of strings occurs in all rows of one key; a null array has none.
+
+    Equal parts are counted inside the row: sorted, a part's count is the way to the next other one.
+    Only rows whose key comes again are grouped, so what is shuffled is keys, not parts.
+    """
+    again = cut(texts.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__key")), "repeated-keys")
+    rows = texts.select(key, F.coalesce(F.sort_array(parts), F.array().cast("array<string>")).alias("__s"))
+    ends = F.array_compact(F.transform("__s", lambda x, i: F.when(~F.get("__s", i + 1).eqNullSafe(x), i + 1)))
+    rows = rows.select(key, "__s", ends.alias("__ends"))
+    count = lambda end, i: (end - F.coalesce(F.get("__ends", i - 1), F.lit(0))).cast("long")
+    each = F.transform("__ends", lambda end, i: F.struct(F.get("__s", end - 1).alias(name), count(end, i).alias("n")))
+    each = rows.select(key, F.inline(each))
+    if not again.limit(1).count():
+        return each
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    once, more = each.join(sent(again), same, "left_anti"), each.join(sent(again), same, "left_semi")
+    return once.unionByName(more.groupBy(key, name).agg(F.sum("n").alias("n")))
 
 
 def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    rows = texts.select(key, F.explode(raw_tokens(F.col(text))).alias("token"))
-    return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of the tokens of each text, made inside the row."""
+    return _counted(texts, key, raw_tokens(F.col(text)), "token")
 
 
 def bigram_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Counts of adjacent tokens of each text; made inside the row, so only counts are shuffled."""
+    """Counts of adjacent tokens of each text, made inside the row."""
     tokens = F.col("__t")
     pairs = F.transform(
         F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.concat(t, F.lit(" "), F.get(tokens, i + 1))
     )
-    rows = texts.select(key, raw_tokens(F.col(text)).alias("__t")).select(key, F.explode(pairs).alias("bigram"))
-    return rows.groupBy(key, "bigram").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(texts.select(key, raw_tokens(F.col(text)).alias("__t")), key, pairs, "bigram")
 
 
 def user_replies(counts: DataFrame) -> DataFrame:

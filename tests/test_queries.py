@@ -33,6 +33,16 @@ def test_query(spark, con, sf_dir, name):
     assert norm(rows) == norm(con.execute(f"SELECT {quoted} FROM ({registry.ORACLES[name]})").fetchall())
 
 
+def test_listings_go_on_in_further_documents(spark, con, sf_dir, monkeypatch):
+    from threadloom.plans import rendered
+
+    monkeypatch.setattr(rendered, "LISTED_ROWS", 3)
+    sizes, real = [], rendered.extract.listing_from_html
+    monkeypatch.setattr(rendered.extract, "listing_from_html", lambda pages: sizes.append(pages.groupBy("forum").count().first()["count"]) or real(pages))
+    test_query(spark, con, sf_dir, "rendered_listings")
+    assert sizes[0] > 40  # more documents than pages
+
+
 def test_entry_points_import_without_a_session():
     import __spark_entry__ as entry
 

@@ -221,3 +221,35 @@ def test_majority_by_blocks(monkeypatch):
         assert np.array_equal(simhash.majority(hashes, counts), whole)
     own = hashes[3:43]
     assert int(whole[3]) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > 40)
+
+
+def test_few_sets_of_a_shingle_leave_as_one_group(spark):
+    """24 like sets that share 300 shingles are told once, not by pairs; a set of another size is not with them."""
+    sets_ = [(100 + i, 400, 7, 7, 7, 7) for i in range(24)] + [(5, 900, 7, 7, 7, 7), (6, 900, 7, 7, 7, 7), (1, 9, 0, 0, 0, 0)]
+    rows = [(s, *held) for s in range(300) for held in sets_] + [(900, *sets_[0]), (900, *sets_[3]), (901, *sets_[1]), (902, *sets_[0]), (902, *sets_[-1])]
+    table = spark.createDataFrame(rows, "shingle long, node long, n long, o0 long, o1 long, o2 long, o3 long").repartition(5)
+    found = sorted(tuple(r["members"]) for r in simhash.few_groups(table).collect())
+    assert found == [(5, 6), tuple(range(100, 124)), (100, 103)]
+    assert simhash.few_groups(table.limit(0)).count() == 0
+
+
+def test_deduplicate_follows_chains_in_small_groups(spark, monkeypatch):
+    """Chains of up to 30 texts, each like the next and unlike the first; what the first link doesn't tell is found by its group."""
+    monkeypatch.setattr(simhash, "COUNTS", 100)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for length in (3, 9, 16, 30):
+        words, places = [word() for _ in range(320)], [7 * i + 3 for i in range(45)]
+        rng.shuffle(places)
+        for step in range(length):
+            for at in places[step * 7 % 45 :][:7] if step else []:
+                words[at] = word()
+            texts.append(" ".join(words))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)]
+    want = exact_left(texts)
+    assert len(want) < len(texts) // 4
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == want

@@ -59,7 +59,7 @@ SIMILAR_WORDS = 5
 HASHES = 1 << 18
 #: Words of 64 bits in the parity sketch that meets others by shingle, and in the shortest of those that pairs are tested with.
 SKETCH, WIDE = 4, 32
-#: Rows of a shingle's group up to which all its pairs are listed.
+#: Rows of a shingle's group up to which all its pairs are tested at once.
 FEW = 32
 #: Sets of a more common shingle that one task compares at once.
 FOREST_BLOCK = 4096
@@ -478,10 +478,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def few_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the rows (shingle, node, n, o0, ...) that share a shingle and may be similar by size and sketch.
+def few_groups(rows: DataFrame) -> DataFrame:
+    """(members): sets of the rows (shingle, node, n, o0, ...) that share a shingle and that size and sketch link, ascending.
 
-    For shingles of at most FEW rows; each is a group of its own.
+    For shingles of at most FEW rows.  Two sets of one that may be similar are in a group, told once however many
+    shingles make it, so what leaves a task grows with the rows and not with their pairs.
     """
     sketch = [f"o{i}" for i in range(SKETCH)]
 
@@ -489,7 +490,7 @@ def few_pairs(rows: DataFrame) -> DataFrame:
         node, n = held.column("node").to_numpy(), held.column("n").to_numpy()
         odd = np.stack([held.column(c).to_numpy() for c in sketch], 1).view(np.uint64)
         last = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        linked = UnionFind(len(node))
         few = np.arange(len(node))
         for step in range(1, FEW):
             few = few[few + step < last[few]]
@@ -498,12 +499,16 @@ def few_pairs(rows: DataFrame) -> DataFrame:
             to = few + step
             near = 5 * np.minimum(n[few], n[to]) >= 4 * np.maximum(n[few], n[to])
             near &= 9 * np.bitwise_count(odd[few] ^ odd[to]).sum(axis=1, dtype=np.int64) <= n[few] + n[to]
-            a.append(few[near])
-            b.append(to[near])
-        return _pairs(node[np.concatenate(a)], node[np.concatenate(b)])
+            linked.add(few[near], to[near])
+        size = np.bincount(linked.root, minlength=len(node))
+        order = np.lexsort((node, linked.root))
+        order = order[size[linked.root[order]] > 1]
+        ends = np.append(0, np.cumsum(size[size > 1]))
+        members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(node[order]))
+        return pa.RecordBatch.from_arrays([members], names=["members"])
 
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(lambda batches: by_group(batches, ["shingle"], join), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: by_group(batches, ["shingle"], join), "members array<long>").distinct()
 
 
 def forest_pairs(rows: DataFrame, block: int = FOREST_BLOCK) -> DataFrame:
@@ -621,10 +626,11 @@ def similar(codes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
 
     The index finds the sets whose fingerprints are close, which are nearly all
     that are copied with few changes.  Sets further apart are found by a shingle
-    of their prefixes.  Of a shingle that few sets have all pairs are tested by
-    sketches that can't rule out a similar pair, and then verified; of a more common
-    one, a spanning forest of what the sketches allow.  Where that leaves sets apart
-    that a forest holds together, they are compared themselves.
+    of their prefixes, by sketches that can't rule out a similar pair.  Of the sets
+    that a shingle brings together a spanning forest of what the sketches allow is
+    verified: where few sets have the shingle, the links with the smallest one, if wider sketches
+    allow them all.  Where that leaves sets apart that a forest holds together, they
+    are compared themselves.
     """
     sketch = [f"o{i}" for i in range(SKETCH)]
     shared = cut(shared_prefixes(marked), "simhash-prefixes")
@@ -632,11 +638,17 @@ def similar(codes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
     rows = cut(shared.join(codes.select("s1", "s2", "node", "n", *sketch), ["s1", "s2"]).drop("s1", "s2"), "simhash-rows")
     discard(shared)
     common = cut(rows.groupBy("shingle").count().where(F.col("count") > FEW).select("shingle"), "simhash-common")
-    pairs = cut(few_pairs(rows.join(common, "shingle", "left_anti")), "simhash-pairs")
-    crowded = rows.join(common, "shingle").select("shingle", "node").join(codes.select("node", "n", "wide"), "node")
-    forest = cut(forest_pairs(crowded), "simhash-forest")
+    groups = few_groups(rows.join(common, "shingle", "left_anti"))
+    groups = cut(groups.withColumn("group", F.monotonically_increasing_id()), "simhash-groups")
+    stars = groups.select("group", F.size("members").alias("many"), F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, FEW)).alias("b"))
+    allowed = cut(plausible(stars.select("a", "b").distinct(), codes), "simhash-stars")
+    several = stars.where("many > 2")
+    broken = cut(several.join(allowed, ["a", "b"], "left_anti").select("group").distinct(), "simhash-broken")
+    crowded = rows.join(common, "shingle").select("shingle", "node").union(groups.join(broken, "group").select("group", F.explode("members")))
+    forest = forest_pairs(crowded.join(codes.select("node", "n", "wide"), "node"))
+    forest = cut(forest.union(several.join(broken, "group", "left_anti").select("a", "b")).distinct(), "simhash-forest")
     discard(rows, common)
-    likely = cut(plausible(pairs, codes).union(forest).distinct(), "simhash-likely")
+    likely = cut(allowed.union(forest).distinct(), "simhash-likely")
     near = cut(plausible(close_fingerprints(codes), codes), "simhash-near")
     ends = likely.union(near)
     nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
@@ -653,7 +665,7 @@ def similar(codes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
         if left.limit(1).count():
             cross = cut(cross_links(members.join(left, "node").join(held, "node")), "simhash-cross")
             found = components(all_.union(cross))
-    discard(pairs, forest, likely, held, near)
+    discard(groups, allowed, broken, forest, likely, held, near)
     return found
 
 

@@ -90,3 +90,35 @@ def test_the_queue_drains(spark, tmp_path):
     assert sorted(map(tuple, retries.last_states(said).collect())) == sorted(map(tuple, batch.select("url", "is_external", "attempts", "state").collect()))
     due = [(r["url"], r["attempts"], r["due"]) for r in said.where("kind = 'due'").orderBy("due", "url").collect()]
     assert due == [("c", 1, at(11)), ("d", 1, at(309))]  # a was answered in the micro-batch that would have brought it up
+
+
+def test_urls_of_a_group_share_its_calls(spark, tmp_path, monkeypatch):
+    """URLs of one group: null keys, timers of several, one that is answered, one that comes again after it was due."""
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    schema = "url string, attempt int, is_external boolean, status int, error string, at timestamp"
+    batches = [
+        [("a", 1, False, 503, None, at(0)), ("b", 1, False, 503, None, at(5)), (None, 1, False, 503, None, at(6)), ("n", 1, None, 503, None, at(7)), ("a", 1, True, 200, None, at(1))],
+        [("z", 1, False, 200, None, at(300))],
+        [("z", 2, False, 200, None, at(301))],
+        [("b", 2, False, 503, None, at(299)), ("n", 4, None, 503, None, at(299)), ("z", 1, True, 200, None, at(700))],
+        [("z", 2, True, 200, None, at(1500))],
+    ]
+    rows = [r for some in batches for r in some]
+    for some in batches:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/attempts")
+    monkeypatch.setattr(retries, "GROUPS", 1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/attempts")
+    key, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, retries.PROVIDER)
+    try:
+        retries.store(retries.drained(stream), f"{tmp_path}/said", f"{tmp_path}/checkpoint")
+        states = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/checkpoint").count()
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+    said = spark.read.parquet(f"{tmp_path}/said")
+    batch = crawl.attempt_state(spark.createDataFrame(rows, schema)).select("url", "is_external", "attempts", "state")
+    order = lambda found: sorted(map(tuple, found), key=str)
+    assert order(retries.last_states(said).collect()) == order(batch.collect())
+    due = order((r["url"], r["is_external"], r["attempts"], r["due"]) for r in said.where("kind = 'due'").collect())
+    assert due == order([("a", False, 1, at(10)), ("b", False, 1, at(15)), (None, False, 1, at(16)), ("n", None, 1, at(17)), ("b", False, 2, at(309))])
+    assert states == 1  # one for the group, not one for each URL

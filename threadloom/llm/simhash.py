@@ -507,8 +507,19 @@ def few_groups(rows: DataFrame) -> DataFrame:
         members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(node[order]))
         return pa.RecordBatch.from_arrays([members], names=["members"])
 
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, ...]] = set()
+        for batch in by_group(batches, ["shingle"], join):
+            new = np.zeros(batch.num_rows, bool)
+            for i, group in enumerate(map(tuple, batch.column("members").to_pylist())):
+                new[i] = group not in seen
+                seen.add(group)
+            yield batch.filter(pa.array(new))
+            if len(seen) > SEEN >> 3:  # groups that come again are only sent again
+                seen.clear()
+
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(lambda batches: by_group(batches, ["shingle"], join), "members array<long>").distinct()
+    return dealt.mapInArrow(once, "members array<long>").distinct()
 
 
 def forest_pairs(rows: DataFrame, block: int = FOREST_BLOCK) -> DataFrame:
